@@ -19,20 +19,26 @@ from .common import ascii_lower, let, on_row_key, span, with_row_key, words
 
 #: What separates words: all of ASCII but digits and letters, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
 #: The benchmark's side of a join is broadcast up to so many rows of some 100 bytes; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
 
 def _winnow(w: Column) -> Column:
-    """array<struct<hash, at>>: the chosen k-grams of an array of words, the last of equal hashes in each window."""
-    grams = F.transform(span(F.lit(0), F.size(w) - K), lambda i: F.struct(F.xxhash64(*[F.get(w, (i + j).cast("int")) for j in range(K)]).alias("hash"), (-i).alias("at")))
-    n = WINDOW - K + 1
+    """array<struct<hash, at>>: the chosen k-grams of an array of words.
+
+    A gram's hash and its place modulo 8 share a long, so that the least of a window also tells where it lies.
+    """
+    n = WINDOW - K + 1  # at most 8
+    grams = F.transform(span(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(F.slice(w, (i + 1).cast("int"), K)).bitwiseAND(F.lit(-8).cast("bigint")).bitwiseOR(F.pmod(i, F.lit(8).cast("bigint"))))
 
     def chosen(g: Column) -> Column:
-        return F.array_distinct(F.transform(span(F.lit(0), F.size(g) - n), lambda i: F.least(*[F.get(g, (i + j).cast("int")) for j in range(n)])))
+        least = F.transform(span(F.lit(0), F.size(g) - n), lambda i: F.array_min(F.slice(g, (i + 1).cast("int"), n)))
+        return let(least, lambda m: F.filter(F.transform(m, lambda x, i: F.struct(x.alias("v"), i.alias("i"))), lambda x: (x["i"] == 0) | (x["v"] != F.get(m, x["i"] - 1))))
 
-    return F.transform(let(grams, chosen), lambda x: F.struct(x["hash"].alias("hash"), (-x["at"]).alias("at")))
+    at = lambda x: (x["i"] + F.pmod(x["v"].bitwiseAND(F.lit(7).cast("bigint")) - x["i"], F.lit(8).cast("bigint"))).cast("bigint")
+    return F.transform(let(grams, chosen), lambda x: F.struct(x["v"].bitwiseAND(F.lit(-8).cast("bigint")).alias("hash"), at(x).alias("at")))
 
 
 def _windows(w: Column, length: Column) -> Column:
@@ -53,7 +59,7 @@ def _item_grams(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables. The first has every row of the documents: doc_id, text_hash, text, n_words. The second, one row for
+    """Two tables. The first has every row of the documents: doc_id, text_hash, n_words. The second, one row for
     each window of each item that occurs: doc_id, text_hash, at (in words), size, gram, without repeats."""
     grams = _item_grams(benchmark, item_col, item_text_col)
     keyed = with_row_key(docs, id_col, text_col)
@@ -64,15 +70,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     asked = grams.filter(F.col("size") == WINDOW).select(F.inline(let(words(F.lower("gram"), BETWEEN), _winnow))).select("hash").distinct()
     hits = keyed.select("doc_id", "text_hash", marks).join(_hint(asked), "hash", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("at")).alias("hits"))
 
-    one = on_row_key(keyed, hits).select("doc_id", "text_hash", "text", F.coalesce("hits", F.expr("cast(array() as array<bigint>)")).alias("hits"))
-    one = one.select("doc_id", "text_hash", "text", "hits", F.inline(F.array(F.struct(words(F.when(F.lit(bool(sizes)) | (F.size("hits") > 0), ascii_lower(F.col("text"))).otherwise(F.col("text")), BETWEEN).alias("w")))))
+    rows = keyed.select("doc_id", "text_hash", F.regexp_count(F.lower("text"), F.lit(WORD)).cast("bigint").alias("n_words"))
+
+    none = F.expr("cast(array() as array<bigint>)")
+    one = on_row_key(keyed, hits, "left" if sizes else "inner").select("doc_id", "text_hash", F.coalesce("hits", none).alias("hits"), F.inline(F.array(F.struct(words(ascii_lower(F.col("text")), BETWEEN).alias("w")))))
     lead = WINDOW - K  # a hit lies in the windows that begin so many words before it or later
     near = F.array_distinct(F.flatten(F.transform("hits", lambda a: F.filter(span(a - lead, a), lambda i: (i >= 0) & (i <= F.size("w") - WINDOW)))))
     full = F.transform(near, lambda i: F.struct(i.alias("at"), F.lit(WINDOW).alias("size"), F.array_join(F.slice("w", (i + 1).cast("int"), WINDOW), " ").alias("gram")))
     short = [F.transform(_windows(F.col("w"), F.lit(n)), lambda x: F.struct(x["at"].alias("at"), F.lit(n).alias("size"), x["gram"].alias("gram"))) for n in sorted(sizes)]
     places = one.select("doc_id", "text_hash", F.inline(F.concat(full, *short)))
     found = places.join(_hint(grams.select("size", "gram").distinct()), ["size", "gram"], "left_semi").distinct()
-    return one.select("doc_id", "text_hash", "text", F.size("w").cast("bigint").alias("n_words")), found
+    return rows, found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -88,7 +96,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = pairs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     per_doc = on_row_key(hit, items).select("doc_id", "text_hash", "n_hit", "items")
     zero = F.lit(0).cast("bigint")
-    return on_row_key(rows.drop("text"), per_doc).select(
+    return on_row_key(rows, per_doc).select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.size("items").cast("bigint"), zero).alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
     )

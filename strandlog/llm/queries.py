@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,17 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op2(table(spark, sf_dir, "documents"))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_quality_ledger,)}
+    return {f.__name__: f for f in (op2_secret_scan, op4_quality_ledger, op6_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_ledger": quality.ORACLE}
+    return {"op2_secret_scan": secrets.ORACLE, "op4_quality_ledger": quality.ORACLE, "op6_winnowing": decontaminate.ORACLE}
