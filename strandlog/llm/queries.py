@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, packing, quality, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4(table(spark, sf_dir, "documents"))
 
 
+def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2(table(spark, sf_dir, "documents"))
 
@@ -24,8 +28,12 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op7(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op4_quality_ledger, op6_winnowing)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op4_quality_ledger, op6_winnowing, op7_simhash_pigeonring)}
 
 
 def oracle_sql() -> dict[str, str]:
