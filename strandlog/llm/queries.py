@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, secrets, simhash
+from . import decontaminate, html, packing, quality, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,12 @@ def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.op8(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op4_quality_ledger, op6_winnowing, op7_simhash_pigeonring)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op4_quality_ledger, op6_winnowing, op7_simhash_pigeonring, op8_tag_path_ratios)}
 
 
 def oracle_sql() -> dict[str, str]:
