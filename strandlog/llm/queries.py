@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, packing, quality, secrets, simhash
+from . import decontaminate, html, packing, pii, quality, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,12 @@ def op8_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.op8(table(spark, sf_dir, "pages"))
 
 
+def op9_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op9(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op4_quality_ledger, op6_winnowing, op7_simhash_pigeonring, op8_tag_path_ratios)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op4_quality_ledger, op6_winnowing, op7_simhash_pigeonring, op8_tag_path_ratios, op9_bilstm_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
