@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,3 +81,20 @@ def durable(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a larger step's rows as a table beside the checkpoints, packed by column, and reads them back.
+
+    What the step shuffled is then out of use; a collection in the driver lets Spark delete those files at once.
+    """
+    spark = df.sparkSession
+    base = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base.isDefined():
+        durable(spark.range(1))
+        base = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = f"{base.get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
