@@ -31,21 +31,56 @@ def piece_lengths(n: int, length: int = LENGTH) -> list[int]:
     return [length] * (n // length) + [1 << b for b in range(length.bit_length() - 2, -1, -1) if n % length >> b & 1]
 
 
-def encoder(t, most: int = 300_000):
-    """Texts to lists of ids, as ``t`` gives them for whole texts. Its rule never joins what a space or line feed
-    separates, so what lies between those is encoded once and remembered, up to ``most`` different strings at a time."""
+def encoder(t, most: int = 1_000_000, known: dict[str, bytes] | None = None):
+    """Texts to the bytes of their ids (unsigned, 32 bits, little-endian), as ``t`` gives them for whole texts.
+
+    Its rule never joins what a space or line feed separates, so what lies between those is encoded once and
+    remembered, up to about ``most`` strings. Strings of Latin-1 that differ in case only, or in a full stop or comma
+    after a letter, share the encoding: the rule lower-cases, and cuts between letters and marks. Words of Latin-1
+    letters are encoded in one call; each ends with the one of its ids that carries the end-of-word mark.
+    """
+    from array import array
     from itertools import chain
 
-    known: dict[str, list[int]] = {}
-
-    def encode(texts: list[str]) -> list[list[int]]:
+    import numpy as np
+
+    known = {} if known is None else known
+    ends = np.zeros(t.get_vocab_size(), bool)
+    ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def root(x: str) -> tuple[str, str]:
+        if x.islower() and x[-1] not in ".,":
+            return x, ""
+        if x.isascii() or max(x) < "\u0100":
+            x = x.lower()
+        return (x[:-1], x[-1]) if len(x) > 1 and x[-1] in ".," and "a" <= x[-2] <= "z" else (x, "")
+
+    def one_by_one(strings: list[str]) -> None:
+        known.update(zip(strings, (array("I", e.ids).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)), strict=True))
+
+    def learn(new: set[str]) -> None:
+        roots = [(x, *root(x)) for x in new]
+        ask = {r for _, r, _ in roots}.union(".,").difference(known)
+        words = [x for x in ask if x.isalpha() and max(x) < "\u0100"]
+        ids = np.array(t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(stops) == len(words):
+            raw = ids.tobytes()
+            known.update(zip(words, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+        else:
+            one_by_one(words)
+        one_by_one(list(ask.difference(words)))
+        for x, r, end in roots:
+            known[x] = known[r] + known[end] if end else known[r]
+
+    def encode(texts: list[str]) -> list[bytes]:
         parts = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list(set(chain.from_iterable(parts)).difference(known))
+        new = set(chain.from_iterable(parts)).difference(known)
         if len(known) + len(new) > most:
             known.clear()
-            new = list(set(chain.from_iterable(parts)))
-        known.update(zip(new, (e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+            new = set(chain.from_iterable(parts))
+        learn(new)
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     return encode
 
@@ -53,6 +88,8 @@ def encoder(t, most: int = 300_000):
 def _pieces(path: str | None, length: int, end: int, digest: bool):
     def run(batches: Iterator) -> Iterator:
         import os
+        import sys
+        import types
         import zlib
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -63,7 +100,7 @@ def _pieces(path: str | None, length: int, end: int, digest: bool):
         t = Tokenizer.from_file(path or tokenizer_path())
         t.encode_special_tokens = True
 
-        encode = encoder(t)
+        encode, last = encoder(t), end.to_bytes(4, "little")
 
         def groups(b) -> Iterator[tuple[int, list[str]]]:
             """Few texts at once, so that memory does not grow with the batch."""
@@ -82,14 +119,14 @@ def _pieces(path: str | None, length: int, end: int, digest: bool):
             for first, texts in groups(b):
                 rows, starts, sizes, totals, content = [], [], [], [], []
                 for k, e in enumerate(encode(texts)):
-                    ids = np.array([*e, end], "<u4")
+                    ids = np.frombuffer(e + last, "<u4")
                     at = 0
                     for n in piece_lengths(len(ids), length):
                         rows.append(first + k)
                         starts.append(at)
                         sizes.append(n)
                         totals.append(len(ids))
-                        content.append(zlib.crc32(ids[at : at + n].tobytes()) if digest else ids[at : at + n].astype(np.int32))
+                        content.append(zlib.crc32(ids[at : at + n]) if digest else ids[at : at + n].astype(np.int32))
                         at += n
                 kind = pa.int64() if digest else pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(content, kind), pa.array(totals, pa.int64())], ["doc_id", "start", "length", "content", "doc_tokens"])
