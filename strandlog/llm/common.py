@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space that separates words in the word rules: space, tab, line feed, vertical tab, form feed, return.
@@ -98,3 +99,16 @@ def stored(df: DataFrame) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a row's number that tell rows of one id apart.
+SHIFT = 20
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k, text): k is the id (below 2**43 in size) with room for a number that tells rows of one id apart; null without an id."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = d.withColumn("k", F.shiftleft(F.col("doc_id").cast("bigint"), SHIFT))
+    if d.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        return plain
+    return plain.withColumn("k", F.col("k") + F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1)

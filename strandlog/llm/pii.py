@@ -343,7 +343,7 @@ def op9(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
-def _mask(weights: dict[str, np.ndarray], column: int):
+def _mask(weights: dict[str, np.ndarray], column: int, chars: int | None):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -359,11 +359,18 @@ def _mask(weights: dict[str, np.ndarray], column: int):
                             at = e
                     text = "".join(parts) + text[at:]
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == column else c for i, c in enumerate(b.columns)], b.schema.names)
+            cols = {column: pa.array(out, pa.string())}
+            if chars is not None:
+                cols[chars] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(b.column(chars).type)
+            yield pa.RecordBatch.from_arrays([cols.get(i, c) for i, c in enumerate(b.columns)], b.schema.names)
 
     return run
 
 
-def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with each span replaced by its kind in angle brackets; overlapping spans become one place."""
-    return docs.mapInArrow(_mask(train(), docs.columns.index(text_col)), docs.schema)
+def mask(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with each span replaced by its kind in angle brackets; overlapping spans become one place.
+
+    ``chars_col``, if given, becomes the new text's length in code points.
+    """
+    at = docs.columns.index
+    return docs.mapInArrow(_mask(train(), at(text_col), at(chars_col) if chars_col else None), docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, packing, pii, quality, secrets, simhash, suffixes
+from . import chunks, counts, decontaminate, html, packing, pii, quality, secrets, simhash, suffixes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2(table(spark, sf_dir, "documents"))
 
 
+def op5_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,8 +48,12 @@ def op9_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op3_suffix_buckets, op4_quality_ledger, op6_winnowing, op7_simhash_pigeonring, op8_tag_path_ratios, op9_bilstm_crf)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op3_suffix_buckets, op4_quality_ledger, op5_content_chunks, op6_winnowing, op7_simhash_pigeonring, op8_tag_path_ratios, op9_bilstm_crf, op10_edit_aware_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,15 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import SHIFT, numbered, stored
 
 LENGTH, Q = 50, 24
 #: Anchors that one block of step 1 sorts at once, about; texts whose anchors are sorted together before that.
 BLOCK, TEXT_AT_ONCE = 1 << 20, 1 << 23
-SHIFT = 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -195,18 +193,9 @@ def _results(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(digest, pa.string()), pa.array(cols[4], span)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, k, text): k is the id with room for a number that tells rows of one id apart; null without an id."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    plain = d.withColumn("k", F.shiftleft(F.col("doc_id").cast("bigint"), SHIFT))
-    if d.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        return plain
-    return plain.withColumn("k", F.col("k") + F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array<struct<start, end>>, in bytes) for every row."""
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = numbered(docs, id_col, text_col)
     texts = keyed.filter("k is not null").select("k", "text")
     doc = lambda c: F.shiftright(F.col(c), SHIFT)
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
