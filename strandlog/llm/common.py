@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -84,20 +85,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a larger step's rows as a table beside the checkpoints, packed by column, and reads them back.
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the files of finished steps now: it does so once the driver has dropped the plans that made them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
-    What the step shuffled is then out of use; a collection in the driver lets Spark delete those files at once.
-    """
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a larger step's rows as a table beside the checkpoints, packed by column, and reads them back."""
     spark = df.sparkSession
+    release(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not base.isDefined():
         durable(spark.range(1))
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
     path = f"{base.get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

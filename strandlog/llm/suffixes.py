@@ -40,8 +40,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def names(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the suffixes' first Q and first LENGTH bytes, for each offset where a string of LENGTH begins or ends in Q."""
+def names(text: bytes, whole: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Identifiers of the suffixes' first Q and, if asked for, LENGTH bytes, for each offset where so many bytes follow."""
     n = len(text)
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)).view("<u8").ravel()
 
@@ -51,16 +51,19 @@ def names(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     b8 = _mix(eight + _C)
     b16 = refine(b8, b8, 8, 16)
-    b24, b32 = refine(b16, b8, 16, Q), refine(b16, b16, 16, 32)
+    b24 = refine(b16, b8, 16, Q)
+    if not whole:
+        return b24, None
+    b32 = refine(b16, b16, 16, 32)
     return b24, refine(b32, b32, LENGTH - 32, LENGTH)
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, context, start, count) of each context: its anchor's identifier, its own, and the strings in it."""
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, start, count) of each context: its anchor's identifier and the strings in it."""
     if len(text) < LENGTH:
         none = np.zeros(0, np.uint64)
-        return none, none, none.astype(np.int64), none.astype(np.int64)
-    short, full = names(text)
+        return none, none.astype(np.int64), none.astype(np.int64)
+    short, _ = names(text, False)
     least, s, width = short, 1, LENGTH - Q + 1
     while 2 * s <= width:
         least = np.minimum(least[:-s], least[s:])
@@ -73,34 +76,41 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     if (count > width).any():
         start = np.concatenate([np.arange(a, a + c, width) for a, c in zip(start, count, strict=True)])
         count = np.diff(np.concatenate([start, [len(least)]]))
-    context = _mix(full[start] * _C + full[start + count - 1] + count.astype(np.uint64) * _MIX)
-    return least[start], context, start.astype(np.int64), count
+    return least[start], start.astype(np.int64), count
 
 
 def _bytes(x) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
 
+#: Step 1 compares identifiers by their first 48 bits; what agrees by chance goes on to step 2 and falls there.
+HEAD = 16
+
+
+def _heads(raw: bytes) -> np.ndarray:
+    """Identifiers' first 48 bits from six bytes each."""
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return np.concatenate([six, np.zeros((len(six), 2), np.uint8)], axis=1).view("<u8").ravel()
+
+
 def _blocks(n_blocks: int):
-    """Batches of (k, text) to rows (block, flags, ids): a block's identifiers, each once, and whether two documents had it."""
+    """Batches of (k, text) to rows (block, heads, twice): a block's identifiers, each once, and whether two documents had it."""
 
     def flush(parts: list, out: list) -> None:
-        if not parts:
+        a = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, np.uint64)
+        if not len(a):
             return
-        a = np.concatenate([p for p, _ in parts])
         d = np.concatenate([np.full(len(p), k >> SHIFT) for p, k in parts])
         order = np.argsort(a, kind="stable")
         a, d = a[order], d[order]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
-        if not len(first):
-            return
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         twice = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
         a = a[first]
-        owner = d[first]
-        block = (a >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)
+        block = (a >> np.uint64(16)) * np.uint64(n_blocks) >> np.uint64(32)
         cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        six = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         for i, j in zip(cuts, [*cuts[1:], len(a)], strict=True):
-            out.append((int(block[i]), a[i:j].astype("<u8").tobytes(), np.where(twice[i:j], -1, owner[i:j]).astype("<i8").tobytes()))
+            out.append((int(block[i]), six[i:j].tobytes(), np.packbits(twice[i:j]).tobytes()))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -109,8 +119,7 @@ def _blocks(n_blocks: int):
             parts, size, out = [], 0, []
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = _bytes(x)
-                a = np.unique(anchors(text)[0])
-                parts.append((a, k))
+                parts.append((np.unique(anchors(text)[0] >> np.uint64(HEAD)), k))
                 size += len(text)
                 if size > TEXT_AT_ONCE:
                     flush(parts, out)
@@ -118,22 +127,23 @@ def _blocks(n_blocks: int):
             flush(parts, out)
             for i in range(0, len(out), 1024):
                 rows = out[i : i + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "ids", "owners"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "heads", "twice"])
 
     return run
 
 
 def _shared(table):
-    """One block: the identifiers that two documents hold."""
+    """One block: the identifiers that two documents hold, each in another row of the block or marked in one."""
     import pyarrow as pa
 
-    a = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table.column("ids")])
-    d = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("owners")])
+    parts = [_heads(x.as_py()) for x in table.column("heads")]
+    a = np.concatenate(parts)
+    t = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(p)] for x, p in zip(table.column("twice"), parts, strict=True)])
     order = np.argsort(a, kind="stable")
-    a, d = a[order], d[order]
+    a, t = a[order], t[order]
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-    return pa.table({"bucket": pa.array(a[first][(low != high) | (low == -1)].view(np.int64))})
+    n = np.diff(np.concatenate([first, [len(a)]])) + np.maximum.reduceat(t, first)
+    return pa.table({"head": pa.array(a[first][n > 1].view(np.int64))})
 
 
 def _contexts(batches: Iterator) -> Iterator:
@@ -142,14 +152,27 @@ def _contexts(batches: Iterator) -> Iterator:
     for b in batches:
         parts, size = [], 0
         for i, (k, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-            bucket, context, start, count = anchors(_bytes(x))
-            parts.append((bucket.view(np.int64), context.view(np.int64), np.full(len(start), k, np.int64), start * 64 + count))
+            bucket, start, count = anchors(_bytes(x))
+            parts.append((bucket.view(np.int64), np.full(len(start), k, np.int64), start * 64 + count))
             size += len(start)
             if size > 200_000 or i == b.num_rows - 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["bucket", "context", "k", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["bucket", "k", "place"])
                 parts, size = [], 0
 
 
+def _named(batches: Iterator) -> Iterator:
+    """A context's identifier comes from its first and last string, which between them hold all of its bytes."""
+    import pyarrow as pa
+
+    for b in batches:
+        for k, x, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            _, full = names(_bytes(x))
+            bucket, place = (np.asarray(found.values.field(f)) for f in (0, 1))
+            start, count = place >> 6, place & 63
+            context = _mix(full[start] * _C + full[start + count - 1] + count.astype(np.uint64) * _MIX)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(context.view(np.int64)), pa.array(np.full(len(start), k, np.int64)), pa.array(place)], ["bucket", "context", "k", "place"])
+
+
 def _refined(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -201,19 +224,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = 1 + 2 * n_bytes // (LENGTH - Q + 2) // BLOCK
 
-    blocks = texts.mapInArrow(_blocks(n_blocks), "block long, ids binary, owners binary")
-    shared = stored(blocks.groupBy("block").applyInArrow(_shared, "bucket long"))
-    every = texts.mapInArrow(_contexts, "bucket long, context long, k long, place long")
-    live = stored(every.join(shared.hint("merge"), "bucket", "left_semi"))
+    def of_texts(rows: DataFrame, step, shape: str) -> DataFrame:
+        """Rows (k, bucket, place) gathered per document, beside its text, through ``step``."""
+        lists = rows.groupBy("k").agg(F.collect_list(F.struct("bucket", "place")).alias("found"))
+        return texts.join(lists, "k").select("k", "text", "found").mapInArrow(step, shape)
+
+    shared = stored(texts.mapInArrow(_blocks(n_blocks), "block long, heads binary, twice binary").groupBy("block").applyInArrow(_shared, "head long"))
+    every = texts.mapInArrow(_contexts, "bucket long, k long, place long")
+    live = stored(every.join(shared.hint("merge"), F.shiftrightunsigned("bucket", HEAD) == F.col("head"), "left_semi"))
+    named = stored(of_texts(live, _named, "bucket long, context long, k long, place long"))
 
-    contexts = live.groupBy("bucket", "context").agg(F.min("k").alias("first"))
+    contexts = named.groupBy("bucket", "context").agg(F.min("k").alias("first"))
     several = contexts.groupBy("bucket").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter(doc("low") < doc("high")).select("bucket", F.lit(True).alias("open"))
-    judged = stored(live.join(contexts.join(several, "bucket", "left"), ["bucket", "context"]).select("bucket", "k", "place", (doc("k") > doc("first")).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")).filter("whole or open"))
+    judged = stored(named.join(contexts.join(several, "bucket", "left"), ["bucket", "context"]).select("bucket", "k", "place", (doc("k") > doc("first")).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")).filter("whole or open"))
 
-    asked = judged.filter("not whole").groupBy("k").agg(F.collect_list(F.struct("bucket", "place")).alias("found"))
-    refined = stored(texts.join(asked, "k").select("k", "text", "found").mapInArrow(_refined, "bucket long, name long, k long, place long"))
+    refined = stored(of_texts(judged.filter("not whole"), _refined, "bucket long, name long, k long, place long"))
     first = refined.groupBy("bucket", "name").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter(doc("first") < doc("last")).select("bucket", "name", "first")
-    single = refined.join(first, ["bucket", "name"]).filter(doc("k") > doc("first")).select("k", "place")
+    single = stored(refined.join(first, ["bucket", "name"]).filter(doc("k") > doc("first")).select("k", "place"))
 
     places = judged.filter("whole").select("k", "place").unionByName(single).groupBy("k").agg(F.collect_list("place").alias("places"))
     kind = dict(docs.dtypes)[id_col]
