@@ -12,12 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, END = 2048, 1
 #: So many characters are encoded at once.
-TEXT_AT_ONCE = 1 << 20
+TEXT_AT_ONCE = 1 << 24
 
 
 def tokenizer_path() -> str:
@@ -31,56 +33,80 @@ def piece_lengths(n: int, length: int = LENGTH) -> list[int]:
     return [length] * (n // length) + [1 << b for b in range(length.bit_length() - 2, -1, -1) if n % length >> b & 1]
 
 
-def encoder(t, most: int = 1_000_000, known: dict[str, bytes] | None = None):
+#: Words of Latin letters, perhaps with a full stop or comma: to the tokenizer's rule each is one pre-token, or two with the mark.
+WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run after the other."""
+    stops = np.cumsum(sizes, dtype=np.int32)
+    return np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0, dtype=np.int32)
+
+
+def encoder(t, most: int = 100_000):
     """Texts to the bytes of their ids (unsigned, 32 bits, little-endian), as ``t`` gives them for whole texts.
 
-    Its rule never joins what a space or line feed separates, so what lies between those is encoded once and
-    remembered, up to about ``most`` strings. Strings of Latin-1 that differ in case only, or in a full stop or comma
-    after a letter, share the encoding: the rule lower-cases, and cuts between letters and marks. Words of Latin-1
-    letters are encoded in one call; each ends with the one of its ids that carries the end-of-word mark.
+    Its rule never joins what a space or line feed separates, so what lies between those is encoded once for all the
+    texts of a call. Words that differ in case or in a mark at their end share the encoding: the rule lower-cases, and
+    cuts between letters and marks. Lower-case words are the same under its normalisation, so that they go to its
+    model ``most`` at once; each ends with the one of its ids that carries the end-of-word mark. Whatever else lies
+    between spaces is encoded by ``t`` itself, string by string.
     """
-    from array import array
-    from itertools import chain
-
-    import numpy as np
+    import pyarrow.compute as pc
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    known = {} if known is None else known
     ends = np.zeros(t.get_vocab_size(), bool)
     ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def root(x: str) -> tuple[str, str]:
-        if x.islower() and x[-1] not in ".,":
-            return x, ""
-        if x.isascii() or max(x) < "\u0100":
-            x = x.lower()
-        return (x[:-1], x[-1]) if len(x) > 1 and x[-1] in ".," and "a" <= x[-2] <= "z" else (x, "")
-
-    def one_by_one(strings: list[str]) -> None:
-        known.update(zip(strings, (array("I", e.ids).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)), strict=True))
-
-    def learn(new: set[str]) -> None:
-        roots = [(x, *root(x)) for x in new]
-        ask = {r for _, r, _ in roots}.union(".,").difference(known)
-        words = [x for x in ask if x.isalpha() and max(x) < "\u0100"]
-        ids = np.array(t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        if len(stops) == len(words):
-            raw = ids.tobytes()
-            known.update(zip(words, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
-        else:
-            one_by_one(words)
-        one_by_one(list(ask.difference(words)))
-        for x, r, end in roots:
-            known[x] = known[r] + known[end] if end else known[r]
+    bare = Tokenizer(t.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    stop, comma = (t.encode(x, add_special_tokens=False).ids[0] for x in ".,")
+
+    def strings(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array(e.ids, "<u4") for e in t.encode_batch_fast(values, add_special_tokens=False)]
+        return np.concatenate([*each, np.zeros(0, "<u4")]), np.fromiter(map(len, each), np.int32, len(each))
+
+    def words(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of each) of words in lower case."""
+        pools, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int32)]
+        for i in range(0, len(values), most):
+            some = values[i : i + most]
+            ids = np.array(bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            size = np.diff(np.flatnonzero(ends[ids]), prepend=-1).astype(np.int32)
+            if len(size) != len(some):
+                ids, size = strings(some)
+            pools.append(ids)
+            sizes.append(size)
+        return np.concatenate(pools), np.concatenate(sizes)
 
     def encode(texts: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        new = set(chain.from_iterable(parts)).difference(known)
-        if len(known) + len(new) > most:
-            known.clear()
-            new = set(chain.from_iterable(parts))
-        learn(new)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = lists.values.dictionary_encode()
+        parts, which = coded.dictionary, coded.indices.to_numpy()
+        is_word = pc.match_substring_regex(parts, WORD)
+        own = parts.filter(is_word)
+        mark = np.where(pc.ends_with(own, ".").to_numpy(zero_copy_only=False), stop, np.where(pc.ends_with(own, ",").to_numpy(zero_copy_only=False), comma, -1))
+        roots = pc.utf8_lower(pc.utf8_rtrim(own, ".,")).dictionary_encode()
+        ids, size = words(roots.dictionary.to_numpy(zero_copy_only=False).tolist())
+        other_ids, other_size = strings(parts.filter(pc.invert(is_word)).to_pylist())
+
+        # every part's ids in one pool: the words, each followed by its mark, then the others
+        root = roots.indices.to_numpy()
+        n = size[root]
+        runs = n + (mark >= 0)
+        first = np.cumsum(runs, dtype=np.int32) - runs
+        pool = np.empty(int(runs.sum()) + len(other_ids), "<u4")
+        pool[_places(first, n)] = ids[_places((np.cumsum(size, dtype=np.int32) - size)[root], n)]
+        pool[(first + n)[mark >= 0]] = mark[mark >= 0]
+        pool[int(runs.sum()) :] = other_ids
+        is_word = is_word.to_numpy(zero_copy_only=False)
+        starts, sizes = np.empty(len(parts), np.int32), np.empty(len(parts), np.int32)
+        starts[is_word], sizes[is_word] = first, runs
+        starts[~is_word], sizes[~is_word] = int(runs.sum()) + np.cumsum(other_size, dtype=np.int32) - other_size, other_size
+
+        n = sizes[which]
+        raw = pool[_places(starts[which], n)].tobytes()
+        at = (4 * np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[lists.offsets.to_numpy()]).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
 
     return encode
 
@@ -88,13 +114,9 @@ def encoder(t, most: int = 1_000_000, known: dict[str, bytes] | None = None):
 def _pieces(path: str | None, length: int, end: int, digest: bool):
     def run(batches: Iterator) -> Iterator:
         import os
-        import sys
-        import types
         import zlib
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        import numpy as np
-        import pyarrow as pa
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path or tokenizer_path())
