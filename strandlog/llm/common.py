@@ -106,6 +106,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored()`` once all that was made from them is itself stored, so that no lost task asks for them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("table-"):
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bits of a row's number that tell rows of one id apart.
 SHIFT = 20
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHIFT, numbered, stored
+from .common import SHIFT, discard, numbered, stored
 
 LENGTH, Q = 50, 24
 #: Anchors that one block of step 1 sorts at once, about; texts whose anchors are sorted together before that.
@@ -232,15 +232,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = stored(texts.mapInArrow(_blocks(n_blocks), "block long, heads binary, twice binary").groupBy("block").applyInArrow(_shared, "head long"))
     every = texts.mapInArrow(_contexts, "bucket long, k long, place long")
     live = stored(every.join(shared.hint("merge"), F.shiftrightunsigned("bucket", HEAD) == F.col("head"), "left_semi"))
+    discard(shared)
     named = stored(of_texts(live, _named, "bucket long, context long, k long, place long"))
+    discard(live)
 
     contexts = named.groupBy("bucket", "context").agg(F.min("k").alias("first"))
     several = contexts.groupBy("bucket").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter(doc("low") < doc("high")).select("bucket", F.lit(True).alias("open"))
     judged = stored(named.join(contexts.join(several, "bucket", "left"), ["bucket", "context"]).select("bucket", "k", "place", (doc("k") > doc("first")).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")).filter("whole or open"))
+    discard(named)
 
     refined = stored(of_texts(judged.filter("not whole"), _refined, "bucket long, name long, k long, place long"))
     first = refined.groupBy("bucket", "name").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter(doc("first") < doc("last")).select("bucket", "name", "first")
     single = stored(refined.join(first, ["bucket", "name"]).filter(doc("k") > doc("first")).select("k", "place"))
+    discard(refined)
 
     places = judged.filter("whole").select("k", "place").unionByName(single).groupBy("k").agg(F.collect_list("place").alias("places"))
     kind = dict(docs.dtypes)[id_col]
