@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 from .components import components
+from .copies import keep_first  # noqa: F401 (the pipeline's stage, with parameters of its own)
 
 SHINGLE, BITS, SEED = 3, 3, 42
 _BLOCK = 1 << 16
@@ -88,12 +89,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op7(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns as they were, without those of a group's other documents.
-
-    Documents are told apart by their id: rows that repeat the kept id stay, rows that repeat another's go.
-    """
-    others = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, docs["doc_id"].eqNullSafe(others["_other"]), "left_anti")

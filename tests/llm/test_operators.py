@@ -239,6 +239,41 @@ def test_links_find_all_pairs(spark):
     assert {tuple(x) for x in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()} == want
 
 
+def near_copy_rows(seed: int = 11) -> list[tuple]:
+    """Texts beside copies in which words were put elsewhere, so that similarities lie on both sides of 0.8."""
+    r, rows = random.Random(seed), []
+    for i in range(60):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.choice([30, 80, 400]))]
+        for changes in (0, r.randrange(4), r.randrange(9), len(w) // 50):
+            x = list(w)
+            for _ in range(changes):
+                x[r.randrange(len(x))] = f"new{r.randrange(5000)}"
+            rows.append((len(rows), " ".join(x)))
+    return rows
+
+
+def brute_near_copies(rows) -> dict:
+    """The least id of each document's group by five-word Jaccard of 0.8 or more, every pair compared."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group
+
+
+def test_near_copies_against_brute_force(spark):
+    rows = near_copy_rows()
+    want = {i for i, g in brute_near_copies(rows).items() if i == g}
+    assert {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert 60 < len(want) < 200 and want != {i for i, (_, c) in brute_simhash(rows).items() if i == c}
+
+
 def test_keep_first_keeps_columns(odd):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id in (5)").count() == 0 and kept.filter("doc_id = 4").count() >= 1

@@ -7,7 +7,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from strandlog.llm import packing, pii  # noqa: E402
-from test_operators import brute_leaks, brute_simhash  # noqa: E402
+from test_operators import brute_leaks, brute_near_copies, brute_simhash  # noqa: E402
 
 
 def test_stages(spark, sf):
@@ -35,3 +35,12 @@ def test_stages(spark, sf):
     assert totals == {r.doc_id: r.doc_tokens for r in packing.pack(d).select("doc_id", "doc_tokens").distinct().collect()} and set(totals) == set(rows(d))
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, whole.select("doc_id", "start", "length").collect())) == sorted(map(tuple, e.select("doc_id", "start", "length").collect()))
+
+
+def test_near_duplicates_stage(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    a = steps["quality_rules"](spark, docs, sf).cache()
+    b = steps["near_duplicates"](spark, a, sf)
+    want = {i for i, c in brute_near_copies([(r.doc_id, r.text) for r in a.collect()]).items() if i == c}
+    assert b.columns == docs.columns and {r.doc_id for r in b.collect()} == want
