@@ -274,6 +274,18 @@ def test_near_copies_against_brute_force(spark):
     assert 60 < len(want) < 200 and want != {i for i, (_, c) in brute_simhash(rows).items() if i == c}
 
 
+def test_keep_first_decides_by_row(spark):
+    r = random.Random(12)
+    text = [" ".join(f"w{r.randrange(9999)}" for _ in range(40)) for _ in range(8)]
+    rows = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (None, text[3] + " more")]
+    rows += [(7, text[4]), (5, text[4]), (7, text[5]), (7, text[6]), (7, text[6]), (9, None), (8, " ")]
+    kept = [tuple(x) for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    near = [x for x in kept if x[1] and x[1].startswith(text[3])]
+    assert len(near) == 1
+    want = [(1, text[0]), (None, text[1]), (None, text[2]), (5, text[4]), (7, text[5]), (7, text[6]), (8, " ")]
+    assert sorted(map(str, kept)) == sorted(map(str, want + near))
+
+
 def test_keep_first_keeps_columns(odd):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id in (5)").count() == 0 and kept.filter("doc_id = 4").count() >= 1
