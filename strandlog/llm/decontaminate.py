@@ -25,6 +25,12 @@ WINDOW, K = 10, 5
 BROADCAST_ROWS = 200_000
 
 
+def _folded(text: str) -> Column:
+    """Lower-cases letter by letter, and so alike in a document and in a window of it; of all letters only the capital sigma
+    depends on those around it. Other letters than A-Z can only add hits, which are compared exactly later."""
+    return F.lower(F.replace(F.col(text), F.lit("Σ"), F.lit("σ")))
+
+
 def _winnow(w: Column) -> Column:
     """array<struct<hash, at>>: the chosen k-grams of an array of words.
 
@@ -65,9 +71,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     keyed = with_row_key(docs, id_col, text_col)
     sizes = [r["size"] for r in grams.filter(F.col("size") < WINDOW).select("size").distinct().collect()]  # nine numbers at most
 
-    # lower() may also fold other letters, so it can only add hits; those are compared exactly below
-    marks = F.inline(let(words(F.lower("text"), BETWEEN), _winnow))
-    asked = grams.filter(F.col("size") == WINDOW).select(F.inline(let(words(F.lower("gram"), BETWEEN), _winnow))).select("hash").distinct()
+    marks = F.inline(let(words(_folded("text"), BETWEEN), _winnow))
+    asked = grams.filter(F.col("size") == WINDOW).select(F.inline(let(words(_folded("gram"), BETWEEN), _winnow))).select("hash").distinct()
     hits = keyed.select("doc_id", "text_hash", marks).join(_hint(asked), "hash", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("at")).alias("hits"))
 
     rows = keyed.select("doc_id", "text_hash", F.regexp_count(F.lower("text"), F.lit(WORD)).cast("bigint").alias("n_words"))

@@ -203,6 +203,12 @@ def test_decontamination_against_brute_force(spark):
     assert {x.doc_id for x in decontaminate.clean(d, long_items).collect()} == {i for i, x in want.items() if not x[4]}
 
 
+def test_decontamination_of_final_sigma(spark):
+    text = " ".join(f"w{i}ΛΟΓΟΣ.Β" for i in range(8))
+    d, b = (spark.createDataFrame([(1, text)], f"{c} long, text string") for c in ("doc_id", "item_id"))
+    assert decontaminate.decontaminate(d, b).first().contaminated and decontaminate.clean(d, b).count() == 0
+
+
 def brute_simhash(rows):
     prints = {}
     for i, t in rows:
