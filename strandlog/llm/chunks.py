@@ -1,7 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the last 32 bytes; a chunk ends where its high bits are zero, LEAST bytes or more after the
-last end. As the places depend on the bytes alone, an insertion moves the chunks behind it without changing them.
+A gear hash rolls over the last SEEN bytes; a chunk ends where it is no larger than at the LEAST places before and
+behind. Such places depend on the bytes around them alone, not on where the last chunk ended, so that a passage is cut
+alike in every document but for SEEN + LEAST bytes at its start and LEAST at its end, and an insertion moves the chunks
+behind it without changing them. Where bytes repeat themselves, ends are LEAST bytes apart or more.
 Chunks are deduplicated by a 128-bit digest: the first, by document and place, stays.
 
 Nulls and edges: a null or empty text has no chunks; rows that repeat an id are told apart and the first stays; a row
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import numbered, stored
 
-#: Bytes of a chunk: at least, added on average (a power of two), at most.
-LEAST, AVERAGE, MOST = 48, 32, 1024
+#: Bytes of a chunk: at least (twice as many on average), at most; bytes that the hash sees (a power of two).
+LEAST, MOST, SEEN = 20, 1024, 16
 #: The gear: a random number for each byte, from a seed.
 SEED = 7
 
@@ -32,11 +34,21 @@ def gear() -> np.ndarray:
 def cuts(text: bytes, table: np.ndarray) -> list[int]:
     """Ends of the chunks, the text's end included."""
     h, s = table[np.frombuffer(text, np.uint8)], 1
-    while s < 32:  # sums over 1, 2, 4, ... bytes
+    while s < SEEN:  # sums over 1, 2, 4, ... bytes
         h[s:] += h[:-s] << np.uint32(s)
         s *= 2
     out, last, n = [], 0, len(text)
-    for e in (np.flatnonzero(h < np.uint32((1 << 32) // AVERAGE)) + 1).tolist():
+    ends = []
+    if n > 2 * LEAST:
+        low, s = h, 1  # least over 1, 2, 4, ... and at last LEAST places
+        while 2 * s <= LEAST:
+            low = np.minimum(low[:-s], low[s:])
+            s *= 2
+        if LEAST > s:
+            low = np.minimum(low[: s - LEAST], low[LEAST - s :])
+        h = h[LEAST : n - LEAST]
+        ends = (np.flatnonzero((h <= low[: len(h)]) & (h <= low[LEAST + 1 :])) + LEAST + 1).tolist()
+    for e in ends:
         while e - last > MOST:
             last += MOST
             out.append(last)

@@ -170,6 +170,21 @@ def test_chunks_resist_insertions():
     assert len(both[0] - both[1]) <= 3
 
 
+def test_chunks_find_passages_of_fifty_words():
+    r, table = random.Random(21), chunks.gear()
+    some = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(n)).encode()
+    cut = lambda b: [b[s:e] for c in [chunks.cuts(b, table)] for s, e in zip([0, *c], c, strict=False)]
+    found = []
+    for _ in range(400):
+        passage = some(50)
+        a, b = (some(60)[r.randrange(40) :] + passage + some(60) for _ in "ab")
+        seen = set(cut(a))
+        found.append(sum(len(x) for x in cut(b) if x in seen) / len(passage))
+    assert min(found) > 0 and sum(found) / len(found) > 0.65
+    for line in (b"x", b"one line again\n"):  # also where bytes repeat themselves, at any phase
+        assert len(set(cut(some(9) + line * 400)) & set(cut(some(20) + line * 300))) >= 1
+
+
 def brute_leaks(rows, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     windows = {}
