@@ -33,8 +33,13 @@ AWAY_WORDS = frozenset(
     "masthead cookie cookies consent gdpr notice notices banner popup modal overlay subscribe newsletter signup login share sharing social related recommended "
     "comment comments commentlist disqus respond replies widget pagination pager toolbar skip header topbar form search copyright disclaimer".split()
 )
+#: Parts of class names that tell how a page is laid out or what an article is made of: such a name marks no boilerplate.
+LAYOUT_WORDS = frozenset("has have with without no non not is layout grid col row content article entry post story main page body text wrapper wrap container free".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that an article may fill with links alone.
+LINKED = HEADINGS | frozenset("p ul ol li dl dt dd table tr td th blockquote".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^"'>])*+)(?:>|\Z)|([^<]++|<)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 #: Part of the fused ratio's spread over the page that a content node must reach, and the width of the smoothing.
 SPREAD, SIGMA = 0.3, 1.0
@@ -57,14 +62,29 @@ class Element:
         return out[::-1]
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name, in lower case; of a name that repeats the first counts."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), value.strip("\"'").lower())
+    return found
+
+
+def _marked(name: str) -> bool:
+    """Whether a class name or id is a word for boilerplate, or made of such a word and none of layout."""
+    parts = set(re.split(r"[^a-z]+", name))
+    return name in AWAY_WORDS or bool(parts & AWAY_WORDS) and not parts & LAYOUT_WORDS
+
+
 def _away(name: str, attributes: str) -> bool:
     if name in AWAY:
         return True
-    for key, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
-        said = set(re.split(r"[^a-z]+", value.lower()))
-        if key.lower() == "hidden" or (said & AWAY_ROLES if key.lower() == "role" else name not in ("body", "html", "article", "main") and said & AWAY_WORDS):
-            return True
-    return False
+    if not attributes.strip() or name in ("body", "html"):
+        return False
+    a = _attributes(attributes)
+    if a.get("hidden", "until-found") != "until-found" or a.get("aria-hidden") == "true" or AWAY_ROLES.intersection(a.get("role", "").split()):
+        return True
+    return name not in ("article", "main") and any(_marked(x) for key in ("class", "id") for x in a.get(key, "").split())
 
 
 def texts(page: str) -> Iterator[tuple[Element, int, bool, str]]:
@@ -155,16 +175,23 @@ def main_text(page: str | None) -> str:
         line = e.line()
         return line[line.index(top) + 1] if top in line and e is not top else top if e is top else None
 
-    # branches of the article that hold links for the most part and no content go
+    # branches that hold links for the most part and no content go, but not headings and lists among the content
     chosen, links, whole = {branch(e) for e in content}, {}, {}
     for e, _, link, t in nodes:
         b = branch(e)
         whole[b] = whole.get(b, 0) + len(t.strip())
         links[b] = links.get(b, 0) + len(t.strip()) * link
+    order = {b: i for i, b in enumerate(whole)}
+    first, last = min(order[b] for b in chosen), max(order[b] for b in chosen)
+    article = any(e.name == "article" for e in top.line())
+
+    def among(b: Element) -> bool:
+        return b.name in LINKED and (article or first < order[b] < last or b.name in HEADINGS and order[b] < last)
+
     blocks: dict[int, list[str]] = {}
     for e, block, _, t in nodes:
         b = branch(e)
-        if b is not None and (b in chosen or 2 * links[b] <= whole[b]):
+        if b is not None and (b in chosen or 2 * links[b] <= whole[b] or among(b)):
             blocks.setdefault(block, []).append(t)
     return "\n\n".join(x for x in (" ".join("".join(parts).split()) for parts in blocks.values()) if x)
 

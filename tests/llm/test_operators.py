@@ -327,6 +327,30 @@ def test_html(page, want):
     assert html.main_text(page) == want
 
 
+PROSE = "Some text of the article, with commas, and a full stop. More of it follows, as it must."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<{tag} {a}><p>{PROSE}</p></{tag}>', PROSE)
+        for tag in ("div", "article", "main")
+        for a in ('style="overflow:hidden"', 'aria-hidden="false"', 'title="The hidden valley"', 'data-id="ad"', "data-class='ad'", 'class="content has-sidebar"', 'class="entry-header"', 'alt="id=comment"')
+    ]
+    + [
+        (f'<p>{PROSE}</p><div {a}><p>Not of the article, never.</p></div><p>{PROSE}</p>', f"{PROSE}\n\n{PROSE}")
+        for a in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', 'class="x comments"', 'class="site-footer"', 'id="sidebar"', "role=navigation")
+    ]
+    + [
+        (f'<p>{PROSE} See <a href="/x?id=comment" data-id="ad">the source</a>.</p>', f"{PROSE} See the source."),
+        (f'<div><h1><a href="/">A linked title</a></h1><p>{PROSE}</p><ul><li><a href="1">one</a></li></ul><p>{PROSE}</p></div>', f"A linked title\n\n{PROSE}\n\none\n\n{PROSE}"),
+        (f'<article><h2><a href="/">Title</a></h2><p>{PROSE}</p><ol><li><a href="1">A reference</a></li></ol></article>', f"Title\n\n{PROSE}\n\nA reference"),
+    ],
+)
+def test_html_attributes_and_links(page, want):
+    assert html.main_text(page) == want
+
+
 def test_html_rows(spark):
     d = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)], "page_id long, url string, html string, text long")
     assert sorted((r.n_chars for r in html.op8(d).collect())) == [0, len(html.main_text(PAGE)), len(html.main_text(PAGE))]
