@@ -8,7 +8,7 @@ Chunks are deduplicated by a 128-bit digest: the first, by document and place, s
 
 Nulls and edges: a null or empty text has no chunks; rows that repeat an id are told apart and the first stays; a row
 without an id is left as it is and takes nothing from others; a text without an end is cut every MOST bytes; an empty
-table gives no rows. Ids are below 2**43 in size.
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,10 +68,10 @@ def _chunks(batches: Iterator) -> Iterator:
     from xxhash import xxh3_128_digest
 
     table = gear()
-    names = ["high", "low", "k", "start", "length", "again"]
+    names = ["high", "low", "k", "n", "start", "length", "again"]
     for b in batches:
         parts, size = [], 0
-        for i, (k, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+        for i, (k, n, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
             text = (x.as_py() or "").encode("utf-8", "surrogatepass")
             if text:
                 ends = cuts(text, table)
@@ -83,7 +83,7 @@ def _chunks(batches: Iterator) -> Iterator:
                     seen.add(d)
                 d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 starts, ends = np.array(starts), np.array(ends)
-                parts.append((d[:, 0], d[:, 1], np.full(len(ends), k, np.int64), starts, ends - starts, np.array(again)))
+                parts.append((d[:, 0], d[:, 1], np.full(len(ends), k, np.int64), np.full(len(ends), n, np.int64), starts, ends - starts, np.array(again)))
                 size += len(ends)
             if parts and (size > 200_000 or i == b.num_rows - 1):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
@@ -92,18 +92,24 @@ def _chunks(batches: Iterator) -> Iterator:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_dup_chunks, n_removed, removed (array<struct<start, length>>, bytes, by start) for every row."""
-    keyed = numbered(docs, id_col, text_col)
-    texts = keyed.filter("k is not null").select("k", "text")
-    chunks = stored(texts.mapInArrow(_chunks, "high long, low long, k long, start long, length long, again boolean"))
+    keyed, repeated = numbered(docs, id_col, text_col)
+    texts = keyed.filter("k is not null").select("k", "n", "text")
+    chunks = stored(texts.mapInArrow(_chunks, "high long, low long, k long, n long, start long, length long, again boolean"))
+    place = F.struct("k", "n") if repeated else F.col("k")
+    spans = F.sort_array(F.collect_list(F.struct("start", "length")))
     # of a document's own copies only the first asks; the others are repeats whatever other documents hold
     once = chunks.filter("not again")
-    shared = once.groupBy("high", "low").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    other = once.join(shared.hint("merge"), ["high", "low"]).filter("k <> first").select("k", "start", "length")
-    gone = other.unionByName(chunks.filter("again").select("k", "start", "length")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("removed"))
-    sizes = chunks.groupBy("k").agg(F.count("*").alias("n_chunks"))
+    shared = once.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    other = once.join(shared.hint("merge"), ["high", "low"]).filter(place != F.col("first")).select("k", "n", "start", "length")
+    gone = other.unionByName(chunks.filter("again").select("k", "n", "start", "length")).groupBy("k", "n").agg(spans.alias("removed"))
+    sizes = chunks.groupBy("k", "n").agg(F.count("*").alias("n_chunks"))
     none, zero = F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)"), F.lit(0).cast("bigint")
-    rows = keyed.select("doc_id", "k", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")).join(sizes, "k", "left").join(gone, "k", "left")
+    rows = keyed.select("doc_id", "k", "n", "copies", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")).join(sizes, ["k", "n"], "left").join(gone, ["k", "n"], "left")
     removed = F.coalesce("removed", none)
+    if repeated:  # of rows that repeat id and text the first is judged, the others are repeats as a whole
+        twice = chunks.join(keyed.filter("copies > 1").select("k", "n"), ["k", "n"], "left_semi").groupBy("k", "n").agg(spans.alias("all"))
+        rows = rows.join(twice, ["k", "n"], "left").select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+        rows = rows.withColumn("removed", F.when(F.col("copy") > 1, F.col("all")).otherwise(F.col("removed")))
     return rows.select("doc_id", "n_bytes", F.coalesce("n_chunks", zero).alias("n_chunks"), F.size(removed).cast("bigint").alias("n_dup_chunks"), F.aggregate(removed, zero, lambda a, x: a + x["length"]).alias("n_removed"), removed.alias("removed"))
 
 

@@ -116,14 +116,18 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bits of a row's number that tell rows of one id apart.
-SHIFT = 20
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc_id, k, n, text, copies), and whether any id repeats. k is the id as a long, null without an id.
 
-
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, k, text): k is the id (below 2**43 in size) with room for a number that tells rows of one id apart; null without an id."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    plain = d.withColumn("k", F.shiftleft(F.col("doc_id").cast("bigint"), SHIFT))
+    Rows of one id are told apart by n, their text's hash (0 where no id repeats); rows that repeat id and text are one
+    row here, counted by copies. No window: rows of one id meet only where they hold the same text, and as partial sums.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("text"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     if d.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        return plain
-    return plain.withColumn("k", F.col("k") + F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1)
+        return d.select("doc_id", "k", zero.alias("n"), "text", one.alias("copies")), False
+    d = d.withColumn("n", F.xxhash64("text"))
+    again = durable(d.filter("k is not null").groupBy("k", "n").count().filter("count > 1").select("k", "n"))
+    alone = d.join(again, ["k", "n"], "left_anti").select("doc_id", "k", "n", "text", one.alias("copies"))
+    together = d.join(again, ["k", "n"], "left_semi").groupBy("doc_id", "k", "n").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return alone.unionByName(together.select("doc_id", "k", "n", "text", "copies")), True

@@ -14,7 +14,7 @@ least identifier for Q bytes is its anchor, so equal strings have equal anchors.
 
 Nulls and edges: a null or empty text has no bytes; a text under LENGTH bytes loses nothing; rows that repeat an id
 are no smaller documents to each other; a row without an id is left as it is and takes nothing from others; an empty
-table gives no rows. Ids are below 2**43 in size. Spans count bytes.
+table gives no rows. Spans count bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHIFT, discard, numbered, stored
+from .common import discard, numbered, stored
 
 LENGTH, Q = 50, 24
 #: Anchors that one block of step 1 sorts at once, about; texts whose anchors are sorted together before that.
@@ -100,7 +100,7 @@ def _blocks(n_blocks: int):
         a = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, np.uint64)
         if not len(a):
             return
-        d = np.concatenate([np.full(len(p), k >> SHIFT) for p, k in parts])
+        d = np.concatenate([np.full(len(p), k, np.int64) for p, k in parts])
         order = np.argsort(a, kind="stable")
         a, d = a[order], d[order]
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
@@ -151,12 +151,12 @@ def _contexts(batches: Iterator) -> Iterator:
 
     for b in batches:
         parts, size = [], 0
-        for i, (k, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+        for i, (k, n, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
             bucket, start, count = anchors(_bytes(x))
-            parts.append((bucket.view(np.int64), np.full(len(start), k, np.int64), start * 64 + count))
+            parts.append((bucket.view(np.int64), np.full(len(start), k, np.int64), np.full(len(start), n, np.int64), start * 64 + count))
             size += len(start)
             if size > 200_000 or i == b.num_rows - 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["bucket", "k", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["bucket", "k", "n", "place"])
                 parts, size = [], 0
 
 
@@ -165,25 +165,25 @@ def _named(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for b in batches:
-        for k, x, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+        for k, n, x, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
             _, full = names(_bytes(x))
             bucket, place = (np.asarray(found.values.field(f)) for f in (0, 1))
             start, count = place >> 6, place & 63
             context = _mix(full[start] * _C + full[start + count - 1] + count.astype(np.uint64) * _MIX)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(context.view(np.int64)), pa.array(np.full(len(start), k, np.int64)), pa.array(place)], ["bucket", "context", "k", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(context.view(np.int64)), pa.array(np.full(len(start), k, np.int64)), pa.array(np.full(len(start), n, np.int64)), pa.array(place)], ["bucket", "context", "k", "n", "place"])
 
 
 def _refined(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for b in batches:
-        for k, x, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+        for k, n, x, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
             _, full = names(_bytes(x))
             bucket, place = (np.asarray(found.values.field(f)) for f in (0, 1))
             start, count = place >> 6, place & 63
             inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(start, count) + inside
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, count)), pa.array(full[at].view(np.int64)), pa.array(np.full(len(at), k, np.int64)), pa.array(at * 64 + 1)], ["bucket", "name", "k", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, count)), pa.array(full[at].view(np.int64)), pa.array(np.full(len(at), k, np.int64)), pa.array(np.full(len(at), n, np.int64)), pa.array(at * 64 + 1)], ["bucket", "name", "k", "n", "place"])
 
 
 def removed_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,37 +218,39 @@ def _results(batches: Iterator) -> Iterator:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array<struct<start, end>>, in bytes) for every row."""
-    keyed = numbered(docs, id_col, text_col)
-    texts = keyed.filter("k is not null").select("k", "text")
-    doc = lambda c: F.shiftright(F.col(c), SHIFT)
+    keyed, repeated = numbered(docs, id_col, text_col)
+    texts = keyed.filter("k is not null").select("k", "n", "text")
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = 1 + 2 * n_bytes // (LENGTH - Q + 2) // BLOCK
 
     def of_texts(rows: DataFrame, step, shape: str) -> DataFrame:
-        """Rows (k, bucket, place) gathered per document, beside its text, through ``step``."""
-        lists = rows.groupBy("k").agg(F.collect_list(F.struct("bucket", "place")).alias("found"))
-        return texts.join(lists, "k").select("k", "text", "found").mapInArrow(step, shape)
+        """Rows (k, n, bucket, place) gathered per document, beside its text, through ``step``."""
+        lists = rows.groupBy("k", "n").agg(F.collect_list(F.struct("bucket", "place")).alias("found"))
+        return texts.join(lists, ["k", "n"]).select("k", "n", "text", "found").mapInArrow(step, shape)
 
-    shared = stored(texts.mapInArrow(_blocks(n_blocks), "block long, heads binary, twice binary").groupBy("block").applyInArrow(_shared, "head long"))
-    every = texts.mapInArrow(_contexts, "bucket long, k long, place long")
+    shared = stored(texts.select("k", "text").mapInArrow(_blocks(n_blocks), "block long, heads binary, twice binary").groupBy("block").applyInArrow(_shared, "head long"))
+    every = texts.mapInArrow(_contexts, "bucket long, k long, n long, place long")
     live = stored(every.join(shared.hint("merge"), F.shiftrightunsigned("bucket", HEAD) == F.col("head"), "left_semi"))
     discard(shared)
-    named = stored(of_texts(live, _named, "bucket long, context long, k long, place long"))
+    named = stored(of_texts(live, _named, "bucket long, context long, k long, n long, place long"))
     discard(live)
 
     contexts = named.groupBy("bucket", "context").agg(F.min("k").alias("first"))
-    several = contexts.groupBy("bucket").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter(doc("low") < doc("high")).select("bucket", F.lit(True).alias("open"))
-    judged = stored(named.join(contexts.join(several, "bucket", "left"), ["bucket", "context"]).select("bucket", "k", "place", (doc("k") > doc("first")).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")).filter("whole or open"))
+    several = contexts.groupBy("bucket").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select("bucket", F.lit(True).alias("open"))
+    judged = stored(named.join(contexts.join(several, "bucket", "left"), ["bucket", "context"]).select("bucket", "k", "n", "place", (F.col("k") > F.col("first")).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")).filter("whole or open"))
     discard(named)
 
-    refined = stored(of_texts(judged.filter("not whole"), _refined, "bucket long, name long, k long, place long"))
-    first = refined.groupBy("bucket", "name").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter(doc("first") < doc("last")).select("bucket", "name", "first")
-    single = stored(refined.join(first, ["bucket", "name"]).filter(doc("k") > doc("first")).select("k", "place"))
+    refined = stored(of_texts(judged.filter("not whole"), _refined, "bucket long, name long, k long, n long, place long"))
+    first = refined.groupBy("bucket", "name").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("bucket", "name", "first")
+    single = stored(refined.join(first, ["bucket", "name"]).filter("k > first").select("k", "n", "place"))
     discard(refined)
 
-    places = judged.filter("whole").select("k", "place").unionByName(single).groupBy("k").agg(F.collect_list("place").alias("places"))
+    places = judged.filter("whole").select("k", "n", "place").unionByName(single).groupBy("k", "n").agg(F.collect_list("place").alias("places"))
     kind = dict(docs.dtypes)[id_col]
-    both = keyed.join(places, "k", "left").select("doc_id", "text", "places")
+    both = keyed.join(places, ["k", "n"], "left")
+    if repeated:  # rows that repeat id and text lose the same bytes
+        both = both.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    both = both.select("doc_id", "text", "places")
     return both.mapInArrow(_results, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>")
 
 

@@ -170,6 +170,26 @@ def test_chunks_resist_insertions():
     assert len(both[0] - both[1]) <= 3
 
 
+def test_rows_of_one_id_and_large_ids(spark):
+    r = random.Random(31)
+    text = [" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(6)]
+    last = (1 << 63) - 1
+    rows = [(last - 1, text[0]), (last, text[0]), (-last, text[1]), (5, text[1]), (5, text[1]), (5, text[2]), (6, text[2]), (7, text[3]), (7, text[3]), (7, None), (None, text[3]), (None, text[3]), ((1 << 44) + 1, text[4]), (6, text[4])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    size = lambda *k: sum(len(text[i]) for i in k)
+    lost = lambda op: sorted(((x.doc_id, x.n_bytes, x.n_removed) for x in op(d).collect()), key=str)
+    plain = [(last - 1, size(0), 0), (last, size(0), size(0)), (-last, size(1), 0), (5, size(1), size(1)), (5, size(1), size(1)), (5, size(2), 0), (6, size(2), size(2)), (7, 0, 0), (None, size(3), 0), (None, size(3), 0), ((1 << 44) + 1, size(4), size(4)), (6, size(4), 0)]
+    assert lost(suffixes.op3) == sorted([*plain, (7, size(3), 0), (7, size(3), 0)], key=str)  # rows of one id are no smaller documents
+    assert lost(chunks.op5) == sorted([*plain, (7, size(3), 0), (7, size(3), size(3))], key=str)
+
+
+def test_many_rows_of_one_id(spark):
+    n = (1 << 20) + 3
+    d = spark.range(n).selectExpr("1L as doc_id", "concat('row ', id) as text").unionByName(spark.createDataFrame([(2, "a text of another document")], "doc_id long, text string"))
+    got = chunks.op5(d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_chunks").alias("chunks")).collect()
+    assert {tuple(x) for x in got} == {(1, n, n), (2, 1, 1)}
+
+
 def test_chunks_find_passages_of_fifty_words():
     r, table = random.Random(21), chunks.gear()
     some = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(n)).encode()
