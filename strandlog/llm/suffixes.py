@@ -106,7 +106,10 @@ def _blocks(n_blocks: int):
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         twice = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
         a = a[first]
-        block = (a >> np.uint64(16)) * np.uint64(n_blocks) >> np.uint64(32)
+        # least hashes crowd at the low end; mixed once more they spread evenly
+        block = (_mix(a) >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)
+        order = np.argsort(block, kind="stable")
+        a, twice, block = a[order], twice[order], block[order]
         cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         six = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         for i, j in zip(cuts, [*cuts[1:], len(a)], strict=True):

@@ -170,6 +170,18 @@ def test_chunks_resist_insertions():
     assert len(both[0] - both[1]) <= 3
 
 
+def test_blocks_are_even():
+    import pyarrow as pa
+
+    r, sizes = random.Random(41), {}
+    texts = pa.array(["".join(r.choice("abcdefgh ") for _ in range(4000)) for _ in range(60)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), texts], ["k", "text"])
+    for out in suffixes._blocks(16)(iter([batch])):
+        for x in out.to_pylist():
+            sizes[x["block"]] = sizes.get(x["block"], 0) + len(x["heads"])
+    assert len(sizes) == 16 and max(sizes.values()) < 1.3 * sum(sizes.values()) / 16
+
+
 def test_rows_of_one_id_and_large_ids(spark):
     r = random.Random(31)
     text = [" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(6)]
