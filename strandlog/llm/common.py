@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable
 
@@ -74,35 +73,40 @@ def on_row_key(left: DataFrame, right: DataFrame, how: str = "left") -> DataFram
     return left.join(r, (left["doc_id"].eqNullSafe(r["_r_id"])) & (left["text_hash"] == r["_r_hash"]), how).drop("_r_id", "_r_hash")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
-
-    Only where that is unset, as in tests, a folder of this machine is used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that driver and executors share; one of this machine's only where all is on this machine."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the files of finished steps now: it does so once the driver has dropped the plans that made them."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+#: Spark's setting by which the shuffle files of a query go when the query has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a larger step's rows as a table beside the checkpoints, packed by column, and reads them back."""
+    """Writes a larger step's rows as a table beside the checkpoints, packed by column, and reads them back.
+
+    The shuffles behind it are deleted with the end of the write: nothing later asks for them.
+    """
     spark = df.sparkSession
-    release(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not base.isDefined():
-        durable(spark.range(1))
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = f"{base.get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

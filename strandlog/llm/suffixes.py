@@ -1,20 +1,26 @@
 """Removal of repeated byte strings by bucket-pointer refinement of suffixes.
 
-Suffixes lie in buckets of their first bytes; a bucket's identifier for twice the length comes from the identifiers at
-an offset and at the later offset where the first half ends, and is used again for the next length: 8, 16, 24 and 32
-bytes, then LENGTH. Identifiers are hashes, the same in every task, so that refining needs no exchange; buckets meet
-where rows are grouped by identifier.
+Suffixes lie in buckets of their first Q bytes. A bucket is refined by the pair (bucket of a suffix, bucket of the
+suffix STEP bytes later), which makes buckets of Q + STEP bytes, and these are refined in the same way to LENGTH bytes:
+24, 37, 50. At every depth, buckets that hold suffixes of one document alone are dropped before the next. Identifiers
+of buckets are hashes, the same in every task, so that a bucket meets where rows are grouped by its identifiers.
 
 Not every suffix is sent. Of the LENGTH - Q + 1 suffixes that begin inside a string of LENGTH bytes, the one with the
-least identifier for Q bytes is its anchor, so equal strings have equal anchors. Steps:
+least identifier is its anchor, so equal strings have equal anchors, and successive strings with one anchor form a
+context. Steps:
 
-1. Anchors' buckets that hold suffixes of two documents survive (identifiers only, sorted in numpy, in blocks).
-2. Successive strings with one anchor form a context. A context that a smaller document holds too is removed whole.
-3. Of buckets with several contexts, each context's strings are refined to LENGTH bytes one by one.
+1. Anchors meet by identifier, packed by the million; those in buckets of two documents go on with their places.
+2. Contexts are refined as a whole by the buckets of their first and their last string. One that a smaller document
+   holds too is removed; of the others, those go on whose anchor's bucket holds other contexts too.
+3. These are cut at the anchor into the strings that begin up to STEP bytes before it and those that begin earlier. All
+   strings of a part share Q + STEP bytes: its bucket of the second depth. Parts in buckets of one document are dropped.
+4. The strings of the parts that are left are refined to LENGTH bytes one by one.
+
+Equality in steps 2 and 4, which decide, is of the two identifiers and of a 128-bit digest of the bytes themselves.
 
 Nulls and edges: a null or empty text has no bytes; a text under LENGTH bytes loses nothing; rows that repeat an id
 are no smaller documents to each other; a row without an id is left as it is and takes nothing from others; an empty
-table gives no rows. Spans count bytes.
+table gives no rows; very long texts are read in overlapping blocks of BLOCK_BYTES. Spans count bytes.
 """
 
 from __future__ import annotations
@@ -28,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, numbered, stored
 
-LENGTH, Q = 50, 24
-#: Anchors that one block of step 1 sorts at once, about; texts whose anchors are sorted together before that.
-BLOCK, TEXT_AT_ONCE = 1 << 20, 1 << 23
+LENGTH, Q, STEP = 50, 24, 13  # Q + 2 * STEP = LENGTH
+WIDTH = LENGTH - Q + 1
+#: Anchors that one group of step 1 sorts, about; bytes of text whose anchors are packed together; bytes read at once of a long text.
+GROUP, TEXT_AT_ONCE, BLOCK_BYTES = 1 << 20, 1 << 24, 1 << 22
 _C = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -40,153 +47,256 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def names(text: bytes, whole: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """Identifiers of the suffixes' first Q and, if asked for, LENGTH bytes, for each offset where so many bytes follow."""
-    n = len(text)
-    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)).view("<u8").ravel()
+def _refine(a: np.ndarray, later: int) -> np.ndarray:
+    """Identifiers of buckets from those of the suffixes and of the suffixes ``later`` bytes on."""
+    return _mix(a[:-later] * _C + a[later:])
 
-    def refine(a: np.ndarray, b: np.ndarray, later: int, size: int) -> np.ndarray:
-        m = n - size + 1
-        return _mix(a[:m] * _C + b[later : later + m])
 
+def first_buckets(text: bytes) -> np.ndarray:
+    """Identifier of the first Q bytes of each suffix of so many bytes."""
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)).view("<u8").ravel()
     b8 = _mix(eight + _C)
-    b16 = refine(b8, b8, 8, 16)
-    b24 = refine(b16, b8, 16, Q)
-    if not whole:
-        return b24, None
-    b32 = refine(b16, b16, 16, 32)
-    return b24, refine(b32, b32, LENGTH - 32, LENGTH)
+    b16 = _refine(b8, 8)
+    return _mix(b16[: len(text) - Q + 1] * _C + b8[16 : 16 + len(text) - Q + 1])
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, start, count) of each context: its anchor's identifier and the strings in it."""
-    if len(text) < LENGTH:
-        none = np.zeros(0, np.uint64)
-        return none, none.astype(np.int64), none.astype(np.int64)
-    short, _ = names(text, False)
-    least, s, width = short, 1, LENGTH - Q + 1
+def _least(a: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` successive values."""
+    s = 1
     while 2 * s <= width:
-        least = np.minimum(least[:-s], least[s:])
+        a = np.minimum(a[:-s], a[s:])
         s *= 2
-    if width > s:
-        least = np.minimum(least[: s - width], least[width - s :])
-    start = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    # a run of equal anchors may be longer than a window where a text repeats itself; contexts stay short
-    count = np.diff(np.concatenate([start, [len(least)]]))
-    if (count > width).any():
-        start = np.concatenate([np.arange(a, a + c, width) for a, c in zip(start, count, strict=True)])
+    return np.minimum(a[: s - width], a[width - s :]) if width > s else a
+
+
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, start, count) of each context: its anchor's identifier and the strings in it."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    parts = [none]
+    for at in range(0, len(text) - LENGTH + 1, BLOCK_BYTES):
+        least = _least(first_buckets(text[at : at + BLOCK_BYTES + LENGTH - 1]), WIDTH)
+        start = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        # a run of equal anchors may be longer than a window where a text repeats itself; contexts stay short
         count = np.diff(np.concatenate([start, [len(least)]]))
-    return least[start], start.astype(np.int64), count
+        if (count > WIDTH).any():
+            pieces = -(-count // WIDTH)
+            first = np.cumsum(pieces) - pieces
+            start = np.repeat(start, pieces) + WIDTH * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+            count = np.diff(np.concatenate([start, [len(least)]]))
+        parts.append((least[start], at + start.astype(np.int64), count))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def _bytes(x) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-#: Step 1 compares identifiers by their first 48 bits; what agrees by chance goes on to step 2 and falls there.
-HEAD = 16
+# Step 1 compares identifiers by their first 48 bits; what agrees by chance goes on to step 2 and falls there.
+_PACKED = "part long, kind long, heads binary, twice binary, k binary, n binary, start binary, count binary"
+_FOUND = "k long, n long, head long, place long"
 
 
-def _heads(raw: bytes) -> np.ndarray:
-    """Identifiers' first 48 bits from six bytes each."""
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return np.concatenate([six, np.zeros((len(six), 2), np.uint8)], axis=1).view("<u8").ravel()
+def _planes(a: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of whole numbers, byte by byte, so that equal high bytes lie together and pack well."""
+    return a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
-def _blocks(n_blocks: int):
-    """Batches of (k, text) to rows (block, heads, twice): a block's identifiers, each once, and whether two documents had it."""
+def _numbers(x, size: int) -> np.ndarray:
+    out = np.zeros((len(x.as_py()) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(x.as_py(), np.uint8).reshape(size, -1).T
+    return out.view("<i8").ravel()
 
-    def flush(parts: list, out: list) -> None:
-        a = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, np.uint64)
-        if not len(a):
-            return
-        d = np.concatenate([np.full(len(p), k, np.int64) for p, k in parts])
+
+def _packed(n_parts: int):
+    """Batches of (k, n, text) to packed anchors by part.
+
+    Of a bucket that two documents of a pack share, one anchor goes to its part, marked; the places of all of them are
+    sent beside it (kind 1), so that a bucket's share of a part does not grow with the documents that hold it.
+    """
+
+    def flush(texts: list, serial: int) -> list:
+        if not texts:
+            return []
+        a, start, count = (np.concatenate([t[i] for t in texts]) for i in range(3))
+        k, n = (np.repeat(np.array([t[i] for t in texts], np.int64), [len(t[0]) for t in texts]) for i in (3, 4))
+        a = (a >> np.uint64(16)).view(np.int64)
         order = np.argsort(a, kind="stable")
-        a, d = a[order], d[order]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        twice = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-        a = a[first]
+        s, d = a[order], k[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([first, [len(s)]]))
+        both = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(s) else np.zeros(0, bool)
+        lone, marked = order[np.repeat(~both, size)], order[first[both]]
+        out = []
+
+        def add(rows: np.ndarray, kind: int, twice: np.ndarray, part: np.ndarray) -> None:
+            by = np.lexsort((rows, part))
+            rows, twice, part = rows[by], twice[by], part[by]
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(rows) else []
+            for i, j in zip(cuts, [*cuts[1:], len(rows)], strict=False):
+                r = rows[i:j]
+                out.append((int(part[i]), kind, _planes(a[r], 6), np.packbits(twice[i:j]).tobytes(), _planes(k[r], 8), _planes(n[r], 8) if n[r].any() else b"", _planes(start[r], 4), _planes(count[r], 1)))
+
+        rows = np.concatenate([lone, marked])
+        twice = np.concatenate([np.zeros(len(lone), bool), np.ones(len(marked), bool)])
         # least hashes crowd at the low end; mixed once more they spread evenly
-        block = (_mix(a) >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)
-        order = np.argsort(block, kind="stable")
-        a, twice, block = a[order], twice[order], block[order]
-        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        six = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        for i, j in zip(cuts, [*cuts[1:], len(a)], strict=True):
-            out.append((int(block[i]), six[i:j].tobytes(), np.packbits(twice[i:j]).tobytes()))
+        add(rows, 0, twice, ((_mix(a[rows].view(np.uint64)) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64))
+        sure = np.sort(order[np.repeat(both, size)])
+        add(sure, 1, np.zeros(len(sure), bool), np.full(len(sure), serial % n_parts, np.int64))
+        return out
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = [pa.int64()] * 2 + [pa.binary()] * 6
+        names = [x.split()[0] for x in _PACKED.split(", ")]
+
+        def of(rows: list):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        texts, size, serial = [], 0, 0
         for b in batches:
-            parts, size, out = [], 0, []
-            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 text = _bytes(x)
-                parts.append((np.unique(anchors(text)[0] >> np.uint64(HEAD)), k))
-                size += len(text)
+                if len(text) >= LENGTH:
+                    texts.append((*anchors(text), k, n))
+                    size += len(text)
                 if size > TEXT_AT_ONCE:
-                    flush(parts, out)
-                    parts, size = [], 0
-            flush(parts, out)
-            for i in range(0, len(out), 1024):
-                rows = out[i : i + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "heads", "twice"])
+                    serial = (serial * 31 + k + len(texts)) % (1 << 40)
+                    if rows := flush(texts, serial):
+                        yield of(rows)
+                    texts, size = [], 0
+        if texts and (rows := flush(texts, (serial * 31 + texts[0][3]) % (1 << 40))):
+            yield of(rows)
 
     return run
 
 
-def _shared(table):
-    """One block: the identifiers that two documents hold, each in another row of the block or marked in one."""
+def _meet(table):
+    """One part: the places whose anchor's bucket holds two documents."""
     import pyarrow as pa
 
-    parts = [_heads(x.as_py()) for x in table.column("heads")]
-    a = np.concatenate(parts)
-    t = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(p)] for x, p in zip(table.column("twice"), parts, strict=True)])
-    order = np.argsort(a, kind="stable")
-    a, t = a[order], t[order]
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    n = np.diff(np.concatenate([first, [len(a)]])) + np.maximum.reduceat(t, first)
-    return pa.table({"head": pa.array(a[first][n > 1].view(np.int64))})
+    out = []
+    cols = {c: table.column(c) for c in table.schema.names}
+    heads = [_numbers(x, 6) for x in cols["heads"]]
+    ks = [_numbers(x, 8) for x in cols["k"]]
+    ns = [_numbers(x, 8) if len(x.as_py()) else np.zeros(len(h), np.int64) for x, h in zip(cols["n"], heads, strict=True)]
+    places = [_numbers(s, 4) * 64 + _numbers(c, 1) for s, c in zip(cols["start"], cols["count"], strict=True)]
+    kind = cols["kind"].to_pylist()
 
+    def add(k, n, head, place) -> None:
+        out.append(pa.table({"k": pa.array(k), "n": pa.array(n), "head": pa.array(head), "place": pa.array(place)}))
 
-def _contexts(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+    for i in np.flatnonzero(kind):
+        add(ks[i], ns[i], heads[i], places[i])
+    asked = np.flatnonzero(np.array(kind) == 0)
+    if len(asked):
+        h, k, n, place = (np.concatenate([c[i] for i in asked]) for c in (heads, ks, ns, places))
+        twice = np.concatenate([np.unpackbits(np.frombuffer(cols["twice"][int(i)].as_py(), np.uint8))[: len(heads[i])] for i in asked])
+        order = np.argsort(h, kind="stable")
+        s, d, t = h[order], k[order], twice[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        live = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.maximum.reduceat(t, first).astype(bool)
+        # what is marked has its places sent as kind 1 already
+        rows = order[np.repeat(live, np.diff(np.concatenate([first, [len(s)]]))) & (t == 0)]
+        add(k[rows], n[rows], h[rows], place[rows])
+    return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("k", "n", "head", "place")})
 
-    for b in batches:
-        parts, size = [], 0
-        for i, (k, n, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
-            bucket, start, count = anchors(_bytes(x))
-            parts.append((bucket.view(np.int64), np.full(len(start), k, np.int64), np.full(len(start), n, np.int64), start * 64 + count))
-            size += len(start)
-            if size > 200_000 or i == b.num_rows - 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["bucket", "k", "n", "place"])
-                parts, size = [], 0
-
-
-def _named(batches: Iterator) -> Iterator:
-    """A context's identifier comes from its first and last string, which between them hold all of its bytes."""
-    import pyarrow as pa
 
-    for b in batches:
-        for k, n, x, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-            _, full = names(_bytes(x))
-            bucket, place = (np.asarray(found.values.field(f)) for f in (0, 1))
-            start, count = place >> 6, place & 63
-            context = _mix(full[start] * _C + full[start + count - 1] + count.astype(np.uint64) * _MIX)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(context.view(np.int64)), pa.array(np.full(len(start), k, np.int64)), pa.array(np.full(len(start), n, np.int64)), pa.array(place)], ["bucket", "context", "k", "n", "place"])
+def _in_blocks(text: bytes, start: np.ndarray) -> Iterator[tuple[int, bytes, slice]]:
+    """(offset, bytes, which of the sorted ``start``) of each block of a text that holds starts."""
+    block = start // BLOCK_BYTES
+    for i in np.unique(block):
+        low, high = np.searchsorted(block, i), np.searchsorted(block, i, "right")
+        at = int(i) * BLOCK_BYTES
+        yield at, text[at : at + BLOCK_BYTES + LENGTH - 1], slice(int(low), int(high))
+
+
+def _digests(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digests of stretches, as two columns of longs."""
+    from xxhash import xxh3_128_digest
+
+    return np.frombuffer(b"".join([xxh3_128_digest(text[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+
+
+def _over_documents(step):
+    """Batches of (k, n, text, found: list of (head, place)) through ``step``, which yields a text's rows as columns."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def of(tables: list):
+            return pa.concat_tables(tables).combine_chunks().to_batches()
+
+        for b in batches:
+            tables, size = [], 0
+            for k, n, x, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                head, place = (np.asarray(found.values.field(i)) for i in (0, 1))
+                order = np.argsort(place, kind="stable")
+                for rows in step(_bytes(x), head[order], place[order]):
+                    m = len(rows["place"])
+                    size += m
+                    tables.append(pa.table({"k": np.full(m, k, np.int64), "n": np.full(m, n, np.int64), **rows}))
+                if size > 100_000:
+                    yield from of(tables)
+                    tables, size = [], 0
+            if tables:
+                yield from of(tables)
+
+    return run
 
 
-def _refined(batches: Iterator) -> Iterator:
+def _contexts(text: bytes, head: np.ndarray, place: np.ndarray) -> Iterator[dict]:
+    """Contexts with the buckets of the third depth of their first and last strings."""
+    for at, block, part in _in_blocks(text, place >> 6):
+        start, count = (place[part] >> 6) - at, place[part] & 63
+        last = start + count - 1
+        full = _refine(_refine(first_buckets(block), STEP), STEP)
+        digest = _digests(block, start, last + LENGTH)
+        yield {"head": head[part], "here": full[start].view(np.int64), "later": full[last].view(np.int64), "d1": digest[:, 0], "d2": digest[:, 1], "place": place[part]}
+
+
+def _parts(text: bytes, head: np.ndarray, place: np.ndarray) -> Iterator[dict]:
+    """The parts of contexts on either side of the anchor, in their bucket of the second depth, with their bytes."""
+    for at, block, which in _in_blocks(text, place >> 6):
+        start = (place[which] >> 6) - at
+        end = start + (place[which] & 63)
+        first = first_buckets(block)
+        low = _least(first, WIDTH)
+        while len(start):
+            # a string's anchor is the first suffix inside it with the least identifier; where that comes again, later strings have another
+            anchor = start + np.argmax(first[start[:, None] + np.arange(WIDTH)] == low[start][:, None], axis=1)
+            upto = np.minimum(end, anchor + 1)
+            split = np.maximum(start, np.minimum(upto, anchor - STEP))  # strings before it begin over STEP bytes ahead of the anchor
+            for a, e, bucket in ((start, split, anchor - STEP), (split, upto, anchor)):
+                some = a < e
+                a, e, bucket = a[some], e[some], bucket[some]
+                if len(a):
+                    yield {
+                        "here": first[bucket].view(np.int64), "later": first[bucket + STEP].view(np.int64), "place": (a + at) * 64 + e - a,
+                        "bytes": [block[i:j] for i, j in zip(a.tolist(), (e - 1 + LENGTH).tolist(), strict=True)],
+                    }
+            rest = upto < end
+            start, end = upto[rest], end[rest]
+
+
+def _strings(batches: Iterator) -> Iterator:
+    """The strings of parts (k, n, place, bytes), in buckets of the third depth: those of the second, here and STEP bytes on."""
     import pyarrow as pa
 
     for b in batches:
-        for k, n, x, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-            _, full = names(_bytes(x))
-            bucket, place = (np.asarray(found.values.field(f)) for f in (0, 1))
-            start, count = place >> 6, place & 63
-            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(start, count) + inside
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, count)), pa.array(full[at].view(np.int64)), pa.array(np.full(len(at), k, np.int64)), pa.array(np.full(len(at), n, np.int64)), pa.array(at * 64 + 1)], ["bucket", "name", "k", "n", "place"])
+        pieces = [x.as_py() for x in b.column(3)]
+        if not pieces:
+            continue
+        place = np.asarray(b.column(2))
+        start, count = place >> 6, place & 63
+        whole = b"".join(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(np.cumsum(size) - size, count) + inside
+        second = _refine(first_buckets(whole), STEP)
+        digest = _digests(whole, at, at + LENGTH)
+        cols = {"k": np.repeat(np.asarray(b.column(0)), count), "n": np.repeat(np.asarray(b.column(1)), count), "here": second[at].view(np.int64), "later": second[at + STEP].view(np.int64), "d1": digest[:, 0], "d2": digest[:, 1], "place": (np.repeat(start, count) + inside) * 64 + 1}
+        yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()})
 
 
 def removed_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,22 +311,21 @@ def removed_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _results(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for b in batches:
         rows = []
         for x, found in zip(b.column(1), b.column(2), strict=True):
             text = _bytes(x)
             places = np.asarray(found.values) if found.is_valid else np.zeros(0, np.int64)
             starts, ends = removed_runs(places) if len(places) else (places, places)
-            kept, at = [], 0
+            kept, at = hashlib.sha256(), 0
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                kept.append(text[at:s])
+                kept.update(text[at:s])
                 at = e
-            kept.append(text[at:])
-            rows.append((len(text), int((ends - starts).sum()), len(starts), b"".join(kept), [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]))
+            kept.update(text[at:])
+            rows.append((len(text), int((ends - starts).sum()), len(starts), kept.hexdigest(), [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        digest = [hashlib.sha256(x).hexdigest() for x in cols[3]]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(digest, pa.string()), pa.array(cols[4], span)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], span)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,29 +333,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed, repeated = numbered(docs, id_col, text_col)
     texts = keyed.filter("k is not null").select("k", "n", "text")
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = 1 + 2 * n_bytes // (LENGTH - Q + 2) // BLOCK
+    n_parts = 1 + 2 * n_bytes // (WIDTH + 1) // GROUP
+    same = ["here", "later", "d1", "d2"]
 
     def of_texts(rows: DataFrame, step, shape: str) -> DataFrame:
-        """Rows (k, n, bucket, place) gathered per document, beside its text, through ``step``."""
-        lists = rows.groupBy("k", "n").agg(F.collect_list(F.struct("bucket", "place")).alias("found"))
-        return texts.join(lists, ["k", "n"]).select("k", "n", "text", "found").mapInArrow(step, shape)
-
-    shared = stored(texts.select("k", "text").mapInArrow(_blocks(n_blocks), "block long, heads binary, twice binary").groupBy("block").applyInArrow(_shared, "head long"))
-    every = texts.mapInArrow(_contexts, "bucket long, k long, n long, place long")
-    live = stored(every.join(shared.hint("merge"), F.shiftrightunsigned("bucket", HEAD) == F.col("head"), "left_semi"))
-    discard(shared)
-    named = stored(of_texts(live, _named, "bucket long, context long, k long, n long, place long"))
-    discard(live)
+        """Rows (k, n, head, place) gathered per document, beside its text, through ``step``."""
+        lists = rows.groupBy("k", "n").agg(F.collect_list(F.struct("head", "place")).alias("found"))
+        return texts.join(lists, ["k", "n"]).select("k", "n", "text", "found").mapInArrow(_over_documents(step), f"k long, n long, {shape}")
 
-    contexts = named.groupBy("bucket", "context").agg(F.min("k").alias("first"))
-    several = contexts.groupBy("bucket").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select("bucket", F.lit(True).alias("open"))
-    judged = stored(named.join(contexts.join(several, "bucket", "left"), ["bucket", "context"]).select("bucket", "k", "n", "place", (F.col("k") > F.col("first")).alias("whole"), F.coalesce("open", F.lit(False)).alias("open")).filter("whole or open"))
-    discard(named)
+    live = stored(texts.mapInArrow(_packed(n_parts), _PACKED).groupBy("part").applyInArrow(_meet, _FOUND))
+    named = stored(of_texts(live, _contexts, "head long, here long, later long, d1 long, d2 long, place long"))
+    discard(live)
 
-    refined = stored(of_texts(judged.filter("not whole"), _refined, "bucket long, name long, k long, n long, place long"))
-    first = refined.groupBy("bucket", "name").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("bucket", "name", "first")
-    single = stored(refined.join(first, ["bucket", "name"]).filter("k > first").select("k", "n", "place"))
-    discard(refined)
+    contexts = stored(named.groupBy("head", *same).agg(F.min("k").alias("first"), F.max("k").alias("last")))
+    several = contexts.groupBy("head").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count("*").alias("n_contexts")).filter("low < high and n_contexts > 1").select("head", F.lit(True).alias("open"))
+    asked = stored(contexts.join(several, "head", "left").filter("first < last or open").select(*same, "first", F.coalesce("open", F.lit(False)).alias("open")))
+    discard(contexts)
+    judged = stored(named.join(asked, same).select("k", "n", "head", "place", (F.col("k") > F.col("first")).alias("whole"), "open").filter("whole or open"))
+    discard(named, asked)
+
+    parts = stored(of_texts(judged.filter("not whole"), _parts, "here long, later long, place long, bytes binary"))
+    shared = parts.groupBy("here", "later").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("here", "later")
+    strings = stored(parts.join(shared, ["here", "later"], "left_semi").select("k", "n", "place", "bytes").mapInArrow(_strings, "k long, n long, here long, later long, d1 long, d2 long, place long"))
+    discard(parts)
+    first = strings.groupBy(*same).agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").drop("last")
+    single = stored(strings.join(first, same).filter("k > first").select("k", "n", "place"))
+    discard(strings)
 
     places = judged.filter("whole").select("k", "n", "place").unionByName(single).groupBy("k", "n").agg(F.collect_list("place").alias("places"))
     kind = dict(docs.dtypes)[id_col]

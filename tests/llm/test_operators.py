@@ -170,18 +170,58 @@ def test_chunks_resist_insertions():
     assert len(both[0] - both[1]) <= 3
 
 
-def test_blocks_are_even():
+def test_parts_are_even():
     import pyarrow as pa
 
     r, sizes = random.Random(41), {}
     texts = pa.array(["".join(r.choice("abcdefgh ") for _ in range(4000)) for _ in range(60)])
-    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), texts], ["k", "text"])
-    for out in suffixes._blocks(16)(iter([batch])):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([0] * 60, pa.int64()), texts], ["k", "n", "text"])
+    for out in suffixes._packed(16)(iter([batch])):
         for x in out.to_pylist():
-            sizes[x["block"]] = sizes.get(x["block"], 0) + len(x["heads"])
+            sizes[x["part"]] = sizes.get(x["part"], 0) + len(x["heads"])
     assert len(sizes) == 16 and max(sizes.values()) < 1.3 * sum(sizes.values()) / 16
 
 
+def test_a_hot_bucket_sends_few_anchors():
+    import pyarrow as pa
+
+    same = "".join(random.Random(7).choice("abcdefgh ") for _ in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array([0] * 500, pa.int64()), pa.array([same] * 500)], ["k", "n", "text"])
+    found = [x for out in suffixes._packed(4)(iter([batch])) for x in out.to_pylist()]
+    assert sum(len(x["heads"]) for x in found if x["kind"] == 0) * 400 < sum(len(x["heads"]) for x in found if x["kind"] == 1)
+
+
+def test_suffixes_in_blocks_and_with_ties(spark, monkeypatch):
+    """Long texts in overlapping blocks; texts that repeat themselves at many periods, where anchors tie."""
+    r = random.Random(13)
+    prose = "".join(r.choice("abcdef ") for _ in range(3000))
+    rows = []
+    for i in range(90):
+        unit = "".join(r.choice("ab") for _ in range(r.choice([1, 2, 3, 7, 23, 24, 25, 36, 49, 50, 51])))
+        a = r.randrange(2500)
+        rows.append((i, unit * r.randrange(1, 9) + prose[a : a + r.randrange(400)] + unit * (90 // len(unit)) + r.choice(["x", ""]) + prose[a + 13 : a + r.randrange(40, 200)]))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: tuple(x)[1:] for x in suffixes.op3(d).collect()} == brute_repeats(rows)
+    whole = [[c.tolist() for c in suffixes.anchors(t.encode())] for _, t in rows]
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 64)
+    for (_, t), (bucket, start, count) in zip(rows, whole, strict=True):
+        cut = [c.tolist() for c in suffixes.anchors(t.encode())]
+        each = lambda b, s, c: [(x, p + i) for x, p, m in zip(b, s, c, strict=True) for i in range(m)]
+        assert each(*cut) == each(bucket, start, count)
+    for t in ("ab" * 400, prose):
+        found = suffixes.anchors(t.encode())
+        assert sum(len(x["place"]) for x in suffixes._contexts(t.encode(), found[0].view(np.int64), found[1] * 64 + found[2])) == len(found[0])
+        assert sorted(p >> 6 for x in suffixes._parts(t.encode(), found[0].view(np.int64), found[1] * 64 + found[2]) for q in x["place"].tolist() for p in range(q & ~63, (q & ~63) + 64 * (q & 63), 64)) == list(range(len(t) - 49))
+
+
+def test_suffixes_of_a_very_long_text(spark):
+    r = random.Random(17)
+    long = "".join(r.choice("abcdefghijklmnop ") for _ in range(9_000_000))
+    d = spark.createDataFrame([(1, long[4_194_000:4_195_000]), (2, long), (3, long[100:8_999_000] + "!")], "doc_id long, text string")
+    got = {x.doc_id: (x.n_removed, x.n_spans, [(s.start, s.end) for s in x.removed]) for x in suffixes.remove_repeats(d).collect()}
+    assert got == {1: (0, 0, []), 2: (1000, 1, [(4_194_000, 4_195_000)]), 3: (8_998_900, 1, [(0, 8_998_900)])}
+
+
 def test_rows_of_one_id_and_large_ids(spark):
     r = random.Random(31)
     text = [" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(6)]
