@@ -423,6 +423,98 @@ def test_html_attributes_and_links(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><p>{PROSE}</p><figure><img src=x><figcaption>A caption</figcaption></figure><p>{PROSE}</p></article>", f"{PROSE}\n\nA caption\n\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", f"{PROSE}\n\nHere x=2 holds."),
+        (f'<article><h2 class="section-header">Inner</h2><p>{PROSE}</p><h3 class="widget-title">More</h3><p>{PROSE}</p></article>', f"Inner\n\n{PROSE}\n\nMore\n\n{PROSE}"),
+        (f"<article><header><h1>Title</h1></header><p>{PROSE}</p><footer>by someone</footer></article>", f"Title\n\n{PROSE}"),
+        (f'<form action="/"><div><p>{PROSE}</p><p>{PROSE}</p></div></form>', f"{PROSE}\n\n{PROSE}"),
+        (f'<article><p>{PROSE} <a href="x>link', f"{PROSE} link"),
+        (f"<p>{PROSE}<ul><li><p>one of them<li><p>the other one</ul><p>{PROSE}", f"{PROSE}\n\none of them\n\nthe other one\n\n{PROSE}"),
+        (f"<main><p>{PROSE}</p></main><script>if (a < b) '</p>'", PROSE),
+    ],
+)
+def test_html_keeps_what_belongs_to_the_article(page, want):
+    assert html.main_text(page) == want
+
+
+def made_pages(n: int, seed: int) -> list[tuple[str, str]]:
+    """(page, article) in layouts without a class, id, role or element that tells boilerplate from content."""
+    r, out = random.Random(seed), []
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
+    line = lambda a, b: " ".join(word() for _ in range(r.randrange(a, b)))
+    prose = lambda: " ".join(f"{line(3, 6)}, {line(3, 9)}." for _ in range(r.randrange(1, 7)))
+    for _ in range(n):
+        blocks = [line(3, 8), *(prose() for _ in range(r.randrange(4, 12)))]
+        tag = r.choice(["p", "div"])
+        body = f"<h1>{blocks[0]}</h1>" + "".join(f"<{tag}>{x}</{tag}>" for x in blocks[1:])
+        links = "<ul>" + "".join(f'<li><a href="/{i}">{line(1, 3)}</a></li>' for i in range(r.randrange(3, 9))) + "</ul>"
+        small = lambda: "".join(f"<div><span>{line(2, 5)}</span></div>" for _ in range(r.randrange(1, 4)))
+        page = f"<html><body><div>{links}</div>{small()}<div><div>{body}</div></div>{small()}<table><tr><td>{line(2, 4)}</td></tr></table></body></html>"
+        out.append((page, "\n\n".join(blocks)))
+    return out
+
+
+def test_html_ratios_choose_the_content(monkeypatch):
+    """Without any marks the ratios find the article; constant ratios, or no threshold, find none."""
+    pages = made_pages(120, 23)
+    right = lambda: sum(html.main_text(p) == want for p, want in pages) / len(pages)
+    assert right() > 0.9
+    with monkeypatch.context() as m:
+        m.setattr(html, "ratios", lambda paths, containers, lengths, marks: [100.0 if k else 0.0 for k in lengths])
+        assert right() < 0.1
+    with monkeypatch.context() as m:
+        m.setattr(html, "SPREAD", 0.0)
+        assert right() < 0.3
+
+
+def test_html_without_the_list_of_words(spark, sf, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    with_list = [html.main_text(p) for p in pages]
+    monkeypatch.setattr(html, "MARKED", 1.0)
+    monkeypatch.setattr(html, "ARTICLE", 1.0)
+    same = sum(html.main_text(p) == x for p, x in zip(pages, with_list, strict=True))
+    assert same > 0.85 * len(pages)
+
+
+def plain_ratios(paths, containers, lengths, marks):
+    """The ratios, path by path and text by text, as the docstring tells them."""
+    plain, extended = [], []
+    for p in paths:
+        own = [i for i, q in enumerate(paths) if q == p]
+        size, n = sum(lengths[i] for i in own), len(own)
+        plain.append(size / n)
+        extended.append(size / n * (1 + sum(marks[i] for i in own)) / n * (1 + float(np.std([lengths[i] for i in own]))))
+    out = []
+    for i, c in enumerate(containers):
+        w = [np.exp(-((i - j) ** 2) / 2) if d == c and abs(i - j) <= 3 else 0.0 for j, d in enumerate(containers)]
+        out.append(float(np.sqrt(np.dot(w, plain) * np.dot(w, extended)) / sum(w)) if lengths[i] else 0.0)
+    return out
+
+
+def test_html_ratios_against_a_plain_version():
+    r = random.Random(3)
+    for _ in range(50):
+        n = r.randrange(1, 30)
+        args = [r.randrange(4) for _ in range(n)], [r.randrange(3) for _ in range(n)], [r.choice([0, 1, 40, 300]) for _ in range(n)], [r.randrange(9) for _ in range(n)]
+        assert html.ratios(*args) == pytest.approx(plain_ratios(*args))
+
+
+@pytest.mark.parametrize("unit", ["<div>a ", "<b>x</i>", "<p><b>t", '<a href="x>l', "<li>q", "</p><i>", "<script>", "<ul><li><p>"])
+def test_html_takes_time_in_proportion(unit):
+    import time
+
+    def took(n: int) -> float:
+        began = time.process_time()
+        html.main_text(unit * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(32_000) < 16 * max(took(4_000), 0.02)
+
+
 def test_html_rows(spark):
     d = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)], "page_id long, url string, html string, text long")
     assert sorted((r.n_chars for r in html.op8(d).collect())) == [0, len(html.main_text(PAGE)), len(html.main_text(PAGE))]
