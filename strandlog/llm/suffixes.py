@@ -3,24 +3,24 @@
 Suffixes lie in buckets of their first Q bytes. A bucket is refined by the pair (bucket of a suffix, bucket of the
 suffix STEP bytes later), which makes buckets of Q + STEP bytes, and these are refined in the same way to LENGTH bytes:
 24, 37, 50. At every depth, buckets that hold suffixes of one document alone are dropped before the next. Identifiers
-of buckets are hashes, the same in every task, so that a bucket meets where rows are grouped by its identifiers.
+of buckets are hashes, the same in every task, so that a bucket meets where rows are grouped by its identifier.
 
 Not every suffix is sent. Of the LENGTH - Q + 1 suffixes that begin inside a string of LENGTH bytes, the one with the
 least identifier is its anchor, so equal strings have equal anchors, and successive strings with one anchor form a
 context. Steps:
 
 1. Anchors meet by identifier, packed by the million; those in buckets of two documents go on with their places.
-2. Contexts are refined as a whole by the buckets of their first and their last string. One that a smaller document
-   holds too is removed; of the others, those go on whose anchor's bucket holds other contexts too.
+2. Contexts are refined as a whole, by the buckets of LENGTH bytes of their first and last strings. One that a smaller
+   document holds too is removed; of the others, those go on whose anchor's bucket holds other contexts too.
 3. These are cut at the anchor into the strings that begin up to STEP bytes before it and those that begin earlier. All
-   strings of a part share Q + STEP bytes: its bucket of the second depth. Parts in buckets of one document are dropped.
-4. The strings of the parts that are left are refined to LENGTH bytes one by one.
+   strings of a part share Q + STEP bytes, its bucket of the second depth, in which it is judged like a context.
+4. The strings of the parts that go on are refined to LENGTH bytes one by one.
 
-Equality in steps 2 and 4, which decide, is of the two identifiers and of a 128-bit digest of the bytes themselves.
+What decides in steps 2 to 4 is 128 bits: the refined identifier, and beside it XXH3 of the bytes themselves.
 
 Nulls and edges: a null or empty text has no bytes; a text under LENGTH bytes loses nothing; rows that repeat an id
 are no smaller documents to each other; a row without an id is left as it is and takes nothing from others; an empty
-table gives no rows; very long texts are read in overlapping blocks of BLOCK_BYTES. Spans count bytes.
+table gives no rows; texts are read in overlapping blocks of BLOCK_BYTES, however long. Spans count bytes.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from .common import discard, numbered, stored
 
 LENGTH, Q, STEP = 50, 24, 13  # Q + 2 * STEP = LENGTH
 WIDTH = LENGTH - Q + 1
-#: Anchors that one group of step 1 sorts, about; bytes of text whose anchors are packed together; bytes read at once of a long text.
-GROUP, TEXT_AT_ONCE, BLOCK_BYTES = 1 << 20, 1 << 24, 1 << 22
+#: Anchors that one group of step 1 sorts, about; bytes of text whose anchors are packed together; bytes that are hashed at once; places that are refined at once.
+GROUP, TEXT_AT_ONCE, BLOCK_BYTES, AT_ONCE = 1 << 20, 1 << 24, 1 << 22, 1 << 16
 _C = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -47,17 +47,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _refine(a: np.ndarray, later: int) -> np.ndarray:
-    """Identifiers of buckets from those of the suffixes and of the suffixes ``later`` bytes on."""
-    return _mix(a[:-later] * _C + a[later:])
+def _pair(here: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Identifiers of refined buckets from those of suffixes and of later ones."""
+    return _mix(here * _C + later)
 
 
-def first_buckets(text: bytes) -> np.ndarray:
+def _eight(data: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(data, 8)
+
+
+def first_buckets(data: np.ndarray) -> np.ndarray:
     """Identifier of the first Q bytes of each suffix of so many bytes."""
-    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)).view("<u8").ravel()
-    b8 = _mix(eight + _C)
-    b16 = _refine(b8, 8)
-    return _mix(b16[: len(text) - Q + 1] * _C + b8[16 : 16 + len(text) - Q + 1])
+    n = len(data) - Q + 1
+    b8 = _mix(np.ascontiguousarray(_eight(data)).view("<u8").ravel() + _C)
+    return _pair(_pair(b8[:n], b8[8 : n + 8]), b8[16 : n + 16])
+
+
+def _first(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for the suffixes at some places alone."""
+    b8 = lambda p: _mix(np.ascontiguousarray(_eight(data)[p]).view("<u8")[..., 0] + _C)
+    return _pair(_pair(b8(at), b8(at + 8)), b8(at + 16))
+
+
+def _second(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _pair(_first(data, at), _first(data, at + STEP))
+
+
+def _third(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _pair(_second(data, at), _second(data, at + STEP))
 
 
 def _least(a: np.ndarray, width: int) -> np.ndarray:
@@ -69,24 +86,39 @@ def _least(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: s - width], a[width - s :]) if width > s else a
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, start, count) of each context: its anchor's identifier and the strings in it."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    parts = [none]
-    for at in range(0, len(text) - LENGTH + 1, BLOCK_BYTES):
-        least = _least(first_buckets(text[at : at + BLOCK_BYTES + LENGTH - 1]), WIDTH)
-        start = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        # a run of equal anchors may be longer than a window where a text repeats itself; contexts stay short
-        count = np.diff(np.concatenate([start, [len(least)]]))
-        if (count > WIDTH).any():
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, document, start, count) of each context of documents that lie one behind the other, cut at ``bounds``: its
+    anchor's identifier, the document's number, and the strings in it, by their place in ``data``."""
+    parts = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    edges = np.concatenate([bounds, np.maximum(bounds[1:] - LENGTH + 1, bounds[:-1])])
+    for at in range(0, len(data) - LENGTH + 1, BLOCK_BYTES):
+        least = _least(first_buckets(data[at : at + BLOCK_BYTES + LENGTH - 1]), WIDTH)
+        inside = edges[(edges > at) & (edges < at + len(least))] - at
+        start = np.unique(np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, inside]))
+        count = np.diff(np.append(start, len(least)))
+        if (count > WIDTH).any():  # where a text repeats itself; contexts stay short
             pieces = -(-count // WIDTH)
-            first = np.cumsum(pieces) - pieces
-            start = np.repeat(start, pieces) + WIDTH * (np.arange(pieces.sum()) - np.repeat(first, pieces))
-            count = np.diff(np.concatenate([start, [len(least)]]))
-        parts.append((least[start], at + start.astype(np.int64), count))
+            start = np.repeat(start, pieces) + WIDTH * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            count = np.diff(np.append(start, len(least)))
+        document = np.searchsorted(bounds, at + start, "right") - 1
+        whole = at + start + LENGTH <= bounds[document + 1]
+        parts.append((least[start[whole]], document[whole], at + start[whole], count[whole]))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
+def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings or binaries, one behind the other, and their bounds. Nulls are empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if column.null_count:
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, places, data = column.buffers()
+    bounds = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if places is not None and len(column) else np.zeros(len(column) + 1)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds.astype(np.int64)
+
+
 def _bytes(x) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
@@ -114,11 +146,9 @@ def _packed(n_parts: int):
     sent beside it (kind 1), so that a bucket's share of a part does not grow with the documents that hold it.
     """
 
-    def flush(texts: list, serial: int) -> list:
-        if not texts:
-            return []
-        a, start, count = (np.concatenate([t[i] for t in texts]) for i in range(3))
-        k, n = (np.repeat(np.array([t[i] for t in texts], np.int64), [len(t[0]) for t in texts]) for i in (3, 4))
+    def flush(data: np.ndarray, bounds: np.ndarray, ks: np.ndarray, ns: np.ndarray) -> list:
+        a, document, start, count = anchors(data, bounds)
+        k, n, start, serial = ks[document], ns[document], start - bounds[document], int(ks[0] if len(ks) else 0)
         a = (a >> np.uint64(16)).view(np.int64)
         order = np.argsort(a, kind="stable")
         s, d = a[order], k[order]
@@ -153,20 +183,15 @@ def _packed(n_parts: int):
         def of(rows: list):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        texts, size, serial = [], 0, 0
         for b in batches:
-            for k, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                text = _bytes(x)
-                if len(text) >= LENGTH:
-                    texts.append((*anchors(text), k, n))
-                    size += len(text)
-                if size > TEXT_AT_ONCE:
-                    serial = (serial * 31 + k + len(texts)) % (1 << 40)
-                    if rows := flush(texts, serial):
-                        yield of(rows)
-                    texts, size = [], 0
-        if texts and (rows := flush(texts, (serial * 31 + texts[0][3]) % (1 << 40))):
-            yield of(rows)
+            data, bounds = _bytes_of(b.column(2))
+            ks, ns = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            low = 0
+            while low < len(ks):
+                high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + TEXT_AT_ONCE, "right")) - 1)
+                if rows := flush(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], ks[low:high], ns[low:high]):
+                    yield of(rows)
+                low = high
 
     return run
 
@@ -202,101 +227,82 @@ def _meet(table):
     return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("k", "n", "head", "place")})
 
 
-def _in_blocks(text: bytes, start: np.ndarray) -> Iterator[tuple[int, bytes, slice]]:
-    """(offset, bytes, which of the sorted ``start``) of each block of a text that holds starts."""
-    block = start // BLOCK_BYTES
-    for i in np.unique(block):
-        low, high = np.searchsorted(block, i), np.searchsorted(block, i, "right")
-        at = int(i) * BLOCK_BYTES
-        yield at, text[at : at + BLOCK_BYTES + LENGTH - 1], slice(int(low), int(high))
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
 
+    view = memoryview(data)
+    return np.fromiter((xxh3_64_intdigest(view[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)).view(np.int64)
 
-def _digests(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """128-bit digests of stretches, as two columns of longs."""
-    from xxhash import xxh3_128_digest
 
-    return np.frombuffer(b"".join([xxh3_128_digest(text[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+def _named(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """What successive strings, those that begin from ``start`` to before ``end``, are judged by."""
+    return {"name": _pair(_third(data, start), _third(data, end - 1)).view(np.int64), "digest": _digests(data, start, end - 1 + LENGTH)}
 
 
 def _over_documents(step):
-    """Batches of (k, n, text, found: list of (head, place)) through ``step``, which yields a text's rows as columns."""
+    """Batches of (k, n, text, found: list of (head, place)) through ``step`` (data, head, start, count: places in data),
+    which yields columns, among them ``of``, the number of the context, and ``place``, as a place in data."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def of(tables: list):
-            return pa.concat_tables(tables).combine_chunks().to_batches()
-
         for b in batches:
-            tables, size = [], 0
-            for k, n, x, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                head, place = (np.asarray(found.values.field(i)) for i in (0, 1))
-                order = np.argsort(place, kind="stable")
-                for rows in step(_bytes(x), head[order], place[order]):
-                    m = len(rows["place"])
-                    size += m
-                    tables.append(pa.table({"k": np.full(m, k, np.int64), "n": np.full(m, n, np.int64), **rows}))
-                if size > 100_000:
-                    yield from of(tables)
-                    tables, size = [], 0
-            if tables:
-                yield from of(tables)
+            data, bounds = _bytes_of(b.column(2))
+            found = b.column(3)
+            size = np.diff(found.offsets.to_numpy())
+            head, place = (found.flatten().field(i).to_numpy() for i in (0, 1))
+            row = np.repeat(np.arange(b.num_rows), size)
+            k, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i in range(0, len(row), AT_ONCE):
+                r = row[i : i + AT_ONCE]
+                for rows in step(data, head[i : i + AT_ONCE], bounds[r] + (place[i : i + AT_ONCE] >> 6), place[i : i + AT_ONCE] & 63):
+                    own = r[rows.pop("of")]
+                    rows["place"] -= bounds[own] * 64
+                    yield pa.RecordBatch.from_pydict({"k": pa.array(k[own]), "n": pa.array(n[own]), **{c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in rows.items()}})
 
     return run
 
 
-def _contexts(text: bytes, head: np.ndarray, place: np.ndarray) -> Iterator[dict]:
-    """Contexts with the buckets of the third depth of their first and last strings."""
-    for at, block, part in _in_blocks(text, place >> 6):
-        start, count = (place[part] >> 6) - at, place[part] & 63
-        last = start + count - 1
-        full = _refine(_refine(first_buckets(block), STEP), STEP)
-        digest = _digests(block, start, last + LENGTH)
-        yield {"head": head[part], "here": full[start].view(np.int64), "later": full[last].view(np.int64), "d1": digest[:, 0], "d2": digest[:, 1], "place": place[part]}
+def _contexts(data: np.ndarray, head: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[dict]:
+    yield {"of": np.arange(len(start)), "bucket": head, **_named(data, start, start + count), "place": start * 64 + count}
 
 
-def _parts(text: bytes, head: np.ndarray, place: np.ndarray) -> Iterator[dict]:
+def _parts(data: np.ndarray, head: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[dict]:
     """The parts of contexts on either side of the anchor, in their bucket of the second depth, with their bytes."""
-    for at, block, which in _in_blocks(text, place >> 6):
-        start = (place[which] >> 6) - at
-        end = start + (place[which] & 63)
-        first = first_buckets(block)
-        low = _least(first, WIDTH)
-        while len(start):
-            # a string's anchor is the first suffix inside it with the least identifier; where that comes again, later strings have another
-            anchor = start + np.argmax(first[start[:, None] + np.arange(WIDTH)] == low[start][:, None], axis=1)
-            upto = np.minimum(end, anchor + 1)
-            split = np.maximum(start, np.minimum(upto, anchor - STEP))  # strings before it begin over STEP bytes ahead of the anchor
-            for a, e, bucket in ((start, split, anchor - STEP), (split, upto, anchor)):
-                some = a < e
-                a, e, bucket = a[some], e[some], bucket[some]
-                if len(a):
-                    yield {
-                        "here": first[bucket].view(np.int64), "later": first[bucket + STEP].view(np.int64), "place": (a + at) * 64 + e - a,
-                        "bytes": [block[i:j] for i, j in zip(a.tolist(), (e - 1 + LENGTH).tolist(), strict=True)],
-                    }
-            rest = upto < end
-            start, end = upto[rest], end[rest]
+    import pyarrow as pa
+
+    end, of = start + count, np.arange(len(start))
+    while len(start):
+        # a string's anchor is the first suffix inside it with the least identifier; where that comes again, later strings have another
+        anchor = start + np.argmax((_first(data, start[:, None] + np.arange(WIDTH)) >> np.uint64(16)).view(np.int64) == head[:, None], axis=1)
+        upto = np.minimum(end, anchor + 1)
+        split = np.maximum(start, np.minimum(upto, anchor - STEP))  # strings before it begin over STEP bytes ahead of the anchor
+        for a, e, at in ((start, split, anchor - STEP), (split, upto, anchor)):
+            some = a < e
+            if some.any():
+                a, e = a[some], e[some]
+                size = e - 1 + LENGTH - a
+                flat = data[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                whole = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(flat)])
+                yield {"of": of[some], "bucket": _second(data, at[some]).view(np.int64), **_named(data, a, e), "place": a * 64 + e - a, "bytes": whole}
+        rest = upto < end
+        start, end, head, of = upto[rest], end[rest], head[rest], of[rest]
 
 
 def _strings(batches: Iterator) -> Iterator:
-    """The strings of parts (k, n, place, bytes), in buckets of the third depth: those of the second, here and STEP bytes on."""
+    """The strings of parts (k, n, place, bytes), in buckets of the third depth."""
     import pyarrow as pa
 
     for b in batches:
-        pieces = [x.as_py() for x in b.column(3)]
-        if not pieces:
-            continue
-        place = np.asarray(b.column(2))
+        data, bounds = _bytes_of(b.column(3))
+        place = b.column(2).to_numpy(zero_copy_only=False)
         start, count = place >> 6, place & 63
-        whole = b"".join(pieces)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(np.cumsum(size) - size, count) + inside
-        second = _refine(first_buckets(whole), STEP)
-        digest = _digests(whole, at, at + LENGTH)
-        cols = {"k": np.repeat(np.asarray(b.column(0)), count), "n": np.repeat(np.asarray(b.column(1)), count), "here": second[at].view(np.int64), "later": second[at + STEP].view(np.int64), "d1": digest[:, 0], "d2": digest[:, 1], "place": (np.repeat(start, count) + inside) * 64 + 1}
-        yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()})
+        at = np.repeat(bounds[:-1], count) + inside
+        if len(at):
+            cols = {c: np.repeat(b.column(i).to_numpy(zero_copy_only=False), count) for i, c in ((0, "k"), (1, "n"))}
+            cols |= {"name": _third(data, at).view(np.int64), "digest": _digests(data, at, at + LENGTH), "place": (np.repeat(start, count) + inside) * 64 + 1}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()})
 
 
 def removed_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,33 +340,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = keyed.filter("k is not null").select("k", "n", "text")
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_parts = 1 + 2 * n_bytes // (WIDTH + 1) // GROUP
-    same = ["here", "later", "d1", "d2"]
 
     def of_texts(rows: DataFrame, step, shape: str) -> DataFrame:
         """Rows (k, n, head, place) gathered per document, beside its text, through ``step``."""
         lists = rows.groupBy("k", "n").agg(F.collect_list(F.struct("head", "place")).alias("found"))
-        return texts.join(lists, ["k", "n"]).select("k", "n", "text", "found").mapInArrow(_over_documents(step), f"k long, n long, {shape}")
+        return stored(texts.join(lists, ["k", "n"]).select("k", "n", "text", "found").mapInArrow(_over_documents(step), f"k long, n long, {shape}"))
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """Of rows in buckets, those that a smaller document holds as a whole (``whole``), and those whose bucket holds
+        others of another document; and only these."""
+        groups = stored(rows.groupBy("bucket", "name", "digest").agg(F.min("k").alias("first"), F.max("k").alias("last")))
+        several = groups.groupBy("bucket").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count("*").alias("n_groups")).filter("low < high and n_groups > 1").select("bucket", F.lit(True).alias("open"))
+        asked = stored(groups.join(several, "bucket", "left").filter("first < last or open").select("name", "digest", "first", F.coalesce("open", F.lit(False)).alias("open")))
+        discard(groups)
+        found = stored(rows.join(asked, ["name", "digest"]).withColumn("whole", F.col("k") > F.col("first")).filter("whole or open").drop("name", "digest", "first", "open"))
+        discard(rows, asked)
+        return found
 
     live = stored(texts.mapInArrow(_packed(n_parts), _PACKED).groupBy("part").applyInArrow(_meet, _FOUND))
-    named = stored(of_texts(live, _contexts, "head long, here long, later long, d1 long, d2 long, place long"))
+    named = of_texts(live, _contexts, "bucket long, name long, digest long, place long")
     discard(live)
-
-    contexts = stored(named.groupBy("head", *same).agg(F.min("k").alias("first"), F.max("k").alias("last")))
-    several = contexts.groupBy("head").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count("*").alias("n_contexts")).filter("low < high and n_contexts > 1").select("head", F.lit(True).alias("open"))
-    asked = stored(contexts.join(several, "head", "left").filter("first < last or open").select(*same, "first", F.coalesce("open", F.lit(False)).alias("open")))
-    discard(contexts)
-    judged = stored(named.join(asked, same).select("k", "n", "head", "place", (F.col("k") > F.col("first")).alias("whole"), "open").filter("whole or open"))
-    discard(named, asked)
-
-    parts = stored(of_texts(judged.filter("not whole"), _parts, "here long, later long, place long, bytes binary"))
-    shared = parts.groupBy("here", "later").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("here", "later")
-    strings = stored(parts.join(shared, ["here", "later"], "left_semi").select("k", "n", "place", "bytes").mapInArrow(_strings, "k long, n long, here long, later long, d1 long, d2 long, place long"))
-    discard(parts)
-    first = strings.groupBy(*same).agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").drop("last")
-    single = stored(strings.join(first, same).filter("k > first").select("k", "n", "place"))
+    contexts = judged(named)
+    parts = judged(of_texts(contexts.filter("not whole").withColumnRenamed("bucket", "head"), _parts, "bucket long, name long, digest long, place long, bytes binary"))
+    strings = stored(parts.filter("not whole").select("k", "n", "place", "bytes").mapInArrow(_strings, "k long, n long, name long, digest long, place long"))
+    first = strings.groupBy("name", "digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").drop("last")
+    single = stored(strings.join(first, ["name", "digest"]).filter("k > first").select("k", "n", "place"))
     discard(strings)
 
-    places = judged.filter("whole").select("k", "n", "place").unionByName(single).groupBy("k", "n").agg(F.collect_list("place").alias("places"))
+    whole = contexts.filter("whole").select("k", "n", "place").unionByName(parts.filter("whole").select("k", "n", "place"))
+    places = whole.unionByName(single).groupBy("k", "n").agg(F.collect_list("place").alias("places"))
     kind = dict(docs.dtypes)[id_col]
     both = keyed.join(places, ["k", "n"], "left")
     if repeated:  # rows that repeat id and text lose the same bytes

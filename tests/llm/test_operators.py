@@ -202,16 +202,19 @@ def test_suffixes_in_blocks_and_with_ties(spark, monkeypatch):
         rows.append((i, unit * r.randrange(1, 9) + prose[a : a + r.randrange(400)] + unit * (90 // len(unit)) + r.choice(["x", ""]) + prose[a + 13 : a + r.randrange(40, 200)]))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id: tuple(x)[1:] for x in suffixes.op3(d).collect()} == brute_repeats(rows)
-    whole = [[c.tolist() for c in suffixes.anchors(t.encode())] for _, t in rows]
+    texts = [t.encode() for _, t in rows]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    each = lambda found: [(x, d, p + i) for x, d, p, m in zip(*(c.tolist() for c in found), strict=True) for i in range(m)]
+    whole = suffixes.anchors(data, bounds)
+    alone = [(x, i, p + bounds[i]) for i, t in enumerate(texts) for x, _, p in each(suffixes.anchors(np.frombuffer(t, np.uint8), np.array([0, len(t)])))]
+    assert each(whole) == alone and len(alone) == sum(max(0, len(t) - 49) for t in texts)
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", 64)
-    for (_, t), (bucket, start, count) in zip(rows, whole, strict=True):
-        cut = [c.tolist() for c in suffixes.anchors(t.encode())]
-        each = lambda b, s, c: [(x, p + i) for x, p, m in zip(b, s, c, strict=True) for i in range(m)]
-        assert each(*cut) == each(bucket, start, count)
-    for t in ("ab" * 400, prose):
-        found = suffixes.anchors(t.encode())
-        assert sum(len(x["place"]) for x in suffixes._contexts(t.encode(), found[0].view(np.int64), found[1] * 64 + found[2])) == len(found[0])
-        assert sorted(p >> 6 for x in suffixes._parts(t.encode(), found[0].view(np.int64), found[1] * 64 + found[2]) for q in x["place"].tolist() for p in range(q & ~63, (q & ~63) + 64 * (q & 63), 64)) == list(range(len(t) - 49))
+    assert each(suffixes.anchors(data, bounds)) == alone
+    bucket, _, start, count = whole
+    head = (bucket >> np.uint64(16)).view(np.int64)
+    assert sum(len(x["place"]) for x in suffixes._contexts(data, head, start, count)) == len(start)
+    covered = [q + i for x in suffixes._parts(data, head, start, count) for p in x["place"].tolist() for q in [p >> 6] for i in range(p & 63)]
+    assert sorted(covered) == [p for _, _, p in alone]
 
 
 def test_suffixes_of_a_very_long_text(spark):
