@@ -42,8 +42,11 @@ def refill_in_flight(runs: DataFrame, windows: DataFrame) -> DataFrame:
     open_ = runs.filter((F.col("kind") == "started") & F.col("run_id").isNotNull() & F.col("oldest").rlike(number) & F.col("latest").rlike(number))
     open_ = open_.join(runs.filter("kind = 'finished'").select("channel_id", "run_id"), ["channel_id", "run_id"], "left_anti")
     open_ = open_.select("channel_id", F.col("oldest").cast("double").alias("_o"), F.col("latest").cast("double").alias("_l"))
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 0.000001
-    hit = windows.join(open_, "channel_id").filter(near("oldest", "_o") & near("latest", "_l")).select("channel_id", "oldest", "latest").distinct().withColumn("in_flight", F.lit(True))
+    # windows meet by whole seconds; one that lies at the edge of a second asks for both
+    edge, near = 0.000001, lambda a, b: F.abs(F.col(a) - F.col(b)) < 0.000001
+    seconds = F.array_distinct(F.array(F.floor(F.col("oldest") - edge), F.floor(F.col("oldest") + edge)))
+    asked = windows.select("channel_id", "oldest", "latest", F.explode(seconds).alias("_s"))
+    hit = asked.join(open_.withColumn("_s", F.floor("_o")), ["channel_id", "_s"]).filter(near("oldest", "_o") & near("latest", "_l")).select("channel_id", "oldest", "latest").distinct().withColumn("in_flight", F.lit(True))
     return windows.join(hit, ["channel_id", "oldest", "latest"], "left").select("channel_id", "oldest", "latest", F.coalesce("in_flight", F.lit(False)).alias("in_flight"))
 
 
@@ -85,21 +88,26 @@ def newest_drift(log: DataFrame, samples: DataFrame, seconds: int = 300) -> Data
     return s.join(local, "channel_id", "left").select("channel_id", "sample_ts", delta_us.alias("delta_us"), "sampled_us").filter((F.col("delta_us") > seconds * 1_000_000) | F.col("delta_us").isNull()).orderBy(F.desc_nulls_first("delta_us"))
 
 
+def _latest_listing(listed: DataFrame, id_col: str) -> DataFrame:
+    """The items of the latest of listings as rows (id, sampled_us, item), as ``id_col``."""
+    last = listed.agg(F.max(F.struct("sampled_us", "id")).alias("_last"))
+    return listed.join(F.broadcast(last), F.struct("sampled_us", "id") == F.col("_last")).select(F.col("item").alias(id_col))  # one row
+
+
 def missing_ids(listed: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
-    """Ids in the latest listing (arrays ``ids``, latest ``sampled_us``) that are not known."""
-    last = listed.orderBy(F.desc("sampled_us"), F.desc("id")).limit(1)
-    return last.select(F.explode("ids").alias(id_col)).distinct().join(known.select(id_col), id_col, "left_anti")
+    """Items of the latest listing, as rows (id, sampled_us, item), that are not known."""
+    return _latest_listing(listed, id_col).distinct().join(known.select(id_col), id_col, "left_anti")
 
 
 def absent_upstream(scope: DataFrame, listed: DataFrame, id_col: str) -> DataFrame:
     """Ids in scope that the latest listing lacks."""
-    last = listed.orderBy(F.desc("sampled_us"), F.desc("id")).limit(1)
-    return scope.select(id_col).join(last.select(F.explode("ids").alias(id_col)), id_col, "left_anti")
+    return scope.select(id_col).join(_latest_listing(listed, id_col), id_col, "left_anti")
 
 
 def daily_drift(listed: DataFrame) -> DataFrame:
     """(day, n, delta): the size of each day's latest listing and its change since the day before that has one."""
-    per_day = latest_per_key(listed.withColumn("day", utc_day(F.col("sampled_us"))), ["day"], [F.desc("sampled_us"), F.desc("id")]).select("day", F.size("ids").cast("bigint").alias("n"))
+    sizes = listed.groupBy("id", "sampled_us").agg(F.count("*").alias("n"))
+    per_day = latest_per_key(sizes.withColumn("day", utc_day(F.col("sampled_us"))), ["day"], [F.desc("sampled_us"), F.desc("id")]).select("day", "n")
     return per_day.withColumn("delta", F.col("n") - F.lag("n").over(W.orderBy("day")))  # one row a day
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import is_valid_ts
@@ -36,17 +38,22 @@ def active_thread_parents(log: DataFrame, active: DataFrame | None = None) -> Da
 
 FULL_KINDS = ("channel_added", "channel_info_refreshed")
 COLUMNS = ("name", "is_member", "is_archived", "num_members")
+ALL_COLUMNS = ("name", "is_im", "is_mpim", "is_member", "is_archived", "im_user_id", "topic", "purpose", "num_members")
 
 
-def channels(log: DataFrame) -> DataFrame:
-    """Each channel's columns, each by the latest event kind that has a value for it.
+def channels(log: DataFrame, columns: Sequence[str] = COLUMNS, offsets: bool = False) -> DataFrame:
+    """Each channel's columns, each by the latest event kind that has a value for it; with ``offsets`` also
+    ``<column>_off``, the offset that it comes from.
 
-    Two stages: the latest row of each kind first, then the latest value of each column among those. A kind's older row
-    with a value is masked by its newer one without. Narrow events of unknown ids give a row; per-user joins do not.
+    Two stages: the latest row of each kind first, then the latest value of each column among those. A full row without a
+    value masks an older one of its kind with one; a rename or a change of membership without its value is no row at all.
+    Narrow events of unknown ids give a row; per-user joins do not.
     """
     kinds = [*FULL_KINDS, "channel_renamed", "channel_archived", "channel_unarchived", "channel_member_changed"]
-    per_kind = latest_per_key(log.filter(F.col("kind").isin(kinds) & F.col("channel_id").isNotNull()), ["channel_id", "kind"], [F.desc("off")])
-    return per_kind.groupBy("channel_id").agg(*latest_values(["channel_id"], "off", COLUMNS))
+    empty = "(kind = 'channel_renamed' and name is null) or (kind = 'channel_member_changed' and is_member is null)"
+    per_kind = latest_per_key(log.filter(F.col("kind").isin(kinds) & F.col("channel_id").isNotNull() & ~F.expr(empty)), ["channel_id", "kind"], [F.desc("off")])
+    places = [F.expr(f"max(off) FILTER (WHERE {c} IS NOT NULL)").alias(f"{c}_off") for c in columns if offsets]
+    return per_kind.groupBy("channel_id").agg(*latest_values(["channel_id"], "off", columns), *places)
 
 
 def snapshot_messages(log: DataFrame) -> DataFrame:
@@ -107,22 +114,51 @@ def channel_list_snapshot(log: DataFrame) -> DataFrame:
     return known.join(patched, "channel_id", "left").select("channel_id", *[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in COLUMNS[:3]], F.col("_num_members").alias("num_members"))
 
 
+def replayed_channels(log: DataFrame, full: Sequence[str]) -> DataFrame:
+    """(channel_id, name, is_member, is_archived, is_im, is_mpim, im_user_id, topic, purpose): a replay in order, in which
+    a row of a ``full`` kind replaces all of a channel, fields that it lacks included, and later narrow rows patch one
+    column each. Narrow rows of channels unknown at that point do nothing, nor does a change without a value."""
+    columns = ("name", "is_member", "is_archived", "is_im", "is_mpim", "im_user_id", "topic", "purpose")
+    known = latest_per_key(log.filter(F.col("kind").isin(*full) & F.col("channel_id").isNotNull()), ["channel_id"], [F.desc("off")]).select("channel_id", F.col("off").alias("_since"), *[F.col(c).alias(f"_{c}") for c in columns])
+    narrow = log.filter("kind in ('channel_renamed', 'channel_archived', 'channel_unarchived', 'channel_member_changed')").join(known.select("channel_id", "_since"), "channel_id").filter("off > _since")
+    patched = narrow.groupBy("channel_id").agg(*latest_values(["channel_id"], "off", columns[:3]))
+    return known.join(patched, "channel_id", "left").select("channel_id", *[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in columns[:3]], *[F.col(f"_{c}").alias(c) for c in columns[3:]])
+
+
+def _is_true(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(False))
+
+
 def probe_scope(log: DataFrame, blocked: DataFrame) -> DataFrame:
-    """(channel_id): members, direct and group messages, neither archived nor blocked; nulls count as false."""
-    kinds = latest_per_key(log.filter(F.col("kind").isin(*FULL_KINDS)), ["channel_id"], [F.desc("off")]).select("channel_id", "is_im", "is_mpim")
-    state = channels(log).join(kinds, "channel_id", "left")
-    is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return state.filter(~is_true("is_archived") & (is_true("is_member") | is_true("is_im") | is_true("is_mpim"))).join(blocked.select("channel_id"), "channel_id", "left_anti").select("channel_id")
+    """(channel_id): members, direct and group messages, neither archived nor blocked, after a replay in which both full
+    kinds replace; nulls count as false."""
+    state = replayed_channels(log, FULL_KINDS)
+    return state.filter(~_is_true("is_archived") & (_is_true("is_member") | _is_true("is_im") | _is_true("is_mpim"))).join(blocked.select("channel_id"), "channel_id", "left_anti").select("channel_id")
+
+
+def current_scope(log: DataFrame) -> DataFrame:
+    """(channel_id): as ``probe_scope`` but read off without order: the latest full row, over it the latest change of
+    membership and of archival, whenever they came, and no block list."""
+    full = latest_per_key(log.filter(F.col("kind").isin(*FULL_KINDS) & F.col("channel_id").isNotNull()), ["channel_id"], [F.desc("off")]).select("channel_id", "is_member", "is_archived", "is_im", "is_mpim")
+    changes = log.groupBy("channel_id").agg(
+        F.expr("max_by(is_member, off) FILTER (WHERE kind = 'channel_member_changed')").alias("_member"), F.expr("max_by(kind = 'channel_archived', off) FILTER (WHERE kind in ('channel_archived', 'channel_unarchived'))").alias("_archived")
+    )
+    state = full.join(changes, "channel_id", "left").select("channel_id", F.coalesce("_member", "is_member", F.lit(False)).alias("m"), F.coalesce("_archived", "is_archived", F.lit(False)).alias("a"), _is_true("is_im").alias("i"), _is_true("is_mpim").alias("g"))
+    return state.filter("not a and (m or i or g)").select("channel_id")
 
 
-def tiers(log: DataFrame, manual: DataFrame) -> DataFrame:
-    """(channel_id, tier, subscribed): archived hidden, direct and group messages hot, members hot, others hidden; a tier
-    set by hand (channel_id, tier) stays."""
-    kinds = latest_per_key(log.filter(F.col("kind").isin(*FULL_KINDS)), ["channel_id"], [F.desc("off")]).select("channel_id", "is_im", "is_mpim")
-    state = channels(log).join(kinds, "channel_id", "left").join(manual.select("channel_id", F.col("tier").alias("_by_hand")), "channel_id", "left")
+def client_channels(log: DataFrame, manual: DataFrame) -> DataFrame:
+    """The replayed columns of channels that were added, flags without nulls, with ``tier`` and ``subscribed``: archived
+    hidden, direct and group messages hot, members hot, others hidden; a tier set by hand (channel_id, tier) stays."""
+    flags = ("is_member", "is_archived", "is_im", "is_mpim")
+    state = replayed_channels(log, FULL_KINDS[:1]).withColumns({c: _is_true(c) for c in flags}).join(manual.select("channel_id", F.col("tier").alias("_by_hand")), "channel_id", "left")
     default = F.when(F.col("is_archived"), "hidden").when(F.col("is_im") | F.col("is_mpim") | F.col("is_member"), "hot").otherwise("hidden")
-    tier = F.coalesce("_by_hand", default)
-    return state.select("channel_id", tier.alias("tier"), (tier != "blocked").alias("subscribed"))
+    return state.withColumn("tier", F.coalesce("_by_hand", default)).withColumn("subscribed", F.col("tier") != "blocked").drop("_by_hand")
+
+
+def tiers(log: DataFrame, manual: DataFrame) -> DataFrame:
+    """(channel_id, tier, subscribed)."""
+    return client_channels(log, manual).select("channel_id", "tier", "subscribed")
 
 
 def sync_blocks(current: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import completeness as c
 from ..operators import folds, inventory, queues
-from ..operators.latest import as_of, latest_per_key
+from ..operators.latest import as_of
 from ..sources import adapter as a
 from .registry import query
-from .state import ACTIVE_SQL, BLOCKED_SQL, CL, LOG, RL, TIERS_SQL, blocked, manual
+from .state import ACTIVE_SQL, BLOCKED_SQL, CHANNELS_SQL, CL, LOG, RL, TIERS_SQL, blocked, manual
 
 NOW, DAY = a.NOW_US, 86_400_000_000
 SM = f"{LOG}, {a.SAMPLES_SQL}"
@@ -41,14 +41,14 @@ def q2_probe_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.probe_status(_sweeps(spark), _samples(spark, sf_dir)[1], NOW)
 
 
-_WIN_SQL = "rw AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'x' ELSE CAST(id AS VARCHAR) || '.5' END AS oldest, CAST(id + 10 AS VARCHAR) AS latest FROM rl), aw AS (SELECT channel_id, CAST(id AS DOUBLE) + 0.5 AS oldest, CAST(id + 10 AS DOUBLE) AS latest FROM rl WHERE kind = 'started' AND id % 3 = 0)"
+_WIN_SQL = "rw AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'x' ELSE CAST(id AS VARCHAR) || '.5' END AS oldest, CAST(id + 10 AS VARCHAR) AS latest FROM rl), aw AS (SELECT channel_id, CAST(id AS DOUBLE) + 0.5 AS oldest, CAST(id + 10 AS DOUBLE) AS latest FROM rl WHERE kind = 'started')"
 
 
 @query(f"""{RL}, {_WIN_SQL} SELECT channel_id, oldest, latest, EXISTS (SELECT 1 FROM rw s WHERE s.kind = 'started' AND s.channel_id = aw.channel_id AND abs(try_cast(s.oldest AS DOUBLE) - aw.oldest) < 0.000001 AND abs(try_cast(s.latest AS DOUBLE) - aw.latest) < 0.000001
   AND NOT EXISTS (SELECT 1 FROM rw f WHERE f.kind = 'finished' AND f.channel_id = s.channel_id AND f.run_id = s.run_id)) AS in_flight FROM aw""")
 def q3_refill_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = a.run_log(spark, sf_dir).withColumn("oldest", F.when(F.col("id") % 7 == 0, "x").otherwise(F.concat("id", F.lit(".5")))).withColumn("latest", (F.col("id") + 10).cast("string"))
-    asked = runs.filter("kind = 'started' and id % 3 = 0").select("channel_id", (F.col("id").cast("double") + 0.5).alias("oldest"), (F.col("id") + 10).cast("double").alias("latest"))
+    asked = runs.filter("kind = 'started'").select("channel_id", (F.col("id").cast("double") + 0.5).alias("oldest"), (F.col("id") + 10).cast("double").alias("latest"))
     return c.refill_in_flight(runs, asked)
 
 
@@ -90,7 +90,7 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.channel_stats(a.channel_list_log(spark, sf_dir), counts, totals(spark, sf_dir, counts), blocked(spark, sf_dir))
 
 
-_STATS_SQL = f"""{LOG}, {a.CHANNEL_LIST_SQL}, {TIERS_SQL}, {BLOCKED_SQL}, {_TOTALS_SQL},
+_STATS_SQL = f"""{LOG}, {a.CHANNEL_LIST_SQL}, {CHANNELS_SQL}, {BLOCKED_SQL}, {_TOTALS_SQL},
 cd AS (SELECT channel_id, arg_max(off, off) AS off FROM cl WHERE kind IN ('channel_added', 'channel_info_refreshed') GROUP BY 1), ce AS (SELECT cd.channel_id, cl.created FROM cd JOIN cl ON cl.channel_id = cd.channel_id AND cl.off = cd.off),
 st AS (SELECT ch.channel_id, coalesce(ch.name, ch.channel_id) AS name, total, coalesce(ingested, 0) AS ingested, coalesce(ch.is_member, false) AS is_member, coalesce(is_archived, false) AS is_archived, bl.channel_id IS NOT NULL AS is_blocked,
   strftime(make_timestamp(created // 86400 * 86400000000), '%Y-%m-%d') AS created, coalesce(refresh_status, 'unavailable') AS refresh_status
@@ -200,9 +200,9 @@ def q17_newest_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing of channels for each day: those with a message that day."""
-    log = a.channel_log(spark, sf_dir).filter("kind = 'message'")
-    return log.groupBy(F.floor(F.col("us") / DAY).alias("id")).agg(F.max("us").alias("sampled_us"), F.array_sort(F.collect_set("channel_id")).alias("ids"))
+    """Listings of channels as rows (id, sampled_us, item): one for each day, of the channels with a message that day."""
+    log = a.channel_log(spark, sf_dir).filter("kind = 'message'").select(F.floor(F.col("us") / DAY).alias("id"), "us", F.col("channel_id").alias("item"))
+    return log.select("id", "item").distinct().join(log.groupBy("id").agg(F.max("us").alias("sampled_us")), "id")
 
 
 _LISTED_SQL = f"ls AS (SELECT us // {DAY} AS id, max(us) AS sampled_us, list(DISTINCT channel_id) AS ids FROM log WHERE kind = 'message' GROUP BY 1), ll AS (SELECT * FROM ls ORDER BY sampled_us DESC LIMIT 1)"
@@ -214,10 +214,17 @@ def q18_missing_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.missing_ids(_listed(spark, sf_dir), known, "channel_id")
 
 
-@query(f"{LOG}, {a.CHANNEL_LIST_SQL}, {TIERS_SQL}, {_LISTED_SQL} SELECT channel_id FROM ti WHERE tier = 'hot' AND channel_id NOT IN (SELECT unnest(ids) FROM ll)")
+#: From the rule: the last full row, the last change of membership and the last of archival, in no order among each other.
+_SCOPE_SQL = """
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY off DESC) AS rn FROM cl WHERE kind IN ('channel_added', 'channel_info_refreshed')) WHERE rn = 1),
+mc AS (SELECT * FROM (SELECT channel_id, is_member AS m, row_number() OVER (PARTITION BY channel_id ORDER BY off DESC) AS rn FROM cl WHERE kind = 'channel_member_changed') WHERE rn = 1),
+ac AS (SELECT * FROM (SELECT channel_id, kind = 'channel_archived' AS a, row_number() OVER (PARTITION BY channel_id ORDER BY off DESC) AS rn FROM cl WHERE kind IN ('channel_archived', 'channel_unarchived')) WHERE rn = 1),
+sc AS (SELECT fu.channel_id FROM fu LEFT JOIN mc USING (channel_id) LEFT JOIN ac USING (channel_id) WHERE NOT coalesce(ac.a, fu.is_archived, false) AND (coalesce(mc.m, fu.is_member, false) OR coalesce(fu.is_im, false) OR coalesce(fu.is_mpim, false)))"""
+
+
+@query(f"{LOG}, {a.CHANNEL_LIST_SQL}, {_SCOPE_SQL}, {_LISTED_SQL} SELECT channel_id FROM sc WHERE channel_id NOT IN (SELECT unnest(ids) FROM ll)")
 def q19_absent_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scope = folds.tiers(a.channel_list_log(spark, sf_dir), manual(spark, sf_dir)).filter("tier = 'hot'")
-    return c.absent_upstream(scope, _listed(spark, sf_dir), "channel_id")
+    return c.absent_upstream(folds.current_scope(a.channel_list_log(spark, sf_dir)), _listed(spark, sf_dir), "channel_id")
 
 
 @query(f"{LOG}, {_LISTED_SQL} SELECT DISTINCT user_id FROM (SELECT unnest(ids) AS user_id FROM ll) WHERE user_id NOT IN (SELECT 'C' || c_custkey FROM customer WHERE c_custkey % 4 <> 0)")
@@ -324,9 +331,7 @@ def t14_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CL}, {TIERS_SQL}, x AS (SELECT channel_id, 's' || (CAST(substr(channel_id, 2) AS BIGINT) % 200) AS slug, tier, CASE WHEN is_im THEN 'dms' WHEN is_mpim THEN 'group-dms' WHEN is_member THEN 'channels' ELSE 'other-channels' END AS root FROM ti), y AS (SELECT *, row_number() OVER (PARTITION BY root, slug ORDER BY tier <> 'hot', channel_id) AS n FROM x WHERE tier <> 'blocked') SELECT channel_id, root, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS unique_slug FROM y")
 def w3_unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cl = a.channel_list_log(spark, sf_dir)
-    kinds = latest_per_key(cl.filter(F.col("kind").isin(*folds.FULL_KINDS)), ["channel_id"], [F.desc("off")]).select("channel_id", "is_im", "is_mpim")
-    t = folds.tiers(cl, manual(spark, sf_dir)).join(folds.channels(cl).select("channel_id", "is_member"), "channel_id").join(kinds, "channel_id", "left")
+    t = folds.client_channels(a.channel_list_log(spark, sf_dir), manual(spark, sf_dir))
     x = t.filter("tier <> 'blocked'").select("channel_id", "tier", inventory.conversation_root(F.col("is_im"), F.col("is_mpim"), F.col("is_member")).alias("root"), F.concat(F.lit("s"), F.substring("channel_id", 2, 20).cast("bigint") % 200).alias("slug"))
     return inventory.unique_slugs(x, "root", "slug", [F.col("tier") != "hot"], "channel_id").select("channel_id", "root", "unique_slug")
 

@@ -42,16 +42,28 @@ def f2_active_thread_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COLS = ("name", "is_member", "is_archived", "num_members")
+_FULL = "kind IN ('channel_added', 'channel_info_refreshed')"
+_SOURCES = {"name": f"{_FULL} OR kind = 'channel_renamed'", "is_member": f"{_FULL} OR kind = 'channel_member_changed'", "is_archived": f"{_FULL} OR kind IN ('channel_archived', 'channel_unarchived')"}
+#: From the rule: the last added, the last refreshed, the last rename that has a name and so on; the greatest offset that has a value wins.
 _CHANNELS_SQL = f"""
-ck AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, kind ORDER BY off DESC) AS rn FROM cl WHERE kind <> 'channel_member_joined') WHERE rn = 1),
-ch AS (SELECT channel_id, {", ".join(f"(SELECT {c} FROM ck k WHERE k.channel_id = i.channel_id AND {c} IS NOT NULL ORDER BY off DESC LIMIT 1) AS {c}" for c in _COLS)} FROM (SELECT DISTINCT channel_id FROM ck) i),
-kd AS (SELECT channel_id, arg_max(is_im, off) AS is_im, arg_max(is_mpim, off) AS is_mpim FROM cl WHERE kind IN ('channel_added', 'channel_info_refreshed') GROUP BY channel_id)
+ck AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, kind ORDER BY off DESC) AS rn FROM cl WHERE kind <> 'channel_member_joined' AND (kind <> 'channel_renamed' OR name IS NOT NULL) AND (kind <> 'channel_member_changed' OR is_member IS NOT NULL)) WHERE rn = 1),
+ch AS (SELECT channel_id, {", ".join(f"arg_max({c}, off) FILTER (WHERE ({_SOURCES.get(c, _FULL)}) AND {c} IS NOT NULL) AS {c}, max(off) FILTER (WHERE ({_SOURCES.get(c, _FULL)}) AND {c} IS NOT NULL) AS {c}_off" for c in folds.ALL_COLUMNS)} FROM ck GROUP BY channel_id)
 """
 
 
+def _replayed_sql(name: str, full: str) -> str:
+    """From the rule: the last full row, and over each column the last narrow row behind it that has a value."""
+    def later(kinds: str, value: str) -> str:
+        return f"(SELECT {value} FROM cl k WHERE k.channel_id = f.channel_id AND k.off > f.off AND k.kind IN ({kinds}) AND {value} IS NOT NULL ORDER BY k.off DESC LIMIT 1)"
+
+    return f"""{name}_f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY off DESC) AS rn FROM cl WHERE kind IN ({full})) WHERE rn = 1),
+{name} AS (SELECT channel_id, coalesce({later("'channel_renamed'", "k.name")}, name) AS name, coalesce({later("'channel_member_changed'", "k.is_member")}, is_member, false) AS is_member,
+  coalesce({later("'channel_archived', 'channel_unarchived'", "k.kind = 'channel_archived'")}, is_archived, false) AS is_archived, coalesce(is_im, false) AS is_im, coalesce(is_mpim, false) AS is_mpim FROM {name}_f f)"""
+
+
 @query(f"{CL}, {_CHANNELS_SQL} SELECT * FROM ch")
 def f3_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.channels(a.channel_list_log(spark, sf_dir))
+    return folds.channels(a.channel_list_log(spark, sf_dir), folds.ALL_COLUMNS, offsets=True)
 
 
 @query(f"""{UL},
@@ -117,7 +129,7 @@ def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCKED_SQL = "bl AS (SELECT 'C' || c_custkey AS channel_id, CASE WHEN c_custkey % 2 = 0 THEN 'noise' END AS reason FROM customer WHERE c_custkey % 19 = 0)"
 
 
-@query(f"{CL}, {_CHANNELS_SQL}, {BLOCKED_SQL} SELECT channel_id FROM ch LEFT JOIN kd USING (channel_id) WHERE is_archived IS NOT TRUE AND (is_member IS TRUE OR is_im IS TRUE OR is_mpim IS TRUE) AND channel_id NOT IN (SELECT channel_id FROM bl)")
+@query(f"{CL}, {_replayed_sql('ps', "'channel_added', 'channel_info_refreshed'")}, {BLOCKED_SQL} SELECT channel_id FROM ps WHERE NOT is_archived AND (is_member OR is_im OR is_mpim) AND channel_id NOT IN (SELECT channel_id FROM bl)")
 def f6_probe_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.probe_scope(a.channel_list_log(spark, sf_dir), blocked(spark, sf_dir))
 
@@ -180,7 +192,8 @@ def f15_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MANUAL_SQL = "mn AS (SELECT 'C' || c_custkey AS channel_id, CASE c_custkey % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'hidden' ELSE 'blocked' END AS tier FROM customer WHERE c_custkey % 11 = 0)"
-TIERS_SQL = f"""{_CHANNELS_SQL}, {_MANUAL_SQL}, ti AS (SELECT ch.channel_id, ch.name, is_im, is_mpim, is_member, coalesce(mn.tier, CASE WHEN is_archived THEN 'hidden' WHEN is_im OR is_mpim OR is_member THEN 'hot' ELSE 'hidden' END) AS tier FROM ch LEFT JOIN kd USING (channel_id) LEFT JOIN mn USING (channel_id))"""
+TIERS_SQL = f"""{_replayed_sql("cc", "'channel_added'")}, {_MANUAL_SQL}, ti AS (SELECT cc.*, coalesce(mn.tier, CASE WHEN is_archived THEN 'hidden' WHEN is_im OR is_mpim OR is_member THEN 'hot' ELSE 'hidden' END) AS tier FROM cc LEFT JOIN mn USING (channel_id))"""
+CHANNELS_SQL = _CHANNELS_SQL
 
 
 def manual(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import micros_ts
+from .shared import written_once
 
 #: The kind that stands for each type of generic event, and the moment that "now" is in queries.
 KINDS = {"view": "message", "signup": "message", "click": "message_changed", "error": "message_deleted", "purchase": "parent_replied"}
@@ -23,7 +24,11 @@ def micros(column: str) -> F.Column:
 
 
 def channel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams of messages, edits, deletions and reply notices; a stream for each user of ``events``."""
+    """Streams of messages, edits, deletions and reply notices; a stream for each user of ``events``. Derived once."""
+    return written_once(spark, sf_dir, "channel-log", lambda: derived_channel_log(spark, sf_dir), ["stream", "off"])
+
+
+def derived_channel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", micros("ts").alias("us"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("event_type")]
     order = W.partitionBy("user_id").orderBy("us", "event_id")
@@ -76,6 +81,7 @@ def channel_list_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(full, unless(3, x % 4 == 0)).when(kind == "channel_archived", True).when(kind == "channel_unarchived", False).alias("is_archived"),
         F.when(full, unless(11, x % 100)).alias("num_members"),
         F.when(full, x % 10 == 1).alias("is_im"), F.when(full, x % 10 == 2).alias("is_mpim"),
+        F.when(full & (x % 10 == 1), F.concat(F.lit("U"), x % 50)).alias("im_user_id"), F.when(full, unless(4, F.concat(F.lit("t"), x % 9))).alias("topic"), F.when(full, unless(6, F.when(x % 8 == 1, F.lit("")).otherwise(F.concat(F.lit("p"), x % 30)))).alias("purpose"),
         F.when(full & (x % 4 != 3), 1_700_000_000 + x * 60).alias("created"),
     )
 
@@ -90,6 +96,7 @@ cl AS (SELECT 'C' || o_custkey AS channel_id, CAST(o_orderkey + 1 AS BIGINT) AS
   CASE WHEN p IN ('1', '2') THEN CASE WHEN x % 3 <> 0 THEN x % 4 = 0 END WHEN p = '4' AND o_orderstatus = 'F' THEN true WHEN p = '4' AND o_orderstatus = 'O' THEN false END AS is_archived,
   CASE WHEN p IN ('1', '2') AND x % 11 <> 0 THEN x % 100 END AS num_members,
   CASE WHEN p IN ('1', '2') THEN x % 10 = 1 END AS is_im, CASE WHEN p IN ('1', '2') THEN x % 10 = 2 END AS is_mpim,
+  CASE WHEN p IN ('1', '2') AND x % 10 = 1 THEN 'U' || (x % 50) END AS im_user_id, CASE WHEN p IN ('1', '2') AND x % 4 <> 0 THEN 't' || (x % 9) END AS topic, CASE WHEN p IN ('1', '2') AND x % 6 <> 0 THEN CASE WHEN x % 8 = 1 THEN '' ELSE 'p' || (x % 30) END END AS purpose,
   CASE WHEN p IN ('1', '2') AND x % 4 <> 3 THEN 1700000000 + x * 60 END AS created FROM o)
 """
 
@@ -115,7 +122,11 @@ ul AS (SELECT 'U' || c_custkey AS user_id, CAST(0 AS BIGINT) AS off, 'user_added
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of page fetches: started, pages, finished; a run for each order of ``lineitem``, streams by its part."""
+    """Runs of page fetches: started, pages, finished; a run for each order of ``lineitem``, streams by its part. Derived once."""
+    return written_once(spark, sf_dir, "run-log", lambda: derived_run_log(spark, sf_dir), ["channel_id", "id"])
+
+
+def derived_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.floor("l_quantity").cast("bigint").alias("q"))
     run = F.concat(F.lit("R"), "l_orderkey")
     o = F.col("l_orderkey").cast("bigint")

@@ -72,6 +72,80 @@ def test_channels_two_stages(spark):
     assert got == {"C1": ("new", None, None, None), "C2": (None, None, True, None)}
 
 
+CHANNEL_ROWS = "channel_id string, off long, kind string, name string, is_member boolean, is_archived boolean, num_members long, is_im boolean, is_mpim boolean, im_user_id string, topic string, purpose string"
+NARROW = ("channel_renamed", "channel_archived", "channel_unarchived", "channel_member_changed")
+
+
+def channel_rows(seed: int, n: int = 400) -> list[tuple]:
+    """Rows of a channel list with absent fields, narrow rows of unknown channels and rows of kinds that change nothing."""
+    import random
+
+    r, out = random.Random(seed), []
+    some = lambda *x: r.choice([None, *x])
+    for off in range(1, n + 1):
+        kind = r.choice(["channel_added", "channel_info_refreshed", *NARROW, *NARROW, "channel_member_joined"])
+        full = kind in ("channel_added", "channel_info_refreshed")
+        row = {"channel_id": f"C{r.randrange(40)}", "off": off, "kind": kind}
+        if full:
+            row |= {"name": some("a", "b"), "is_member": some(True, False), "is_archived": some(True, False), "num_members": some(1, 2), "is_im": some(True, False), "is_mpim": some(True, False), "im_user_id": some("U1"), "topic": some("t"), "purpose": some("", "p")}
+        elif kind == "channel_renamed":
+            row["name"] = some("x", "y")
+        elif kind == "channel_member_changed":
+            row["is_member"] = some(True, False)
+        elif kind in ("channel_archived", "channel_unarchived"):
+            row["is_archived"] = kind == "channel_archived"
+        out.append(tuple(row.get(c.split()[0]) for c in CHANNEL_ROWS.split(", ")))
+    return out
+
+
+def replayed(rows, full) -> dict[str, dict]:
+    """Row by row, as a service would apply them."""
+    state: dict[str, dict] = {}
+    for row in rows:
+        e = dict(zip([c.split()[0] for c in CHANNEL_ROWS.split(", ")], row, strict=True))
+        if e["kind"] in full:
+            state[e["channel_id"]] = e
+        elif e["channel_id"] in state and e["kind"] in NARROW:
+            c = {"channel_renamed": "name", "channel_member_changed": "is_member"}.get(e["kind"], "is_archived")
+            if e[c] is not None:
+                state[e["channel_id"]] = state[e["channel_id"]] | {c: e[c]}
+    return state
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_channel_state_row_by_row(spark, seed):
+    rows = channel_rows(seed)
+    l = spark.createDataFrame(rows, CHANNEL_ROWS).repartition(3)
+    blocked = spark.createDataFrame([("C1",), ("C2",)], "channel_id string")
+    live = lambda e: not e["is_archived"] and bool(e["is_member"] or e["is_im"] or e["is_mpim"])
+    want = {i for i, e in replayed(rows, folds.FULL_KINDS).items() if live(e) and i not in ("C1", "C2")}
+    assert {r.channel_id for r in folds.probe_scope(l, blocked).collect()} == want
+    manual = spark.createDataFrame([("C3", "blocked"), ("C4", "hot"), ("C99", "hot")], "channel_id string, tier string")
+    want = {i: {"C3": "blocked", "C4": "hot"}.get(i, "hot" if live(e) else "hidden") for i, e in replayed(rows, folds.FULL_KINDS[:1]).items()}
+    assert {r.channel_id: r.tier for r in folds.tiers(l, manual).collect()} == want
+    # without order: the last full row, the last change of membership, the last of archival
+    last = lambda kinds: {e[0]: e for e in rows if e[2] in kinds}
+    full, member, archived = last(folds.FULL_KINDS), last(["channel_member_changed"]), last(["channel_archived", "channel_unarchived"])
+    first = lambda *x: next((v for v in x if v is not None), False)
+    want = {i for i, e in full.items() if not first(archived.get(i, e)[5], e[5]) and (first(member.get(i, e)[4], e[4]) or e[7] or e[8])}
+    assert {r.channel_id for r in folds.current_scope(l).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_channels_row_by_row(spark, seed):
+    rows = [r for r in channel_rows(seed) if r[2] != "channel_member_joined" and not (r[2] == "channel_renamed" and r[3] is None) and not (r[2] == "channel_member_changed" and r[4] is None)]
+    names = [c.split()[0] for c in CHANNEL_ROWS.split(", ")]
+    latest_of: dict = {}
+    for r in rows:
+        latest_of[r[0], r[2]] = r
+    want = {}
+    for i in {r[0] for r in rows}:
+        own = sorted((r for (c, _), r in latest_of.items() if c == i), key=lambda r: r[1])
+        want[i] = {c: next(((r[names.index(c)], r[1]) for r in reversed(own) if r[names.index(c)] is not None), (None, None)) for c in folds.ALL_COLUMNS}
+    got = {r.channel_id: {c: (r[c], r[f"{c}_off"]) for c in folds.ALL_COLUMNS} for r in folds.channels(spark.createDataFrame(rows, CHANNEL_ROWS), folds.ALL_COLUMNS, offsets=True).collect()}
+    assert got == want
+
+
 def test_first_wins_keeps_null_keys(spark):
     d = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "id long, key string")
     assert [r.id for r in latest.first_wins(d, [F.col("key")], [F.col("id")]).orderBy("id").collect()] == [1, 3, 4]
