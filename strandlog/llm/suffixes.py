@@ -37,7 +37,7 @@ from .common import discard, numbered, stored
 LENGTH, Q, STEP = 50, 24, 13  # Q + 2 * STEP = LENGTH
 WIDTH = LENGTH - Q + 1
 #: Anchors that one group of step 1 sorts, about; bytes of text whose anchors are packed together; bytes that are hashed at once; places that are refined at once.
-GROUP, TEXT_AT_ONCE, BLOCK_BYTES, AT_ONCE = 1 << 20, 1 << 24, 1 << 22, 1 << 16
+GROUP, TEXT_AT_ONCE, BLOCK_BYTES, AT_ONCE = 1 << 20, 1 << 24, 1 << 21, 1 << 16
 _C = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
