@@ -3,17 +3,23 @@
 The network is trained from labelled spans in texts made by a seeded generator (``TRAINING`` windows: a fixed bound).
 A text is read in overlapping windows; where windows overlap, their emissions are averaged, weighted towards a
 window's middle, and each stretch of windows is decoded as a whole by one Viterbi pass with the CRF's transitions.
-Every kind holds a digit or an at sign, so windows without either are labelled as nothing without running the
-network. Spans that the network finds count if the kind's check (digits, Luhn sum, parts of an address) holds; the
-kinds' exact patterns give the base spans, and the network's are added where they touch none of these.
+What the network is for is written otherwise than the exact patterns ask: addresses with spaces or with words in
+brackets for their signs, addresses of hosts with bracketed stops, phones without a plus, cards in groups by stops or of
+other lengths, and cards beside other numbers. Its spans count, clipped to their kind's form, if the kind's check (digits,
+Luhn sum, parts of an address) holds; the exact patterns give the base spans, and the network's are added where they touch none of these.
+
+Every span holds a digit, an at sign or a bracketed "at". Windows that lie within WINDOW of one go through the network,
+and so all that cover a place where a span can lie; other windows would be read for nothing (tested against a run over
+all windows).
 
 Nulls and edges: a null text is empty; rows that repeat are each reported; a null id is carried along; texts of any
-length are read whole, in blocks of windows; an empty table gives no rows.
+length are read whole, in blocks of windows and in time linear in their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +30,9 @@ from pyspark.sql import functions as F
 # Kinds in the order of results, and their exact patterns.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_LOCAL, EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP, CARD, PHONE = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+# A match begins where digits begin and takes all of them: without the look-behind a long run of digits would be tried from each of them.
+IP, CARD, PHONE = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.I)
 
 #: Windows of so many characters begin every STRIDE; the model's sizes; training windows, passes and seed.
 WINDOW, STRIDE, HIDDEN, EMBED = 64, 32, 16, 10
@@ -70,17 +77,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _holds(kind: int, found: str) -> bool:
-    """The check of a span that the network found."""
-    digits = re.sub("[^0-9]", "", found)
-    if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", found))
-    if kind == 1:
-        parts = re.split(r"[^0-9]+", found.strip("[]() "))
-        return len(parts) == 4 and all(p and _small(p) for p in parts)
-    if kind == 2:
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and not re.fullmatch("[0-9]+", found)
+AT, DOT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)", r"(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?)"
+WRITTEN_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z][A-Za-z0-9-]+", re.I)
+WRITTEN_IP = re.compile(r"[0-9]{1,3}(?:(?:\s?[\[({]\.[\])}]\s?|\s?\.\s?)[0-9]{1,3}){3}")
+WRITTEN_CARD = re.compile(r"[0-9]+(?:[ .\-/]{1,2}[0-9]+)*")
+WRITTEN_PHONE = re.compile(r"\+?(?:[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{3,6}(?:[ .-][0-9]{2,4})?")
+#: By which digits numbers of other lengths than 16 begin if they are cards'.
+CARD_HEADS = {13: ("4",), 14: ("30", "36", "38"), 15: ("34", "37")}
+
+
+FORMS = (WRITTEN_EMAIL, WRITTEN_IP, WRITTEN_CARD, WRITTEN_PHONE)
+
+
+def _clipped(kind: int, found: str) -> tuple[int, int] | None:
+    """Where in a span that the network found its kind's form lies, if the kind's check holds for it."""
+    m = FORMS[kind].search(found)
+    if not m:
+        return None
+    digits = re.sub("[^0-9]", "", m.group())
+    if kind == 1 and not all(map(_small, re.findall("[0-9]+", m.group()))):
+        return None
+    if kind == 2 and not (13 <= len(digits) <= 19 and digits.startswith(CARD_HEADS.get(len(digits), "")) and luhn(digits)):
+        return None
+    if kind == 3 and not 10 <= len(digits) <= 15:
+        return None
+    return m.span()
 
 
 def codes(text: str) -> np.ndarray:
@@ -99,35 +120,56 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     letters = lambda k, a="abcdefghijklmnopqrstuvwxyzéüñ": "".join(r.choice(list(a), k))
     pick = lambda *x: x[r.integers(len(x))]
 
+    plain = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda a=2, b=9: letters(r.integers(a, b), plain)
+
+    def number(length: int, head: str = "") -> str:  # what looks like a card's number; the sum is left to the check
+        return head + digits(length - len(head))
+
     def card() -> str:
-        d = digits(15 + r.integers(0, 3))
-        d += next(c for c in "0123456789" if luhn(d + c))
-        s = pick("", "", " ", "-", ".")
+        if r.random() < 0.2:
+            d = pick(number(13, "4"), number(15, "37"), number(15, "34"), number(14, "36"))
+            s = pick("", " ", "-")
+            return s.join((d[:4], d[4:10], d[10:])) if s and len(d) == 15 else d
+        d, s = number(int(r.integers(16, 20)) if r.random() < 0.2 else 16), pick("", "", " ", "-", ".", ".", "  ", "/")
         return s.join(d[i : i + 4] for i in range(0, len(d), 4)) if s else d
 
-    plain = "abcdefghijklmnopqrstuvwxyz"
-    make = (
-        lambda: letters(r.integers(2, 9), plain) + pick("", "." + digits(2), "_" + letters(3, plain), "+x") + pick("@", "@", "@", " @ ") + letters(r.integers(3, 8), plain) + pick("", digits(1), "-" + letters(2, plain)) + "." + letters(r.integers(3, 8), plain) + pick("", ".com", ".org", ".co.uk"),
-        lambda: pick(".", ".", ".", "[.]").join(str(x) for x in r.integers(0, 256, 4)),
-        card,
-        lambda: pick(f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(4)} {digits(3)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)}.{digits(3)}.{digits(6)}"),
-    )
+    def email() -> str:
+        local = word() + pick("", "", "." + digits(2), "." + word(), "_" + letters(3, plain), "+x", digits(2))
+        at, dot = pick(("@", "."), ("@", "."), (" @ ", "."), ("@ ", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."), ("(at)", "(dot)"), (" [at] ", "."), ("@", "[.]"), (" {at} ", " {dot} "))
+        host = word(3, 8) + pick("", "", digits(1), "-" + letters(2, plain))
+        tail = pick([word(3, 8), pick("com", "org", "net", "de")], [pick("com", "org", "net", "fr", "info")], [pick("co", "ac"), "uk"])
+        return local + at + dot.join([host, *tail])
+
+    def ip() -> str:
+        return pick(".", ".", "[.]", "[.]", " . ", "(.)", " [.] ").join(str(x) for x in r.integers(0, 256, 4))
+
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        plus = f"+{pick(digits(1), digits(2), digits(3))}"
+        return pick(f"{plus} ({a}) {b}-{c}", f"{plus} {digits(3)} {digits(4)} {digits(3)}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"({a}) {b}.{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"0{digits(2)} {digits(4)} {digits(4)}", f"00{digits(2)} {digits(3)} {digits(6)}", f"1 ({a}) {b}-{c}")
+
+    make = (email, ip, card, phone)
     other = (
         lambda: "token = \"" + "".join(r.choice(list("0123456789abcdef"), 40)) + '"', lambda: "AKIA" + "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16)),
         lambda: f"{r.integers(1900, 2100)}-{r.integers(1, 13):02}-{r.integers(1, 29):02}", lambda: f"Version {digits(1)}.{digits(1)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}",
         lambda: f"{digits(3)},{digits(3)}.{digits(2)}", lambda: digits(r.integers(1, 8)), lambda: f"@{letters(6, plain)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: "password=" + "".join(r.choice(list("0123456789abcdef"), 16)),
+        lambda: f"{word()} at {word()}", lambda: f"({word()})", lambda: f"[{digits(1)}]", lambda: f"{digits(2)}.{digits(2)}.{r.integers(1900, 2100)}", lambda: f"{digits(3)} {word()} {digits(2)}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(2)}",
     )
     xs, ys = np.zeros((n, WINDOW), np.uint8), np.zeros((n, WINDOW), np.uint8)
     for i in range(n):
         text, tags = "", []
         while len(text) < 2 * WINDOW:
             roll = r.random()
-            if roll < 0.12:
+            if roll < 0.15:
                 k = int(r.integers(4))
                 piece = make[k]()
                 t = [2 * k + 1] + [2 * k + 2] * (len(piece) - 1)
+                if k == 2 and r.random() < 0.3:  # one number beside another
+                    more = number(16)
+                    piece, t = f"{piece} {more}", [*t, 0, 2 * k + 1, *[2 * k + 2] * (len(more) - 1)]
             else:
-                piece = pick(*other)() if roll < 0.2 else letters(r.integers(1, 10))
+                piece = pick(*other)() if roll < 0.24 else letters(r.integers(1, 10))
                 piece = piece.capitalize() if roll > 0.9 else piece
                 t = [0] * len(piece)
             gap = pick(" ", " ", " ", " ", ", ", ". ", "\n", "### ", "&&& ")
@@ -191,7 +233,7 @@ def _lse(x, axis):
 def allowed() -> np.ndarray:
     """Penalty of each transition: a span's inside follows its own kind only."""
     k = len(TAGS)
-    a = np.zeros((k, k))
+    a = np.zeros((k, k), np.float32)
     for j in range(2, k, 2):
         a[[i for i in range(k) if i not in (j, j - 1)], j] = -1e4
     return a
@@ -220,12 +262,12 @@ def _crf(em, tr, y):
 def train(n: int = TRAINING, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
     """The weights, by Adam on the CRF's likelihood. The same arguments give the same weights."""
     r, k = np.random.default_rng(seed), len(TAGS)
-    w = lambda a, b: (r.normal(size=(a, b)) / np.sqrt(a))
-    p = {"emb": w(N_CLASSES, EMBED) * 3, "out": w(2 * HIDDEN, k), "bias": np.zeros(k), "tr": np.zeros((k, k))}
+    w = lambda a, b: (r.normal(size=(a, b)) / np.sqrt(a)).astype(np.float32)
+    p = {"emb": w(N_CLASSES, EMBED) * 3, "out": w(2 * HIDDEN, k), "bias": np.zeros(k, np.float32), "tr": np.zeros((k, k), np.float32)}
     for d in "fb":
-        p |= {"w" + d: w(EMBED, 4 * HIDDEN), "u" + d: w(HIDDEN, 4 * HIDDEN), "b" + d: np.zeros(4 * HIDDEN)}
+        p |= {"w" + d: w(EMBED, 4 * HIDDEN), "u" + d: w(HIDDEN, 4 * HIDDEN), "b" + d: np.zeros(4 * HIDDEN, np.float32)}
         p["b" + d][HIDDEN : 2 * HIDDEN] = 1
-    m, v, step, mask = {q: 0.0 for q in p}, {q: 0.0 for q in p}, 0, allowed()
+    m, v, step, mask = {q: np.float32(0) for q in p}, {q: np.float32(0) for q in p}, 0, allowed()
     xs, ys = labelled(n, seed)
     for epoch in range(epochs):
         order = r.permutation(n)
@@ -240,11 +282,11 @@ def train(n: int = TRAINING, epochs: int = EPOCHS, seed: int = SEED) -> dict[str
             g["emb"] = np.zeros_like(p["emb"])
             np.add.at(g["emb"], x, ef + eb[:, ::-1])
             step += 1
-            rate = 0.02 * (1 - 0.9 * (epoch * n + a) / (epochs * n))
+            rate = np.float32(0.02 * (1 - 0.9 * (epoch * n + a) / (epochs * n)))
             for q in p:
                 m[q], v[q] = 0.9 * m[q] + 0.1 * g[q], 0.99 * v[q] + 0.01 * g[q] ** 2
-                p[q] = p[q] - rate * m[q] / (1 - 0.9**step) / (np.sqrt(v[q] / (1 - 0.99**step)) + 1e-8)
-    return {q: a.astype(np.float32) for q, a in p.items()} | {"tr": (p["tr"] + mask).astype(np.float32)}
+                p[q] = (p[q] - rate * m[q] / (1 - 0.9**step) / (np.sqrt(v[q] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    return p | {"tr": p["tr"] + mask}
 
 
 def viterbi(em: np.ndarray, tr: np.ndarray) -> np.ndarray:
@@ -261,10 +303,11 @@ def viterbi(em: np.ndarray, tr: np.ndarray) -> np.ndarray:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """(first, last window) of each run of windows that hold a digit or an at sign; window k begins at k * STRIDE."""
+    """(first, last window) of each run of windows within WINDOW of a trigger; window k begins at k * STRIDE."""
     runs: list[list[int]] = []
+    last = (max(0, len(text) - 1)) // STRIDE
     for m in TRIGGER.finditer(text):
-        a, b = max(0, (m.start() - WINDOW) // STRIDE + 1), m.start() // STRIDE
+        a, b = max(0, (m.start() - 2 * WINDOW) // STRIDE + 1), min(last, (m.start() + WINDOW) // STRIDE)
         if runs and a <= runs[-1][1] + 1:
             runs[-1][1] = max(runs[-1][1], b)
         else:
@@ -272,11 +315,11 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def tagged(text: str, weights: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
-    """(kind's number, start, end) of the network's spans, before any check."""
+def tagged(text: str, weights: dict[str, np.ndarray], everywhere: bool = False) -> list[tuple[int, int, int]]:
+    """(kind's number, start, end) of the network's spans, before any check; ``everywhere``: of all windows."""
     out = []
     centre = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-    for a, b in stretches(text):
+    for a, b in [(0, max(0, len(text) - 1) // STRIDE)] if everywhere else stretches(text):
         start, size = a * STRIDE, (b - a) * STRIDE + WINDOW
         c = np.zeros(size, np.uint8)
         own = codes(text[start : start + size])
@@ -298,15 +341,21 @@ def tagged(text: str, weights: dict[str, np.ndarray]) -> list[tuple[int, int, in
     return out
 
 
-def spans(text: str, weights: dict[str, np.ndarray]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans(text: str, weights: dict[str, np.ndarray], everywhere: bool = False) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those that the network adds; each by kind, then start."""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
+    taken, ends, reach = sorted((s, e) for _, s, e in base), [], 0
+    for _, e in taken:  # the furthest end up to each start
+        reach = max(reach, e)
+        ends.append(reach)
     added = []
-    for k, s, e in tagged(text, weights):
-        if _holds(k, text[s:e]) and not any(s < y and x < e for x, y in taken):
-            added.append((k, s, e))
-    return base, added
+    for k, s, e in tagged(text, weights, everywhere):
+        if clip := _clipped(k, text[s:e]):
+            s, e = s + clip[0], s + clip[1]
+            before = bisect_left(taken, (e, -1))  # base spans that begin before this one's end
+            if not before or ends[before - 1] <= s:
+                added.append((k, s, e))
+    return base, sorted(added)
 
 
 def _scan(weights: dict[str, np.ndarray]):

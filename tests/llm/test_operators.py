@@ -558,6 +558,85 @@ def test_network_on_held_out_spans():
     assert pii.spans("Version 2.0, 2024-01-02, 12:30:45", w) == ([], [])
 
 
+def variant(r: random.Random) -> tuple[str, str]:
+    """(kind, text) of personal data written otherwise than the patterns ask."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(3, 9)))
+
+    def card(n: int, head: str) -> str:
+        x = head + d(n - 1 - len(head))
+        return x + next(c for c in "0123456789" if pii.luhn(x + c))
+
+    c = card(16, "4")
+    return r.choice([
+        ("email", f"{word()}.{word()} @ {word()}.com"), ("email", f"{word()} [at] {word()} [dot] org"), ("email", f"{word()}(at){word()}.net"), ("email", f"{word()}@{word()}[.]com"),
+        ("ip", "[.]".join(str(r.randrange(256)) for _ in range(4))), ("ip", " . ".join(str(r.randrange(256)) for _ in range(4))),
+        ("card", ".".join((c[:4], c[4:8], c[8:12], c[12:]))), ("card", card(15, "37")), ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", f"{d(3)}-{d(3)}-{d(4)}"), ("phone", f"{d(3)}.{d(3)}.{d(4)}"), ("phone", f"0{d(2)} {d(4)} {d(4)}"),
+    ])
+
+
+def planted_variants(texts: list[str], n: int, seed: int) -> list[tuple]:
+    """(id, text, kind:start:end of what was put in) of texts without digits or at signs of their own."""
+    r, out = random.Random(seed), []
+    for i in range(n):
+        w = re.sub("[0-9@+]", "", r.choice(texts))[:2000].split(" ")
+        at, (kind, found) = r.randrange(len(w) + 1), variant(r)
+        left = " ".join(w[:at]) + " " if at else ""
+        out.append((i, " ".join([*w[:at], found, *w[at:]]), f"{kind}:{len(left)}:{len(left) + len(found)}"))
+    return out
+
+
+@pytest.fixture(scope="module")
+def variants(documents):
+    return planted_variants([t for _, t in pairs(documents) if t], 400, 77)
+
+
+def test_network_adds_what_patterns_miss(spark, variants, monkeypatch):
+    d = spark.createDataFrame(variants, "doc_id long, text string, want string")
+
+    def added() -> list[tuple[str, set[str]]]:
+        want = {i: w for i, _, w in variants}
+        return [(want[r.doc_id], set(r.spans.split(",")) - {""}) for r in pii.op9(d).collect()]
+
+    found = added()
+    right = sum(w in s for w, s in found)
+    assert right > 0.85 * len(found) and right > 0.95 * sum(len(s) for _, s in found)
+    assert all(pii.base_spans(t) == [] for _, t, _ in variants)
+    # without what it has learned the network adds nothing that is right
+    weights = {q: np.zeros_like(a) for q, a in pii.train().items()} | {"tr": pii.allowed()}
+    monkeypatch.setattr(pii, "train", lambda: weights)
+    assert sum(w in s for w, s in added()) == 0
+
+
+def test_windows_that_are_passed_over_change_nothing(documents, variants):
+    w = pii.train()
+    for text in [t for _, t in pairs(documents) if t and len(t) < 20_000] + [t for _, t, _ in variants[:100]]:
+        assert pii.spans(text, w) == pii.spans(text, w, everywhere=True)
+
+
+def test_spans_against_a_plain_version(spark, documents):
+    """The query's columns, derived from the texts one by one; overlaps by every pair."""
+    w, odd_ones = pii.train(), ["4465758382889437 4465758382889437", "a@b.org 4465758382889437 1.2.3.4 +1 (017) 555-7713", ""]
+    rows = [*pairs(documents), *((900_000 + i, t) for i, t in enumerate(odd_ones))]
+    for r in pii.op9(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r.doc_id] or ""
+        base = pii.base_spans(text)
+        more = {(k, s + c[0], s + c[1]) for k, s, e in pii.tagged(text, w) if (c := pii._clipped(k, text[s:e]))}
+        more = {(k, s, e) for k, s, e in more if not any(s < y and x < e for _, x, y in base)}
+        listed = lambda a: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(a))
+        assert (r.spans, r.base_sha256) == (listed({*base, *more}), hashlib.sha256(listed(base).encode()).hexdigest())
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in range(4)]
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    for unit in ("7", "1.", "1 ", "+1(", "a@", "a."):
+        began = time.process_time()
+        pii.base_spans(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 30, unit
+
+
 def test_mask(spark):
     d = spark.createDataFrame([(1, "a@b.org and 1.2.3.4.", 20), (2, None, None), (3, "clean text", 10)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask(d, chars_col="n_chars").collect()}
