@@ -1,10 +1,10 @@
 """Benchmark decontamination by winnowing.
 
 From every window of ``WINDOW - K + 1`` successive k-grams of words the least hash is kept, so that two texts that
-share ``WINDOW`` words share a fingerprint. Fingerprints of documents are joined with those of the benchmark; a hit
-is extended to all windows of ``WINDOW`` words that hold it, and these are compared word by word. Items shorter than
-``WINDOW`` are windows of their own length, for which winnowing promises nothing: their word sequences are looked up
-at every place of the documents, length by length.
+share ``WINDOW`` words share a fingerprint. Items shorter than ``WINDOW`` are windows of their own length, for which
+winnowing promises nothing: of these every place of a document is hashed. A document's fingerprints are first held
+against a bitmap of the benchmark's; each that it lets through is extended to all windows of ``WINDOW`` words that hold
+it, and these are joined with the items' windows word by word. So documents are read once and their texts never shuffled.
 
 Nulls and edges: a null text has no words; an item without words is no window; rows that repeat are judged each by
 itself; items that repeat an id count once; an empty table of documents gives no rows, an empty benchmark no hits.
@@ -12,10 +12,12 @@ itself; items that repeat an id count once; an empty table of documents gives no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, on_row_key, span, with_row_key, words
+from .common import ascii_lower, durable, let, on_row_key, span, with_row_key, words
 
 #: What separates words: all of ASCII but digits and letters, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,6 +25,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
 #: The benchmark's side of a join is broadcast up to so many rows of some 100 bytes; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Bits of the bitmap: fixed, whatever the benchmark's size; a larger benchmark lets more through to the join, no less.
+BITS = 1 << 20
 
 
 def _folded(text: str) -> Column:
@@ -58,40 +62,64 @@ def _hint(df: DataFrame) -> DataFrame:
 
 
 def _item_grams(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, size, gram, marks): each item's windows, with the fingerprints of those of full length."""
+    """(item_id, size, gram): each item's windows."""
     one = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.inline(F.array(F.struct(words(ascii_lower(F.col(text_col)), BETWEEN).alias("w"))))).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
     return one.select("item_id", size.alias("size"), F.inline(_windows(F.col("w"), size))).select("item_id", "size", "gram").distinct()
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables. The first has every row of the documents: doc_id, text_hash, n_words. The second, one row for
-    each window of each item that occurs: doc_id, text_hash, at (in words), size, gram, without repeats."""
-    grams = _item_grams(benchmark, item_col, item_text_col)
-    keyed = with_row_key(docs, id_col, text_col)
-    sizes = [r["size"] for r in grams.filter(F.col("size") < WINDOW).select("size").distinct().collect()]  # nine numbers at most
+def _places(hashed: Column) -> Column:
+    """Where in the bitmap a fingerprint stands; the low bits of one are its place in the text."""
+    return F.pmod(F.shiftrightunsigned(hashed, 3), F.lit(BITS).cast("bigint"))
+
 
-    marks = F.inline(let(words(_folded("text"), BETWEEN), _winnow))
-    asked = grams.filter(F.col("size") == WINDOW).select(F.inline(let(words(_folded("gram"), BETWEEN), _winnow))).select("hash").distinct()
-    hits = keyed.select("doc_id", "text_hash", marks).join(_hint(asked), "hash", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("at")).alias("hits"))
+def _short(size: int) -> Callable[[Column], Column]:
+    """Of an array of words array<struct<hash, at>>: all runs of ``size`` words."""
+    return lambda w: F.transform(span(F.lit(0), F.size(w) - size), lambda i: F.struct(F.xxhash64(F.slice(w, (i + 1).cast("int"), size)).alias("hash"), i.alias("at")))
 
-    rows = keyed.select("doc_id", "text_hash", F.regexp_count(F.lower("text"), F.lit(WORD)).cast("bigint").alias("n_words"))
 
-    none = F.expr("cast(array() as array<bigint>)")
-    one = on_row_key(keyed, hits, "left" if sizes else "inner").select("doc_id", "text_hash", F.coalesce("hits", none).alias("hits"), F.inline(F.array(F.struct(words(ascii_lower(F.col("text")), BETWEEN).alias("w")))))
-    lead = WINDOW - K  # a hit lies in the windows that begin so many words before it or later
-    near = F.array_distinct(F.flatten(F.transform("hits", lambda a: F.filter(span(a - lead, a), lambda i: (i >= 0) & (i <= F.size("w") - WINDOW)))))
-    full = F.transform(near, lambda i: F.struct(i.alias("at"), F.lit(WINDOW).alias("size"), F.array_join(F.slice("w", (i + 1).cast("int"), WINDOW), " ").alias("gram")))
-    short = [F.transform(_windows(F.col("w"), F.lit(n)), lambda x: F.struct(x["at"].alias("at"), F.lit(n).alias("size"), x["gram"].alias("gram"))) for n in sorted(sizes)]
-    places = one.select("doc_id", "text_hash", F.inline(F.concat(full, *short)))
-    found = places.join(_hint(grams.select("size", "gram").distinct()), ["size", "gram"], "left_semi").distinct()
-    return rows, found
+def _bitmap(grams: DataFrame, sizes: list[int]) -> Column:
+    """The bitmap of the items' fingerprints as an array of BITS / 64 longs, a literal of the plan."""
+    full = grams.filter(F.col("size") == WINDOW).select(F.inline(let(words(_folded("gram"), BETWEEN), _winnow))).select("hash")
+    for n in sizes:
+        full = full.unionByName(grams.filter(F.col("size") == n).select(F.inline(let(words(_folded("gram"), BETWEEN), _short(n)))).select("hash"))
+    bit = F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")
+    found = full.select(_places(F.col("hash")).alias("p")).groupBy((F.col("p") / 64).cast("bigint").alias("n")).agg(F.bit_or(bit).alias("bits")).collect()  # BITS / 64 rows at most
+    longs = [0] * (BITS // 64)
+    for r in found:
+        longs[r["n"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+
+
+def occurrences(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables. The first has every row of the documents: doc_id, text_hash, n_words. The second, one row for
+    each window of each item (item_id, size, gram) that occurs: doc_id, text_hash, at (in words), size, gram, without repeats."""
+    sizes = sorted(r["size"] for r in grams.filter(F.col("size") < WINDOW).select("size").distinct().collect())  # nine numbers at most
+    bits = _bitmap(grams, sizes)
+    # two rows (texts) of one id and hash are one text; each row counts
+    keyed = with_row_key(docs, id_col, text_col).withColumns({"w": words(ascii_lower(F.col("text")), BETWEEN), "folded": words(_folded("text"), BETWEEN)}).drop("text")
+    one = keyed.select("doc_id", "text_hash", F.inline(F.array(F.struct("w", "folded"))))
+    known = lambda x: F.getbit(F.get(bits, (_places(x["hash"]) / 64).cast("int")), F.pmod(_places(x["hash"]), F.lit(64).cast("bigint")).cast("int")) == 1
+    lead = WINDOW - K  # a fingerprint lies in the windows that begin so many words before it or later
+    near = lambda x: F.filter(span(x["at"] - lead, x["at"]), lambda i: (i >= 0) & (i <= F.size("w") - WINDOW))
+    at = F.array_distinct(F.flatten(F.transform(F.filter(_winnow(F.col("folded")), known), near)))
+
+    def grams_at(places: Column, n: int) -> Column:
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("w", (i + 1).cast("int"), n), " ").alias("gram")))
+
+    windows = [grams_at(at, WINDOW)] + [grams_at(F.transform(F.filter(_short(n)(F.col("folded")), known), lambda x: x["at"]), n) for n in sizes]
+    # every document gives a row of its own, the first, whether or not a window follows
+    own = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("string").alias("gram"))
+    places = one.select("doc_id", "text_hash", F.size("w").cast("bigint").alias("n_words"), F.inline(F.concat(F.array(own), *windows)))
+    held = grams.select("size", "gram").distinct().withColumn("held", F.lit(True))
+    judged = durable(places.join(_hint(held), ["size", "gram"], "left").filter("held or size is null").select("doc_id", "text_hash", "n_words", "at", "size", "gram"))
+    return judged.filter("size is null").select("doc_id", "text_hash", "n_words"), judged.filter("size is not null").select("doc_id", "text_hash", "at", "size", "gram").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row."""
-    grams = _item_grams(benchmark, item_col, item_text_col)
-    rows, found = occurrences(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    grams = durable(_item_grams(benchmark, item_col, item_text_col))
+    rows, found = occurrences(docs, grams, id_col, text_col)
     # words hit: the union of the intervals, in order of their start
     runs = F.sort_array(F.collect_list(F.struct("at", "size")))
     state = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
@@ -109,10 +137,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns as they were, in which no item's window occurs."""
-    _, found = occurrences(docs, benchmark)
-    whole = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    bad = found.select(F.col("doc_id").alias("_bad_id"), "text_hash").distinct()
-    return whole.join(bad, whole["doc_id"].eqNullSafe(bad["_bad_id"]) & (whole["_hash"] == bad["text_hash"]), "left_anti").drop("_hash")
+    _, found = occurrences(docs, durable(_item_grams(benchmark, "item_id", "text")))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"))
+    bad = _hint(found.select("doc_id", "text_hash").distinct())
+    return whole.join(bad, whole["id"].eqNullSafe(bad["doc_id"]) & (whole["hash"] == bad["text_hash"]), "left_anti").select("row.*")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
