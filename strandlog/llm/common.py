@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: White space that separates words in the word rules: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,17 +73,6 @@ def on_row_key(left: DataFrame, right: DataFrame, how: str = "left") -> DataFram
     return left.join(r, (left["doc_id"].eqNullSafe(r["_r_id"])) & (left["text_hash"] == r["_r_hash"]), how).drop("_r_id", "_r_hash")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that driver and executors share; one of this machine's only where all is on this machine."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

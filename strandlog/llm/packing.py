@@ -10,6 +10,7 @@ along; texts of any length are encoded whole; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,34 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0, dtype=np.int32)
 
 
+# How the public file cuts and folds texts, as its own JSON has it.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(t) -> bool:
+    """Whether ``t`` cuts texts by the rule that ``word_encoder`` relies on. No text of another rule is encoded word by word."""
+    rule = json.loads(t.to_str())
+    model = rule["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return plain and rule["normalizer"] == NORMALIZER and rule["pre_tokenizer"] == PRE_TOKENIZER and all(x.get("special") for x in rule["added_tokens"])
+
+
 def encoder(t, most: int = 100_000):
-    """Texts to the bytes of their ids (unsigned, 32 bits, little-endian), as ``t`` gives them for whole texts.
+    """Texts to the bytes of their ids (unsigned, 32 bits, little-endian), as ``t`` gives them for whole texts."""
+    if by_words(t):
+        return word_encoder(t, most)
+    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def word_encoder(t, most: int = 100_000):
+    """As ``encoder``, for tokenizers of which ``by_words`` holds.
 
     Its rule never joins what a space or line feed separates, so what lies between those is encoded once for all the
     texts of a call. Words that differ in case or in a mark at their end share the encoding: the rule lower-cases, and

@@ -95,6 +95,33 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(encode([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_other_tokenizers(spark, tmp_path):
+    """A byte-level vocabulary that keeps case and spaces: no word goes its own way."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    merges = [("t", "h"), ("th", "e"), ("T", "h"), ("Ġ", "the")]
+    vocab = {x: i for i, x in enumerate([*alphabet, *("".join(m) for m in merges)])}
+    t = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    path = str(tmp_path / "bytes.json")
+    t.save(path)
+    assert packing.by_words(Tokenizer.from_file(packing.tokenizer_path())) and not packing.by_words(t)
+    texts = ["The the THE.", "", None, "a\n\nthe é, the"]
+    got = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path=path).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {i: [*t.encode(x or "", add_special_tokens=False).ids, packing.END] for i, x in enumerate(texts)}
+
+
+def test_buckets_hold_pieces_of_one_length(spark, odd, tmp_path):
+    pieces = packing.pack(odd)
+    packing.write_buckets(pieces, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    assert back.count() == pieces.count() and back.filter("length <> shiftleft(1, bucket)").count() == 0
+    assert back.groupBy("bucket").agg(F.countDistinct("length").alias("n")).filter("n > 1").count() == 0
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert secrets.trigram_query("[0-9a-f]+") == [frozenset()]
@@ -668,8 +695,72 @@ def test_counts_follow_edits():
     assert big.edit(100_000, 3, "new") < 5_000  # only what is near
 
 
+def edited(text: str, at: int, cut: int, put: str) -> str:
+    at = min(at, len(text))
+    return text[:at] + put + text[at + cut :]
+
+
+def test_large_leaves_are_split_in_place():
+    counter, r = counts._counter(None, None), random.Random(8)
+    tree, text = counts.Tree("a few words here " * 3000, counter), "a few words here " * 3000
+    for _ in range(60):
+        at, put = r.randrange(len(text)), "more of it, 12 " * r.randrange(1, 200)
+        before = tree.encoded
+        tree.edit(at, 5, put)
+        text = edited(text, at, 5, put)
+        assert tree.encoded - before < len(put) + 3000
+        assert (tree.chars, tree.tokens) == (len(text), len(counter._encoding.encode_ordinary(text)))
+    assert "".join(x for leaf in tree.leaves() for x in leaf.pieces) == text
+    assert max(len(leaf.pieces) for leaf in tree.leaves()) <= counts.FULL
+
+
+def test_trees_kept_over_three_versions(spark):
+    counter, r = counts._counter(None, None), random.Random(15)
+    full = lambda s: len(counter._encoding.encode_ordinary(s))
+    parts = ["a", "b ", "  ", "\n", "'s", "12", "é", "...", "the ", "some words here ", "\t", "日本"]
+    texts = {i: "".join(r.choice(parts) for _ in range(r.choice([0, 1, 50, 3000]))) for i in range(30)} | {30: "one " * 40_000, 31: " " * 3000, 32: ""}
+    rows = [*texts.items(), (None, "no id"), (None, None), (4, texts[4])]
+    trees = counts.plant(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert trees.filter("doc_id = 30").count() > 400
+    for version in range(3):
+        edits = []
+        for i in texts:
+            for seq in range(r.choice([0, 1, 3])):
+                at, cut, put = r.randrange(len(texts[i]) + 3), r.choice([0, 1, 7, 400]), "".join(r.choice(parts) for _ in range(r.choice([0, 1, 3, 900])))
+                edits.append((i, seq, at, cut, put))
+                texts[i] = edited(texts[i], at, cut, put)
+        after = counts.apply_edits(trees, spark.createDataFrame(edits, "doc_id long, seq long, start long, removed long, inserted string"))
+        got = {(x.doc_id, x.n_tokens, x.n_chars) for x in counts.tree_counts(after).collect()}
+        assert got == {(i, full(t), len(t)) for i, t in texts.items()} | {(None, full("no id"), 5), (None, 0, 0)}
+        leaves = after.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("leaf", "pieces"))).alias("x")).collect()
+        assert {x.doc_id: "".join(p for leaf in x.x for p in leaf.pieces) for x in leaves} == texts
+        assert after.groupBy("doc_id", "planted", "leaf").count().filter("count > 1").count() == 0
+        same = after.filter("doc_id = 30").join(trees.filter("doc_id = 30"), ["leaf", "pieces"]).count()
+        assert same > after.filter("doc_id = 30").count() - 40  # all but the leaves at the edits are as they were
+        trees = spark.createDataFrame(after.collect(), after.schema)
+
+
+def test_counts_against_a_plain_version(spark, documents):
+    counter = counts._counter(None, None)
+    full = lambda s: len(counter._encoding.encode_ordinary(s))
+    for r in counts.op10(documents).collect():
+        before = dict(pairs(documents))[r.doc_id] or ""
+        n = len(before)
+        after = edited(edited(edited(before, n // 3, 0, " put in, it's new "), 2 * n // 3, 10, ""), n + 8, 0, "\nThe end.")
+        assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited, r.n_edits) == (full(before), full(after), len(after), 3)
+
+
 def test_edits_from_a_table(spark):
     d = spark.createDataFrame([(1, "hello world"), (2, None), (3, "as it was")], "doc_id long, text string")
     e = spark.createDataFrame([(1, 2, 5, 0, "!"), (1, 1, 0, 6, ""), (2, 1, 99, 1, "new text")], "doc_id long, seq long, start long, removed long, inserted string")
-    got = {r.doc_id: (r.n_chars_edited, r.n_edits) for r in counts.count_tokens(counts.with_edits(d, e)).collect()}
-    assert got == {1: (6, 2), 2: (8, 1), 3: (9, 0)}
+    for docs in (d, d.withColumn("_e", F.lit(1)).withColumn("edits", F.lit("x")).withColumn("id", F.lit(7)).withColumn("listed", F.lit(8))):  # columns of any name
+        got = {r.doc_id: (r.n_chars_edited, r.n_edits) for r in counts.count_tokens(counts.with_edits(docs, e)).collect()}
+        assert got == {1: (6, 2), 2: (8, 1), 3: (9, 0)}
+        assert set(docs.columns) | {"edits"} == set(counts.with_edits(docs, e).columns)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "alpha beta gamma", 5, "x", "y", 6, 7, True)], "doc_id long, text string, _hash long, _id string, _row_hash string, row long, id long, stays boolean")
+    b = spark.createDataFrame([("b1", "alpha beta"), ("b2", "no such words")], "item_id string, text string")
+    assert simhash.keep_first(d).collect() == d.collect()
+    assert decontaminate.clean(d, b.filter("item_id = 'b2'")).collect() == d.collect() and decontaminate.clean(d, b).count() == 0
