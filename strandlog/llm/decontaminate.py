@@ -97,20 +97,27 @@ def occurrences(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_
     sizes = sorted(r["size"] for r in grams.filter(F.col("size") < WINDOW).select("size").distinct().collect())  # nine numbers at most
     bits = _bitmap(grams, sizes)
     # two rows (texts) of one id and hash are one text; each row counts
-    keyed = with_row_key(docs, id_col, text_col).withColumns({"w": words(ascii_lower(F.col("text")), BETWEEN), "folded": words(_folded("text"), BETWEEN)}).drop("text")
-    one = keyed.select("doc_id", "text_hash", F.inline(F.array(F.struct("w", "folded"))))
+    keyed = with_row_key(docs, id_col, text_col).select("doc_id", "text_hash", "text", F.inline(F.array(F.struct(words(_folded("text"), BETWEEN).alias("folded")))))
     known = lambda x: F.getbit(F.get(bits, (_places(x["hash"]) / 64).cast("int")), F.pmod(_places(x["hash"]), F.lit(64).cast("bigint")).cast("int")) == 1
     lead = WINDOW - K  # a fingerprint lies in the windows that begin so many words before it or later
-    near = lambda x: F.filter(span(x["at"] - lead, x["at"]), lambda i: (i >= 0) & (i <= F.size("w") - WINDOW))
-    at = F.array_distinct(F.flatten(F.transform(F.filter(_winnow(F.col("folded")), known), near)))
+    near = lambda x: F.filter(span(x["at"] - lead, x["at"]), lambda i: (i >= 0) & (i <= F.size("folded") - WINDOW))
+    full = F.array_distinct(F.flatten(F.transform(F.filter(_winnow(F.col("folded")), known), near)))
+    short = [F.transform(F.filter(_short(n)(F.col("folded")), known), lambda x: x["at"]) for n in sizes]
+    let_through = keyed.select("doc_id", "text_hash", "text", F.inline(F.array(F.struct(F.size("folded").cast("bigint").alias("n_words"), full.alias("at0"), *[x.alias(f"at{n}") for n, x in zip(sizes, short, strict=True)]))))
+    # words as they are compared: only of documents that the bitmap lets through
+    any_of = F.size("at0") > 0
+    for n in sizes:
+        any_of = any_of | (F.size(f"at{n}") > 0)
+    w = F.when(any_of, words(ascii_lower(F.col("text")), BETWEEN)).otherwise(F.array().cast("array<string>"))
+    one = let_through.select("doc_id", "text_hash", "n_words", "at0", *[f"at{n}" for n in sizes], F.inline(F.array(F.struct(w.alias("w")))))
 
-    def grams_at(places: Column, n: int) -> Column:
+    def grams_at(places: str, n: int) -> Column:
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("w", (i + 1).cast("int"), n), " ").alias("gram")))
 
-    windows = [grams_at(at, WINDOW)] + [grams_at(F.transform(F.filter(_short(n)(F.col("folded")), known), lambda x: x["at"]), n) for n in sizes]
+    windows = [grams_at("at0", WINDOW), *[grams_at(f"at{n}", n) for n in sizes]]
     # every document gives a row of its own, the first, whether or not a window follows
     own = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("string").alias("gram"))
-    places = one.select("doc_id", "text_hash", F.size("w").cast("bigint").alias("n_words"), F.inline(F.concat(F.array(own), *windows)))
+    places = one.select("doc_id", "text_hash", "n_words", F.inline(F.concat(F.array(own), *windows)))
     held = grams.select("size", "gram").distinct().withColumn("held", F.lit(True))
     judged = durable(places.join(_hint(held), ["size", "gram"], "left").filter("held or size is null").select("doc_id", "text_hash", "n_words", "at", "size", "gram"))
     return judged.filter("size is null").select("doc_id", "text_hash", "n_words"), judged.filter("size is not null").select("doc_id", "text_hash", "at", "size", "gram").distinct()
