@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .latest import first_wins
+
 #: The log's schema at rest, and structural pushes by type with the kind that each becomes.
 EVENT = "id bigint, stream string, offset_in_stream bigint, kind string, ts string, payload string, source string, created_at timestamp"
 STRUCTURAL = {
@@ -64,3 +66,20 @@ def replace_state(current: DataFrame, snapshot: DataFrame, keys: list[str], scop
 def rerender(current: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Fresh rows replace or join the projection's; nothing goes."""
     return current.join(fresh, keys, "left_anti").unionByName(fresh.select(*current.columns))
+
+
+#: By which fields of their payload events of a kind are the same event; other kinds may repeat.
+FAMILIES = {
+    "message": ("ts",), "user_added": ("id",), "parent_replied": ("parent_ts", "reply_count"), "channel_id_changed": ("old_channel_id", "new_channel_id", "event_ts"), "channel_history_changed": ("channel_id", "latest", "ts", "event_ts"),
+    "channel_member_joined": ("channel_id", "user_id", "event_ts"), "channel_member_left": ("channel_id", "user_id", "event_ts"), "tokens_revoked": ("tokens",), "backfill_run_started": ("run_id",), "backfill_run_finished": ("run_id",), "backfill_page_committed": ("run_id", "page_index"),
+}
+
+
+def first_of_family(events: DataFrame, order: str = "id") -> DataFrame:
+    """The events (stream, kind, payload struct, ...) that a log would take, one after the other: of a kind with a key the
+    first of each stream and key; of other kinds all. A key with an absent part equals none. All families in one pass."""
+    text = lambda c: F.col(f"payload.{c}").cast("string")
+    keys = F.create_map(*[x for kind, cols in FAMILIES.items() for x in (F.lit(kind), F.array(*[text(c) for c in cols]))])
+    keyed = events.withColumn("_key", keys[F.col("kind")])
+    whole = F.when(F.col("_key").isNotNull() & ~F.exists("_key", lambda x: x.isNull()), F.to_json("_key"))
+    return first_wins(keyed.withColumn("_key", whole), [F.col("stream"), F.col("kind"), F.col("_key")], [F.col(order)]).drop("_key")

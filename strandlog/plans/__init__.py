@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import completeness, ingest, state, text
+from . import completeness, ingest, projection, state, text
 from .registry import ORACLES, QUERIES, Query
 
 
@@ -14,4 +14,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["completeness", "ingest", "oracle_sql", "queries", "state", "text"]
+__all__ = ["completeness", "ingest", "oracle_sql", "projection", "queries", "state", "text"]
