@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 LENGTH, END = 2048, 1
 #: So many characters are encoded at once.
-TEXT_AT_ONCE = 1 << 24
+TEXT_AT_ONCE = 1 << 22
 
 
 def tokenizer_path() -> str:
@@ -178,6 +178,7 @@ def _pieces(path: str | None, length: int, end: int, digest: bool):
                         content.append(zlib.crc32(ids[at : at + n]) if digest else ids[at : at + n].astype(np.int32))
                         at += n
                 kind = pa.int64() if digest else pa.list_(pa.int32())
+                pa.default_memory_pool().release_unused()  # workers live on between tasks
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(content, kind), pa.array(totals, pa.int64())], ["doc_id", "start", "length", "content", "doc_tokens"])
 
     return run
