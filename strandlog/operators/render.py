@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CHANNEL, USER, mentions, structural
+from ..functions.text import CHANNEL, USER, mentions, slugify, structural
 from ..functions.times import local
 from .inventory import unique_slugs
 
@@ -107,6 +107,11 @@ def thread_slug_body(block: Column) -> Column:
     return F.left(F.regexp_replace(F.array_join(lines, "\n"), r"\A\s+|\s+\z", ""), F.lit(120))
 
 
+def thread_slug(block: Column, ts: Column) -> Column:
+    """A thread's name: the slug of its first message's own text, or its time where that has no letter."""
+    return F.coalesce(F.nullif(slugify(thread_slug_body(block)), F.lit("")), F.concat(F.lit("ts-"), ts))
+
+
 def transcript(sections: Column) -> Column:
     """Sections array<struct<type, elements: array<struct<type, name, text, bold>>>> as paragraphs; empty ones fall away."""
 

@@ -12,7 +12,7 @@ from ..operators.latest import latest_per_key
 from ..sources import adapter as a
 from .completeness import _DAYS_SQL, _DATE, _gaps
 from .registry import query
-from .state import CL, LOG, UL
+from .state import ACTIVE_SQL, CL, LOG, UL
 
 _CONV_SQL = """cv AS (SELECT conv_id || ':' || turn AS key, conv_id, turn, role,
  CASE conv_id % 7 WHEN 0 THEN '<@U' || conv_id % 300 || '|old> *bold* ' WHEN 1 THEN '<#C' || conv_id % 300 || '> _it_ ' WHEN 2 THEN '<https://x.org/a|label> **b** ' WHEN 3 THEN '<!here> ~gone~ ' WHEN 4 THEN '<!subteam^S1|@team> <!subteam^S2> ' WHEN 5 THEN '<@U' || conv_id % 300 || '><http://y.org> ' ELSE '' END || coalesce(text, '') AS m FROM conversations)"""
@@ -83,6 +83,12 @@ def t2_message_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("channel_id", "us", "ts", render.message_block(ZONE).alias("block"))
 
 
+@query(f"""{LOG}, {ACTIVE_SQL} SELECT channel_id, msg_ts AS ts, 'hello-u' || k || CASE WHEN k % 7 = 0 THEN '-t-x-http-z' ELSE '' END || CASE WHEN k % 4 = 0 THEN '-wave-' || k ELSE '' END AS slug FROM act""")
+def t10_thread_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of threads from their first message's own text."""
+    return t2_message_blocks(spark, sf_dir).select("channel_id", "ts", render.thread_slug(F.col("block"), F.col("ts")).alias("slug"))
+
+
 @query()
 def t7_day_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t2_message_blocks(spark, sf_dir).withColumn("name", F.concat(F.lit("n"), "channel_id"))
@@ -121,7 +127,15 @@ def t11_canvas_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c9_slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.slugify(F.left("text", F.lit(120))).alias("slug"))
+    """Accents are taken apart in Python; tests hold it against a plain version, and the next query the rest by SQL."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.slugify(F.col("text")).alias("slug"))
+
+
+@query("""WITH b AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '-') AS b FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]')),
+c AS (SELECT doc_id, b, left(b, 60) AS c FROM b) SELECT doc_id, CASE WHEN length(b) <= 60 THEN b WHEN contains(c, '-') AND length(c) - strpos(reverse(c), '-') > 20 THEN left(c, length(c) - strpos(reverse(c), '-')) ELSE c END AS slug FROM c""")
+def c9_slugify_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents without other letters than ASCII's."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]")).select("doc_id", t.slugify(F.col("text")).alias("slug"))
 
 
 @query("SELECT c_custkey, CASE WHEN length(b) <= 60 THEN b ELSE left(b, 60) END AS slug FROM (SELECT c_custkey, trim(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-') AS b FROM customer)")

@@ -65,6 +65,72 @@ def test_canvas(spark):
     assert spark.createDataFrame([(page,), ("<p>no heading</p>",)], "x string").select(t.canvas_markdown(F.col("x"))).collect()[0][0] == "# Title\n\none **two** [link](/l)\nthree & four\n\n- i"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<h1>A</h1><br><b>x</b><blockquote>q</blockquote>", "# A\n\n**x**q"), ("<h1>A</h1><input type=\"checkbox\" checked>done <input type=\"checkbox\"/>open <link rel=x>y", "# A\n[x] done [ ] open y"),
+        ("<h1>A</h1><i>it</i> <em>em</em> <strong>s</strong><hr>t", "# A\n*it* *em* **s**\n---\nt"), ("<h1>A</h1><p>open <b>never closed<p>next", "# A\n\nopen never closed\nnext"), ("<h1>A</h1><img alt=\"smile\" src=x>smile</img> <img src=y> :smile:smile:", "# A\n:smile: :smile:"),
+        ("<h2>before</h2><h1>A</h1><h3> deep </h3></i><ul><li>a<li>b</li></ul>", "# A\n\n### deep\na\n- b"), ("<h1>A &lt;b&gt;</h1>&amp;nbsp;", "# A <b>\n&nbsp;"),
+    ],
+)
+def test_canvas_cases(spark, page, want):
+    assert spark.createDataFrame([(page,)], "x string").select(t.canvas_markdown(F.col("x"))).first()[0] == want
+
+
+def test_canvas_of_all_pages(spark, sf):
+    """Against a plain version for the few tags that these pages have."""
+    import html
+    import re
+
+    def plain(page: str) -> str | None:
+        at = page.find("<h1")
+        if at < 0:
+            return None
+        x = re.sub(r"<(b)>(.*?)</b>", r"**\2**", page[at:].split("</body>")[0], flags=re.S)
+        x = re.sub(r"<h1>\s*(.*?)\s*</h1>", r"\n# \1\n", x, flags=re.S)
+        x = html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<p>|</p>|<br>", "\n", x)))
+        return re.sub(r"\n{3,}", "\n\n", re.sub(" +", " ", re.sub(r"([a-z_0-9-]+):\1", r"\1", x))).strip()
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("html", t.canvas_markdown("html").alias("m")).collect()
+    assert [r.m for r in pages] == [plain(r.html) for r in pages] and any(r.m for r in pages)
+
+
+def test_structural_of_all_texts(spark, sf):
+    """Against the rules read by another engine of expressions, over all made-up markup."""
+    import re
+
+    from strandlog.plans.text import conversation_markup
+
+    def plain(x: str) -> str:
+        x = re.sub(r"<([@#])([UC][A-Z0-9]+)\|[^>]+>", lambda m: f"<{m[1]}{m[2]}>" if m[1] + m[2][0] in ("@U", "#C") else m[0], x)
+        x = re.sub(r"<(https?://[^|>]+)(?:\|([^>]+))?>", lambda m: f"[{m[2]}]({m[1]})" if m[2] else m[1], x)
+        x = re.sub(r"<!(?:(here|channel|everyone)|subteam\^[A-Z0-9]+\|(@[^>]+)|subteam\^([A-Z0-9]+))>", lambda m: m[2] or "@" + (m[1] or m[3]), x)
+        for c, to in (("*", "**"), ("_", "*"), ("~", "~~")):
+            x = re.sub(rf"(?<!{re.escape(c)})\{c}([^{re.escape(c)}\n]+)\{c}(?!{re.escape(c)})", lambda m, to=to: to + m[1] + to, x)
+        return x
+
+    rows = conversation_markup(spark, sf).select("m", t.structural(F.col("m")).alias("s")).collect()
+    assert [r.s for r in rows] == [plain(r.m) for r in rows]
+
+
+def test_slugs_of_all_documents(spark, sf):
+    import re
+    import unicodedata
+
+    def plain(x: str | None) -> str:
+        x = re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKD", x or "").encode("ascii", "ignore").decode().lower()).strip("-")
+        cut = x[:60]
+        return x if len(x) <= 60 else cut[: cut.rfind("-")] if cut.rfind("-") > 20 else cut
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text", t.slugify(F.col("text")).alias("s")).collect()
+    assert [r.s for r in rows] == [plain(r.text) for r in rows]
+
+
+def test_thread_slug(spark):
+    d = spark.createDataFrame([("## 12:00 <@U1>\n\nAn idea: x\n\n:a: 2  :b: 1\n\n📎 [n](m)\n\n> Thread: 3 replies\n", "1.5"), ("## 12:00 @bot\n", "1.5"), ("## 1\n\n!!!\n", "2.5")], "b string, ts string")
+    assert [r[0] for r in d.select(render.thread_slug(F.col("b"), F.col("ts"))).collect()] == ["an-idea-x", "ts-1.5", "ts-2.5"]
+
+
 def test_days_of_other_lengths(spark):
     d = spark.createDataFrame([("2024-03-31",), ("2024-10-27",), ("2024-06-01",)], "d string")
     a, b = times.local_day_range(F.col("d").cast("date"), "Europe/Berlin")
