@@ -69,9 +69,18 @@ def t4_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 ZONE = "Pacific/Auckland"
 
 
-@query()
+def _clock(us: str) -> str:
+    return f"strftime(timezone('{ZONE}', timezone('UTC', make_timestamp({us}))), '%H:%M')"
+
+
+_BLOCKS_SQL = f"""{LOG}, {ACTIVE_SQL}, bk AS (SELECT channel_id, us, msg_ts AS ts, concat_ws(chr(10) || chr(10), '## ' || {_clock("us")} || ' ' || CASE WHEN k % 5 = 0 THEN '@bot' ELSE '<@U' || k || '>' END || CASE WHEN k % 6 = 0 THEN ' *(edited ' || {_clock("us + 60000000")} || ')*' ELSE '' END,
+  '**hello** <@U' || k || '>', CASE WHEN k % 7 = 0 THEN '**T**' || chr(10) || chr(10) || '*x*' || chr(10) || chr(10) || '<http://z>' END, CASE WHEN k % 4 = 0 THEN ':wave: ' || k END,
+  CASE WHEN k % 16 = 0 THEN '[Huddle Notes](a.png)' WHEN k % 8 = 0 THEN '📎 [a.png](attachments/a.png)' END, CASE WHEN reply_count > 0 AND thread_ts = msg_ts THEN '> Thread: ' || reply_count || ' replies' END) || chr(10) AS block FROM act)"""
+
+
+@query(f"{_BLOCKS_SQL} SELECT * FROM bk")
 def t2_message_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of messages with reactions, files, attachments and threads; held by string-exact tests."""
+    """Blocks of messages with reactions, files, attachments and threads."""
     log = a.channel_log(spark, sf_dir)
     k = F.col("k")
     m = folds.active_messages(log).select(
@@ -89,7 +98,8 @@ def t10_thread_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t2_message_blocks(spark, sf_dir).select("channel_id", "ts", render.thread_slug(F.col("block"), F.col("ts")).alias("slug"))
 
 
-@query()
+@query(f"""{_BLOCKS_SQL}, dy AS (SELECT channel_id, strftime(timezone('{ZONE}', timezone('UTC', make_timestamp(us))), '%Y-%m-%d') AS day, string_agg(block, chr(10) ORDER BY ts, block) AS body FROM bk GROUP BY 1, 2)
+SELECT channel_id, day, '---' || chr(10) || 'channel: n' || channel_id || chr(10) || 'channel_id: ' || channel_id || chr(10) || 'date: ' || day || chr(10) || '---' || chr(10) || body AS document FROM dy""")
 def t7_day_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t2_message_blocks(spark, sf_dir).withColumn("name", F.concat(F.lit("n"), "channel_id"))
     return render.day_documents(b, ZONE)
