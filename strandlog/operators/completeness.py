@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import json_has_key
 from ..functions.times import is_loose_ts, utc_day
 from .folds import active_candidates
 from .latest import islands, latest_per_key
@@ -149,3 +150,9 @@ def parity(left: DataFrame, middle: DataFrame, right: DataFrame, key: str) -> Da
     j = named[0].join(named[1], key, "full_outer").join(named[2], key, "full_outer")
     cols = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("left_n", "middle_n", "right_n")]
     return j.select(key, *cols).withColumn("same", (F.col("left_n") == F.col("middle_n")) & (F.col("middle_n") == F.col("right_n")))
+
+
+def probe_kind(call: Column) -> Column:
+    """What a sample asked for, by which keys its call (JSON) has: neither bound, the upper one, both; else null."""
+    latest, oldest = json_has_key(call, "latest"), json_has_key(call, "oldest")
+    return F.when(~latest & ~oldest, "newest").when(latest & ~oldest, "older").when(latest & oldest, "between")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .latest import first_wins
@@ -83,3 +84,27 @@ def first_of_family(events: DataFrame, order: str = "id") -> DataFrame:
     keyed = events.withColumn("_key", keys[F.col("kind")])
     whole = F.when(F.col("_key").isNotNull() & ~F.exists("_key", lambda x: x.isNull()), F.to_json("_key"))
     return first_wins(keyed.withColumn("_key", whole), [F.col("stream"), F.col("kind"), F.col("_key")], [F.col(order)]).drop("_key")
+
+
+def replay_then_live(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """(stream, since, off, phase) of subscriptions (stream, since, at_us): what lies behind ``since`` up to the head at that
+    moment is replayed, then ``caught_up`` at the head, then what comes later is live; each event once. A ``since`` beyond
+    the head gives one row with that error; a stream without events yet is caught up at 0."""
+    heads = requests.select("stream", "at_us").distinct().join(log.select("stream", "us", "off"), "stream", "left").groupBy("stream", "at_us").agg(F.coalesce(F.max(F.when(F.col("us") <= F.col("at_us"), F.col("off"))), F.lit(0)).alias("head"))
+    j = requests.join(heads, ["stream", "at_us"])
+    marks = j.select("stream", "since", F.col("head").alias("off"), F.when(F.col("since") > F.col("head"), "since_beyond_head").otherwise("caught_up").alias("phase"))
+    events = j.filter("since <= head").join(log.select("stream", F.col("off").alias("_off")), "stream").filter("_off > since")
+    return marks.unionByName(events.select("stream", "since", F.col("_off").alias("off"), F.when(F.col("_off") <= F.col("head"), "replay").otherwise("live").alias("phase")))
+
+
+def dirty_batches(marks: DataFrame, from_us: int, tick_us: int, most: int) -> DataFrame:
+    """(path, tick, first_us, drain) of marks (path, us): each path once a tick, at its first mark, drained ``most`` at a time."""
+    first = marks.withColumn("tick", F.floor((F.col("us") - from_us) / tick_us)).groupBy("path", "tick").agg(F.min("us").alias("first_us"))
+    place = F.row_number().over(W.partitionBy("tick").orderBy("first_us", "path")) - 1
+    return first.withColumn("drain", F.floor(place / most).cast("bigint"))
+
+
+def drifted(rendered: DataFrame, current: DataFrame) -> DataFrame:
+    """(path) of what was rendered at other offsets than its dependencies (path, stream, off) have now: to be marked again."""
+    j = rendered.select("path", "stream", F.col("off").alias("_was")).join(current.select("stream", F.col("off").alias("_is")), "stream")
+    return j.filter("_is <> _was").select("path").distinct()

@@ -53,6 +53,14 @@ def backfill_metrics(runs: DataFrame) -> DataFrame:
     return n.join(last, "channel_id")
 
 
+def in_progress(runs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(channel_id, messages_so_far, first): channels whose latest event is a start or a page, in order; ``first``: marked by
+    an operator, and so before the others."""
+    last = latest_per_key(runs, ["channel_id"], [F.desc("id")]).filter("kind in ('started', 'page')")
+    j = last.join(marked.select("channel_id", F.lit(True).alias("_m")), "channel_id", "left")
+    return j.select("channel_id", F.when(F.col("kind") == "page", F.coalesce("messages", F.lit(0))).otherwise(0).cast("bigint").alias("messages_so_far"), F.coalesce("_m", F.lit(False)).alias("first")).orderBy(F.desc("first"), "channel_id")
+
+
 def resume_anchor(runs: DataFrame) -> DataFrame:
     """(channel_id, run_id): the run to go on with, of runs without a lower bound. The latest, if it has pages and no end;
     if it has neither, the latest before it with pages and no end that is newer than the channel's last end."""

@@ -29,6 +29,26 @@ def depth(inbox: DataFrame, now_us: int) -> DataFrame:
     return waiting.agg(F.count("*").alias("n_pending"), F.greatest(F.lit(0), F.floor((now_us - F.min("received_us")) / 1_000_000)).cast("bigint").alias("oldest_age_s"))
 
 
+def enqueue(inbox: DataFrame, arrivals: DataFrame, now_us: int) -> DataFrame:
+    """The queue with what arrived (event_id): what is there already is not put in again, nor what arrives twice."""
+    new = arrivals.select("event_id").distinct().join(inbox.select("event_id"), "event_id", "left_anti")
+    empty = lambda c: F.lit(None).cast("bigint").alias(c)
+    return inbox.unionByName(new.select("event_id", F.lit(now_us).cast("bigint").alias("received_us"), F.lit(0).cast("bigint").alias("attempts"), empty("processed_us"), empty("dead_us"), F.lit(now_us).cast("bigint").alias("next_us")))
+
+
+def settle(inbox: DataFrame, outcomes: DataFrame, now_us: int) -> DataFrame:
+    """The queue after attempts (event_id, ok) at what was due: done, due again later, or given up. Others stay."""
+    j = inbox.join(outcomes.select("event_id", "ok"), "event_id", "left")
+    tried = F.col("ok").isNotNull() & F.col("processed_us").isNull() & F.col("dead_us").isNull() & (F.col("next_us") <= now_us)
+    failed = tried & ~F.col("ok")
+    attempts = F.col("attempts") + F.when(failed, 1).otherwise(0)
+    dead = failed & (attempts >= MOST_ATTEMPTS)
+    return j.select(
+        "event_id", "received_us", attempts.alias("attempts"), F.when(tried & F.col("ok"), now_us).otherwise(F.col("processed_us")).alias("processed_us"), F.when(dead, now_us).otherwise(F.col("dead_us")).alias("dead_us"),
+        F.when(failed & ~dead, F.lit(now_us) + backoff_seconds(attempts) * 1_000_000).otherwise(F.col("next_us")).alias("next_us"),
+    )
+
+
 def attempt_state(inbox: DataFrame) -> DataFrame:
     """(event_id, state, wait_s): after the failures so far, done, dead, or waiting for 2, 4, ... 512 seconds."""
     state = F.when(F.col("processed_us").isNotNull(), "done").when(F.col("attempts") >= MOST_ATTEMPTS, "dead").otherwise("waiting")

@@ -100,6 +100,15 @@ def gap_report(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("line", line).groupBy("channel_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_missing", "line"))), lambda x: x["line"]), "\n").alias("report"))
 
 
+def workspace_sections(gaps: DataFrame, names: DataFrame) -> DataFrame:
+    """(channel_id, n_missing, section) of each channel with missing ranges (dates as text), named by (channel_id, name), the
+    largest holes first."""
+    line = gap_line(F.col("first_missing"), F.col("last_missing"), F.col("n_missing"))
+    per = gaps.withColumn("line", line).groupBy("channel_id").agg(F.sum("n_missing").alias("n_missing"), F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_missing", "line"))), lambda x: x["line"]), "\n").alias("_lines"))
+    head = F.format_string("## %s (`%s`) — %d missing day(s), %d range(s)\n\n", F.coalesce("name", F.lit("?")), "channel_id", "n_missing", "_n")
+    return per.join(names, "channel_id", "left").select("channel_id", "n_missing", F.concat(head, "_lines", F.lit("\n")).alias("section")).orderBy(F.desc("n_missing"), "channel_id")
+
+
 def thread_slug_body(block: Column) -> Column:
     """A block's own text: without header, reactions and files, up to the thread line; 120 characters."""
     head = F.element_at(F.split(F.concat(F.lit("\n"), block), "\n> Thread:"), 1)
@@ -123,6 +132,12 @@ def transcript(sections: Column) -> Column:
     return F.array_join(F.array_remove(lines, ""), "\n\n")
 
 
+def day_huddles(messages: DataFrame) -> DataFrame:
+    """(id, place, day, slug, unique_slug): the huddles among the files (name, huddle) of messages (id, day, ts, files)."""
+    each = messages.select("id", "day", "ts", F.posexplode("files").alias("place", "f")).filter("f.huddle").select("id", "day", "ts", "place", F.col("f.name").alias("slug"))
+    return unique_slugs(each, "day", "slug", [F.col("ts"), F.col("id")], "place")
+
+
 def huddles(files: DataFrame) -> DataFrame:
     """Adds ``unique_slug`` to (day, slug, ts, id): later ones of a day with one slug are numbered."""
     return unique_slugs(files, "day", "slug", [F.col("ts")], "id")

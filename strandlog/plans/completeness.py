@@ -113,6 +113,23 @@ def c15_inventory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.inventory_line(_stats(spark, sf_dir))
 
 
+@query(f"""{RL}, l AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY id DESC) AS rn FROM rl), o AS (SELECT 'C' || c_custkey AS channel_id FROM customer WHERE c_custkey % 19 = 0)
+SELECT l.channel_id, CASE WHEN kind = 'page' THEN messages ELSE 0 END AS messages_so_far, o.channel_id IS NOT NULL AS first FROM l LEFT JOIN o USING (channel_id) WHERE rn = 1 AND kind IN ('started', 'page')""")
+def q10_in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels whose latest event is a start or a page; those that an operator marked come first."""
+    return inventory.in_progress(a.run_log(spark, sf_dir), blocked(spark, sf_dir))
+
+
+@query(f"{LOG}, s AS (SELECT channel_id, id, CASE WHEN k % 3 > 0 THEN us END AS latest, CASE WHEN k % 3 = 2 THEN us END AS oldest, us FROM log WHERE kind = 'message') SELECT channel_id, CASE WHEN latest IS NULL THEN 'newest' WHEN oldest IS NULL THEN 'older' ELSE 'between' END AS probe, max(us) AS sampled_us FROM s WHERE oldest IS NULL OR latest IS NOT NULL GROUP BY ALL")
+def p8_probe_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples told apart by which bounds their call had, the latest of each."""
+    k = F.col("k")
+    bound = lambda c: F.when(c, F.col("us"))
+    call = F.to_json(F.struct(bound(k % 3 > 0).alias("latest"), bound(k % 3 == 2).alias("oldest")))
+    s = a.channel_log(spark, sf_dir).filter("kind = 'message'").select("channel_id", "us", call.alias("call"))
+    return s.withColumn("probe", c.probe_kind(F.col("call"))).filter("probe is not null").groupBy("channel_id", "probe").agg(F.max("us").alias("sampled_us"))
+
+
 @query(f"{LOG} SELECT max(us) AS last_event_us, arg_max(kind, us) AS last_kind FROM log")
 def q9_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.channel_log(spark, sf_dir).agg(F.max("us").alias("last_event_us"), F.max_by("kind", "us").alias("last_kind"))
@@ -181,6 +198,19 @@ def r18_attempt_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queues.attempt_state(inbox(spark, sf_dir))
 
 
+@query(f"""{_INBOX_SQL}, ar AS (SELECT DISTINCT id + (CASE WHEN k % 2 = 0 THEN 0 ELSE 1000000 END) AS event_id FROM log WHERE k % 5 = 0),
+q AS (SELECT * FROM ib UNION ALL SELECT event_id, {NOW}, 0, NULL, NULL, {NOW} FROM ar WHERE event_id NOT IN (SELECT event_id FROM ib)), t AS (SELECT *, processed_us IS NULL AND dead_us IS NULL AND next_us <= {NOW} AND event_id % 4 < 2 AS tried, event_id % 4 = 0 AS ok FROM q)
+SELECT event_id, attempts + CASE WHEN tried AND NOT ok THEN 1 ELSE 0 END AS attempts, CASE WHEN tried AND ok THEN {NOW} ELSE processed_us END AS processed_us, CASE WHEN tried AND NOT ok AND attempts + 1 >= 12 THEN {NOW} ELSE dead_us END AS dead_us,
+  CASE WHEN tried AND NOT ok AND attempts + 1 < 12 THEN {NOW} + CAST(2 * 2 ** least(attempts + 1, 8) AS BIGINT) * 1000000 ELSE next_us END AS next_us FROM t""")
+def s9_queue_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals, some of them known, are queued; half of what is due is tried, half of that fails."""
+    log = a.channel_log(spark, sf_dir)
+    arrivals = log.filter("k % 5 = 0").select((F.col("id") + F.when(F.col("k") % 2 == 0, 0).otherwise(1_000_000)).alias("event_id"))
+    q = queues.enqueue(inbox(spark, sf_dir), arrivals, NOW)
+    outcomes = q.filter("event_id % 4 < 2").select("event_id", (F.col("event_id") % 4 == 0).alias("ok"))
+    return queues.settle(q, outcomes, NOW).select("event_id", "attempts", "processed_us", "dead_us", "next_us")
+
+
 @query(f"{SM}, x AS (SELECT *, sample_ts AS latest_ts, id % 4 AS n_messages, row_number() OVER (PARTITION BY channel_id ORDER BY sampled_us DESC, id DESC) AS rn FROM sm WHERE sample_ts IS NOT NULL) SELECT channel_id, latest_ts, n_messages, sampled_us FROM x WHERE rn = 1 AND n_messages > 0")
 def q16_older_not_walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _samples(spark, sf_dir)[1].withColumn("latest_ts", F.col("sample_ts")).withColumn("n_messages", F.col("id") % 4)

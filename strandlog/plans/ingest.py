@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folds, ingest
+from ..operators.latest import latest_per_key
 from ..sources import adapter as a
+from ..sources.shared import shared_folder
 from ..streaming import apply
 from .registry import query
 from .state import ACTIVE_SQL, LOG
@@ -61,14 +62,38 @@ def r6_replace_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS event_id FROM events GROUP BY 1")
 def r1_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files, its latest state per user kept by Spark between micro-batches."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/event[s].parquet")
     state = apply.latest_in_stream(source.withColumn("last_type", F.col("event_type")), ["user_id"], "event_id", ["last_type"])
-    q = state.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/state")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    try:
-        q.awaitTermination()
-    finally:
-        q.stop()
-    return spark.read.parquet(f"{out}/state").select("user_id", "last_type", "event_id")
+    apply.keep_changes(state, f"{out}/state", f"{out}/checkpoint").awaitTermination()
+    return latest_per_key(spark.read.parquet(f"{out}/state"), ["user_id"], [F.desc("event_id"), F.desc("batch")]).select("user_id", "last_type", "event_id")
+
+
+def _heads(log: DataFrame) -> DataFrame:
+    """What subscribers ask for: each stream from two offsets, at a moment in the middle of January."""
+    at = 1_705_276_800_000_000
+    return log.select("stream").distinct().withColumn("since", F.explode(F.array(F.lit(0), F.lit(5)).cast("array<bigint>"))).withColumn("at_us", F.lit(at).cast("bigint"))
+
+
+@query(f"""{LOG}, rq AS (SELECT stream, unnest([0, 5]) AS since, 1705276800000000 AS at_us FROM (SELECT DISTINCT stream FROM log)), hd AS (SELECT rq.stream, since, at_us, coalesce((SELECT max(off) FROM log l WHERE l.stream = rq.stream AND l.us <= at_us), 0) AS head FROM rq),
+ok AS (SELECT * FROM hd WHERE since <= head)
+SELECT ok.stream, since, l.off, CASE WHEN l.off <= head THEN 'replay' ELSE 'live' END AS phase FROM ok JOIN log l ON l.stream = ok.stream AND l.off > since UNION ALL SELECT stream, since, head, 'caught_up' FROM ok UNION ALL SELECT stream, since, head, 'since_beyond_head' FROM hd WHERE since > head""")
+def r4_replay_then_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = a.channel_log(spark, sf_dir)
+    return ingest.replay_then_live(_heads(log), log)
+
+
+@query(f"""{LOG}, m AS (SELECT *, (us - 1704067200000000) // 5000000 AS tick FROM (SELECT channel_id || '/' || k % 3 AS path, us FROM log WHERE kind <> 'message')), f AS (SELECT path, tick, min(us) AS first_us FROM m GROUP BY 1, 2)
+SELECT path, tick, CAST((row_number() OVER (PARTITION BY tick ORDER BY first_us, path) - 1) // 2 AS BIGINT) AS drain FROM f""")
+def r19_dirty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty paths of each five seconds, each once, in order of the first mark, two at a time."""
+    marks = a.channel_log(spark, sf_dir).filter("kind <> 'message'").select(F.concat_ws("/", "channel_id", F.col("k") % 3).alias("path"), "us")
+    return ingest.dirty_batches(marks, 1_704_067_200_000_000, 5_000_000, 2).select("path", "tick", "drain")
+
+
+@query(f"{LOG}, c AS (SELECT channel_id, msg_ts AS ts, 'old' AS content FROM log WHERE kind = 'message' AND k % 2 = 0), f AS (SELECT channel_id, msg_ts AS ts, 'new' AS content FROM log WHERE kind = 'message' AND k % 3 = 0) SELECT * FROM f UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.channel_id = c.channel_id AND f.ts = c.ts)")
+def r7_rerender(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = a.channel_log(spark, sf_dir).filter("kind = 'message'")
+    part = lambda n, content: m.filter(F.col("k") % n == 0).select("channel_id", F.col("msg_ts").alias("ts"), F.lit(content).alias("content"))
+    return ingest.rerender(part(2, "old"), part(3, "new"), ["channel_id", "ts"])

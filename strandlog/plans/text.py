@@ -130,6 +130,56 @@ def t9_gap_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.gap_report(g)
 
 
+@query(f"""{LOG}, {_DAYS_SQL}, g AS (SELECT channel_id, {_DATE.format('a')} AS f, {_DATE.format('b')} AS l, b - a + 1 AS n FROM gp WHERE b >= a)
+SELECT channel_id, CAST(sum(n) AS BIGINT) AS n_missing, '## n' || channel_id || ' (`' || channel_id || '`) — ' || CAST(sum(n) AS BIGINT) || ' missing day(s), ' || count(*) || ' range(s)' || chr(10) || chr(10) || string_agg('- ' || f || CASE WHEN n = 1 THEN ' (1 day)' ELSE ' → ' || l || ' (' || n || ' days)' END, chr(10) ORDER BY f) || chr(10) AS section FROM g GROUP BY 1""")
+def t9_workspace_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of the workspace's report, the largest holes first."""
+    g = _gaps(spark, sf_dir).select("channel_id", F.col("first_missing").cast("string").alias("first_missing"), F.col("last_missing").cast("string").alias("last_missing"), "n_missing")
+    names = g.select("channel_id").distinct().withColumn("name", F.concat(F.lit("n"), "channel_id"))
+    return render.workspace_sections(g, names)
+
+
+_ORIGINALS = (1_704_672_000_000_000, 1_705_881_600_000_000)
+
+
+@query(f"""{LOG}, e AS (SELECT *, coalesce(msg_ts, deleted_ts) AS ts FROM log WHERE kind IN ('message', 'message_changed', 'message_deleted')), r AS (SELECT * FROM e WHERE CAST(ts AS DECIMAL(20, 6)) >= {_ORIGINALS[0] // 1_000_000} AND CAST(ts AS DECIMAL(20, 6)) < {_ORIGINALS[1] // 1_000_000}),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream, ts ORDER BY id) AS rn FROM r WHERE kind = 'message' AND (thread_ts IS NULL OR thread_ts = msg_ts)),
+n AS (SELECT o.stream, o.ts, '## ' || {_clock("o.us")} || chr(10) || 'k' || o.k AS body, (SELECT string_agg('<sub>edited ' || strftime(make_timestamp(us), '%H:%M') || ' UTC</sub>', chr(10) ORDER BY us) FROM r x WHERE x.stream = o.stream AND x.ts = o.ts AND kind = 'message_changed') AS ed,
+  (SELECT arg_max(us, id) FROM r x WHERE x.stream = o.stream AND x.ts = o.ts AND kind = 'message_deleted') AS dl FROM o WHERE rn = 1),
+b AS (SELECT stream, ts, concat_ws(chr(10), body, ed, CASE WHEN dl IS NOT NULL THEN '<sub>**deleted ' || strftime(make_timestamp(dl), '%H:%M') || ' UTC**</sub>' END) || chr(10) AS t, dl FROM n)
+SELECT stream, ts, CASE WHEN dl IS NOT NULL THEN '~~' || chr(10) || t || '~~' || chr(10) ELSE t END AS block FROM b""")
+def q7_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was posted in a range, each with its edits and deletion noted below it."""
+    log = a.channel_log(spark, sf_dir)
+    texts = log.filter("kind = 'message'").select(F.col("id").alias("original_id"), F.concat(F.lit("## "), times.local(F.col("us"), ZONE, "HH:mm"), F.lit("\nk"), "k", F.lit("\n")).alias("text"))
+    found = folds.originals(log, *_ORIGINALS).join(texts, "original_id")
+    edits = F.transform(F.filter(F.split("edit_times", ","), lambda x: x != ""), lambda x: x.cast("bigint"))
+    return found.select("stream", "ts", render.annotated_original(F.col("text"), edits, F.col("deleted_us"), lambda us: times.local(us, "UTC", "HH:mm")).alias("block"))
+
+
+@query(f"""{LOG} SELECT id, concat_ws(chr(10) || chr(10), CASE WHEN k % 3 = 0 THEN '**@U' || k || '** says **loud**' ELSE '**@U' || k || '** says' END, CASE WHEN k % 5 > 0 THEN 'the end' END) AS text FROM log WHERE kind = 'message'""")
+def t12_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of a talk, of which some are empty or of another type."""
+    k = F.col("k")
+    el = lambda kind, name, text, bold: F.struct(F.lit(kind).alias("type"), name.alias("name"), text.alias("text"), bold.alias("bold"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    first = F.array(el("user", F.concat(F.lit("U"), k), none, no), el("text", none, F.lit(" says "), no), el("text", none, F.when(k % 3 == 0, " loud ").otherwise(""), k % 3 == 0))
+    section = lambda kind, elements: F.struct(F.lit(kind).alias("type"), elements.alias("elements"))
+    last = F.array(el("text", none, F.when(k % 5 > 0, " the end ").otherwise("  "), no))
+    sections = F.array(section("rich_text_section", first), section("rich_text_list", first), section("rich_text_section", last))
+    return a.channel_log(spark, sf_dir).filter("kind = 'message'").select("id", render.transcript(sections).alias("text"))
+
+
+@query(f"""{LOG}, m AS (SELECT id, us // 86400000000 AS day, msg_ts AS ts, unnest(CASE WHEN k % 2 = 0 THEN ['h' || k % 3, 'x', 'h0'] ELSE ['x'] END) AS name, unnest(CASE WHEN k % 2 = 0 THEN [0, 1, 2] ELSE [0] END) AS place FROM log WHERE kind = 'message' AND (thread_ts IS NULL OR thread_ts = msg_ts))
+SELECT id, place, CASE WHEN n > 1 THEN name || '-' || n ELSE name END AS unique_slug FROM (SELECT *, row_number() OVER (PARTITION BY day, name ORDER BY ts, id, place) AS n FROM m WHERE name <> 'x')""")
+def q35_day_huddles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The huddles among the files of each day's messages outside threads, with names of their own."""
+    m = a.channel_log(spark, sf_dir).filter("kind = 'message' and (thread_ts is null or thread_ts = msg_ts)")
+    file = lambda name, huddle: F.struct(name.alias("name"), F.lit(huddle).alias("huddle"))
+    files = F.when(F.col("k") % 2 == 0, F.array(file(F.concat(F.lit("h"), F.col("k") % 3), True), file(F.lit("x"), False), file(F.lit("h0"), True))).otherwise(F.array(file(F.lit("x"), False)))
+    return render.day_huddles(m.select("id", F.floor(F.col("us") / times.DAY_US).alias("day"), F.col("msg_ts").alias("ts"), files.alias("files"))).select("id", "place", "unique_slug")
+
+
 @query()
 def t11_canvas_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", t.canvas_markdown(F.col("html")).alias("markdown"))

@@ -43,6 +43,11 @@ def first_in_stream(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.filter(whole).dropDuplicates(keys).unionByName(stream.filter(~whole))
 
 
-def day_counts(stream: DataFrame, time: str, by: str) -> DataFrame:
-    """Extension: events per day and key. In update mode each change shows at once; append mode withholds the tail."""
-    return stream.withWatermark(time, "2 days").groupBy(F.window(time, "1 day"), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), by, "n")
+def keep_changes(state: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes what each micro-batch changed of a state, in update mode, as a folder of its own: no batch writes the whole
+    state again, and one that runs again replaces itself. The latest row of a key is its state."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
