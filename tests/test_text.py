@@ -185,3 +185,42 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 def test_first_in_stream_batch(spark):
     d = spark.createDataFrame([("a", 1), ("a", 1), (None, 1), (None, 1)], "k string, n long")
     assert apply.first_in_stream(d, ["k"]).count() == 3
+
+
+def test_documents_by_channel_and_day(spark, tmp_path):
+    d = spark.createDataFrame([("C1", "2024-01-01", "one\n"), ("C1", "2024-01-02", "two\n"), ("C2", "2024-01-03", "today\n")], "channel_id string, day string, document string")
+    files.write_documents(d, str(tmp_path / "docs"), today="2024-01-03")
+    files.write_documents(d.filter("day = '2024-01-02'").withColumn("document", F.lit("again\n")), str(tmp_path / "docs"))
+    got = {str(p.relative_to(tmp_path / "docs").parent): p.read_text().strip() for p in (tmp_path / "docs").rglob("part-*.txt")}
+    assert got == {"channel_id=C1/day=2024-01-01": "one", "channel_id=C1/day=2024-01-02": "again"}
+
+
+def test_failing_batch_is_replayed(spark, tmp_path):
+    """A batch that fails stops the query; when it runs again nothing is lost and nothing comes twice."""
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).selectExpr("'s' as stream", "id as off").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def source(fail: bool):
+        s = spark.readStream.schema("stream string, off long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return s.withColumn("off", F.when((F.col("off") == 15) & F.lit(fail), F.raise_error(F.lit("a bad row"))).otherwise(F.col("off")))
+
+    with pytest.raises(Exception, match="a bad row"):
+        apply.append_log(source(True), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    before = spark.read.parquet(str(tmp_path / "log")).count()
+    assert before in (0, 10, 20)
+    apply.append_log(source(False), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.off for r in spark.read.parquet(str(tmp_path / "log")).collect()) == list(range(30))
+
+
+def test_drifted(spark):
+    from strandlog.operators import ingest
+
+    was = spark.createDataFrame([("a", "s", 1), ("a", "t", 2), ("b", "s", 1)], "path string, stream string, off long")
+    assert [r.path for r in ingest.drifted(was, spark.createDataFrame([("s", 1), ("t", 3)], "stream string, off long")).collect()] == ["a"]
+
+
+def test_range_scan_is_pushed_down(spark, sf):
+    from strandlog import plans
+
+    plan = plans.queries()["s1_range_scan"](spark, sf)._jdf.queryExecution().toString()
+    assert "EqualTo(stream,channel:C7)" in plan and "GreaterThan(off,2)" in plan
