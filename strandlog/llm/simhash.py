@@ -12,6 +12,7 @@ get a row; a null id never is a component's id unless it has no other; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .components import components
 from .copies import keep_first  # noqa: F401 (the pipeline's stage, with parameters of its own)
 
 SHINGLE, BITS, SEED = 3, 3, 42
+#: Fingerprints that share a head, from which on it is told apart by the third segment: asking for that costs some 400 rows each.
+HOT = 4096
 _BLOCK = 1 << 16
 
 
@@ -61,18 +64,37 @@ def _turned(fp: Column, i: int) -> Column:
     return fp if i == 0 else F.shiftleft(fp, 16 * i).bitwiseOR(F.shiftrightunsigned(fp, 64 - 16 * i))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(u, v): pairs of distinct fingerprints u < v of ``fps`` (fp, without repeats) that differ in 3 bits or fewer."""
+def _flips(bits: int) -> list[int]:
+    """Masks of a segment with up to ``bits`` bits set."""
+    return [sum(1 << k for k in c) for n in range(bits + 1) for c in combinations(range(16), n)]
+
+
+def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """(u, v): pairs of distinct fingerprints u < v of ``fps`` (fp, without repeats) that differ in 3 bits or fewer.
+
+    Heads that more than ``hot`` fingerprints share are told apart by their third segment as well: a chain leaves it two
+    turned bits, or one if the second segment has one, which are all asked for. So no pair is lost, and no head's
+    fingerprints are all held against each other.
+    """
     rings = F.array(*[F.struct(F.lit(i).alias("i"), _turned(F.col("fp"), i).alias("ring")) for i in range(4)])
     each = fps.select("fp", F.inline(rings))
-    head = F.shiftrightunsigned("ring", 32)
-    flips = F.array(F.lit(0), *[F.lit(1 << k) for k in range(16)])
-    index = each.select(F.col("fp").alias("v"), F.col("ring").alias("ring_v"), "i", head.alias("head"))
-    probe = each.select(F.col("fp").alias("u"), F.col("ring").alias("ring_u"), "i", head.alias("own"), F.explode(flips.cast("array<bigint>")).alias("flip"))
-    probe = probe.select("u", "ring_u", "i", F.col("own").bitwiseXOR(F.col("flip")).alias("head"))
+    head, third = F.shiftrightunsigned("ring", 32), F.shiftrightunsigned("ring", 16).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    index = each.select(F.col("fp").alias("v"), F.col("ring").alias("ring_v"), "i", head.alias("head"), third.alias("third"))
+    turned = F.explode(F.array(*[F.lit(x) for x in _flips(1)]).cast("array<bigint>"))
+    probe = each.select(F.col("fp").alias("u"), F.col("ring").alias("ring_u"), "i", head.alias("own"), third.alias("own_third"), turned.alias("flip"))
+    probe = probe.select("u", "ring_u", "i", F.col("own").bitwiseXOR(F.col("flip")).alias("head"), "own_third", (F.col("flip") != 0).alias("turned"))
     differ = F.col("ring_u").bitwiseXOR(F.col("ring_v"))
     chain = (F.col("u") < F.col("v")) & (F.bit_count(F.shiftrightunsigned(differ, 16)) <= 2) & (F.bit_count(differ) <= BITS)
-    return probe.join(index, ["i", "head"]).filter(chain).select("u", "v").distinct()
+
+    crowded = durable(index.groupBy("i", "head").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("i", "head"))
+    if crowded.isEmpty():
+        return probe.join(index, ["i", "head"]).filter(chain).select("u", "v").distinct()
+    few = probe.join(crowded, ["i", "head"], "left_anti").join(index, ["i", "head"]).filter(chain).select("u", "v")
+    masks = lambda n: F.array(*[F.lit(x) for x in _flips(n)]).cast("array<bigint>")
+    asked = probe.join(crowded, ["i", "head"], "left_semi").select("u", "ring_u", "i", "head", "own_third", F.explode(F.when(F.col("turned"), masks(1)).otherwise(masks(2))).alias("flip3"))
+    asked = asked.select("u", "ring_u", "i", "head", F.col("own_third").bitwiseXOR(F.col("flip3")).alias("third"))
+    many = asked.join(index, ["i", "head", "third"]).filter(chain).select("u", "v")
+    return few.unionByName(many).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

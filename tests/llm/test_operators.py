@@ -360,6 +360,16 @@ def test_links_find_all_pairs(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
     assert {tuple(x) for x in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()} == want
+    assert {tuple(x) for x in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), hot=2).collect()} == want
+
+
+def test_links_under_one_head(spark):
+    """Fingerprints with two segments in common, told apart by the third: the same pairs, and far fewer compared."""
+    r = random.Random(16)
+    prints = sorted({0x1234_5678_0000_0000 | r.getrandbits(32) & (r.getrandbits(32) if i % 2 else 0xFFFF_FFFF) for i in range(500)} | {0x1234_5678_0000_0000 ^ (1 << k) for k in range(48)})
+    want = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
+    d = spark.createDataFrame([(x,) for x in prints], "fp long")
+    assert {tuple(x) for x in simhash.links(d, hot=100).collect()} == want == {tuple(x) for x in simhash.links(d).collect()}
 
 
 def near_copy_rows(seed: int = 11) -> list[tuple]:
