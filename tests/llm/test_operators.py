@@ -173,21 +173,42 @@ def test_quality_ledger(spark, odd):
     assert kept.columns == odd.columns and kept.count() == quality.op4(odd).filter("kept").count()
 
 
-def brute_chunks(rows):
+def brute_chunks(rows, run=0):
     seen, out, table = set(), {}, chunks.gear()
     for i, t in sorted(rows):
         b = (t or "").encode()
         ends = chunks.cuts(b, table) if b else []
-        removed = []
+        removed, runs = [], []
         for s, e in zip([0, *ends], ends, strict=False):
-            removed += [(s, e - s)] if b[s:e] in seen else []
+            if b[s:e] in seen:
+                removed.append((s, e - s))
+                if runs and runs[-1][1] == s:
+                    runs[-1][1] = e
+                else:
+                    runs.append([s, e])
             seen.add(b[s:e])
+        whole = [(s, e) for s, e in runs if e - s >= run or e - s == len(b)]
+        removed = [(s, n) for s, n in removed if any(x <= s < y for x, y in whole)]
         out[i] = (len(b), len(ends), len(removed), sum(n for _, n in removed), ",".join(f"{s}:{n}" for s, n in removed))
     return out
 
 
 def test_chunks_against_brute_force(documents):
-    assert {r.doc_id: tuple(r)[1:] for r in chunks.op5(documents).collect()} == brute_chunks(pairs(documents))
+    """Every repeated chunk; then the query's, in runs."""
+    each = {r.doc_id: (r.n_bytes, r.n_chunks, r.n_dup_chunks, r.n_removed, ",".join(f"{x.start}:{x.length}" for x in r.removed)) for r in chunks.repeats(documents, run=0).collect()}
+    assert each == brute_chunks(pairs(documents))
+    assert {r.doc_id: tuple(r)[1:] for r in chunks.op5(documents).collect()} == brute_chunks(pairs(documents), chunks.RUN)
+
+
+def test_short_repeats_by_chance_do_not_count(spark):
+    r = random.Random(44)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(60)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    phrase, passage = text(8), text(60)
+    rows = [(i, f"{text(60)} {phrase} {text(60)}") for i in range(40)] + [(100 + i, f"{text(40 + i)} {passage} {text(40)}") for i in range(40)] + [(200, "a short text"), (201, "a short text")]
+    got = {x.doc_id: x.n_dup_chunks for x in chunks.op5(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i in range(40)) == 0
+    assert got[100] == 0 and all(got[100 + i] > 0 for i in range(1, 40)) and (got[200], got[201]) == (0, 1)
 
 
 def test_chunks_resist_insertions():
