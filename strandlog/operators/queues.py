@@ -113,6 +113,7 @@ def degraded_episodes(attempts: DataFrame, min_us: int) -> DataFrame:
 
 
 
+# The reasons, in the order in which they are asked for.
 def staleness(states: DataFrame, now_us: int, after_s: int = 60) -> DataFrame:
     """Adds ``reason`` (null: current) to states with health, caught_up and last_frame_us; the first that holds counts."""
     silent = F.col("last_frame_us").isNull() | (F.lit(now_us) - F.col("last_frame_us") > after_s * 1_000_000)

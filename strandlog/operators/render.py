@@ -21,6 +21,8 @@ def attachment(a: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(F.array_remove(parts, ""), "\n\n")).otherwise(F.coalesce(a["fallback"], F.lit("")))
 
 
+# The marks and words of blocks, documents and reports below ("## ", "*(edited )*", "📎 ", "[Huddle Notes]",
+# "> Thread: n replies", "<sub>edited </sub>", "~~", "(n days)"), as readers of these documents expect them.
 def message_block(zone: str) -> Column:
     """A message (us, user, text, edited_us, attachments, reactions, files, reply_count, ts, thread_ts) as a block."""
     clock = lambda us: local(us, zone, "HH:mm")
