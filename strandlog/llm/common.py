@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of just this name, whatever is in it."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for a row, however often ``body`` mentions it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -64,7 +69,8 @@ def prefix_sums(values: Column, block: int = 512) -> Column:
 
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, text): rows that repeat an id with another text keep apart, equal rows fall together."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(named(text_col), F.lit(""))
+    return docs.select(named(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def on_row_key(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
