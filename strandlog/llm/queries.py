@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, counts, decontaminate, html, packing, pii, quality, resampling, secrets, simhash, suffixes, whitening
+from . import chunks, counts, decontaminate, html, packing, pii, quality, resampling, secrets, simhash, suffixes, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +56,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.op13(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op3_suffix_buckets, op4_quality_ledger, op5_content_chunks, op6_winnowing, op7_simhash_pigeonring, op8_tag_path_ratios, op9_bilstm_crf, op10_edit_aware_counts, op11_importance_resampling, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_secret_scan, op3_suffix_buckets, op4_quality_ledger, op5_content_chunks, op6_winnowing, op7_simhash_pigeonring, op8_tag_path_ratios, op9_bilstm_crf, op10_edit_aware_counts, op11_importance_resampling, op12_lexicon_automata, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
