@@ -116,12 +116,19 @@ def discard(*tables: DataFrame) -> None:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(doc_id, k, n, text, copies), and whether any id repeats. k is the id as a long, null without an id.
+    """(doc_id, k, n, text, copies), and whether any id repeats. k is the id as a long, null without an id; of ids
+    that are no whole numbers, a long in the ids' order.
 
     Rows of one id are told apart by n, their text's hash (0 where no id repeats); rows that repeat id and text are one
     row here, counted by copies. No window: rows of one id meet only where they hold the same text, and as partial sums.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("text"))
+    d = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
+    if dict(d.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        d = d.withColumn("k", F.col("doc_id").cast("bigint"))
+    else:  # ids of another type by their order: a number that grows with them, stored so that it stays what it is
+        ids = d.select("doc_id").filter("doc_id is not null").distinct().sort("doc_id")
+        d = d.join(stored(ids.withColumn("k", F.monotonically_increasing_id())), "doc_id", "left")
+    d = d.select("doc_id", "k", "text")
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     if d.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         return d.select("doc_id", "k", zero.alias("n"), "text", one.alias("copies")), False

@@ -280,9 +280,9 @@ def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> Dat
     """``docs`` with a column ``edits`` (replaced if there is one) from a table (doc_id, seq, start, removed, inserted): a
     document's edits by seq, null where it has none."""
     lists = edits.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "removed", "inserted"))).alias("listed"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    whole = docs.select(F.struct("*").alias("row"))
     plain = F.transform("listed", lambda e: F.struct(e["start"].alias("start"), e["removed"].alias("removed"), e["inserted"].alias("inserted")))
-    return whole.join(lists, F.col(f"row.{id_col}") == F.col("id"), "left").select(*[F.col(f"row.{c}") for c in docs.columns if c != "edits"], plain.alias("edits"))
+    return whole.join(lists, F.col("row")[id_col] == F.col("id"), "left").select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "edits"], plain.alias("edits"))
 
 
 #: Numbers of a tree's leaves when it is planted: between them there is room for those of leaves that are split.

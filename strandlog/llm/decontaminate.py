@@ -145,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns as they were, in which no item's window occurs."""
     _, found = occurrences(docs, durable(_item_grams(benchmark, "item_id", "text")))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"))
     bad = _hint(found.select("doc_id", "text_hash").distinct())
     return whole.join(bad, whole["id"].eqNullSafe(bad["doc_id"]) & (whole["hash"] == bad["text_hash"]), "left_anti").select("row.*")
 

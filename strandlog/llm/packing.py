@@ -11,6 +11,7 @@ along; texts of any length are encoded whole; an empty table gives no pieces.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 LENGTH, END = 2048, 1
 #: So many characters are encoded at once.
 TEXT_AT_ONCE = 1 << 22
@@ -60,7 +63,9 @@ def by_words(t) -> bool:
     rule = json.loads(t.to_str())
     model = rule["model"]
     plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
-    return plain and rule["normalizer"] == NORMALIZER and rule["pre_tokenizer"] == PRE_TOKENIZER and all(x.get("special") for x in rule["added_tokens"])
+    # special strings lie in what stands between spaces, and in no word
+    apart = all(x.get("special") and not x.get("lstrip") and not x.get("rstrip") and not re.search(r"\s", x["content"]) and not re.match(WORD, x["content"]) for x in rule["added_tokens"])
+    return plain and rule["normalizer"] == NORMALIZER and rule["pre_tokenizer"] == PRE_TOKENIZER and apart
 
 
 def encoder(t, most: int = 100_000):
@@ -138,7 +143,7 @@ def word_encoder(t, most: int = 100_000):
     return encode
 
 
-def _pieces(path: str | None, length: int, end: int, digest: bool):
+def _pieces(path: str | None, length: int, end: int, digest: bool, special_as_text: bool):
     def run(batches: Iterator) -> Iterator:
         import os
         import zlib
@@ -147,7 +152,7 @@ def _pieces(path: str | None, length: int, end: int, digest: bool):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path or tokenizer_path())
-        t.encode_special_tokens = True
+        t.encode_special_tokens = special_as_text
 
         encode, last = encoder(t), end.to_bytes(4, "little")
 
@@ -184,12 +189,13 @@ def _pieces(path: str | None, length: int, end: int, digest: bool):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, end: int = END, digest: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, end: int = END, digest: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (array<int>; with ``digest`` their CRC-32 instead), doc_tokens,
-    sequence_id, offset, bucket. ``path``: the tokenizer's file, by default the public one."""
+    sequence_id, offset, bucket. ``path``: the tokenizer's file, by default the public one. ``special_as_text``: whether
+    the strings of its special tokens are text like any other; else they become those tokens' ids, as the tokenizer has it."""
     kind = dict(docs.dtypes)[id_col]
     content = "bigint" if digest else "array<int>"
-    p = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(path, length, end, digest), f"doc_id {kind}, start long, length long, content {content}, doc_tokens long")
+    p = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).mapInArrow(_pieces(path, length, end, digest, special_as_text), f"doc_id {kind}, start long, length long, content {content}, doc_tokens long")
     # a piece is a sequence: its id is its place in the task's output, which is the same whenever the task runs again
     return p.select("doc_id", "start", "length", F.col("content").alias("ids_crc32" if digest else "ids"), "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.log2("length").cast("int").alias("bucket"))
 

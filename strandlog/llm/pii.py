@@ -421,5 +421,6 @@ def mask(docs: DataFrame, text_col: str = "text", chars_col: str | None = None)
 
     ``chars_col``, if given, becomes the new text's length in code points.
     """
-    at = docs.columns.index
-    return docs.mapInArrow(_mask(train(), at(text_col), at(chars_col) if chars_col else None), docs.schema)
+    at, names = docs.columns.index, docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may hold dots
+    return plain.mapInArrow(_mask(train(), at(text_col), at(chars_col) if chars_col else None), plain.schema).toDF(*names)
