@@ -22,7 +22,7 @@ def odd_rows() -> list[tuple]:
     r = random.Random(4)
     words = ["alpha", "beta", "gamma", "delta", "token", "10.1.2.3", "x@y.org", "Ünï", "the", "of"]
     shared = " ".join(r.choice(words) for _ in range(60))
-    texts = [None, "", " \n\t", "a", shared, shared, shared + " tail of its own", "head " + shared, "x" * 300, "\n".join(["line one two"] * 40), "word " * 30_000, "é" * 200, "token = abcdefghijkl0123456789"]
+    texts = [None, "", " \n\t", "a", shared, shared, shared + " tail of its own", "head " + shared, "x" * 300, "\n".join(["line one two"] * 40), "word " * 30_000, "é" * 200, "token = abcdefghijkl0123456789", "hello <|endoftext|> world"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, shared), (4, "another text under an id that is taken"), (None, shared), (None, None)]
     return [(i, t, "en", "s", None if t is None else len(t), True, 1, "b", "h") for i, t in rows]
 
@@ -67,7 +67,6 @@ def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     one = odd.filter("doc_id is not null and doc_id <> 4")
     got = {}
     for r in packing.pack(one).collect():
@@ -87,7 +86,6 @@ def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     encode, r = packing.encoder(t, most=50), random.Random(1)
     parts = list("abAB .,!?'\n\t\r1éÉßİſ́\xa0\x1c\x85日😀ªµÞ") + ["'s", "don't", "<|endoftext|>", "A.", "b,", "..", "The"]
     for _ in range(1500):
@@ -286,6 +284,17 @@ def test_rows_of_one_id_and_large_ids(spark):
     assert lost(chunks.op5) == sorted([*plain, (7, size(3), 0), (7, size(3), size(3))], key=str)
 
 
+@pytest.mark.parametrize("op", [suffixes.op3, chunks.op5])
+def test_text_ids_decide_by_their_order(spark, op):
+    r = random.Random(8)
+    text = [" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(4)]
+    rows = [("b", text[0]), ("a", text[0]), ("é", text[1] + " tail"), ("z", text[1]), (None, text[2]), ("10", text[2]), ("9", text[2] + text[3])]
+    by_number = {i: k for k, i in enumerate(sorted(i for i, _ in rows if i))}
+    want = {r.doc_id: r for r in op(spark.createDataFrame([(by_number.get(i), t) for i, t in rows], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in op(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {i: r[1:] for i, r in got.items()} == {i: want[by_number.get(i)][1:] for i, _ in rows} and got["b"].n_removed > 0 == got["a"].n_removed
+
+
 def test_many_rows_of_one_id(spark):
     n = (1 << 20) + 3
     d = spark.range(n).selectExpr("1L as doc_id", "concat('row ', id) as text").unionByName(spark.createDataFrame([(2, "a text of another document")], "doc_id long, text string"))
@@ -428,6 +437,30 @@ def test_near_copies_against_brute_force(spark):
     assert 60 < len(want) < 200 and want != {i for i, (_, c) in brute_simhash(rows).items() if i == c}
 
 
+def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
+    """In one band with each other and yet no copies: the passage lies behind every prefix, and real copies are still found."""
+    from strandlog.llm import copies
+
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(120)]
+    rows = []
+    for k in range(90):
+        own = [word() for _ in range(35)]
+        rows.append((k, " ".join(passage + own)))
+        if k % 9 == 0:  # a near copy of its own
+            rows.append((1000 + k, " ".join(passage + own[:-1] + [word()])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert copies.prefixes(spark.createDataFrame([(i, t) for i, t in rows if i < 1000], "key long, text string")).count() == 0
+    asked = []
+    whole = copies._last_pairs
+    monkeypatch.setattr(copies, "ROUNDS", 0)
+    monkeypatch.setattr(copies, "_last_pairs", lambda open_: (x := whole(open_), asked.append(x.count()))[0])
+    want = {i for i, g in brute_near_copies(rows).items() if i == g}
+    assert {x.doc_id for x in simhash.keep_first(d).collect()} == want and len(want) == 90
+    assert asked and asked[0] <= 20
+
+
 def test_keep_first_decides_by_row(spark):
     r = random.Random(12)
     text = [" ".join(f"w{r.randrange(9999)}" for _ in range(40)) for _ in range(8)]
@@ -794,4 +827,9 @@ def test_stages_keep_columns_of_any_name(spark):
     d = spark.createDataFrame([(1, "alpha beta gamma", 5, "x", "y", 6, 7, True)], "doc_id long, text string, _hash long, _id string, _row_hash string, row long, id long, stays boolean")
     b = spark.createDataFrame([("b1", "alpha beta"), ("b2", "no such words")], "item_id string, text string")
     assert simhash.keep_first(d).collect() == d.collect()
+    dots = d.withColumnsRenamed({"_id": "a.b", "row": "a`b"})
+    assert simhash.keep_first(dots).collect() == dots.collect()
+    assert decontaminate.clean(dots, b.filter("item_id = 'b2'")).collect() == dots.collect()
+    assert pii.mask(dots).collect() == dots.collect()
+    assert counts.with_edits(dots, spark.createDataFrame([], "doc_id long, seq long, start long, removed long, inserted string")).drop("edits").collect() == dots.collect()
     assert decontaminate.clean(d, b.filter("item_id = 'b2'")).collect() == d.collect() and decontaminate.clean(d, b).count() == 0
