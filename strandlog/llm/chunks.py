@@ -4,9 +4,8 @@ A gear hash rolls over the last SEEN bytes; a chunk ends where it is no larger t
 behind. Such places depend on the bytes around them alone, not on where the last chunk ended, so that a passage is cut
 alike in every document but for SEEN + LEAST bytes at its start and LEAST at its end, and an insertion moves the chunks
 behind it without changing them. Where bytes repeat themselves, ends are LEAST bytes apart or more.
-Chunks are deduplicated by a 128-bit digest: the first, by document and place, stays. Single chunks are as short as a few
-words, which texts share by chance: a repeat counts in a run of successive repeated chunks of RUN bytes, or if it is the
-whole text.
+Chunks are deduplicated by a 128-bit digest: the first, by document and place, stays. LEAST is chosen so that a passage of
+some fifty words holds a whole chunk wherever it stands, and a chunk is longer than what texts share by chance.
 
 Nulls and edges: a null or empty text has no chunks; rows that repeat an id are told apart and the first stays; a row
 without an id is left as it is and takes nothing from others; a text without an end is cut every MOST bytes; an empty
@@ -19,15 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import numbered, stored
 
 #: Bytes of a chunk: at least (twice as many on average), at most; bytes that the hash sees (a power of two).
-LEAST, MOST, SEEN = 20, 1024, 16
-#: Bytes of successive repeated chunks from which on they count.
-RUN = 96
+LEAST, MOST, SEEN = 48, 1024, 16
 #: The gear: a random number for each byte, from a seed.
 SEED = 7
 
@@ -95,33 +91,27 @@ def _chunks(batches: Iterator) -> Iterator:
                 parts, size = [], 0
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_dup_chunks, n_removed, removed (array<struct<start, length>>, bytes, by start) for every
-    row. ``run``: bytes of successive repeats from which on they count; 0: each repeated chunk does."""
+    row."""
     keyed, repeated = numbered(docs, id_col, text_col)
     texts = keyed.filter("k is not null").select("k", "n", "text")
     chunks = stored(texts.mapInArrow(_chunks, "high long, low long, k long, n long, start long, length long, again boolean"))
     place = F.struct("k", "n") if repeated else F.col("k")
-    spans = F.sort_array(F.collect_list(F.struct("start", "length", "size")))
-    in_order = W.partitionBy("k", "n").orderBy("start")
+    spans = F.sort_array(F.collect_list(F.struct("start", "length")))
     # of a document's own copies only the first asks; the others are repeats whatever other documents hold
     once = chunks.filter("not again")
     shared = once.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     other = once.join(shared.hint("merge"), ["high", "low"]).filter(place != F.col("first")).select("k", "n", "start", "length")
-    # a document's repeats by run of successive ones, with the run's size
-    gone = other.unionByName(chunks.filter("again").select("k", "n", "start", "length")).withColumn("ended", F.lag(F.col("start") + F.col("length")).over(in_order))
-    gone = gone.withColumn("run", F.sum(F.when(F.col("ended") == F.col("start"), 0).otherwise(1)).over(in_order)).withColumn("size", F.sum("length").over(W.partitionBy("k", "n", "run")))
-    gone = gone.groupBy("k", "n").agg(spans.alias("removed"))
+    gone = other.unionByName(chunks.filter("again").select("k", "n", "start", "length")).groupBy("k", "n").agg(spans.alias("removed"))
     sizes = chunks.groupBy("k", "n").agg(F.count("*").alias("n_chunks"))
-    none, zero = F.expr("cast(array() as array<struct<start:bigint,length:bigint,size:bigint>>)"), F.lit(0).cast("bigint")
+    none, zero = F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)"), F.lit(0).cast("bigint")
     rows = keyed.select("doc_id", "k", "n", "copies", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")).join(sizes, ["k", "n"], "left").join(gone, ["k", "n"], "left")
     if repeated:  # of rows that repeat id and text the first is judged, the others are repeats as a whole
-        twice = chunks.withColumn("size", F.lit(1 << 40).cast("bigint")).join(keyed.filter("copies > 1").select("k", "n"), ["k", "n"], "left_semi").groupBy("k", "n").agg(spans.alias("all"))
+        twice = chunks.join(keyed.filter("copies > 1").select("k", "n"), ["k", "n"], "left_semi").groupBy("k", "n").agg(spans.alias("all"))
         rows = rows.join(twice, ["k", "n"], "left").select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
         rows = rows.withColumn("removed", F.when(F.col("copy") > 1, F.col("all")).otherwise(F.col("removed")))
-    counted = F.filter(F.coalesce("removed", none), lambda x: (x["size"] >= run) | (x["size"] == F.col("n_bytes")))
-    rows = rows.withColumn("removed", F.transform(counted, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))))
-    removed = F.col("removed")
+    removed = F.coalesce("removed", none)
     return rows.select("doc_id", "n_bytes", F.coalesce("n_chunks", zero).alias("n_chunks"), F.size(removed).cast("bigint").alias("n_dup_chunks"), F.aggregate(removed, zero, lambda a, x: a + x["length"]).alias("n_removed"), removed.alias("removed"))
 
 
