@@ -171,31 +171,24 @@ def test_quality_ledger(spark, odd):
     assert kept.columns == odd.columns and kept.count() == quality.op4(odd).filter("kept").count()
 
 
-def brute_chunks(rows, run=0):
+def brute_chunks(rows):
     seen, out, table = set(), {}, chunks.gear()
     for i, t in sorted(rows):
         b = (t or "").encode()
         ends = chunks.cuts(b, table) if b else []
-        removed, runs = [], []
+        removed = []
         for s, e in zip([0, *ends], ends, strict=False):
             if b[s:e] in seen:
                 removed.append((s, e - s))
-                if runs and runs[-1][1] == s:
-                    runs[-1][1] = e
-                else:
-                    runs.append([s, e])
             seen.add(b[s:e])
-        whole = [(s, e) for s, e in runs if e - s >= run or e - s == len(b)]
-        removed = [(s, n) for s, n in removed if any(x <= s < y for x, y in whole)]
         out[i] = (len(b), len(ends), len(removed), sum(n for _, n in removed), ",".join(f"{s}:{n}" for s, n in removed))
     return out
 
 
 def test_chunks_against_brute_force(documents):
-    """Every repeated chunk; then the query's, in runs."""
-    each = {r.doc_id: (r.n_bytes, r.n_chunks, r.n_dup_chunks, r.n_removed, ",".join(f"{x.start}:{x.length}" for x in r.removed)) for r in chunks.repeats(documents, run=0).collect()}
-    assert each == brute_chunks(pairs(documents))
-    assert {r.doc_id: tuple(r)[1:] for r in chunks.op5(documents).collect()} == brute_chunks(pairs(documents), chunks.RUN)
+    """Every repeated chunk, and the query's digest of them."""
+    each = {r.doc_id: (r.n_bytes, r.n_chunks, r.n_dup_chunks, r.n_removed, ",".join(f"{x.start}:{x.length}" for x in r.removed)) for r in chunks.repeats(documents).collect()}
+    assert each == brute_chunks(pairs(documents)) == {r.doc_id: tuple(r)[1:] for r in chunks.op5(documents).collect()}
 
 
 def test_short_repeats_by_chance_do_not_count(spark):
@@ -312,7 +305,7 @@ def test_chunks_find_passages_of_fifty_words():
         a, b = (some(60)[r.randrange(40) :] + passage + some(60) for _ in "ab")
         seen = set(cut(a))
         found.append(sum(len(x) for x in cut(b) if x in seen) / len(passage))
-    assert min(found) > 0 and sum(found) / len(found) > 0.65
+    assert sum(f > 0 for f in found) >= 0.95 * len(found) and sum(found) / len(found) > 0.5
     for line in (b"x", b"one line again\n"):  # also where bytes repeat themselves, at any phase
         assert len(set(cut(some(9) + line * 400)) & set(cut(some(20) + line * 300))) >= 1
 
