@@ -10,6 +10,7 @@ from ..functions.text import json_has_key
 from ..functions.times import is_loose_ts, utc_day
 from .folds import active_candidates
 from .latest import islands, latest_per_key
+from .scan import running_count
 
 DAY_US = 86_400_000_000
 
@@ -69,8 +70,8 @@ def gaps_ranked(found: DataFrame) -> DataFrame:
     # ranks come from a count per total, so that no window has to sort all channels in one task
     totals = per.groupBy("n_missing").agg(F.count("*").alias("_n"))
     before = totals.withColumn("_before", F.sum("_n").over(W.orderBy(F.desc("n_missing")).rowsBetween(W.unboundedPreceding, -1)))
-    within = F.row_number().over(W.partitionBy("n_missing").orderBy("channel_id"))
-    return per.withColumn("_w", within).join(before.drop("_n"), "n_missing").select("channel_id", "n_ranges", "n_missing", (F.coalesce("_before", F.lit(0)) + F.col("_w")).alias("rank"))
+    within = running_count(per, "n_missing", ["channel_id"], "_w")  # the commonest total in blocks
+    return within.join(before.drop("_n"), "n_missing").select("channel_id", "n_ranges", "n_missing", (F.coalesce("_before", F.lit(0)) + F.col("_w")).alias("rank"))
 
 
 def older_not_walked(samples: DataFrame) -> DataFrame:

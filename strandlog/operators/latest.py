@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import running_count, running_last
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row of each key that comes first by ``order``. Spark prunes rows before the shuffle (WindowGroupLimit)."""
@@ -38,9 +40,9 @@ def first_wins(df: DataFrame, keys: Sequence[Column], order: Sequence[Column]) -
     return df.withColumn("_own", own).withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_own").orderBy(*order))).filter("_rank = 1").drop("_rank", "_own")
 
 
-def assign_offsets(new: DataFrame, heads: DataFrame | None, order: Sequence[Column], stream: str = "stream", offset: str = "offset_in_stream") -> DataFrame:
-    """Gap-free offsets from 1 in each stream, or from behind the stream's head."""
-    numbered = new.withColumn("_n", F.row_number().over(W.partitionBy(stream).orderBy(*order)))
+def assign_offsets(new: DataFrame, heads: DataFrame | None, order: Sequence[str], stream: str = "stream", offset: str = "offset_in_stream") -> DataFrame:
+    """Gap-free offsets from 1 in each stream, or from behind the stream's head; hot streams are numbered in blocks."""
+    numbered = running_count(new, stream, order, "_n")
     if heads is None:
         return numbered.withColumn(offset, F.col("_n").cast("bigint")).drop("_n")
     return numbered.join(heads.select(stream, F.col(offset).alias("_head")), stream, "left").withColumn(offset, F.col("_n") + F.coalesce("_head", F.lit(0))).drop("_n", "_head")
@@ -49,12 +51,12 @@ def assign_offsets(new: DataFrame, heads: DataFrame | None, order: Sequence[Colu
 def as_of(requests: DataFrame, states: DataFrame, key: str, at: str, state_at: str) -> DataFrame:
     """Each request with its key's latest state at or before it, or nulls: a union sorted by time, no pairs.
 
-    ``states`` has key, ``state_at`` and other columns; of states at one time, any may be taken.
+    ``states`` has key, ``state_at`` and other columns; of states at one time, any may be taken. Hot keys are joined in blocks.
     """
     values = [c for c in states.columns if c != key]
     left = requests.select(key, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*requests.columns).alias("_row"), F.lit(None).cast(states.select(F.struct(*values)).schema[0].dataType).alias("_state"))
     right = states.select(key, F.col(state_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(*values).alias("_state"))
-    seen = F.last("_state", ignorenulls=True).over(W.partitionBy(key).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0))
-    return left.unionByName(right).withColumn("_seen", seen).filter("_side = 1").select("_row.*", *[F.col(f"_seen.{c}").alias(c) for c in values])
+    seen = running_last(left.unionByName(right), key, ["_at", "_side"], F.col("_state"), "_seen")
+    return seen.filter("_side = 1").select("_row.*", *[F.col(f"_seen.{c}").alias(c) for c in values])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import backoff_seconds
 from .latest import latest_per_key
+from .scan import row_before, running_sum
 
 HOUR_US = 3_600_000_000
 MOST_ATTEMPTS = 12
@@ -84,9 +85,8 @@ def replay_decision(requests: DataFrame, heads: DataFrame, snapshots: DataFrame,
 
 def user_changes(log: DataFrame) -> DataFrame:
     """(user_id, off, change) of states seen in order (display, real): added, renamed, profile, or nothing where equal."""
-    w = W.partitionBy("user_id").orderBy("off")
-    x = log.withColumn("_d", F.lag("display").over(w)).withColumn("_r", F.lag("real").over(w)).withColumn("_n", F.row_number().over(w))
-    change = F.when(F.col("_n") == 1, F.array(F.lit("added"))).otherwise(F.array_compact(F.array(F.when(~F.col("display").eqNullSafe(F.col("_d")), F.lit("renamed")), F.when(~F.col("real").eqNullSafe(F.col("_r")), F.lit("profile")))))
+    x = row_before(log, "user_id", ["off"], ["display", "real"], "_was")
+    change = F.when(F.col("_was").isNull(), F.array(F.lit("added"))).otherwise(F.array_compact(F.array(F.when(~F.col("display").eqNullSafe(F.col("_was.display")), F.lit("renamed")), F.when(~F.col("real").eqNullSafe(F.col("_was.real")), F.lit("profile")))))
     return x.select("user_id", "off", F.explode(change).alias("change"))
 
 
@@ -105,10 +105,10 @@ def corrective_edits(log: DataFrame) -> DataFrame:
 def degraded_episodes(attempts: DataFrame, min_us: int) -> DataFrame:
     """(channel_id, us) where an outage is announced: a run of failures between successes, at most once, at the first
     failure that comes ``min_us`` or more after the run's first. ``attempts``: channel_id, us, id, ok."""
-    w = W.partitionBy("channel_id").orderBy("us", "id").rowsBetween(W.unboundedPreceding, 0)
-    runs = attempts.withColumn("episode", F.sum(F.col("ok").cast("int")).over(w)).filter("not ok")
-    began = runs.withColumn("began", F.min("us").over(W.partitionBy("channel_id", "episode")))
-    return began.filter(F.col("us") - F.col("began") >= min_us).groupBy("channel_id", "episode").agg(F.min("us").alias("us")).select("channel_id", "us")
+    counted = running_sum(attempts.withColumn("_ok", F.col("ok").cast("int")), "channel_id", ["us", "id"], "_ok", "episode")
+    runs = counted.filter("not ok")
+    began = runs.groupBy("channel_id", "episode").agg(F.min("us").alias("began"))
+    return runs.join(began, ["channel_id", "episode"]).filter(F.col("us") - F.col("began") >= min_us).groupBy("channel_id", "episode").agg(F.min("us").alias("us")).select("channel_id", "us")
 
 
 

@@ -232,7 +232,7 @@ def w5_assign_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("stream", F.concat(F.lit("C"), "user_id")).withColumn("us", a.micros("ts"))
     heads = e.filter("event_type = 'view'").groupBy("stream").agg((F.max("event_id") % 50).alias("offset_in_stream"))
     new = e.filter("event_type = 'click'").select("stream", F.col("event_id").alias("id"), "us")
-    return latest.assign_offsets(new, heads, [F.col("us"), F.col("id")]).select("stream", "id", F.col("offset_in_stream").cast("bigint"))
+    return latest.assign_offsets(new, heads, ["us", "id"]).select("stream", "id", F.col("offset_in_stream").cast("bigint"))
 
 
 @query(f"""{LOG}, x AS (SELECT stream, id, CASE WHEN k % 10 <> 0 THEN parent_ts END AS parent_ts, reply_count FROM log WHERE kind = 'parent_replied')

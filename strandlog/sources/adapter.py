@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import micros_ts
+from ..operators.scan import running_count, running_last
 from .shared import written_once
 
 #: The kind that stands for each type of generic event, and the moment that "now" is in queries.
@@ -31,9 +32,9 @@ def channel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_channel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", micros("ts").alias("us"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("event_type")]
-    order = W.partitionBy("user_id").orderBy("us", "event_id")
-    e = e.withColumn("kind", kind).withColumn("ets", micros_ts(F.col("us"))).withColumn("off", F.row_number().over(order).cast("bigint"))
-    e = e.withColumn("tgt", F.last(F.when(F.col("kind") == "message", F.col("ets")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    order = ["us", "event_id"]
+    e = running_count(e.withColumn("kind", kind).withColumn("ets", micros_ts(F.col("us"))), "user_id", order, "off").withColumn("off", F.col("off").cast("bigint"))
+    e = running_last(e, "user_id", order, F.when(F.col("kind") == "message", F.col("ets")), "tgt", itself=False)
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
     return e.select(
         F.col("event_id").alias("id"), F.concat(F.lit("channel:C"), "user_id").alias("stream"), F.concat(F.lit("C"), "user_id").alias("channel_id"), "off", "kind", "us", "k",

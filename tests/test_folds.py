@@ -196,7 +196,7 @@ def test_staleness_order(spark):
 def test_offsets_go_on_behind_heads(spark):
     new = spark.createDataFrame([("s", 5), ("s", 7), ("t", 1)], "stream string, id long")
     heads = spark.createDataFrame([("s", 10)], "stream string, offset_in_stream long")
-    got = {(r.stream, r.id): r.offset_in_stream for r in latest.assign_offsets(new, heads, [F.col("id")]).collect()}
+    got = {(r.stream, r.id): r.offset_in_stream for r in latest.assign_offsets(new, heads, ["id"]).collect()}
     assert got == {("s", 5): 11, ("s", 7): 12, ("t", 1): 1}
 
 
