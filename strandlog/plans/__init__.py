@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import completeness, ingest, listing, projection, state, text
+from . import completeness, ingest, listing, projection, state, streams, text
 from .registry import ORACLES, QUERIES, Query
 
 
@@ -14,4 +14,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["completeness", "ingest", "listing", "oracle_sql", "projection", "queries", "state", "text"]
+__all__ = ["completeness", "ingest", "listing", "oracle_sql", "projection", "queries", "state", "streams", "text"]

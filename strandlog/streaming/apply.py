@@ -25,9 +25,16 @@ def state_of(spark: SparkSession, path: str, fold: Callable[[DataFrame], DataFra
     return fold(spark.read.parquet(path).drop("batch"))
 
 
-def cursors(spark: SparkSession, path: str) -> DataFrame:
-    """(stream, applied): the offset up to which nothing is missing is at most this one."""
-    return spark.read.parquet(path).groupBy("stream").agg(F.max("off").alias("applied"))
+def cursors(log: DataFrame) -> DataFrame:
+    """(stream, applied): the offset up to which nothing is missing; what came beyond a hole does not count.
+
+    An offset is the cursor if all up to it are there: the least whose next one is missing. One join on (stream, offset),
+    so that no stream is one task.
+    """
+    have = log.select("stream", "off").filter("off > 0").distinct()
+    have = have.unionByName(log.select("stream", F.lit(0).cast("long").alias("off")).distinct())
+    ends = have.join(have.select("stream", (F.col("off") - 1).alias("off")), ["stream", "off"], "left_anti")
+    return ends.groupBy("stream").agg(F.min("off").alias("applied"))
 
 
 def latest_in_stream(stream: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
