@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .latest import first_wins
+from .latest import as_of, first_wins
 
 #: The log's schema at rest, and structural pushes by type with the kind that each becomes.
 EVENT = "id bigint, stream string, offset_in_stream bigint, kind string, ts string, payload string, source string, created_at timestamp"
@@ -47,6 +47,41 @@ def translate(pushes: DataFrame) -> DataFrame:
     return pushes.select("*", stream.alias("stream"), F.when(type_ == "user_change", "user_profile_changed").otherwise(kind).alias("kind"), ts.alias("ts"))
 
 
+#: Pushes by what is written for them; archive, unarchive and rename go by the kinds above.
+_LOST, _CREATED = ("channel_deleted", "channel_left", "group_deleted"), ("channel_created", "im_created")
+
+
+def structural_events(pushes: DataFrame, channels: DataFrame, self_id: str) -> DataFrame:
+    """(push_id, part, stream, kind, payload) of structural pushes (push_id, us, type, channel, user, event_ts).
+
+    ``channels`` has channel_id, valid_us and what is known of the channel from then on; a push that needs it (a channel
+    that is new or renamed, or that one joins oneself) takes the state as of its own time. Where nothing is known yet, such a
+    push gives nothing, and is to come again; what does not need it is written all the same. A member's coming or going is a fact of
+    its own; one's own coming also adds the channel before it, one's own going ends the membership behind it.
+    """
+    known = [c for c in channels.columns if c not in ("channel_id", "valid_us")]
+    asked = pushes.withColumnRenamed("channel", "channel_id")
+    j = as_of(asked, channels, "channel_id", "us", "valid_us")
+    type_, there, own = F.col("type"), F.col("valid_us").isNotNull(), F.col("user").eqNullSafe(F.lit(self_id))
+    info = F.to_json(F.struct(F.col("channel_id").alias("id"), *known))
+    channel = F.col("channel_id")
+    pairs = lambda **c: F.to_json(F.struct(*[x.alias(k) for k, x in c.items()]))
+    event = lambda part, kind, payload: F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), payload.alias("payload"))
+    gone = pairs(channel_id=channel, is_member=F.lit(False))
+    member = pairs(channel_id=channel, user_id=F.col("user"), event_ts=F.col("event_ts"))
+    whole_member = channel.isNotNull() & F.col("user").isNotNull()
+    parts = F.array_compact(F.array(
+        F.when((type_.isin(*_CREATED) | ((type_ == "member_joined_channel") & own)) & there & channel.isNotNull(), event(0, "channel_added", info)),
+        F.when((type_ == "member_joined_channel") & whole_member, event(1, "channel_member_joined", member)),
+        F.when((type_ == "member_left_channel") & whole_member, event(1, "channel_member_left", member)),
+        F.when((type_.isin(*_LOST) | ((type_ == "member_left_channel") & own)) & channel.isNotNull(), event(2, "channel_member_changed", gone)),
+        F.when(type_.isin("channel_archive", "group_archive") & channel.isNotNull(), event(0, "channel_archived", pairs(channel_id=channel))),
+        F.when(type_.isin("channel_unarchive", "group_unarchive") & channel.isNotNull(), event(0, "channel_unarchived", pairs(channel_id=channel))),
+        F.when(type_.isin("channel_rename", "group_rename") & there & channel.isNotNull(), event(0, "channel_renamed", pairs(channel_id=channel, new_name=F.col("name")))),
+    ))
+    return j.select("push_id", F.explode(parts).alias("e")).select("push_id", "e.part", F.lit("channel-list").alias("stream"), "e.kind", "e.payload")
+
+
 def subscribe_status(stream: Column, since: Column, head: Column) -> Column:
     """What a subscription is answered: an error, or ok. Internal streams are unknown; an empty stream is fine at 0."""
     hidden = stream.startswith("backfill-run:")

@@ -92,6 +92,31 @@ def run_outcomes(runs: DataFrame, most: int) -> DataFrame:
     return cut.select("channel_id", "run_id", F.coalesce("cut", "total").cast("bigint").alias("total"), "stopped_at", F.when(F.col("cut").isNotNull(), "size_capped").otherwise("completed").alias("outcome"))
 
 
+def walk_marks(runs: DataFrame, warn_at: int, every: int, most: int) -> DataFrame:
+    """(channel_id, run_id, page, mark, messages): what is announced while pages of a run are written.
+
+    ``aborted`` at the first page that would take the run beyond ``most`` messages: neither it nor a later one is written.
+    ``warn_large`` once, at the first written page by which the run has ``warn_at`` messages. ``progress`` at each written page by
+    which it has ``every`` more than at the last progress, so that a large page moves all later marks.
+
+    Only pages of messages within the cap reach the fold over a run, so that its group is bounded by ``most``.
+    """
+    w = W.partitionBy("channel_id", "run_id").orderBy("page", "id").rowsBetween(W.unboundedPreceding, 0)
+    p = runs.filter("kind = 'page'").withColumn("n", F.coalesce("messages", F.lit(0))).withColumn("sum", F.sum("n").over(w))
+    ends = p.filter(F.col("sum") > most).groupBy("channel_id", "run_id").agg(F.min(F.struct("page", "id", (F.col("sum") - F.col("n")).alias("messages"))).alias("x"))
+    aborted = ends.select("channel_id", "run_id", "x.page", F.lit("aborted").alias("mark"), "x.messages")
+    kept = p.filter((F.col("sum") <= most) & (F.col("n") > 0))
+    warned = kept.filter(F.col("sum") >= warn_at).groupBy("channel_id", "run_id").agg(F.min(F.struct("page", "id", F.col("sum").alias("messages"))).alias("x"))
+    warned = warned.select("channel_id", "run_id", "x.page", F.lit("warn_large").alias("mark"), "x.messages")
+    steps = kept.groupBy("channel_id", "run_id").agg(F.sort_array(F.collect_list(F.struct("page", "id", "sum"))).alias("pages"))
+    none = F.expr("cast(array() as array<struct<page:bigint,messages:bigint>>)")
+    start = F.struct(F.lit(0).cast("bigint").alias("last"), none.alias("marks"))
+    step = lambda s, x: F.when(x["sum"] >= s["last"] + every, F.struct(x["sum"].alias("last"), F.concat(s["marks"], F.array(F.struct(x["page"].cast("bigint").alias("page"), x["sum"].alias("messages")))).alias("marks"))).otherwise(s)
+    told = steps.select("channel_id", "run_id", F.explode(F.aggregate("pages", start, step)["marks"]).alias("x"))
+    progress = told.select("channel_id", "run_id", "x.page", F.lit("progress").alias("mark"), "x.messages")
+    return aborted.unionByName(warned).unionByName(progress)
+
+
 def unique_slugs(df: DataFrame, root: str, slug: str, first: list[Column], id_col: str) -> DataFrame:
     """Adds ``unique_slug``: later rows of a root with one slug get -2, -3, ..., in the order ``first``."""
     n = F.row_number().over(W.partitionBy(root, slug).orderBy(*first, F.col(id_col)))

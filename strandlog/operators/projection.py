@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,3 +102,29 @@ def bumped(base: DataFrame, bumps: DataFrame) -> DataFrame:
     j = base.join(sums, ["channel_id", "ts"], "left")
     count = F.when(F.col("total").isNull(), F.col("reply_count")).otherwise(F.greatest(F.col("reply_count") + F.col("total"), F.col("total") - F.col("low")))
     return j.select("channel_id", "ts", count.cast("bigint").alias("reply_count"), F.coalesce("last", "latest_reply").alias("latest_reply"))
+
+
+# The line that a block ends with when its message has replies, for one and for more.
+_THREAD_LINE = r"(?U)> Thread: \d+ repl(?:y|ies)"
+_ENDS = r"(?U)[\s\x1C-\x1F]+\z"
+
+
+def thread_line(block: Column, count: Column) -> Column:
+    """A block whose line about replies says ``count``: the line is changed where there is one, put at the end where there
+    is none, and taken out, with the white space behind the block, where nothing is left."""
+    line = F.concat(F.lit("> Thread: "), count.cast("string"), F.when(count == 1, " reply").otherwise(" replies"))
+    bare = F.regexp_replace(block, _ENDS, "")
+    without = F.concat(F.regexp_replace(F.regexp_replace(block, _THREAD_LINE, ""), _ENDS, ""), F.lit("\n"))
+    return F.when(count <= 0, without).when(block.rlike(_THREAD_LINE), F.regexp_replace(block, F.lit(_THREAD_LINE), line)).otherwise(F.concat(bare, F.lit("\n\n"), line, F.lit("\n")))
+
+
+def thread_blocks(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """``blocks`` (channel_id, ts, block, reply_count, ...) after their replies were counted (channel_id, ts, reply_count).
+
+    Adds ``changed``: whether the block or its count is another now. A message that is not counted stays as it is.
+    """
+    j = blocks.join(counts.select("channel_id", "ts", F.col("reply_count").cast("bigint").alias("_n")), ["channel_id", "ts"], "left")
+    new = F.when(F.col("_n").isNull(), F.col("block")).otherwise(thread_line(F.col("block"), F.col("_n")))
+    others = [c for c in blocks.columns if c not in ("block", "reply_count")]
+    changed = (new != F.col("block")) | (F.coalesce("_n", "reply_count") != F.col("reply_count"))
+    return j.select(*others, new.alias("block"), F.coalesce("_n", "reply_count").alias("reply_count"), changed.alias("changed"))

@@ -97,3 +97,28 @@ def r7_rerender(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = a.channel_log(spark, sf_dir).filter("kind = 'message'")
     part = lambda n, content: m.filter(F.col("k") % n == 0).select("channel_id", F.col("msg_ts").alias("ts"), F.lit(content).alias("content"))
     return ingest.rerender(part(2, "old"), part(3, "new"), ["channel_id", "ts"])
+
+
+#: Fixed rule: the push that each event of the channel log stands for, by its small number.
+_TYPES = ["channel_archive", "channel_unarchive", "channel_rename", "channel_left", "channel_created", "member_joined_channel", "member_left_channel", "im_created", "group_rename", "odd"]
+
+
+@query(f"""{LOG}, pu AS (SELECT id AS push_id, us, list_extract({_TYPES}, CAST(k % 10 + 1 AS INT)) AS type, CASE WHEN k % 17 <> 0 THEN channel_id END AS c, CASE WHEN k % 13 <> 0 THEN 'U' || k % 3 END AS u, msg_ts AS e FROM log),
+st AS (SELECT 'C' || o_custkey AS c, 1704067200000000 + (o_orderkey % 40) * 43200000000 AS valid_us, max(o_orderkey) AS o FROM orders GROUP BY ALL),
+j AS (SELECT pu.*, (SELECT arg_max(o, valid_us) FROM st WHERE st.c = pu.c AND valid_us <= pu.us) AS o FROM pu),
+x AS (SELECT *, '{{"channel_id":"' || c || '"' AS h, '{{"id":"' || c || '","name":"n' || o || '"' || CASE WHEN o % 3 > 0 THEN ',"topic":"t' || o % 3 || '"' ELSE '' END || '}}' AS info, '{{"channel_id":"' || c || '","user_id":"' || u || '"' || coalesce(',"event_ts":"' || e || '"', '') || '}}' AS m FROM j WHERE c IS NOT NULL)
+SELECT push_id, part, 'channel-list' AS stream, kind, payload FROM (
+  SELECT push_id, 0 AS part, 'channel_added' AS kind, info AS payload FROM x WHERE o IS NOT NULL AND (type IN ('channel_created', 'im_created') OR type = 'member_joined_channel' AND u = 'U1')
+  UNION ALL SELECT push_id, 1, 'channel_member_joined', m FROM x WHERE type = 'member_joined_channel' AND u IS NOT NULL UNION ALL SELECT push_id, 1, 'channel_member_left', m FROM x WHERE type = 'member_left_channel' AND u IS NOT NULL
+  UNION ALL SELECT push_id, 2, 'channel_member_changed', h || ',"is_member":false}}' FROM x WHERE type = 'channel_left' OR type = 'member_left_channel' AND u = 'U1'
+  UNION ALL SELECT push_id, 0, type || 'd', h || '}}' FROM x WHERE type IN ('channel_archive', 'channel_unarchive')
+  UNION ALL SELECT push_id, 0, 'channel_renamed', h || ',"new_name":"n' || o || '"}}' FROM x WHERE type IN ('channel_rename', 'group_rename') AND o IS NOT NULL)""")
+def r11_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural pushes with the channels as they were known at each push, one's own joins told from those of others."""
+    k = F.col("k")
+    types = F.array(*map(F.lit, _TYPES))
+    pushes = a.channel_log(spark, sf_dir).select(F.col("id").alias("push_id"), "us", F.get(types, (k % 10).cast("int")).alias("type"), F.when(k % 17 != 0, F.col("channel_id")).alias("channel"), F.when(k % 13 != 0, F.concat(F.lit("U"), k % 3)).alias("user"), F.col("msg_ts").alias("event_ts"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("C"), "o_custkey").alias("channel_id"), (F.lit(1_704_067_200_000_000) + (F.col("o_orderkey") % 40) * 43_200_000_000).alias("valid_us"), "o_orderkey")
+    states = o.groupBy("channel_id", "valid_us").agg(F.max("o_orderkey").alias("o"))
+    states = states.select("channel_id", "valid_us", F.concat(F.lit("n"), "o").alias("name"), F.when(F.col("o") % 3 > 0, F.concat(F.lit("t"), F.col("o") % 3)).alias("topic"))
+    return ingest.structural_events(pushes, states, "U1")

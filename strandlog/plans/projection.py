@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import completeness, folds, health, ingest, projection, resume
+from ..operators import completeness, folds, health, ingest, inventory, projection, resume
 from ..sources import adapter as a
 from .completeness import _EMPTY_SQL, _RESUME_SQL, _SNAPS_SQL, _runs_with_empty, _snaps
-from .registry import query
+from .registry import ORACLES, query
 from .state import _SNAPSHOT_SQL, CL, LOG, RL
 
 NOW, DAY = a.NOW_US, 86_400_000_000
@@ -193,3 +193,29 @@ def r8_key_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {"ts": F.when(kind == "channel_history_changed", z).otherwise(F.col("msg_ts")), "id": x, "parent_ts": x, "reply_count": y, "old_channel_id": x, "new_channel_id": y, "event_ts": z, "channel_id": x, "latest": y, "user_id": y, "tokens": x, "run_id": x, "page_index": y}
     events = a.channel_log(spark, sf_dir).select("id", stream.alias("stream"), kind.alias("kind"), F.struct(*[v.alias(n) for n, v in named.items()]).alias("payload"))
     return ingest.first_of_family(events).select("id", "stream", "kind")
+
+
+@query(f"""{LOG}, ct AS ({ORACLES["f17_reply_counts"]}),
+b AS (SELECT channel_id, msg_ts AS ts, k % 3 AS reply_count, CASE k % 4 WHEN 0 THEN 'text' || chr(10) || chr(10) || '> Thread: 1 reply' || chr(10) WHEN 1 THEN '> Thread: 12 replies' || chr(10) || 'more text' || chr(10) WHEN 2 THEN 'text ' || chr(10) || chr(10) ELSE '' END AS block FROM log WHERE kind = 'message'),
+j AS (SELECT b.*, ct.reply_count AS n, '> Thread: ' || ct.reply_count || CASE WHEN ct.reply_count = 1 THEN ' reply' ELSE ' replies' END AS line FROM b LEFT JOIN ct USING (channel_id, ts)),
+nw AS (SELECT *, CASE WHEN n IS NULL THEN block WHEN n <= 0 THEN regexp_replace(regexp_replace(block, '> Thread: \\d+ repl(y|ies)', '', 'g'), '\\s+$', '') || chr(10)
+  WHEN block LIKE '%> Thread: %' THEN regexp_replace(block, '> Thread: \\d+ repl(y|ies)', line, 'g') ELSE regexp_replace(block, '\\s+$', '') || chr(10) || chr(10) || line || chr(10) END AS new FROM j)
+SELECT channel_id, ts, new AS block, CAST(coalesce(n, reply_count) AS BIGINT) AS reply_count, new <> block OR coalesce(n, reply_count) <> reply_count AS changed FROM nw""")
+def f17_thread_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, as they were rendered once, whose line about replies is changed, added or taken out by the replies counted."""
+    k = F.col("k")
+    text = F.when(k % 4 == 0, "text\n\n> Thread: 1 reply\n").when(k % 4 == 1, "> Thread: 12 replies\nmore text\n").when(k % 4 == 2, "text \n\n").otherwise("")
+    blocks = a.channel_log(spark, sf_dir).filter("kind = 'message'").select("channel_id", F.col("msg_ts").alias("ts"), text.alias("block"), (k % 3).alias("reply_count"))
+    return projection.thread_blocks(blocks, projection.reply_counts(projected_log(spark, sf_dir)))
+
+
+@query(f"""{RL.replace("WITH", "WITH RECURSIVE", 1)},
+p AS (SELECT channel_id, run_id, page, id, messages AS n, sum(messages) OVER (PARTITION BY channel_id, run_id ORDER BY page, id) AS s FROM rl WHERE kind = 'page'),
+ab AS (SELECT *, row_number() OVER (PARTITION BY channel_id, run_id ORDER BY page, id) AS rn FROM p WHERE s > 150),
+wr AS (SELECT *, row_number() OVER (PARTITION BY channel_id, run_id ORDER BY page, id) AS rn FROM p WHERE s <= 150 AND s >= 60),
+nx AS (SELECT a.channel_id, a.run_id, a.s AS last, min(b.s) AS s FROM (SELECT channel_id, run_id, s FROM p WHERE s <= 150 UNION ALL SELECT DISTINCT channel_id, run_id, 0 FROM p) a JOIN p b ON b.channel_id = a.channel_id AND b.run_id = a.run_id AND b.s <= 150 AND b.s >= a.s + 40 GROUP BY ALL),
+pr AS (SELECT channel_id, run_id, s FROM nx WHERE last = 0 UNION ALL SELECT nx.channel_id, nx.run_id, nx.s FROM pr JOIN nx ON nx.channel_id = pr.channel_id AND nx.run_id = pr.run_id AND nx.last = pr.s)
+SELECT channel_id, run_id, page, 'aborted' AS mark, CAST(s - n AS BIGINT) AS messages FROM ab WHERE rn = 1 UNION ALL SELECT channel_id, run_id, page, 'warn_large', CAST(s AS BIGINT) FROM wr WHERE rn = 1
+UNION ALL SELECT pr.channel_id, pr.run_id, (SELECT min(page) FROM p WHERE p.channel_id = pr.channel_id AND p.run_id = pr.run_id AND p.s = pr.s), 'progress', CAST(pr.s AS BIGINT) FROM pr""")
+def r16_walk_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.walk_marks(a.run_log(spark, sf_dir), 60, 40, 150)

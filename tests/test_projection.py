@@ -111,3 +111,52 @@ def test_worklist(spark):
     found = spark.createDataFrame([("C", t, 9, "y") for t in "abce"], "channel_id string, thread_ts string, reply_count long, latest_reply string")
     got = {tuple(r)[1:] for r in resume.thread_worklist(plan, found).collect()}
     assert got == {("b", "cur", 1, "x"), ("c", "", 9, "y"), ("d", "", 1, "x"), ("e", "", 9, "y")}
+
+
+def test_thread_lines(spark):
+    blocks = [("C", "1", "text\n\n> Thread: 1 reply\n", 1), ("C", "2", "text\n", 0), ("C", "3", "text\n\n> Thread: 3 replies\n", 3), ("C", "4", "a\n> Thread: 2 replies\nb > Thread: 1 reply\n", 2), ("C", "5", "left\n", 7), ("C", "6", "", 0)]
+    counts = [("C", "1", 2), ("C", "2", 1), ("C", "3", 0), ("C", "4", 5), ("C", "6", 1), ("X", "1", 9)]
+    got = projection.thread_blocks(spark.createDataFrame(blocks, "channel_id string, ts string, block string, reply_count long"), spark.createDataFrame(counts, "channel_id string, ts string, reply_count long"))
+    want = {"1": ("text\n\n> Thread: 2 replies\n", 2, True), "2": ("text\n\n> Thread: 1 reply\n", 1, True), "3": ("text\n", 0, True), "4": ("a\n> Thread: 5 replies\nb > Thread: 5 replies\n", 5, True), "5": ("left\n", 7, False), "6": ("\n\n> Thread: 1 reply\n", 1, True)}
+    assert {r.ts: (r.block, r.reply_count, r.changed) for r in got.collect()} == want
+
+
+def test_walk_marks_against_a_loop(spark):
+    import random
+
+    from strandlog.operators import inventory
+
+    r, rows, want = random.Random(6), [], set()
+    for run in range(30):
+        total = last = 0
+        warned = cut = False
+        for page in range(r.randrange(1, 25)):
+            n = r.choice([0, None, 5, 20, 60, 130])
+            rows.append(("C", f"R{run}", "page", page, page, n))
+            if not cut and total + (n or 0) > 300:
+                cut = True
+                want.add((f"R{run}", page, "aborted", total))
+            if cut:
+                continue
+            total += n or 0
+            if not warned and total >= 150 and n:
+                warned = True
+                want.add((f"R{run}", page, "warn_large", total))
+            if total >= last + 50:
+                last = total
+                want.add((f"R{run}", page, "progress", total))
+    d = spark.createDataFrame(rows, "channel_id string, run_id string, kind string, page long, id long, messages long")
+    assert {(x.run_id, x.page, x.mark, x.messages) for x in inventory.walk_marks(d, 150, 50, 300).collect()} == want
+    assert inventory.walk_marks(d.limit(0), 1, 1, 1).count() == 0
+
+
+def test_own_joins_are_told_from_others(spark):
+    from strandlog.operators import ingest
+
+    pushes = [(1, 10, "member_joined_channel", "C", "ME", "1.0"), (2, 10, "member_joined_channel", "C", "U", "1.1"), (3, 1, "member_joined_channel", "C", "ME", None), (4, 20, "member_left_channel", "C", "ME", "2.0"), (5, 20, "channel_rename", "C", None, None), (6, 20, "channel_rename", "D", None, None), (7, 20, "channel_archive", None, None, None), (8, 20, "strange", "C", "ME", None)]
+    states = spark.createDataFrame([("C", 5, "old"), ("C", 15, "new")], "channel_id string, valid_us long, name string")
+    got = ingest.structural_events(spark.createDataFrame(pushes, "push_id long, us long, type string, channel string, user string, event_ts string"), states, "ME").collect()
+    assert sorted((r.push_id, r.part, r.kind, r.payload) for r in got) == [
+        (1, 0, "channel_added", '{"id":"C","name":"old"}'), (1, 1, "channel_member_joined", '{"channel_id":"C","user_id":"ME","event_ts":"1.0"}'), (2, 1, "channel_member_joined", '{"channel_id":"C","user_id":"U","event_ts":"1.1"}'),
+        (3, 1, "channel_member_joined", '{"channel_id":"C","user_id":"ME"}'), (4, 1, "channel_member_left", '{"channel_id":"C","user_id":"ME","event_ts":"2.0"}'), (4, 2, "channel_member_changed", '{"channel_id":"C","is_member":false}'), (5, 0, "channel_renamed", '{"channel_id":"C","new_name":"new"}'),
+    ]
