@@ -111,14 +111,17 @@ FAMILIES = {
 }
 
 
+def family_key(kind: Column) -> Column:
+    """The key of an event with ``payload``, by its kind's family, as JSON; null for other kinds and where a part is absent."""
+    text = lambda c: F.col(f"payload.{c}").cast("string")
+    keys = F.create_map(*[x for k, cols in FAMILIES.items() for x in (F.lit(k), F.array(*[text(c) for c in cols]))])[kind]
+    return F.when(keys.isNotNull() & ~F.exists(keys, lambda x: x.isNull()), F.to_json(keys))
+
+
 def first_of_family(events: DataFrame, order: str = "id") -> DataFrame:
     """The events (stream, kind, payload struct, ...) that a log would take, one after the other: of a kind with a key the
     first of each stream and key; of other kinds all. A key with an absent part equals none. All families in one pass."""
-    text = lambda c: F.col(f"payload.{c}").cast("string")
-    keys = F.create_map(*[x for kind, cols in FAMILIES.items() for x in (F.lit(kind), F.array(*[text(c) for c in cols]))])
-    keyed = events.withColumn("_key", keys[F.col("kind")])
-    whole = F.when(F.col("_key").isNotNull() & ~F.exists("_key", lambda x: x.isNull()), F.to_json("_key"))
-    return first_wins(keyed.withColumn("_key", whole), [F.col("stream"), F.col("kind"), F.col("_key")], [F.col(order)]).drop("_key")
+    return first_wins(events.withColumn("_key", family_key(F.col("kind"))), [F.col("stream"), F.col("kind"), F.col("_key")], [F.col(order)]).drop("_key")
 
 
 def replay_then_live(requests: DataFrame, log: DataFrame) -> DataFrame:

@@ -102,6 +102,20 @@ def corrective_edits(log: DataFrame) -> DataFrame:
     return again.join(edits, ["stream", "msg_ts", "k"], "left_anti").select("stream", "msg_ts", "id")
 
 
+def corrections(events: DataFrame) -> DataFrame:
+    """(stream, msg_ts, id, content): the edits that a log owes to base messages which come again with other content, in
+    order of id. ``events``: id, stream, kind (message or message_changed), msg_ts, content.
+
+    One edit for each new content: none where it is the first content, was said by an edit before, or has been given.
+    """
+    one = events.filter("stream is not null and msg_ts is not null").select("stream", "msg_ts", "id", "kind", "content")
+    base = F.col("kind") == "message"
+    first = one.filter(base).groupBy("stream", "msg_ts").agg(F.min("id").alias("_first"), F.min_by("content", "id").alias("_content"))
+    j = one.join(first, ["stream", "msg_ts"]).filter(~base | ((F.col("id") > F.col("_first")) & (F.col("content") != F.col("_content"))))
+    said = j.groupBy("stream", "msg_ts", "content").agg(F.min("id").alias("id"), F.min_by("kind", "id").alias("kind"))
+    return said.filter("kind = 'message'").select("stream", "msg_ts", "id", "content")
+
+
 def degraded_episodes(attempts: DataFrame, min_us: int) -> DataFrame:
     """(channel_id, us) where an outage is announced: a run of failures between successes, at most once, at the first
     failure that comes ``min_us`` or more after the run's first. ``attempts``: channel_id, us, id, ok."""

@@ -184,6 +184,11 @@ _FAMILY_SQL = f"""{LOG}, ex AS (SELECT id, CASE k % 8 WHEN 0 THEN 'channel-list'
 SELECT id, stream, kind FROM (SELECT *, row_number() OVER (PARTITION BY stream, kind, key ORDER BY id) AS rn FROM fk) WHERE rn = 1 OR key IS NULL OR list_contains(list_transform(key, lambda x: x IS NULL), true)""")
 def r8_key_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each family of kinds deduplicated by its own key; rows with an absent part of a key are all kept."""
+    return ingest.first_of_family(family_events(spark, sf_dir)).select("id", "stream", "kind")
+
+
+def family_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, stream, kind, payload): events of every family, with repeated and with absent parts of their keys."""
     k = F.col("k")
     which = lambda *x: F.element_at(F.array(*x), (k % 8 + 1).cast("int"))
     list_, own = F.lit("channel-list"), F.col("stream")
@@ -191,8 +196,7 @@ def r8_key_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = which(F.lit("channel_id_changed"), F.lit("user_added"), F.lit("tokens_revoked"), F.when(k % 3 == 0, "backfill_run_started").otherwise("backfill_page_committed"), F.when(k % 3 == 0, "channel_member_joined").otherwise("channel_history_changed"), F.col("kind"), F.col("kind"), F.col("kind"))
     x, y, z = F.when(k % 9 > 0, F.concat(F.lit("a"), k % 5)), F.when(k % 7 > 0, F.concat(F.lit("b"), F.col("us") % 3)), F.concat(F.lit("c"), k % 2)
     named = {"ts": F.when(kind == "channel_history_changed", z).otherwise(F.col("msg_ts")), "id": x, "parent_ts": x, "reply_count": y, "old_channel_id": x, "new_channel_id": y, "event_ts": z, "channel_id": x, "latest": y, "user_id": y, "tokens": x, "run_id": x, "page_index": y}
-    events = a.channel_log(spark, sf_dir).select("id", stream.alias("stream"), kind.alias("kind"), F.struct(*[v.alias(n) for n, v in named.items()]).alias("payload"))
-    return ingest.first_of_family(events).select("id", "stream", "kind")
+    return a.channel_log(spark, sf_dir).select("id", stream.alias("stream"), kind.alias("kind"), F.struct(*[v.alias(n) for n, v in named.items()]).alias("payload"))
 
 
 @query(f"""{LOG}, ct AS ({ORACLES["f17_reply_counts"]}),

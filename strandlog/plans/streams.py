@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import adapter as a
 from ..sources.shared import shared_folder
-from ..streaming import apply, ordered
-from .registry import query
+from ..streaming import apply, keyed, ordered
+from .projection import family_events
+from .registry import ORACLES, query
+from .text import conversation_markup
 
 LOG = "WITH " + a.CHANNEL_LOG_SQL
 BATCHES = 3
@@ -24,18 +27,16 @@ def arrivals(log: DataFrame) -> DataFrame:
     return came.unionByName(came.filter("id % 10 = 0").withColumn("arrival", F.lit(BATCHES - 1).cast("long")))
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def applied(spark: SparkSession, log: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Changes by batch: the stream is started once for each batch, and goes on from its checkpoint."""
-    came, base = arrivals(log), folder(spark, "stream")
+def kept(rows: DataFrame, make: Callable[[DataFrame], DataFrame], batches: int = BATCHES) -> DataFrame:
+    """The changes that ``make`` gives of ``rows`` as they arrive (column ``arrival``, from 0): the stream is started once for
+    each batch, and goes on from its checkpoint."""
+    spark = rows.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    whole = rows.drop("arrival")
     for n in range(batches):
-        came.filter(F.col("arrival") == n).select("stream", *ordered.COLUMNS).write.mode("append").parquet(f"{base}/in")
-        events = spark.readStream.schema(f"stream string, {ordered.EVENT}").parquet(f"{base}/in")
+        rows.filter(F.col("arrival") == n).drop("arrival").write.mode("append").parquet(f"{base}/in")
         with ordered.with_rocks(spark):
-            apply.keep_changes(ordered.in_order(events), f"{base}/out/run={n}", f"{base}/progress").awaitTermination()
+            apply.keep_changes(make(spark.readStream.schema(whole.schema).parquet(f"{base}/in")), f"{base}/out/run={n}", f"{base}/progress").awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
@@ -52,7 +53,7 @@ SELECT stream, 'message' AS what, ts, max(last) AS off, CAST(max(n) AS BIGINT) A
 UNION ALL SELECT stream, 'cursor', NULL, applied, NULL FROM cu""")
 def r1_ordered_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that stand and the cursor of each stream, after three batches with late, repeated and missing events."""
-    changes = applied(spark, a.channel_log(spark, sf_dir))
+    changes = kept(arrivals(a.channel_log(spark, sf_dir)).select("arrival", "stream", *ordered.COLUMNS), ordered.in_order)
     messages = ordered.messages_of(changes).select("stream", F.lit("message").alias("what"), "ts", "off", "reply_count")
     none = F.lit(None)
     return messages.unionByName(ordered.cursors_of(changes).select("stream", F.lit("cursor").alias("what"), none.cast("string").alias("ts"), F.col("applied").alias("off"), none.cast("long").alias("reply_count")))
@@ -62,3 +63,78 @@ def r1_ordered_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r2_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each stream can be applied, of what has arrived in whatever order: up to its first hole."""
     return apply.cursors(arrivals(a.channel_log(spark, sf_dir)))
+
+
+@query(ORACLES["r8_key_families"].replace("SELECT id, stream, kind FROM (SELECT *, row_number()", "SELECT id FROM (SELECT *, row_number()"))
+def r8_families_in_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each family key, held by Spark's state for good, over three batches and restarts."""
+    events = family_events(spark, sf_dir)
+    last = events.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+    return kept(events.withColumn("arrival", F.floor(F.col("id") * BATCHES / last)), keyed.first_of_family).transform(keyed.first_ids)
+
+
+@query(f"""{LOG}, m AS (SELECT * FROM log WHERE kind = 'message'),
+ee AS (SELECT id, stream, kind, msg_ts, 'm' || k % 4 AS content FROM m UNION ALL SELECT id, stream, kind, msg_ts, 'm' || k % 5 FROM log WHERE kind = 'message_changed' AND msg_ts IS NOT NULL
+  UNION ALL SELECT id + 1000000000, stream, kind, msg_ts, 'm' || k % 3 FROM m WHERE k % 2 = 0 UNION ALL SELECT id + 2000000000, stream, kind, msg_ts, 'm' || k % 3 FROM m WHERE k % 3 > 0),
+fi AS (SELECT stream, msg_ts, min(id) AS f, arg_min(content, id) AS c FROM ee WHERE kind = 'message' GROUP BY 1, 2)
+SELECT stream, msg_ts, id, content FROM ee e JOIN fi USING (stream, msg_ts) WHERE kind = 'message' AND id > f AND content <> c
+  AND NOT EXISTS (SELECT 1 FROM ee x WHERE x.stream = e.stream AND x.msg_ts = e.msg_ts AND x.content = e.content AND x.id < e.id AND (x.kind = 'message_changed' OR x.id > f))""")
+def r9_corrections_in_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base messages that come again, once or twice, with other content than the first or than an edit said: one edit each."""
+    log, k = a.channel_log(spark, sf_dir), F.col("k")
+    of = lambda n: F.concat(F.lit("m"), k % n).alias("content")
+    m = log.filter("kind = 'message'")
+    own = m.select("id", "stream", "kind", "msg_ts", of(4)).unionByName(log.filter("kind = 'message_changed' and msg_ts is not null").select("id", "stream", "kind", "msg_ts", of(5)))
+    again = lambda n, rows: rows.select((F.col("id") + n * 1_000_000_000).alias("id"), "stream", "kind", "msg_ts", of(3))
+    events = own.unionByName(again(1, m.filter(k % 2 == 0))).unionByName(again(2, m.filter(k % 3 > 0)))
+    return kept(events.withColumn("arrival", F.floor(F.col("id") / 1_000_000_000)), keyed.corrections).select("stream", "msg_ts", "id", "content")
+
+
+_BLOCKS_SQL = """cv AS (SELECT conv_id || ':' || turn AS key, conv_id, conv_id || ':' || turn // 2 AS document FROM conversations),
+vs AS (SELECT key, conv_id, 1 AS off, CASE conv_id % 7 WHEN 0 THEN ['user:U' || conv_id % 300] WHEN 1 THEN ['channel:C' || conv_id % 300] WHEN 5 THEN ['user:U' || conv_id % 300] ELSE [] END AS refs FROM cv
+  UNION ALL SELECT key, conv_id, 2, CASE WHEN conv_id % 2 = 0 THEN ['user:U' || (conv_id + 1) % 300, 'channel:C7'] ELSE ['user:U' || conv_id % 300] END FROM cv WHERE conv_id % 3 = 0
+  UNION ALL SELECT key, conv_id, 3, [] FROM cv WHERE conv_id % 5 = 0),
+ix AS (SELECT key, unnest(refs) AS ref FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY off DESC) AS rn FROM vs) WHERE rn = 1)"""
+
+
+def block_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Versions of conversation blocks (key, off, refs, arrival) as they are written, edited and deleted, an old one again at
+    the end; and (key, document)."""
+    from ..operators.render import mention_edges
+
+    m, i = conversation_markup(spark, sf_dir).select("key", "conv_id", "turn", "m"), F.col("conv_id")
+    edges = mention_edges(m, "key", "m").groupBy("key").agg(F.collect_set(F.concat_ws(":", "kind", "ref")).alias("refs"))
+    first = m.join(edges, "key", "left").select("key", F.lit(1).cast("long").alias("off"), "refs", F.lit(0).alias("arrival"))
+    user = lambda n: F.concat(F.lit("user:U"), n % 300)
+    edited = m.filter(i % 3 == 0).select("key", F.lit(2).cast("long").alias("off"), F.when(i % 2 == 0, F.array(user(i + 1), F.lit("channel:C7"))).otherwise(F.array(user(i))).alias("refs"), F.lit(1).alias("arrival"))
+    gone = m.filter(i % 5 == 0).select("key", F.lit(3).cast("long").alias("off"), F.array().cast("array<string>").alias("refs"), F.lit(2).alias("arrival"))
+    late = first.join(m.filter(i % 4 == 0).select("key"), "key").withColumn("arrival", F.lit(2))
+    return first.unionByName(edited).unionByName(gone).unionByName(late), m.select("key", F.concat_ws(":", "conv_id", F.floor(F.col("turn") / 2)).alias("document"))
+
+
+@query(f"WITH {_BLOCKS_SQL} SELECT ref, key FROM ix")
+def f21_mention_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of references as changes have made it, over three batches: an edited or deleted block's old ones are gone."""
+    return keyed.mention_index(kept(block_versions(spark, sf_dir)[0], keyed.mention_changes))
+
+
+@query(f"""WITH {_BLOCKS_SQL}, c AS (SELECT unnest(['channel:C7', 'user:U15', 'user:U21', 'user:U30', 'channel:C64']) AS ref), h AS (SELECT ix.* FROM ix JOIN c USING (ref))
+SELECT 'block' AS what, key AS id, ref FROM h UNION ALL SELECT DISTINCT 'document', document, ref FROM h JOIN cv USING (key)""")
+def f21_dependants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and documents to be made anew after some users and channels were renamed, by the kept index."""
+    versions, blocks = block_versions(spark, sf_dir)
+    changed = spark.createDataFrame([("channel:C7",), ("user:U15",), ("user:U21",), ("user:U30",), ("channel:C64",)], "ref string")
+    return keyed.dependants(changed, keyed.mention_index(kept(versions, keyed.mention_changes)), blocks)
+
+
+SILENT_MS = 2 * 86_400_000
+
+
+@query(f"""{LOG}, f AS (SELECT stream AS key, us // 1000 AS ms FROM log), n AS (SELECT *, lead(ms) OVER (PARTITION BY key ORDER BY ms) AS nx FROM f)
+SELECT key, ms + {SILENT_MS} AS ms, true AS silent FROM n WHERE coalesce(nx, (SELECT max(ms) FROM f)) > ms + {SILENT_MS} UNION ALL SELECT key, nx, false FROM n WHERE nx > ms + {SILENT_MS}""")
+def r20_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that fell silent for two days and those that spoke again, by event-time timers: the last ones with nothing behind them."""
+    frames = a.channel_log(spark, sf_dir).select(F.col("stream").alias("key"), F.floor(F.col("us") / 1000).alias("ms"), F.timestamp_micros("us").alias("at"))
+    last = frames.agg(F.coalesce(F.max("ms"), F.lit(0)), F.coalesce(F.min("ms"), F.lit(0))).first()
+    came = frames.withColumn("arrival", F.floor((F.col("ms") - last[1]) * BATCHES / (last[0] - last[1] + 1)))
+    return kept(came, lambda f: keyed.silences(f.withWatermark("at", "0 seconds"), SILENT_MS, event_time=True)).select("key", "ms", "silent")

@@ -60,8 +60,8 @@ class InOrder(StatefulProcessor):
 
         def get(ts: str):
             if ts not in seen:
-                at = (ts,)
-                seen[ts] = tuple(self.messages.getValue(at)) if self.messages.containsKey(at) else None
+                was = self.messages.getValue((ts,))
+                seen[ts] = tuple(was) if was else None
             return seen[ts]
 
         def put(ts: str, value: tuple) -> None:
