@@ -448,12 +448,34 @@ def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
     asked = []
     whole = copies._last_pairs
     monkeypatch.setattr(copies, "ROUNDS", 0)
-    monkeypatch.setattr(copies, "_last_pairs", lambda open_: (x := whole(open_), asked.append(x.count()))[0])
+    monkeypatch.setattr(copies, "_last_pairs", lambda first: (x := whole(first), asked.append(x.count()))[0])
     want = {i for i, g in brute_near_copies(rows).items() if i == g}
     assert {x.doc_id for x in simhash.keep_first(d).collect()} == want and len(want) == 90
     assert asked and asked[0] <= 20
 
 
+def test_copies_changed_too_much_are_not_all_compared(spark, monkeypatch):
+    """Copies of one text with up to eight words changed: those too far from it are in its bands and far from each other."""
+    from strandlog.llm import copies
+
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    original, rows = [word() for _ in range(150)], []
+    for k in range(160):
+        x = list(original)
+        for _ in range(k % 9):
+            x[r.randrange(150)] = word()
+        rows.append((k, " ".join(x)))
+        if k % 40 == 8:  # a copy of a copy
+            rows.append((1000 + k, " ".join([*x[:-1], word()])))
+    asked = []
+    whole = copies._last_pairs
+    monkeypatch.setattr(copies, "_last_pairs", lambda first: (x := whole(first), asked.append(x.count()))[0])
+    want = {i for i, g in brute_near_copies(rows).items() if i == g}
+    assert {x.doc_id for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and 30 < len(want) < 120
+    assert asked and asked[0] < 200  # of some 5,000 pairs
+
+
 def test_keep_first_decides_by_row(spark):
     r = random.Random(12)
     text = [" ".join(f"w{r.randrange(9999)}" for _ in range(40)) for _ in range(8)]
