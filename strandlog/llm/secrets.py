@@ -2,24 +2,26 @@
 
 Each rule's regular expression gives a Boolean query over trigrams that any match must contain. The index holds,
 for every trigram that some rule asks for, the documents that contain it; intersecting its postings gives each
-rule's candidates, which alone are verified with the expression. Rules whose expression forces no trigram scan
-every document.
+rule's candidates, which alone are verified with the expression, each where its text is. Rules whose expression
+forces no trigram scan every document. Postings and candidates carry hashes of texts; no text is shuffled.
 
-Nulls and edges: a null text is empty; rows that repeat are each reported; equal ids with other texts keep apart;
-offsets count code points and are exact for texts of any length; an empty table gives no rows.
+Nulls and edges: a null text is empty; a null id is carried along; rows that repeat are each reported; equal ids with other
+texts keep apart; offsets count code points and are exact for texts of any length; an empty table gives no rows; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, on_row_key, prefix_sums, with_row_key
+from .common import durable, let, prefix_sums, with_row_key
 
 _C, _P = re._constants, re._parser  # the standard library's own parser of expressions
 MOST_STRINGS = 64
@@ -179,13 +181,32 @@ def _found(rule: Rule, order: int, text: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(spans(m)))
 
 
+#: Bits for each candidate, and bits at least and at most; beyond, more texts are verified, none less.
+BITS_EACH, BITS = 16, (1 << 12, 1 << 24)
+
+
+def _candidate_test(candidates: DataFrame) -> Callable[[str], Column]:
+    """For a kind, whether a row (text_hash) may be its candidate: looked up in a bitmap, so that texts are verified where
+    they are and none is shuffled. What the bitmap lets through by chance is verified as well, and matches nothing."""
+    place = lambda kind, size: F.pmod(F.xxhash64("text_hash", kind), F.lit(size).cast("bigint"))
+    each = durable(candidates.select("text_hash", F.explode("rules").alias("kind")).distinct())
+    size = min(max(BITS[0], 1 << (each.count() * BITS_EACH).bit_length()), BITS[1])
+    bit = F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")
+    found = each.select(place(F.col("kind"), size).alias("p")).groupBy(F.expr("p div 64").alias("n")).agg(F.bit_or(bit).alias("bits")).collect()  # size / 64 rows at most
+    longs = [0] * (size // 64)
+    for r in found:
+        longs[r["n"]] = r["bits"]
+    bits = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+    return lambda kind: F.getbit(F.get(bits, (place(F.lit(kind), size) / 64).cast("int")), F.pmod(place(F.lit(kind), size), F.lit(64).cast("bigint")).cast("int")) == 1
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans: array<struct<start, order, kind, end>>) for every row, spans by start, then by the rules' order."""
     index, keyed = Index(rules), with_row_key(docs, id_col, text_col)
-    picked = on_row_key(keyed, index.candidates(index.postings(keyed)))
+    candidate = _candidate_test(index.candidates(index.postings(keyed)))
     none = F.expr("cast(array() as array<struct<start:bigint,order:int,kind:string,end:bigint>>)")
-    each = [F.when(F.array_contains("rules", r.kind), _found(r, k, F.col("text"))).otherwise(none) if r.kind in index.asked else _found(r, k, F.col("text")) for k, r in enumerate(rules)]
-    return picked.select("doc_id", F.inline(F.array(F.struct(F.sort_array(F.concat(*each)).alias("spans")))))
+    each = [F.when(candidate(r.kind), _found(r, k, F.col("text"))).otherwise(none) if r.kind in index.asked else _found(r, k, F.col("text")) for k, r in enumerate(rules)]
+    return keyed.select("doc_id", F.inline(F.array(F.struct(F.sort_array(F.concat(*each)).alias("spans")))))
 
 
 def _listed(spans: Column) -> Column:
