@@ -52,6 +52,22 @@ def local(us: Column, zone: str, pattern: str) -> Column:
     return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(us.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))), pattern)
 
 
+def _seconds_of(ts: Column) -> Column:
+    """Whole seconds of a time that is a number in any notation, else null."""
+    x = ts.try_cast("double")
+    return F.when(x.between(-62_135_596_800.0, 253_402_300_799.0), F.floor(x))
+
+
+def ts_clock(ts: Column, zone: str) -> Column:
+    """Hours and minutes of a time in a zone; what is no number stays as it is."""
+    return F.coalesce(local(_seconds_of(ts) * 1_000_000, zone, "HH:mm"), ts)
+
+
+def ts_day(ts: Column, zone: str) -> Column:
+    """The date of a time in a zone; ``unknown`` for what is no number."""
+    return F.coalesce(local(_seconds_of(ts) * 1_000_000, zone, "yyyy-MM-dd"), F.when(ts.isNotNull(), "unknown"))
+
+
 def iso_micros(us: Column) -> Column:
     """ISO 8601 with microseconds and Z; sorts as text."""
     return local(us, "UTC", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

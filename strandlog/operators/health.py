@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .latest import as_of
+
 HEALTH_STREAM = "slurper-health"
 #: The state that each kind of a health event stands for; other kinds change nothing.
 STATES = {"slack_healthy": "healthy", "slack_degraded": "degraded", "socket_mode_disconnected": "disconnected", "socket_mode_reconnected": "healthy", "auth_token_invalid": "auth_failed"}
@@ -36,14 +38,18 @@ def signatures(log: DataFrame, caught_up: DataFrame, polls: DataFrame, stale_us:
     whether it differs from the poll before (the first does).
 
     ``caught_up`` (stream, off, us): streams that have caught up, and how far. ``polls`` (poll_us) are few: what lies
-    between two of them is summed up first, and only the sums run on from poll to poll.
+    between two of them is summed up first, and only the sums run on from poll to poll. An event's poll is found by an as-of
+    join backwards in time, so that no event looks at all polls.
     """
-    marks = polls.agg(F.array_sort(F.collect_set("poll_us")).alias("marks"))  # one row
-    at = F.get(F.filter("marks", lambda x: x >= F.col("us")), F.lit(0))
-    states = _with_state(log).join(F.broadcast(marks)).withColumn("poll_us", at).filter("poll_us is not null")
+    back = polls.select(F.lit(0).alias("_one"), (-F.col("poll_us")).alias("_poll_back"), "poll_us").distinct()
+
+    def polled(rows: DataFrame) -> DataFrame:
+        return as_of(rows.select("*", F.lit(0).alias("_one"), (-F.col("us")).alias("_back")), back, "_one", "_back", "_poll_back").filter("poll_us is not null")
+
+    states = polled(_with_state(log))
     states = states.groupBy("poll_us").agg(F.max_by("state", "us").alias("health"), F.max("us").alias("frame_us"))
-    first = caught_up.groupBy("stream").agg(F.min("us").alias("us")).join(F.broadcast(marks)).withColumn("poll_us", at).groupBy("poll_us").agg(F.count("*").alias("n"))
-    far = caught_up.join(F.broadcast(marks)).withColumn("poll_us", at).groupBy("poll_us").agg(F.max("off").alias("off"))
+    first = caught_up.groupBy("stream").agg(F.min("us").alias("us")).transform(polled).groupBy("poll_us").agg(F.count("*").alias("n"))
+    far = polled(caught_up).groupBy("poll_us").agg(F.max("off").alias("off"))
     so_far = W.orderBy("poll_us").rowsBetween(W.unboundedPreceding, 0)  # a row for each poll
     one = polls.join(states, "poll_us", "left").join(first, "poll_us", "left").join(far, "poll_us", "left")
     frame = F.last("frame_us", ignorenulls=True).over(so_far)

@@ -61,27 +61,32 @@ def in_progress(runs: DataFrame, marked: DataFrame) -> DataFrame:
     return j.select("channel_id", F.when(F.col("kind") == "page", F.coalesce("messages", F.lit(0))).otherwise(0).cast("bigint").alias("messages_so_far"), F.coalesce("_m", F.lit(False)).alias("first")).orderBy(F.desc("first"), "channel_id")
 
 
+def _anchors(runs: DataFrame) -> DataFrame:
+    """(channel_id, run_id, last: struct of the run's last page): one aggregate for each run, then one for each channel's runs."""
+    started = (F.col("kind") == "started") & ~F.coalesce("bounded", F.lit(False))
+    page = F.col("kind") == "page"
+    per = runs.groupBy("channel_id", "run_id").agg(
+        F.max(F.when(started, F.col("id"))).alias("began"), F.max(F.when(F.col("kind") == "finished", F.col("id"))).alias("ended"),
+        F.max_by(F.struct("has_more", "cursor"), F.when(page, F.struct("page", "id"))).alias("last"), F.max(page).alias("pages"),
+    )
+    # runs of a channel, the newest first; the last end is that of any run
+    newest = W.partitionBy("channel_id").orderBy(F.desc_nulls_last("began"))
+    waits = F.first(F.col("began").isNotNull() & ~F.col("pages") & F.col("ended").isNull()).over(newest)
+    s = per.withColumn("last_end", F.coalesce(F.max("ended").over(W.partitionBy("channel_id")), F.lit(0))).withColumn("n", F.row_number().over(newest)).withColumn("waits", waits)
+    fits = F.col("began").isNotNull() & F.col("pages") & F.col("ended").isNull() & ((F.col("n") == 1) | (F.col("waits") & (F.col("began") > F.col("last_end"))))
+    return s.filter(fits).groupBy("channel_id").agg(F.min_by(F.struct("run_id", "last"), "n").alias("x")).select("channel_id", "x.*")
+
+
 def resume_anchor(runs: DataFrame) -> DataFrame:
     """(channel_id, run_id): the run to go on with, of runs without a lower bound. The latest, if it has pages and no end;
     if it has neither, the latest before it with pages and no end that is newer than the channel's last end."""
-    pages = runs.filter("kind = 'page'").select("channel_id", "run_id").distinct().withColumn("has_pages", F.lit(True))
-    ends = runs.filter("kind = 'finished'")
-    ended = ends.select("channel_id", "run_id").distinct().withColumn("ended", F.lit(True))
-    last_end = ends.groupBy("channel_id").agg(F.max("id").alias("last_end"))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    s = runs.filter("kind = 'started' and not coalesce(bounded, false)").select("channel_id", "run_id", "id").join(pages, ["channel_id", "run_id"], "left").join(ended, ["channel_id", "run_id"], "left").join(last_end, "channel_id", "left")
-    newest = W.partitionBy("channel_id").orderBy(F.desc("id"))
-    s = s.select("channel_id", "run_id", "id", flag("has_pages").alias("p"), flag("ended").alias("e"), F.coalesce("last_end", F.lit(0)).alias("last_end")).withColumn("n", F.row_number().over(newest))
-    s = s.withColumn("waits", F.first(~F.col("p") & ~F.col("e")).over(newest))
-    fits = F.col("p") & ~F.col("e") & ((F.col("n") == 1) | (F.col("waits") & (F.col("id") > F.col("last_end"))))
-    return latest_per_key(s.filter(fits), ["channel_id"], [F.asc("n")]).select("channel_id", "run_id")
+    return _anchors(runs).select("channel_id", "run_id")
 
 
 def resume_plan(runs: DataFrame) -> DataFrame:
     """(channel_id, run_id, history_done, history_cursor): where the anchored run's walk stopped."""
-    page = latest_per_key(runs.filter("kind = 'page'"), ["channel_id", "run_id"], [F.desc("page"), F.desc("id")]).select("channel_id", "run_id", "has_more", "cursor")
-    done = ~F.col("has_more") | (F.coalesce("cursor", F.lit("")) == "")
-    return resume_anchor(runs).join(page, ["channel_id", "run_id"]).select("channel_id", "run_id", done.alias("history_done"), F.when(done, "").otherwise(F.col("cursor")).alias("history_cursor"))
+    done = ~F.col("last.has_more") | (F.coalesce("last.cursor", F.lit("")) == "")
+    return _anchors(runs).select("channel_id", "run_id", done.alias("history_done"), F.when(done, "").otherwise(F.col("last.cursor")).alias("history_cursor"))
 
 
 def run_outcomes(runs: DataFrame, most: int) -> DataFrame:

@@ -77,9 +77,9 @@ def set_tiers(channels: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def edit_blocks(blocked: DataFrame, edits: DataFrame) -> DataFrame:
-    """The block list (channel_id, reason, blocked_us) after ``edits`` (channel_id, us, block, reason), the last of each
-    channel: an addition to a blocked channel gives it the new reason and keeps its time; a removal of another does nothing."""
-    first = F.row_number().over(W.partitionBy("channel_id").orderBy(F.desc("us")))
+    """The block list (channel_id, reason, blocked_us) after ``edits`` (id, channel_id, us, block, reason), the last of each
+    channel, of one moment that of the greatest id: an addition to a blocked channel gives it the new reason and keeps its time; a removal of another does nothing."""
+    first = F.row_number().over(W.partitionBy("channel_id").orderBy(F.desc("us"), F.desc("id")))
     last = edits.withColumn("_n", first).filter("_n = 1").select("channel_id", F.col("us").alias("_us"), F.col("block").alias("_block"), F.col("reason").alias("_reason"))
     j = blocked.join(last, "channel_id", "full_outer").filter("coalesce(_block, true)")
     return j.select("channel_id", F.when(F.col("_block"), F.col("_reason")).otherwise(F.col("reason")).alias("reason"), F.coalesce("blocked_us", "_us").alias("blocked_us"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.times import backoff_seconds
+from ..functions.times import backoff_seconds, local
 from .latest import latest_per_key
 from .scan import row_before, running_sum
 
@@ -137,3 +137,16 @@ def staleness(states: DataFrame, now_us: int, after_s: int = 60) -> DataFrame:
         .when(~caught, "catching up after reconnect").when(silent, "server unreachable")
     )
     return states.withColumn("reason", reason)
+
+
+# The line that is put behind a document that may be stale.
+def trailers(states: DataFrame, now_us: int, after_s: int = 60) -> DataFrame:
+    """Adds ``decision`` (stale, fallback or clean), ``reasons`` and ``trailer`` to states as for ``staleness`` with
+    ``fallbacks`` (array of what could not be named). A stale state has its one reason, whatever else there is, and alone gives a
+    trailer, with the last frame's time or never."""
+    s = staleness(states, now_us, after_s)
+    fallbacks = F.coalesce("fallbacks", F.array().cast("array<string>"))
+    decision = F.when(F.col("reason").isNotNull(), "stale").when(F.size(fallbacks) > 0, "fallback").otherwise("clean")
+    last = F.coalesce(local(F.col("last_frame_us"), "UTC", "yyyy-MM-dd HH:mm:ss' UTC'"), F.lit("never"))
+    text = F.concat(F.lit("\n---\n\n> ⚠ Content may be stale. Last successful sync: "), last, F.lit(". Reason: "), "reason", F.lit(".\n"))
+    return s.withColumn("decision", decision).withColumn("reasons", F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(fallbacks)).withColumn("trailer", text)

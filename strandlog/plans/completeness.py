@@ -9,7 +9,7 @@ from ..operators import completeness as c
 from ..operators import folds, inventory, queues
 from ..operators.latest import as_of
 from ..sources import adapter as a
-from .registry import query
+from .registry import ORACLES, query
 from .state import ACTIVE_SQL, BLOCKED_SQL, CHANNELS_SQL, CL, LOG, RL, TIERS_SQL, blocked, manual
 
 NOW, DAY = a.NOW_US, 86_400_000_000
@@ -130,9 +130,9 @@ def p8_probe_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("probe", c.probe_kind(F.col("call"))).filter("probe is not null").groupBy("channel_id", "probe").agg(F.max("us").alias("sampled_us"))
 
 
-@query(f"{LOG} SELECT max(us) AS last_event_us, arg_max(kind, us) AS last_kind FROM log")
+@query(f"{LOG} SELECT max(us) AS last_event_us, arg_max(kind, CAST(us AS HUGEINT) * 1000000 + id) AS last_kind FROM log")
 def q9_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.channel_log(spark, sf_dir).agg(F.max("us").alias("last_event_us"), F.max_by("kind", "us").alias("last_kind"))
+    return a.channel_log(spark, sf_dir).agg(F.max("us").alias("last_event_us"), F.max_by("kind", F.struct("us", "id")).alias("last_kind"))
 
 
 @query(f"""{RL}, l AS (SELECT channel_id, kind = 'started' AS in_progress FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY id DESC) AS rn FROM rl WHERE kind <> 'page') WHERE rn = 1)
@@ -268,9 +268,13 @@ def q21_daily_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.daily_drift(_listed(spark, sf_dir)).select(F.col("day").cast("string").alias("day"), "n", "delta")
 
 
-@query(f"SELECT max(1704067200000000 + range * {DAY} + 30 * 3600000000) AS last_us FROM range(28) HAVING max(1704067200000000 + range * {DAY} + 30 * 3600000000) < {NOW} - 86400000000")
+@query(f"""WITH s AS (SELECT day, max(us) AS ended_us FROM (SELECT CAST(ts AS DATE) AS day, epoch_us(ts) AS us FROM events WHERE event_type <> 'error') WHERE us < {NOW} - 2 * {DAY} GROUP BY day)
+SELECT max(ended_us) AS last_us FROM s HAVING max(ended_us) IS NULL OR max(ended_us) < {NOW} - 86400000000""")
 def q22_sweep_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.sweep_alert(_sweeps(spark), NOW, 86_400)
+    """A sweep for each day of events, up to two days ago: one row, as the last is too old."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type <> 'error'").select(a.micros("ts").alias("us")).filter(F.col("us") < NOW - 2 * DAY)
+    sweeps = e.groupBy(F.floor(F.col("us") / DAY).alias("day")).agg(F.max("us").alias("ended_us"))
+    return c.sweep_alert(sweeps, NOW, 86_400)
 
 
 _SNAPS_SQL = "sn AS (SELECT stream, off AS at_off, us AS at_us FROM log WHERE k = 3)"
@@ -353,10 +357,21 @@ def r14_degraded_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{LOG}, s AS (SELECT id, CASE k % 6 WHEN 0 THEN 'auth_failed' WHEN 1 THEN 'disconnected' WHEN 2 THEN 'degraded' WHEN 3 THEN 'healthy' END AS health, k % 4 <> 0 AS caught_up, CASE WHEN k % 5 <> 0 THEN {NOW} - k * 2000000 END AS f FROM log)
 SELECT id, CASE WHEN health = 'auth_failed' THEN 'auth token invalid' WHEN health = 'disconnected' THEN 'socket-mode disconnected' WHEN health = 'degraded' THEN 'slack ingestion unhealthy' WHEN NOT caught_up THEN 'catching up after reconnect' WHEN f IS NULL OR {NOW} - f > 60000000 THEN 'server unreachable' END AS reason FROM s""")
 def t14_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queues.staleness(_stale_states(spark, sf_dir), NOW).select("id", "reason")
+
+
+def _stale_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     health = F.when(k % 6 == 0, "auth_failed").when(k % 6 == 1, "disconnected").when(k % 6 == 2, "degraded").when(k % 6 == 3, "healthy")
-    s = a.channel_log(spark, sf_dir).select("id", health.alias("health"), (k % 4 != 0).alias("caught_up"), F.when(k % 5 != 0, NOW - k * 2_000_000).alias("last_frame_us"))
-    return queues.staleness(s, NOW).select("id", "reason")
+    fallbacks = F.when(k % 7 == 0, F.array(F.concat(F.lit("user U"), k), F.lit("channel C"))).when(k % 7 < 3, F.array().cast("array<string>"))
+    return a.channel_log(spark, sf_dir).select("id", health.alias("health"), (k % 4 != 0).alias("caught_up"), F.when(k % 5 != 0, NOW - k * 2_000_000).alias("last_frame_us"), fallbacks.alias("fallbacks"))
+
+
+@query(ORACLES["t14_staleness"].replace("SELECT id, health, k % 4", "SELECT id, k, health, k % 4").replace("s AS (SELECT id,", "s AS (SELECT id, k,").replace(") SELECT id, CASE", "), r AS (SELECT id, k, f, CASE", 1).replace(")\nSELECT id, CASE", "), r AS (SELECT id, k, f, CASE", 1) + """)
+SELECT id, CASE WHEN reason IS NOT NULL THEN 'stale' WHEN k % 7 = 0 THEN 'fallback' ELSE 'clean' END AS decision, CASE WHEN reason IS NOT NULL THEN reason WHEN k % 7 = 0 THEN 'user U' || k || '; channel C' ELSE '' END AS reasons,
+  chr(10) || '---' || chr(10) || chr(10) || '> ⚠ Content may be stale. Last successful sync: ' || coalesce(strftime(make_timestamp(f), '%Y-%m-%d %H:%M:%S UTC'), 'never') || '. Reason: ' || reason || '.' || chr(10) AS trailer FROM r""")
+def t14_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queues.trailers(_stale_states(spark, sf_dir), NOW).select("id", "decision", F.array_join("reasons", "; ").alias("reasons"), "trailer")
 
 
 @query(f"{CL}, {TIERS_SQL}, x AS (SELECT channel_id, 's' || (CAST(substr(channel_id, 2) AS BIGINT) % 200) AS slug, tier, CASE WHEN is_im THEN 'dms' WHEN is_mpim THEN 'group-dms' WHEN is_member THEN 'channels' ELSE 'other-channels' END AS root FROM ti), y AS (SELECT *, row_number() OVER (PARTITION BY root, slug ORDER BY tier <> 'hot', channel_id) AS n FROM x WHERE tier <> 'blocked') SELECT channel_id, root, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS unique_slug FROM y")

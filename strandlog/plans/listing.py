@@ -80,25 +80,34 @@ def q31_set_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.set_tiers(state, wanted)
 
 
-@query(f"""{LOG}, {BLOCKED_SQL}, e AS (SELECT channel_id, us, k % 3 > 0 AS block, CASE WHEN k % 2 = 0 THEN 'r' || k END AS reason FROM log WHERE kind = 'message_deleted'), l AS (SELECT channel_id, max(us) AS us, arg_max(block, us) AS block, arg_max(coalesce(reason, '-'), us) AS r FROM e GROUP BY 1)
+@query(f"""{LOG}, {BLOCKED_SQL}, e AS (SELECT id, channel_id, us, k % 3 > 0 AS block, CASE WHEN k % 2 = 0 THEN 'r' || k END AS reason FROM log WHERE kind = 'message_deleted'), l AS (SELECT channel_id, max(us) AS us, arg_max(block, CAST(us AS HUGEINT) * 1000000 + id) AS block, arg_max(coalesce(reason, '-'), CAST(us AS HUGEINT) * 1000000 + id) AS r FROM e GROUP BY 1)
 SELECT channel_id, CASE WHEN l.block THEN nullif(r, '-') ELSE bl.reason END AS reason, CASE WHEN bl.channel_id IS NOT NULL THEN CAST(1 AS BIGINT) ELSE l.us END AS blocked_us FROM bl FULL JOIN l USING (channel_id) WHERE coalesce(l.block, true)""")
 def q32_block_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    edits = a.channel_log(spark, sf_dir).filter("kind = 'message_deleted'").select("channel_id", "us", (k % 3 > 0).alias("block"), F.when(k % 2 == 0, F.concat(F.lit("r"), k)).alias("reason"))
+    edits = a.channel_log(spark, sf_dir).filter("kind = 'message_deleted'").select("id", "channel_id", "us", (k % 3 > 0).alias("block"), F.when(k % 2 == 0, F.concat(F.lit("r"), k)).alias("reason"))
     return listing.edit_blocks(blocked(spark, sf_dir).withColumn("blocked_us", F.lit(1).cast("bigint")), edits)
 
 
-_PATHS = [
-    "/mnt", "/mnt/", "/mntx/dms/a", "/mnt/dms", "/mnt/dms/a", "/mnt/dms/a/channel.md", "/mnt/dms/a/x.md", "/mnt/dms/a/2024-01/05", "/mnt/channels/b/2024-01/05/channel.md", "/mnt/channels/b/2024-01/05/feed.md", "/mnt/channels/b/2024-01/05/x.md",
-    "/mnt/channels/b/2024-02/30/channel.md", "/mnt/channels/b/2024-01/05/t/thread.md", "/mnt/channels/b/2024-01/05/t/x.md", "/mnt/channels/b/2024-01/05/t/u/thread.md", "/mnt/.cached-only/group-dms/c/channel.md", "/mnt/nowhere/c", "/mnt/dms/a/abc/05/channel.md", None,
-]
-_KINDS = [None, None, None, None, "channel_dir", "channel_file", None, None, "day_file", "day_file", None, None, "thread_file", None, None, "channel_file", None, None, None]
+_FORMS = ["", "/r", "/r/s", "/r/s/channel.md", "/r/s/x.md", "/r/s/D", "/r/s/D/channel.md", "/r/s/D/feed.md", "/r/s/D/x.md", "/r/s/D/t/thread.md", "/r/s/D/t/u/thread.md", "/.cached-only/r/s/channel.md"]
+_DAY_OK = "try_cast(regexp_extract(path, '/([0-9]{4}-[0-9]{2})/([0-9]{2})/', 1) || '-' || regexp_extract(path, '/([0-9]{4}-[0-9]{2})/([0-9]{2})/', 2) AS DATE) IS NOT NULL"
+_UNDER = "^/mnt(/\\.cached-only)?/(dms|group-dms|channels|other-channels)/[^/]+"
 
 
-@query("SELECT unnest([" + ", ".join("NULL" if p is None else f"'{p}'" for p in _PATHS) + "]) AS path, unnest([" + ", ".join("NULL" if k is None else f"'{k}'" for k in _KINDS) + "]) AS kind")
+@query(f"""WITH c AS (SELECT c_custkey AS c, list_extract(['dms', 'group-dms', 'channels', 'other-channels', 'nowhere'], CAST(c_custkey % 5 + 1 AS INT)) AS r, '2024-' || lpad(CAST(c_custkey % 14 AS VARCHAR), 2, '0') || '/' || lpad(CAST(c_custkey % 33 AS VARCHAR), 2, '0') AS d,
+  list_extract({_FORMS}, CAST(c_custkey % 12 + 1 AS INT)) AS f FROM customer),
+p AS (SELECT CASE WHEN c % 23 = 0 THEN '/mntx' ELSE '/mnt' END || replace(replace(replace(f, '/r', '/' || r), '/s', '/s' || c), '/D', '/' || d) AS path FROM c)
+SELECT path, CASE WHEN regexp_full_match(path, '{_UNDER}') THEN 'channel_dir' WHEN regexp_full_match(path, '{_UNDER}/channel.md') THEN 'channel_file'
+  WHEN regexp_full_match(path, '{_UNDER}/[0-9]{{4}}-[0-9]{{2}}/[0-9]{{2}}/(channel|feed).md') AND {_DAY_OK} THEN 'day_file' WHEN regexp_full_match(path, '{_UNDER}/[0-9]{{4}}-[0-9]{{2}}/[0-9]{{2}}/[^/]+/(thread|feed).md') AND {_DAY_OK} THEN 'thread_file' END AS kind FROM p""")
 def c12_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of every depth; the SQL has what each is, as the rule tells."""
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", listing.parsed_path(F.col("path"), "/mnt")["kind"].alias("kind"))
+    """A path for each customer, of every depth, some outside the mount, of no root or of no day."""
+    k = F.col("c_custkey")
+    pick = lambda items: F.get(F.array(*map(F.lit, items)), (k % len(items)).cast("int"))
+    root, form = pick(["dms", "group-dms", "channels", "other-channels", "nowhere"]), pick(_FORMS)
+    day = F.concat(F.lit("/2024-"), F.lpad((k % 14).cast("string"), 2, "0"), F.lit("/"), F.lpad((k % 33).cast("string"), 2, "0"))
+    path = F.replace(F.replace(form, F.lit("/r"), F.concat(F.lit("/"), root)), F.lit("/s"), F.concat(F.lit("/s"), k))
+    path = F.replace(path, F.lit("/D"), day)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.when(k % 23 == 0, "/mntx").otherwise("/mnt"), path).alias("path"))
+    return c.select("path", listing.parsed_path(F.col("path"), "/mnt")["kind"].alias("kind"))
 
 
 _LOCAL = f"timezone('{ZONE}', timezone('UTC', make_timestamp(t)))"

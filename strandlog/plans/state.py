@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import ts_micros, utc_day
+from ..functions.times import is_loose_ts, is_valid_ts, micros_ts, ts_clock, ts_day, ts_micros, utc_day
 from ..operators import folds, latest
 from ..sources import adapter as a
 from .registry import query
@@ -109,8 +109,6 @@ def f5b_channel_list_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{LOG}, {_SNAPSHOT_SQL} SELECT stream, ts FROM (SELECT *, row_number() OVER (PARTITION BY stream, ts ORDER BY off DESC, seq DESC) AS rn FROM ops WHERE regexp_full_match(ts, '[0-9]+\\.[0-9]+')) WHERE rn = 1 AND s")
 def f5c_loose_active_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.times import is_loose_ts
-
     return folds.snapshot_messages(a.channel_log(spark, sf_dir)).filter(is_loose_ts(F.col("ts"))).select("stream", "ts")
 
 
@@ -243,10 +241,29 @@ def r8_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.first_wins(log, [F.col("stream"), F.col("parent_ts"), F.col("reply_count")], [F.col("id")]).select("stream", "id")
 
 
-@query(f"""WITH v AS (SELECT unnest(['1700000000.000001', '0700000000.000001', '1700000000.00001', '17000000000.000001', ' 1700000000.000001', '1700000000.000001' || chr(10), '', '1e9', '-1700000000.000001', '12.5', NULL]) AS ts)
-SELECT ts, regexp_full_match(ts, '[1-9][0-9]{{9}}\\.[0-9]{{6}}') AS strict, regexp_full_match(ts, '[0-9]+\\.[0-9]+') AS loose FROM v""")
+_MANGLED_SQL = """
+mg AS (SELECT event_id, CASE k % 11 WHEN 0 THEN t WHEN 1 THEN '0' || substr(t, 2) WHEN 2 THEN left(t, length(t) - 1) WHEN 3 THEN '1' || t WHEN 4 THEN ' ' || t WHEN 5 THEN t || chr(10) WHEN 6 THEN '' WHEN 7 THEN '1e9' WHEN 8 THEN '-' || t WHEN 9 THEN left(t, 5) || '.5' END AS ts
+  FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, (epoch_us(ts) // 1000000) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') AS t FROM events))
+"""
+
+
+def mangled_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, ts): the events' times as text, most of them spoiled in one of ten ways."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), micros_ts(a.micros("ts")).alias("t"))
+    t = F.col("t")
+    forms = [t, F.concat(F.lit("0"), F.substring(t, 2, 99)), F.left(t, F.length(t) - 1), F.concat(F.lit("1"), t), F.concat(F.lit(" "), t), F.concat(t, F.lit("\n")), F.lit(""), F.lit("1e9"), F.concat(F.lit("-"), t), F.concat(F.left(t, F.lit(5)), F.lit(".5"))]
+    return e.select("event_id", F.get(F.array(*forms), (F.col("k") % 11).cast("int")).alias("ts"))
+
+
+@query(f"""WITH {_MANGLED_SQL} SELECT event_id, ts, regexp_full_match(ts, '[1-9][0-9]{{9}}\\.[0-9]{{6}}') AS strict, regexp_full_match(ts, '[0-9]+\\.[0-9]+') AS loose FROM mg""")
 def ts_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.times import is_loose_ts, is_valid_ts
+    return mangled_times(spark, sf_dir).select("event_id", "ts", is_valid_ts(F.col("ts")).alias("strict"), is_loose_ts(F.col("ts")).alias("loose"))
+
 
-    rows = ["1700000000.000001", "0700000000.000001", "1700000000.00001", "17000000000.000001", " 1700000000.000001", "1700000000.000001\n", "", "1e9", "-1700000000.000001", "12.5", None]
-    return spark.createDataFrame([(r,) for r in rows], "ts string").select("ts", is_valid_ts(F.col("ts")).alias("strict"), is_loose_ts(F.col("ts")).alias("loose"))
+@query(f"""WITH {_MANGLED_SQL}, p AS (SELECT *, try_cast(trim(replace(ts, chr(10), '')) AS DOUBLE) AS s FROM mg), v AS (SELECT *, CASE WHEN s BETWEEN -62135596800 AND 253402300799 THEN CAST(floor(s) AS BIGINT) END AS n FROM p),
+l AS (SELECT *, timezone('Pacific/Auckland', timezone('UTC', make_timestamp(n * 1000000))) AS lt FROM v)
+SELECT event_id, coalesce(strftime(lt, '%H:%M'), ts) AS clock, coalesce(strftime(lt, '%Y-%m-%d'), CASE WHEN ts IS NOT NULL THEN 'unknown' END) AS day FROM l""")
+def c6_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock and date of times as they come: one that is no number stays as it is, and its date is unknown."""
+    zone = "Pacific/Auckland"
+    return mangled_times(spark, sf_dir).select("event_id", ts_clock(F.col("ts"), zone).alias("clock"), ts_day(F.col("ts"), zone).alias("day"))

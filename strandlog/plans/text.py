@@ -111,12 +111,13 @@ def q30_known_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("channel_id", times.local(F.col("us"), ZONE, "yyyy-MM").alias("month"), times.local(F.col("us"), ZONE, "dd").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH d AS (SELECT unnest(['2024-03-30', '2024-03-31', '2024-04-07', '2024-09-29', '2024-10-27', '2024-11-03']) AS day), z AS (SELECT unnest(['UTC', 'Pacific/Auckland', 'America/Los_Angeles', 'Europe/Berlin']) AS zone)
+@query(f"""WITH d AS (SELECT DISTINCT CAST(CAST(ts AS DATE) + CAST(event_id % 366 AS INTEGER) AS VARCHAR)[:10] AS day FROM events), z AS (SELECT unnest(['UTC', 'Pacific/Auckland', 'America/Los_Angeles', 'Europe/Berlin']) AS zone)
 SELECT day, zone, epoch_us(timezone(zone, CAST(day AS TIMESTAMP))) AS from_us, epoch_us(timezone(zone, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY)) AS to_us FROM d, z""")
 def c3_local_day_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of 23, 24 and 25 hours in four zones."""
+    """The days of a year of events, of 23, 24 and 25 hours, in four zones."""
     out = None
-    days = spark.createDataFrame([(d,) for d in ("2024-03-30", "2024-03-31", "2024-04-07", "2024-09-29", "2024-10-27", "2024-11-03")], "day string")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    days = e.select(F.date_add(times.utc_day(a.micros("ts")), (F.col("event_id") % 366).cast("int")).cast("string").alias("day")).distinct()
     for zone in ("UTC", "Pacific/Auckland", "America/Los_Angeles", "Europe/Berlin"):
         a_, b_ = times.local_day_range(F.col("day").cast("date"), zone)
         one = days.select("day", F.lit(zone).alias("zone"), a_.alias("from_us"), b_.alias("to_us"))
@@ -228,3 +229,12 @@ def q35_huddles(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = a.channel_log(spark, sf_dir).filter("kind = 'message' and k % 2 = 0")
     h = m.select("id", F.floor(F.col("us") / times.DAY_US).alias("day"), F.concat(F.lit("h"), F.col("k") % 3).alias("slug"), F.col("msg_ts").alias("ts"))
     return render.huddles(h).select("id", "unique_slug")
+
+
+@query("""SELECT event_id, '{"a":[1,null,"x' || k || '"],"b":{"k":' || k || ',"z":"é"}}' AS value FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k % 5 > 0
+UNION ALL SELECT event_id, NULL FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 = 0""")
+def c14_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects written in another order of keys and with spaces, some of them broken."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    value = F.concat(F.lit('{ "b" : {"z": "é", "k": '), k, F.lit('}, "a": [1, null, "x'), k, F.when(k % 5 > 0, '"] }').otherwise('"'))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", t.canonical_json(value).alias("value"))
