@@ -26,7 +26,7 @@ def micros(column: str) -> F.Column:
 
 def channel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of messages, edits, deletions and reply notices; a stream for each user of ``events``. Derived once."""
-    return written_once(spark, sf_dir, "channel-log", lambda: derived_channel_log(spark, sf_dir), ["stream", "off"])
+    return written_once(spark, sf_dir, "channel-log", lambda: derived_channel_log(spark, sf_dir), ["stream", "off"], ["events"])
 
 
 def derived_channel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ ul AS (SELECT 'U' || c_custkey AS user_id, CAST(0 AS BIGINT) AS off, 'user_added
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of page fetches: started, pages, finished; a run for each order of ``lineitem``, streams by its part. Derived once."""
-    return written_once(spark, sf_dir, "run-log", lambda: derived_run_log(spark, sf_dir), ["channel_id", "id"])
+    return written_once(spark, sf_dir, "run-log", lambda: derived_run_log(spark, sf_dir), ["channel_id", "id"], ["lineitem"])
 
 
 def derived_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,20 @@ def test_user_changes_of_a_hot_user(spark, monkeypatch):
             want += [(u, i, "renamed")] * (d != seen[u][0]) + [(u, i, "profile")] * (real != seen[u][1])
         seen[u] = (d, real)
     assert got == sorted(want)
+
+
+def test_a_written_table_follows_its_source(spark, tmp_path):
+    import shutil
+
+    from strandlog.sources import shared
+
+    source = str(tmp_path)
+    read = lambda: shared.written_once(spark, source, "odd", lambda: spark.read.parquet(f"{source}/t.parquet").filter("id % 2 = 1"), ["id"], ["t"])
+    spark.range(10).write.parquet(f"{source}/t.parquet")
+    first = read()
+    assert first.count() == 5 and read().inputFiles() == first.inputFiles()
+    spark.range(30).write.mode("overwrite").parquet(f"{source}/t.parquet")
+    assert read().count() == 15
+    folder = read().inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    shutil.rmtree(folder)
+    assert read().count() == 15
