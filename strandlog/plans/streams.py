@@ -8,11 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import utc_day
+from ..operators import folds
 from ..sources import adapter as a
+from ..sources import files, pages
 from ..sources.shared import shared_folder
 from ..streaming import apply, keyed, ordered
 from .projection import family_events
 from .registry import ORACLES, query
+from .state import ACTIVE_SQL
 from .text import conversation_markup
 
 LOG = "WITH " + a.CHANNEL_LOG_SQL
@@ -138,3 +142,60 @@ def r20_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = frames.agg(F.coalesce(F.max("ms"), F.lit(0)), F.coalesce(F.min("ms"), F.lit(0))).first()
     came = frames.withColumn("arrival", F.floor((F.col("ms") - last[1]) * BATCHES / (last[0] - last[1] + 1)))
     return kept(came, lambda f: keyed.silences(f.withWatermark("at", "0 seconds"), SILENT_MS, event_time=True)).select("key", "ms", "silent")
+
+
+PAGES = 7
+
+
+def copy_pages(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Keeps each page as a batch of its own, up to the last that there is."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
+@query(f"SELECT o_orderkey, o_custkey, CAST(o_orderkey % {PAGES} AS BIGINT) AS page, CAST(o_orderkey % {PAGES} AS BIGINT) AS batch FROM orders")
+def s7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in an archive of pages: four are there when the copy first runs, the rest when it is started again."""
+    base, schema = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}", "page long, o_orderkey long, o_custkey long"
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), (F.col("o_orderkey") % PAGES).cast("long").alias("page"))
+    for there, ended in ((o.filter("page < 4"), False), (o.filter("page >= 4"), True)):
+        pages.write_pages(there, f"{base}/archive", ended)
+        copy_pages(pages.read_pages(spark, schema, f"{base}/archive", f"{base}/progress"), f"{base}/out", f"{base}/progress")
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{base}/out").select("o_orderkey", "o_custkey", "page", "batch")
+
+
+@query(f"""{LOG}, {ACTIVE_SQL} SELECT stream, msg_ts AS ts, CAST(reply_count AS BIGINT) AS reply_count FROM act""")
+def s5_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active messages written as a snapshot, JSON lines in gzip parts, and read back."""
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    active = folds.active_messages(a.channel_log(spark, sf_dir))
+    files.write_snapshot(active.select("stream", F.col("msg_ts").alias("ts"), F.to_json(F.struct("stream", F.col("msg_ts").alias("ts"), "reply_count")).alias("payload")), path)
+    return files.read_snapshot(spark, path, "stream string, ts string, reply_count long").select("stream", "ts", "reply_count")
+
+
+@query(f"""{LOG}, d AS (SELECT channel_id, strftime(make_timestamp(us), '%Y-%m-%d') AS day, string_agg(msg_ts, chr(10) ORDER BY msg_ts) AS document FROM log WHERE kind = 'message' GROUP BY ALL)
+SELECT channel_id, day, document FROM d WHERE day < '2024-01-25'""")
+def s10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each channel and day, written without the day that is not over, and read back by its folders."""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    m = a.channel_log(spark, sf_dir).filter("kind = 'message'").select("channel_id", utc_day(F.col("us")).cast("string").alias("day"), "msg_ts")
+    docs = m.groupBy("channel_id", "day").agg(F.array_join(F.sort_array(F.collect_list("msg_ts")), "\n").alias("document"))
+    files.write_documents(docs, path, today="2024-01-25")
+    back = spark.read.text(path, wholetext=True).select("channel_id", F.col("day").cast("string").alias("day"), F.regexp_replace("value", "\\n+\\z", "").alias("document"))
+    return back
+
+
+@query(f"{LOG} SELECT id, kind, us FROM log WHERE k % 4 = 1 UNION ALL SELECT id, kind, us FROM log WHERE k % 4 = 2")
+def s12_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions appended twice to a log of JSON lines, and read back."""
+    path, log = f"{shared_folder(spark)}/decisions-{uuid.uuid4().hex}", a.channel_log(spark, sf_dir)
+    for n in (1, 2):
+        files.append_decisions(log.filter(F.col("k") % 4 == n).select("id", "kind", "us"), path)
+    return files.read_decisions(spark, path, "id long, kind string, us long")

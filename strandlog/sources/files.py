@@ -23,9 +23,20 @@ def read_day_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(lines: DataFrame, path: str, stream: str = "stream", payload: str = "payload", order: str = "ts") -> None:
-    """One JSON object a line, keys sorted, gzip-compressed, a folder for each stream; the same state gives the same bytes."""
+    """One JSON object a line, keys sorted, gzip-compressed, a folder for each stream, in parts that are ranges of ``order``.
+
+    Rows are cut by ranges of stream and order, so that a stream that holds most of them is written by many tasks. A part is
+    a gzip member: a stream's parts, joined by their numbers (``snapshot_parts``), are one gzip file of its lines in order. The
+    same state gives the same lines; how they are cut follows the session's sizes.
+    """
     out = lines.select(F.translate(F.col(stream), ":", "_").alias("s"), order, canonical_json(F.col(payload)).alias("value"))
-    out.repartition("s").sortWithinPartitions("s", order).select("s", "value").write.partitionBy("s").option("compression", "gzip").text(path)
+    out.repartitionByRange("s", order).sortWithinPartitions("s", order).select("s", "value").write.partitionBy("s").option("compression", "gzip").text(path)
+
+
+def snapshot_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, part, bytes, file): the parts of snapshots; in order of ``part`` they hold a stream's lines in order."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.gz").load(path).select("path", "length")
+    return files.select(F.url_decode(F.regexp_extract("path", r"/s=([^/]+)/", 1)).alias("stream"), F.regexp_extract("path", r"/part-(\d+)", 1).cast("int").alias("part"), F.col("length").alias("bytes"), F.col("path").alias("file"))
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:

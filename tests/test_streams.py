@@ -80,3 +80,65 @@ def test_cursors_of_odd_tables(spark):
     d = spark.createDataFrame([("a", 2), ("a", 3), ("b", 1), ("b", 1), ("b", 2), ("b", 4)], "stream string, off long")
     assert {tuple(x) for x in apply.cursors(d).collect()} == {("a", 0), ("b", 2)}
     assert apply.cursors(d.limit(0)).count() == 0
+
+
+def test_a_page_is_a_batch_and_a_stopped_run_goes_on_behind_it(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandlog.plans.streams import copy_pages
+    from strandlog.sources import pages
+
+    archive, out, progress = (str(tmp_path / x) for x in ("archive", "out", "progress"))
+    rows = spark.range(1000).select((F.col("id") % 9).alias("page"), "id")
+    schema = "page long, id long"
+    read = lambda: pages.read_pages(spark, schema, archive, progress)
+    kept = lambda: {(r.batch, r.page, r.n) for r in spark.read.parquet(out).groupBy("batch", "page").agg(F.count("*").alias("n")).collect()}
+    pages.write_pages(rows.filter("page < 4"), archive, ended=False)
+    copy_pages(read(), out, progress)
+    assert {x[:2] for x in kept()} == {(k, k) for k in range(3)}  # the fourth may still be written
+    copy_pages(read(), out, progress)
+    assert {x[:2] for x in kept()} == {(k, k) for k in range(3)}
+    pages.write_pages(rows.filter("page >= 4"), archive)
+    copy_pages(read(), out, progress)
+    assert kept() == {(k, k, 112 if k == 0 else 111) for k in range(9)}
+    back = pages.read_pages(spark, schema, archive)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_silence_alone_fires(spark, tmp_path):
+    """By the clock of the machine: nothing comes any more, and the key falls silent all the same."""
+    import time
+
+    from strandlog.streaming import keyed
+
+    spark.createDataFrame([("a",), ("b",)], "key string").write.parquet(str(tmp_path / "in"))
+    frames = spark.readStream.schema("key string").parquet(str(tmp_path / "in"))
+    got = lambda: {(r.key, r.silent) for r in spark.read.schema("key string, ms long, silent boolean").parquet(str(tmp_path / "out")).collect()}
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}")
+
+    with ordered.with_rocks(spark):
+        q = keyed.silences(frames, 1500).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "progress")).trigger(processingTime="200 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and not ((tmp_path / "out").exists() and got() == {("a", True), ("b", True)}):
+            assert q.exception() is None
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert got() == {("a", True), ("b", True)}
+
+
+def test_corrections_of_the_stream_equal_the_batch(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog.operators import queues
+    from strandlog.plans.streams import kept
+    from strandlog.streaming import keyed
+
+    r = random.Random(8)
+    rows = [(i, f"s{r.randrange(3)}", r.choice(["message", "message", "message_changed"]), r.choice(["1", "2", None]), f"c{r.randrange(4)}") for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, stream string, kind string, msg_ts string, content string")
+    want = sorted(map(tuple, queues.corrections(d).collect()))
+    assert sorted(map(tuple, kept(d.withColumn("arrival", F.floor(F.col("id") / 40)), keyed.corrections).select("stream", "msg_ts", "id", "content").collect())) == want and want

@@ -162,6 +162,23 @@ def test_snapshot_files(spark, tmp_path):
         files.read_snapshot(spark, str(tmp_path / "bad"), "ts string").collect()
 
 
+def test_a_hot_stream_is_written_in_parts_that_join(spark, tmp_path):
+    import gzip
+
+    whole = "spark.sql.adaptive.coalescePartitions.enabled"  # small parts would be written together
+    spark.conf.set(whole, "false")
+
+    rows = [("channel:HOT" if i % 10 else f"channel:C{i % 7}", f"{i:06d}", f'{{"ts": "{i:06d}", "b": {i % 3}}}') for i in range(4000)]
+    path = str(tmp_path / "s")
+    files.write_snapshot(spark.createDataFrame(rows, "stream string, ts string, payload string").repartition(8), path)
+    spark.conf.unset(whole)
+    parts = files.snapshot_parts(spark, path).filter("stream = 'channel_HOT'").orderBy("part").collect()
+    sizes = [len(gzip.open(p.file.removeprefix("file:")).read().splitlines()) for p in parts]
+    assert len(parts) > 1 and max(sizes) < 3 * 3600 / len(parts)
+    joined = gzip.decompress(b"".join(open(p.file.removeprefix("file:"), "rb").read() for p in parts)).decode().splitlines()
+    assert joined == [f'{{"b":{int(t) % 3},"ts":"{t}"}}' for s, t, _ in rows if s == "channel:HOT"]
+
+
 def test_decisions(spark, tmp_path):
     d = spark.createDataFrame([("a", 1)], "path string, n long")
     for _ in range(2):
