@@ -10,6 +10,33 @@ from strandlog.llm import packing, pii  # noqa: E402
 from test_operators import brute_leaks, brute_near_copies  # noqa: E402
 
 
+def kept_by_sql(sf) -> set:
+    """The documents that no rule rejects, by the SQL of operator 4."""
+    import duckdb
+
+    from strandlog.llm import quality
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    return {i for (i,) in db.execute(f"SELECT doc_id FROM ({quality.ORACLE}) WHERE kept").fetchall()}
+
+
+def plain_masked(texts: dict, spans: dict) -> dict:
+    """Each place of the spans that operator 9 lists as its kind; spans that overlap are one place, of the first one's kind."""
+    out = {}
+    for i, text in texts.items():
+        places = []
+        for kind, a, b in sorted((x.split(":") for x in spans[i].split(",") if x), key=lambda x: (int(x[1]), int(x[2]))):
+            if places and int(a) < places[-1][1]:
+                places[-1][1] = max(places[-1][1], int(b))
+            else:
+                places.append([int(a), int(b), kind])
+        for a, b, kind in reversed(places):
+            text = f"{text[:a]}<{kind.upper()}>{text[b:]}"
+        out[i] = text
+    return out
+
+
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
@@ -20,7 +47,7 @@ def test_stages(spark, sf):
         return {r.doc_id: r.text for r in df.collect()}
 
     a = steps["quality_rules"](spark, docs, sf).cache()
-    assert a.columns == columns and 0 < a.count() < docs.count()
+    assert a.columns == columns and 0 < a.count() < docs.count() and set(rows(a)) == kept_by_sql(sf)
     b = steps["near_duplicates"](spark, a, sf).cache()
     # the brief's rule for stages: five words, a similarity of 0.8 or more; operator 7's three bits bind its own query only
     want = {i for i, c in brute_near_copies(list(rows(a).items())).items() if i == c}
@@ -30,6 +57,7 @@ def test_stages(spark, sf):
     assert c.columns == columns and set(rows(c)) == {i for i, x in brute_leaks(list(rows(b).items()), items).items() if not x[4]}
     d = steps["personal_data"](spark, c, sf).cache()
     assert d.columns == columns and set(rows(d)) == set(rows(c))
+    assert rows(d) == plain_masked(rows(c), {r.doc_id: r.spans for r in pii.op9(c).collect()}) != rows(c)
     assert not any(pii.base_spans(t) for t in rows(d).values()) and all(r.n_chars == len(r.text) for r in d.collect())
     e = steps["binary_packing"](spark, d, sf)
     totals = {r.doc_id: r.n for r in e.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
