@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .latest import as_of
+from .scan import row_before, running_sum
 
 HEALTH_STREAM = "slurper-health"
 #: The state that each kind of a health event stands for; other kinds change nothing.
@@ -64,3 +65,24 @@ def signatures(log: DataFrame, caught_up: DataFrame, polls: DataFrame, stale_us:
 def reconnects_to_catch_up(reconnects: DataFrame, resume: DataFrame, threshold_s: int) -> DataFrame:
     """(channel_id, gap_s, from_us): reconnects after more than the threshold, with where each channel resumes."""
     return reconnects.filter(F.col("gap_s") > threshold_s).join(resume, "channel_id").select("channel_id", "gap_s", "from_us")
+
+
+def silences(frames: DataFrame, after_ms: int, now_ms: int) -> DataFrame:
+    """(key, ms, silent): where keys of frames (key, ms) fell silent for more than ``after_ms``, up to ``now_ms``, and where they
+    spoke again. The state that a stream with timers keeps, from a whole log; hot keys are looked through in blocks."""
+    seen = row_before(frames.select("key", "ms").filter("key is not null").distinct(), "key", ["ms"], ["ms"], "before")
+    gaps = seen.filter(F.col("ms") > F.col("before.ms") + after_ms)
+    ended = gaps.select("key", (F.col("before.ms") + after_ms).alias("ms"), F.lit(True).alias("silent")).unionByName(gaps.select("key", "ms", F.lit(False).alias("silent")))
+    last = frames.filter("key is not null").groupBy("key").agg(F.max("ms").alias("ms")).filter(F.col("ms") + after_ms < now_ms)
+    return ended.unionByName(last.select("key", (F.col("ms") + after_ms).alias("ms"), F.lit(True).alias("silent")))
+
+
+def outages(attempts: DataFrame, min_ms: int, now_ms: int) -> DataFrame:
+    """(key, began, ms): a notice ``min_ms`` after the first failure of each run of failures of attempts (key, ms, id, ok), if
+    no success came until then."""
+    one = attempts.filter("key is not null").withColumn("_ok", F.col("ok").cast("int"))
+    counted = running_sum(one, "key", ["ms", "id"], "_ok", "run")
+    runs = counted.groupBy("key", "run").agg(F.min(F.when(~F.col("ok"), F.col("ms"))).alias("began")).filter("began is not null")
+    ends = counted.filter("ok").groupBy("key", (F.col("run") - 1).alias("run")).agg(F.min("ms").alias("ended"))
+    j = runs.join(ends, ["key", "run"], "left")
+    return j.filter(F.coalesce("ended", F.lit(now_ms)) > F.col("began") + min_ms).select("key", "began", (F.col("began") + min_ms).alias("ms"))

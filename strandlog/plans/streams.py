@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import utc_day
-from ..operators import folds
+from ..operators import folds, health
 from ..sources import adapter as a
 from ..sources import files, pages
 from ..sources.shared import shared_folder
@@ -131,6 +131,12 @@ def f21_dependants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.dependants(changed, keyed.mention_index(kept(versions, keyed.mention_changes)), blocks)
 
 
+def by_time(rows: DataFrame) -> DataFrame:
+    """Rows (ms, ...) with their batch: thirds of the time that they span."""
+    last = rows.agg(F.coalesce(F.max("ms"), F.lit(0)), F.coalesce(F.min("ms"), F.lit(0))).first()
+    return rows.withColumn("arrival", F.floor((F.col("ms") - last[1]) * BATCHES / (last[0] - last[1] + 1)))
+
+
 SILENT_MS = 2 * 86_400_000
 
 
@@ -139,9 +145,33 @@ SELECT key, ms + {SILENT_MS} AS ms, true AS silent FROM n WHERE coalesce(nx, (SE
 def r20_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams that fell silent for two days and those that spoke again, by event-time timers: the last ones with nothing behind them."""
     frames = a.channel_log(spark, sf_dir).select(F.col("stream").alias("key"), F.floor(F.col("us") / 1000).alias("ms"), F.timestamp_micros("us").alias("at"))
-    last = frames.agg(F.coalesce(F.max("ms"), F.lit(0)), F.coalesce(F.min("ms"), F.lit(0))).first()
-    came = frames.withColumn("arrival", F.floor((F.col("ms") - last[1]) * BATCHES / (last[0] - last[1] + 1)))
-    return kept(came, lambda f: keyed.silences(f.withWatermark("at", "0 seconds"), SILENT_MS, event_time=True)).select("key", "ms", "silent")
+    return kept(by_time(frames), lambda f: keyed.silences(f.withWatermark("at", "0 seconds"), SILENT_MS, event_time=True)).select("key", "ms", "silent")
+
+
+OUT_MS = 86_400_000
+
+
+@query(f"""{LOG}, t AS (SELECT stream AS key, us // 1000 AS ms, id, kind <> 'message' AS ok FROM log), c AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY key ORDER BY ms, id ROWS UNBOUNDED PRECEDING) AS run FROM t),
+r AS (SELECT key, run, min(ms) FILTER (NOT ok) AS began FROM c GROUP BY 1, 2)
+SELECT key, began, began + {OUT_MS} AS ms FROM r WHERE began IS NOT NULL AND coalesce((SELECT min(ms) FROM c WHERE c.key = r.key AND c.run = r.run + 1), (SELECT max(ms) FROM t)) > began + {OUT_MS}""")
+def r14_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outages of a day or more, each told once and a day after it began, by event-time timers over three batches."""
+    log = a.channel_log(spark, sf_dir).select(F.col("stream").alias("key"), F.floor(F.col("us") / 1000).alias("ms"), "id", (F.col("kind") != "message").alias("ok"), F.timestamp_micros("us").alias("at"))
+    return kept(by_time(log), lambda f: keyed.outages(f.withWatermark("at", "0 seconds"), OUT_MS)).select("key", "began", "ms")
+
+
+@query(ORACLES["r20_silences"])
+def r20_silences_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same silences from the whole log, without a stream."""
+    frames = a.channel_log(spark, sf_dir).select(F.col("stream").alias("key"), F.floor(F.col("us") / 1000).alias("ms"))
+    return health.silences(frames, SILENT_MS, frames.agg(F.coalesce(F.max("ms"), F.lit(0))).first()[0])
+
+
+@query(ORACLES["r14_outages"])
+def r14_outages_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same outages from the whole log, without a stream."""
+    log = a.channel_log(spark, sf_dir).select(F.col("stream").alias("key"), F.floor(F.col("us") / 1000).alias("ms"), "id", (F.col("kind") != "message").alias("ok"))
+    return health.outages(log, OUT_MS, log.agg(F.coalesce(F.max("ms"), F.lit(0))).first()[0])
 
 
 PAGES = 7

@@ -152,3 +152,49 @@ def silences(frames: DataFrame, after_ms: int, event_time: bool = False) -> Data
     columns = ["key", "ms", "at"] if event_time else ["key"]
     mode = "eventTime" if event_time else "processingTime"
     return frames.filter("key is not null").select(*columns).groupBy("key").transformWithState(statefulProcessor=_Silence(after_ms, event_time), outputStructType="key string, ms long, silent boolean", outputMode="update", timeMode=mode)
+
+
+class _Outage(StatefulProcessor):
+    def __init__(self, min_ms: int) -> None:
+        self.least = min_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "began long, told boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        found = self.run.get()
+        began, told = found if found else (None, False)
+        was = began
+        for r in sorted(rows, key=lambda r: (r.ms, r.id)):
+            if began is not None and not told and r.ms > began + self.least:
+                told = True
+                yield Row(key=key[0], began=began, ms=began + self.least)
+            if r.ok:
+                began, told = None, False
+            elif began is None:
+                began = r.ms
+        if was is not None and not found[1] and (told or began != was):
+            self.handle.deleteTimer(was + self.least + 1)
+        if began is not None and not told and began != was:
+            self.handle.registerTimer(began + self.least + 1)
+        if began is None:
+            self.run.clear()
+        elif (began, told) != found:
+            self.run.update((began, told))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        found = self.run.get()
+        if found and not found[1]:
+            self.run.update((found[0], True))
+            yield Row(key=key[0], began=found[0], ms=found[0] + self.least)
+
+    def close(self) -> None:
+        pass
+
+
+def outages(attempts: DataFrame, min_ms: int) -> DataFrame:
+    """(key, began, ms): one notice for each run of failures between successes, ``min_ms`` after its first, whether or not
+    anything comes then; none where a success comes before. ``attempts``: key, ms, id, ok, at (the moment as a timestamp, watermarked)."""
+    one = attempts.filter("key is not null").select("key", "ms", "id", "ok", "at")
+    return one.groupBy("key").transformWithState(statefulProcessor=_Outage(min_ms), outputStructType="key string, began long, ms long", outputMode="update", timeMode="eventTime")
