@@ -49,7 +49,8 @@ def sums(x: DataFrame, column: str, d: int) -> tuple[int, np.ndarray]:
 def covariance(x: DataFrame, column: str, centre: np.ndarray, n: int) -> np.ndarray:
     """Covariance of an array column about ``centre``: a generated expression for each pair of dimensions, one aggregation."""
     d = len(centre)
-    centred = x.select(*[(F.get(column, F.lit(i)).cast("double") - F.lit(float(centre[i]))).alias(f"y{i}") for i in range(d)])
+    # no entry is null; that Spark knows it halves the code of two thousand sums
+    centred = x.select(*[F.coalesce(F.get(column, F.lit(i)).cast("double") - F.lit(float(centre[i])), F.lit(0.0)).alias(f"y{i}") for i in range(d)])
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     row = centred.agg(*[F.expr(f"sum(y{i} * y{j})") for i, j in pairs]).first()
     v = np.zeros((d, d))
