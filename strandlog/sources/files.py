@@ -33,6 +33,16 @@ def write_snapshot(lines: DataFrame, path: str, stream: str = "stream", payload:
     out.repartitionByRange("s", order).sortWithinPartitions("s", order).select("s", "value").write.partitionBy("s").option("compression", "gzip").text(path)
 
 
+def write_shared_snapshot(lines: DataFrame, path: str, stream: str = "stream", payload: str = "payload", order: str = "ts") -> None:
+    """The lines of all streams together, gzip-compressed JSON, in parts that are ranges of stream and ``order``.
+
+    For many streams of few lines each: the number of files follows the bytes, not the streams. Payloads name their stream, and
+    a stream's lines stand in order, in one part or in successive ones.
+    """
+    out = lines.select(stream, order, canonical_json(F.col(payload)).alias("value"))
+    out.repartitionByRange(stream, order).sortWithinPartitions(stream, order).select("value").write.option("compression", "gzip").text(path)
+
+
 def snapshot_parts(spark: SparkSession, path: str) -> DataFrame:
     """(stream, part, bytes, file): the parts of snapshots; in order of ``part`` they hold a stream's lines in order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.gz").load(path).select("path", "length")
@@ -54,6 +64,25 @@ def read_decisions(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str, today: str | None = None) -> None:
-    """(channel_id, day, document) by channel and day; ``today`` is left out, as it is not over."""
+    """(channel_id, day, document) by channel and day, a folder and a file for each; ``today`` is left out, as it is not over.
+
+    For a tree of files that people open; ``write_day_documents`` holds many channels."""
     past = docs if today is None else docs.filter(F.col("day") < today)
     past.select("channel_id", "day", F.col("document").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("channel_id", "day").option("lineSep", "\n\n").text(path)
+
+
+def write_day_documents(docs: DataFrame, path: str, today: str | None = None) -> None:
+    """(channel_id, day, document) as a folder for each day, with the documents of all channels in parts that are ranges of
+    channel; ``today`` is left out, as it is not over.
+
+    For many channels: the number of folders is that of the days, and of files that of the ranges, not of the documents. A day's
+    documents are written together; a day that is written again takes the place of the former one.
+    """
+    past = docs if today is None else docs.filter(F.col("day") < today)
+    out = past.select("day", "channel_id", "document").repartitionByRange("day", "channel_id").sortWithinPartitions("day", "channel_id")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(path)
+
+
+def read_day_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(channel_id, day, document) of such folders; a filter on the day opens its folder alone, one on the channel some parts."""
+    return spark.read.schema("channel_id string, document string, day string").parquet(path).select("channel_id", "day", "document")

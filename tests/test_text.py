@@ -212,6 +212,22 @@ def test_documents_by_channel_and_day(spark, tmp_path):
     assert got == {"channel_id=C1/day=2024-01-01": "one", "channel_id=C1/day=2024-01-02": "again"}
 
 
+def test_files_of_documents_and_snapshots_do_not_grow_with_channels(spark, tmp_path):
+    n = lambda folder, name: len(list((tmp_path / folder).rglob(name)))
+    d = spark.range(600).select(F.concat(F.lit("C"), F.col("id") % 300).alias("channel_id"), F.concat(F.lit("2024-01-0"), 1 + F.floor(F.col("id") / 300)).alias("day"), F.concat(F.lit("text \n\n"), "id", F.lit("\n")).alias("document"))
+    files.write_day_documents(d, str(tmp_path / "docs"), today="2024-01-03")
+    assert sorted(map(tuple, files.read_day_documents(spark, str(tmp_path / "docs")).collect())) == sorted(map(tuple, d.collect()))
+    assert n("docs", "day=*") == 2 and n("docs", "part-*") < 20
+    again = d.filter("day = '2024-01-02'").withColumn("document", F.lit("again"))
+    files.write_day_documents(again.unionByName(again.withColumn("day", F.lit("2024-01-03"))), str(tmp_path / "docs"), today="2024-01-03")
+    got = files.read_day_documents(spark, str(tmp_path / "docs"))
+    assert {(r.day, r.document == "again", r["count"]) for r in got.groupBy("day", "document").count().groupBy("day", "document").agg(F.sum("count").alias("count")).filter("document = 'again'").collect()} == {("2024-01-02", True, 300)} and got.count() == 600
+    lines = d.select("channel_id", "day", F.to_json(F.struct("day", "channel_id")).alias("payload"))
+    files.write_shared_snapshot(lines, str(tmp_path / "s"), stream="channel_id", order="day")
+    back = files.read_snapshot(spark, str(tmp_path / "s"), "channel_id string, day string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, d.select("channel_id", "day").collect())) and n("s", "part-*.gz") < 20
+
+
 def test_failing_batch_is_replayed(spark, tmp_path):
     """A batch that fails stops the query; when it runs again nothing is lost and nothing comes twice."""
     for i in range(3):
