@@ -485,6 +485,38 @@ def test_copies_changed_too_much_are_not_all_compared(spark, monkeypatch):
     assert asked and asked[0] < 200  # of some 5,000 pairs
 
 
+def test_the_stage_takes_pairs_from_the_ring(spark, monkeypatch):
+    """Near copies come from operator 7's fingerprints and ring; the bands are asked only for what it has not joined."""
+    import random
+
+    from strandlog.llm import copies
+
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(2000)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base[: 40 * i] + [f"x{i}"] + base[40 * i + 1 :])) for i in range(1, 30)]
+    fps = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    signed = next(copies._signed([pa_batch(rows)])).to_pylist()
+    near = {(x["key"], y["key"]) for x in signed for y in signed if x["key"] < y["key"] and fps(x["fp"], y["fp"]) <= 3}
+    assert near
+    d = spark.createDataFrame([(x["key"], x["fp"]) for x in signed], "key long, fp long")
+    pairs = {tuple(x) for x in copies.ring_pairs(d).collect()}
+    assert {x for x in pairs if x[0] < x[1]} <= near and all((min(u, v), max(u, v)) in near for u, v in pairs)
+    seen = []
+    whole = copies._rounds
+    monkeypatch.setattr(copies, "_rounds", lambda live, found, checked: seen.append((live.count(), found.count())) or whole(live, found, checked))
+    assert [x.doc_id for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert seen[0][1] > 0
+    monkeypatch.setattr(copies, "ring_pairs", lambda reps: spark.createDataFrame([], "u long, v long"))
+    simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen[1][1] == 0 and seen[0][0] <= seen[1][0]
+
+
+def pa_batch(rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text_hash", "text"])
+
+
 def test_keep_first_decides_by_row(spark):
     r = random.Random(12)
     text = [" ".join(f"w{r.randrange(9999)}" for _ in range(40)) for _ in range(8)]
