@@ -124,22 +124,35 @@ ul AS (SELECT 'U' || c_custkey AS user_id, CAST(0 AS BIGINT) AS off, 'user_added
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of page fetches: started, pages, finished; a run for each order of ``lineitem``, streams by its part. Derived once."""
-    return written_once(spark, sf_dir, "run-log", lambda: derived_run_log(spark, sf_dir), ["channel_id", "id"], ["lineitem"])
+    return named_run_log(written_once(spark, sf_dir, "run-log", lambda: derived_run_log(spark, sf_dir), ["c", "id"], ["lineitem"]))
 
 
 def derived_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One shuffle, of an order's lines to one place: what a run is, its pages' numbers and its start and end come of one window."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.floor("l_quantity").cast("bigint").alias("q"))
-    run = F.concat(F.lit("R"), "l_orderkey")
-    o = F.col("l_orderkey").cast("bigint")
-    runs = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("done"), F.max((F.col("l_returnflag") == "A").cast("int")).alias("aborted"))
-    channel = F.concat(F.lit("C"), F.col("part") % 300)
-    started = runs.select(channel.alias("channel_id"), run.alias("run_id"), (o * 100).alias("id"), F.lit("started").alias("kind"), F.lit(None).cast("bigint").alias("page"), F.lit(None).cast("boolean").alias("has_more"), F.lit(None).cast("string").alias("cursor"), F.lit(None).cast("bigint").alias("messages"), F.lit(None).cast("string").alias("outcome"), (o % 9 == 0).alias("bounded"))
-    finished = runs.filter("done = 1").select(channel.alias("channel_id"), run.alias("run_id"), (o * 100 + 99).alias("id"), F.lit("finished").alias("kind"), F.lit(None).cast("bigint").alias("page"), F.lit(None).cast("boolean").alias("has_more"), F.lit(None).cast("string").alias("cursor"), F.lit(None).cast("bigint").alias("messages"), F.when(F.col("aborted") == 1, "aborted").otherwise("completed").alias("outcome"), F.lit(None).cast("boolean").alias("bounded"))
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "q", "l_returnflag")
-    pages = li.join(runs.select("l_orderkey", "part"), "l_orderkey").withColumn("n", F.row_number().over(w))
-    more = F.col("q") % 5 != 0
-    page = pages.select(channel.alias("channel_id"), run.alias("run_id"), (o * 100 + F.col("n")).alias("id"), F.lit("page").alias("kind"), F.col("l_linenumber").cast("bigint").alias("page"), more.alias("has_more"), F.when(more, F.concat(F.lit("cur"), "q")).alias("cursor"), F.col("q").alias("messages"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("boolean").alias("bounded"))
-    return started.unionByName(finished).unionByName(page)
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "q", "l_returnflag")
+    run = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    pages = li.select(
+        F.col("l_orderkey").cast("bigint").alias("o"), F.col("l_linenumber").cast("bigint").alias("page"), "q", F.row_number().over(order).alias("n"), F.min("l_partkey").over(run).alias("part"),
+        F.max(F.col("l_returnflag") == "R").over(run).alias("done"), F.max(F.col("l_returnflag") == "A").over(run).alias("aborted"),
+    )
+    # a page, and beside a run's first one its start and its end
+    marks = F.when(F.col("n") == 1, F.when(F.col("done"), F.array(F.lit(-1), F.lit(0), F.lit(99))).otherwise(F.array(F.lit(-1), F.lit(0)))).otherwise(F.array(F.lit(-1)))
+    return pages.select("*", F.explode(marks).alias("mark")).select(
+        (F.col("part") % 300).alias("c"), (F.col("o") * 100 + F.when(F.col("mark") < 0, F.col("n")).otherwise(F.col("mark"))).alias("id"), "mark", "page", "q", "o",
+        F.when(F.col("mark") == 99, F.col("aborted")).alias("aborted"),
+    )
+
+
+def named_run_log(marks: DataFrame) -> DataFrame:
+    """The run log of what ``derived_run_log`` gives, row by row: its texts follow from numbers, and only these are shuffled and kept."""
+    page, more, o = F.col("mark") < 0, F.col("q") % 5 != 0, F.col("o")
+    return marks.select(
+        F.concat(F.lit("C"), F.col("c")).alias("channel_id"), F.concat(F.lit("R"), o).alias("run_id"), "id",
+        F.when(page, "page").when(F.col("mark") == 0, "started").otherwise("finished").alias("kind"), F.when(page, F.col("page")).alias("page"), F.when(page, more).alias("has_more"),
+        F.when(page & more, F.concat(F.lit("cur"), "q")).alias("cursor"), F.when(page, F.col("q")).alias("messages"),
+        F.when(F.col("mark") == 99, F.when(F.col("aborted"), "aborted").otherwise("completed")).alias("outcome"), F.when(F.col("mark") == 0, o % 9 == 0).alias("bounded"),
+    )
 
 
 RUN_LOG_SQL = """
