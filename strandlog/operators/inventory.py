@@ -108,18 +108,20 @@ def walk_marks(runs: DataFrame, warn_at: int, every: int, most: int) -> DataFram
     """
     w = W.partitionBy("channel_id", "run_id").orderBy("page", "id").rowsBetween(W.unboundedPreceding, 0)
     p = runs.filter("kind = 'page'").withColumn("n", F.coalesce("messages", F.lit(0))).withColumn("sum", F.sum("n").over(w))
-    ends = p.filter(F.col("sum") > most).groupBy("channel_id", "run_id").agg(F.min(F.struct("page", "id", (F.col("sum") - F.col("n")).alias("messages"))).alias("x"))
-    aborted = ends.select("channel_id", "run_id", "x.page", F.lit("aborted").alias("mark"), "x.messages")
-    kept = p.filter((F.col("sum") <= most) & (F.col("n") > 0))
-    warned = kept.filter(F.col("sum") >= warn_at).groupBy("channel_id", "run_id").agg(F.min(F.struct("page", "id", F.col("sum").alias("messages"))).alias("x"))
-    warned = warned.select("channel_id", "run_id", "x.page", F.lit("warn_large").alias("mark"), "x.messages")
-    steps = kept.groupBy("channel_id", "run_id").agg(F.sort_array(F.collect_list(F.struct("page", "id", "sum"))).alias("pages"))
+    kept = (F.col("sum") <= most) & (F.col("n") > 0)
+    # all marks of a run come of one aggregate over its pages, as the window left them
+    per = p.groupBy("channel_id", "run_id").agg(
+        F.min(F.when(F.col("sum") > most, F.struct("page", "id", (F.col("sum") - F.col("n")).alias("messages")))).alias("ended"),
+        F.min(F.when(kept & (F.col("sum") >= warn_at), F.struct("page", "id", F.col("sum").alias("messages")))).alias("warned"),
+        F.sort_array(F.collect_list(F.when(kept, F.struct("page", "id", "sum")))).alias("pages"),
+    )
     none = F.expr("cast(array() as array<struct<page:bigint,messages:bigint>>)")
     start = F.struct(F.lit(0).cast("bigint").alias("last"), none.alias("marks"))
     step = lambda s, x: F.when(x["sum"] >= s["last"] + every, F.struct(x["sum"].alias("last"), F.concat(s["marks"], F.array(F.struct(x["page"].cast("bigint").alias("page"), x["sum"].alias("messages")))).alias("marks"))).otherwise(s)
-    told = steps.select("channel_id", "run_id", F.explode(F.aggregate("pages", start, step)["marks"]).alias("x"))
-    progress = told.select("channel_id", "run_id", "x.page", F.lit("progress").alias("mark"), "x.messages")
-    return aborted.unionByName(warned).unionByName(progress)
+    mark = lambda name, x: F.struct(x["page"].cast("bigint").alias("page"), F.lit(name).alias("mark"), x["messages"].cast("bigint").alias("messages"))
+    one = lambda name: F.when(F.col(name[1]).isNotNull(), F.array(mark(name[0], F.col(name[1])))).otherwise(F.array().cast("array<struct<page:bigint,mark:string,messages:bigint>>"))
+    told = F.transform(F.aggregate("pages", start, step)["marks"], lambda x: mark("progress", x))
+    return per.select("channel_id", "run_id", F.inline(F.concat(one(("aborted", "ended")), one(("warn_large", "warned")), told)))
 
 
 def unique_slugs(df: DataFrame, root: str, slug: str, first: list[Column], id_col: str) -> DataFrame:

@@ -116,3 +116,13 @@ def test_a_written_table_follows_its_source(spark, tmp_path):
     folder = read().inputFiles()[0].removeprefix("file://").rpartition("/")[0]
     shutil.rmtree(folder)
     assert read().count() == 15
+
+
+def test_runs_are_shuffled_once(spark, sf):
+    """The run log's derivation brings an order's lines together once, and the marks of a walk come of one pass over the pages."""
+    from strandlog.operators import inventory
+    from strandlog.sources import adapter as a
+
+    exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(a.derived_run_log(spark, sf)) == 1
+    assert exchanges(inventory.walk_marks(a.run_log(spark, sf), 60, 40, 150)) == 1
