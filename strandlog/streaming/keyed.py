@@ -2,20 +2,17 @@
 references that each block holds, and keys that fall silent.
 
 Each operator emits changes only; ``apply.keep_changes`` writes them by batch. State is Spark's, in RocksDB
-(``ordered.with_rocks``), and is restored with the query's progress. Inside a batch a key's rows are taken in order of ``id``
-or time, whatever their order in the batch.
+(``ordered.with_rocks``), in shards of keys (``shards``), and is restored with the query's progress. Inside a batch a key's rows
+are taken in order of ``id`` or time, whatever their order in the batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ingest import family_key
+from .shards import Rule, by_rule
 
 
 def first_of_family(events: DataFrame) -> DataFrame:
@@ -34,25 +31,25 @@ def first_ids(changes: DataFrame) -> DataFrame:
     return changes.filter("key is not null").groupBy("stream", "kind", "key").agg(F.min("id").alias("id")).select("id").unionByName(changes.filter("key is null").select("id"))
 
 
-class _Corrections(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "first string, said array<string>")
+class _Corrections(Rule):
+    """State: the first content, and what edits have said since."""
+
+    keys = ["stream", "msg_ts"]
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        was = self.known.get()
-        first, said = (was[0], list(was[1])) if was else (None, [])
+    def take(self, key: tuple, rows: list[Row], was: list | None, now: int | None) -> tuple[list, list[Row]]:
+        first, said, out = was[0] if was else None, list(was[1]) if was else [], []
         for r in sorted(rows, key=lambda r: r.id):
             if r.kind == "message" and first is None:
                 first = r.content
             elif (r.kind != "message" or r.content != first) and r.content not in said:
                 said.append(r.content)
                 if r.kind == "message":
-                    yield Row(stream=key[0], msg_ts=key[1], id=r.id, content=r.content)
-        if was is None or (first, len(said)) != (was[0], len(was[1])):
-            self.known.update((first, said))
+                    out.append(Row(stream=key[0], msg_ts=key[1], id=r.id, content=r.content))
+        return [first, said], out
+
 
-    def close(self) -> None:
-        pass
+#: Messages are many more than streams.
+MESSAGE_SHARDS = 1 << 14
 
 
 def corrections(events: DataFrame) -> DataFrame:
@@ -62,25 +59,20 @@ def corrections(events: DataFrame) -> DataFrame:
     content: none where it is the first content, was said by an edit before, or has been given already.
     """
     one = events.filter("stream is not null and msg_ts is not null").select("stream", "msg_ts", "id", "kind", "content")
-    return one.groupBy("stream", "msg_ts").transformWithState(statefulProcessor=_Corrections(), outputStructType="stream string, msg_ts string, id long, content string", outputMode="update", timeMode="none")
+    return by_rule(one, _Corrections(), "stream string, msg_ts string, id long, content string", shards=MESSAGE_SHARDS)
 
 
-class _Mentions(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "off long, refs array<string>")
+class _Mentions(Rule):
+    """State: the newest version's offset and references."""
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        newest = max(rows, key=lambda r: r.off, default=None)
-        was = self.now.get()
-        if newest is None or (was and was[0] >= newest.off):
-            return
-        old, new = set(was[1] if was else ()), set(newest.refs or ())
-        self.now.update((newest.off, sorted(new)))
-        for ref in sorted(old ^ new):
-            yield Row(key=key[0], ref=ref, off=newest.off, present=ref in new)
+    keys = ["key"]
 
-    def close(self) -> None:
-        pass
+    def take(self, key: tuple, rows: list[Row], was: list | None, now: int | None) -> tuple[list | None, list[Row]]:
+        newest = max(rows, key=lambda r: r.off)
+        if was and was[0] >= newest.off:
+            return was, []
+        old, new = set(was[1] if was else ()), set(newest.refs or ())
+        return [newest.off, sorted(new)], [Row(key=key[0], ref=ref, off=newest.off, present=ref in new) for ref in sorted(old ^ new)]
 
 
 def mention_changes(blocks: DataFrame) -> DataFrame:
@@ -89,7 +81,7 @@ def mention_changes(blocks: DataFrame) -> DataFrame:
     A block that is gone has no refs. Versions that come late, behind a newer one, change nothing.
     """
     one = blocks.filter("key is not null").select("key", "off", "refs")
-    return one.groupBy("key").transformWithState(statefulProcessor=_Mentions(), outputStructType="key string, ref string, off long, present boolean", outputMode="update", timeMode="none")
+    return by_rule(one, _Mentions(), "key string, ref string, off long, present boolean", shards=MESSAGE_SHARDS)
 
 
 def mention_index(changes: DataFrame) -> DataFrame:
@@ -106,41 +98,32 @@ def dependants(changed: DataFrame, index: DataFrame, blocks: DataFrame) -> DataF
     return hit.select(F.lit("block").alias("what"), F.col("key").alias("id"), "ref").unionByName(documents)
 
 
-class _Silence(StatefulProcessor):
-    def __init__(self, after_ms: int, event_time: bool) -> None:
-        self.after, self.event_time = after_ms, event_time
+class _Silence(Rule):
+    """State: the last row's moment, and whether the key is silent since."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ms long, silent boolean, timer long")
+    keys = ["key"]
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        found = self.last.get()
-        last, silent, timer = found if found else (None, False, None)
-        came = sorted(r.ms for r in rows) if self.event_time else [timerValues.getCurrentProcessingTimeInMs() for _ in rows][:1]
-        for ms in came:
+    def __init__(self, after_ms: int) -> None:
+        self.after = after_ms
+
+    def take(self, key: tuple, rows: list[Row], was: list | None, now: int | None) -> tuple[list | None, list[Row]]:
+        (last, silent), out = was or (None, False), []
+        for ms in sorted(r.ms for r in rows) if now is None else [now]:
             if last is not None and ms < last:
                 continue  # came late
             if last is not None and ms > last + self.after and not silent:
-                yield Row(key=key[0], ms=last + self.after, silent=True)
+                out.append(Row(key=key[0], ms=last + self.after, silent=True))
                 silent = True
             if silent:
-                yield Row(key=key[0], ms=ms, silent=False)
+                out.append(Row(key=key[0], ms=ms, silent=False))
             last, silent = ms, False
-        if last is not None and (found is None or last != found[0] or silent != found[1]):
-            if timer is not None:  # not fired yet: one that fires leaves none
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(last + self.after + 1)
-            self.last.update((last, silent, last + self.after + 1))
+        return [last, silent], out
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        last, silent, timer = self.last.get()
-        if not silent:
-            self.last.update((last, True, None))
-            yield Row(key=key[0], ms=last + self.after, silent=True)
+    def due(self, state: list) -> int | None:
+        return None if state[1] else state[0] + self.after + 1
 
-    def close(self) -> None:
-        pass
+    def expire(self, key: tuple, state: list) -> tuple[list, list[Row]]:
+        return [state[0], True], [Row(key=key[0], ms=state[0] + self.after, silent=True)]
 
 
 def silences(frames: DataFrame, after_ms: int, event_time: bool = False) -> DataFrame:
@@ -151,50 +134,38 @@ def silences(frames: DataFrame, after_ms: int, event_time: bool = False) -> Data
     """
     columns = ["key", "ms", "at"] if event_time else ["key"]
     mode = "eventTime" if event_time else "processingTime"
-    return frames.filter("key is not null").select(*columns).groupBy("key").transformWithState(statefulProcessor=_Silence(after_ms, event_time), outputStructType="key string, ms long, silent boolean", outputMode="update", timeMode=mode)
+    return by_rule(frames.filter("key is not null").select(*columns), _Silence(after_ms), "key string, ms long, silent boolean", mode)
+
 
+class _Outage(Rule):
+    """State: when the run of failures began, and whether it has been told; none outside of one."""
+
+    keys = ["key"]
 
-class _Outage(StatefulProcessor):
     def __init__(self, min_ms: int) -> None:
         self.least = min_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.run = handle.getValueState("run", "began long, told boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        found = self.run.get()
-        began, told = found if found else (None, False)
-        was = began
+    def take(self, key: tuple, rows: list[Row], was: list | None, now: int | None) -> tuple[list | None, list[Row]]:
+        (began, told), out = was or (None, False), []
         for r in sorted(rows, key=lambda r: (r.ms, r.id)):
             if began is not None and not told and r.ms > began + self.least:
                 told = True
-                yield Row(key=key[0], began=began, ms=began + self.least)
+                out.append(Row(key=key[0], began=began, ms=began + self.least))
             if r.ok:
                 began, told = None, False
             elif began is None:
                 began = r.ms
-        if was is not None and not found[1] and (told or began != was):
-            self.handle.deleteTimer(was + self.least + 1)
-        if began is not None and not told and began != was:
-            self.handle.registerTimer(began + self.least + 1)
-        if began is None:
-            self.run.clear()
-        elif (began, told) != found:
-            self.run.update((began, told))
+        return None if began is None else [began, told], out
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        found = self.run.get()
-        if found and not found[1]:
-            self.run.update((found[0], True))
-            yield Row(key=key[0], began=found[0], ms=found[0] + self.least)
+    def due(self, state: list) -> int | None:
+        return None if state[1] else state[0] + self.least + 1
 
-    def close(self) -> None:
-        pass
+    def expire(self, key: tuple, state: list) -> tuple[list, list[Row]]:
+        return [state[0], True], [Row(key=key[0], began=state[0], ms=state[0] + self.least)]
 
 
 def outages(attempts: DataFrame, min_ms: int) -> DataFrame:
     """(key, began, ms): one notice for each run of failures between successes, ``min_ms`` after its first, whether or not
     anything comes then; none where a success comes before. ``attempts``: key, ms, id, ok, at (the moment as a timestamp, watermarked)."""
     one = attempts.filter("key is not null").select("key", "ms", "id", "ok", "at")
-    return one.groupBy("key").transformWithState(statefulProcessor=_Outage(min_ms), outputStructType="key string, began long, ms long", outputMode="update", timeMode="eventTime")
+    return by_rule(one, _Outage(min_ms), "key string, began long, ms long", "eventTime")
