@@ -6,11 +6,14 @@ long; one at or before the cursor came twice and does nothing. Effects and curso
 (``apply.keep_changes``), so that they advance together and a batch that runs again replaces itself.
 
 Waiting events are bounded by how far events overtake each other, the rest of the state by the messages there are. Streams are
-independent; one stream's events are applied one after the other, which is what their order means.
+independent; one stream's events are applied one after the other, which is what their order means. Streams that hash to one
+shard share a group (``shards``), so that a call of state serves many of them; a batch reads and writes the cursors of the
+shards that it touches, and of their messages those of the times that it touches.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,14 +21,19 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .shards import SHARDS, by_shard, grouped, packed, unpacked
+
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = "off long, kind string, msg_ts string, previous_ts string, deleted_ts string, parent_ts string, reply_count long"
 COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
+Event = namedtuple("Event", COLUMNS)
+#: Messages whose times begin with the same characters lie in one block: of times in seconds, those of some twelve days.
+BLOCK = 4
 #: ``what``: message (with ``alive`` and its replies) or cursor (``off`` alone).
 RESULT = "stream string, what string, ts string, off long, alive boolean, reply_count long"
 
 
-def effects(e: Row, get: Any, put: Any) -> None:
+def effects(e: Event, get: Any, put: Any) -> None:
     """What an event does to the messages of its stream; get(ts) gives (off, alive, reply_count) or None."""
     if e.kind in ("message", "message_changed"):
         if e.previous_ts is not None and e.previous_ts != e.msg_ts and e.kind == "message_changed":
@@ -42,52 +50,67 @@ def effects(e: Row, get: Any, put: Any) -> None:
 
 
 class InOrder(StatefulProcessor):
-    """One stream's cursor, waiting events and messages."""
+    """A shard's streams: their cursors and waiting events as one value, their messages in blocks of time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cursor = handle.getValueState("cursor", "off long")
-        self.early = handle.getListState("early", EVENT)
-        self.messages = handle.getMapState("messages", "ts string", "off long, alive boolean, reply_count long")
+        self.streams = handle.getValueState("streams", "states string")
+        self.messages = handle.getMapState("messages", "block string", "messages string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        found = self.cursor.get()
-        start = cursor = found[0] if found else 0
-        waiting = {r.off: r for r in (Row(*COLUMNS)(*x) for x in self.early.get())}
-        kept, seen, changed = set(waiting), {}, {}
-        for r in rows:
-            if r.off > cursor and r.off not in waiting:
-                waiting[r.off] = Row(*COLUMNS)(*(r[c] for c in COLUMNS))
-
-        def get(ts: str):
-            if ts not in seen:
-                was = self.messages.getValue((ts,))
-                seen[ts] = tuple(was) if was else None
-            return seen[ts]
-
-        def put(ts: str, value: tuple) -> None:
-            seen[ts] = changed[ts] = value
-
-        while cursor + 1 in waiting:
-            cursor += 1
-            effects(waiting.pop(cursor), get, put)
-        for ts, value in changed.items():
-            self.messages.updateValue((ts,), value)
-        if kept != set(waiting):
-            self.early.put([tuple(w) for w in waiting.values()]) if waiting else self.early.clear()
-        if cursor > start or not found:
-            self.cursor.update((cursor,))
-            yield Row(stream=key[0], what="cursor", ts=None, off=cursor, alive=None, reply_count=None)
-        for ts, (off, alive, n) in changed.items():
-            yield Row(stream=key[0], what="message", ts=ts, off=off, alive=alive, reply_count=n)
+        found = self.streams.get()
+        states, before = unpacked(found[0]) if found else {}, found[0] if found else None
+        blocks: dict[str, dict] = {}
+        touched: set[str] = set()
+        out: list[Row] = []
+
+        def block(ts: str) -> dict:
+            name = ts[:BLOCK]
+            if name not in blocks:
+                kept = self.messages.getValue((name,))
+                blocks[name] = unpacked(kept[0]) if kept else {}
+            return blocks[name]
+
+        for (stream,), mine in grouped(rows, ["stream"]).items():
+            was = states.get((stream,))
+            start = cursor = was[0] if was else 0
+            waiting = {e[0]: Event(*e) for e in was[1]} if was else {}
+            changed: dict[str, None] = {}
+            for r in mine:
+                if r.off > cursor and r.off not in waiting:
+                    waiting[r.off] = Event(*(r[c] for c in COLUMNS))
+
+            def get(ts: str) -> list | None:
+                return block(ts).get((stream, ts))  # noqa: B023
+
+            def put(ts: str, value: tuple) -> None:
+                block(ts)[stream, ts] = list(value)  # noqa: B023
+                changed[ts] = None  # noqa: B023
+                touched.add(ts[:BLOCK])
+
+            while cursor + 1 in waiting:
+                cursor += 1
+                effects(waiting.pop(cursor), get, put)
+            states[stream,] = [cursor, [list(e) for e in waiting.values()]]
+            if cursor > start or not was:
+                out.append(Row(stream=stream, what="cursor", ts=None, off=cursor, alive=None, reply_count=None))
+            for ts in changed:
+                off, alive, n = get(ts)
+                out.append(Row(stream=stream, what="message", ts=ts, off=off, alive=alive, reply_count=n))
+        for name in touched:
+            self.messages.updateValue((name,), (packed(blocks[name]),))
+        now = packed(states)
+        if now != before:
+            self.streams.update((now,))
+        yield from out
 
     def close(self) -> None:
         pass
 
 
-def in_order(events: DataFrame) -> DataFrame:
+def in_order(events: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Changes of messages and cursors of a streaming ``events`` (stream and the columns of an event)."""
     one = events.filter("stream is not null and off is not null").select("stream", *COLUMNS)
-    return one.groupBy("stream").transformWithState(statefulProcessor=InOrder(), outputStructType=RESULT, outputMode="update", timeMode="none")
+    return by_shard(one, ["stream"], shards).transformWithState(statefulProcessor=InOrder(), outputStructType=RESULT, outputMode="update", timeMode="none")
 
 
 def with_rocks(spark: SparkSession):

@@ -142,3 +142,38 @@ def test_corrections_of_the_stream_equal_the_batch(spark):
     d = spark.createDataFrame(rows, "id long, stream string, kind string, msg_ts string, content string")
     want = sorted(map(tuple, queues.corrections(d).collect()))
     assert sorted(map(tuple, kept(d.withColumn("arrival", F.floor(F.col("id") / 40)), keyed.corrections).select("stream", "msg_ts", "id", "content").collect())) == want and want
+
+
+def test_keys_of_a_shard_share_their_calls_of_state(spark, tmp_path):
+    """A batch of many keys touches as many rows of state as there are shards, by each of the operators on keyed state."""
+    from pyspark.sql import functions as F
+
+    from strandlog.streaming import keyed, shards
+
+    rows = spark.range(600).select("id", F.concat(F.lit("s"), F.col("id") % 300).alias("key"), F.lit(1).cast("long").alias("off"), F.lit("message").alias("kind"), F.format_string("1704%06d.0", "id").alias("msg_ts"), F.lit("c").alias("content"))
+    rows = rows.select("*", F.col("key").alias("stream"), *(F.lit(None).cast(t).alias(c) for c, t in (("previous_ts", "string"), ("deleted_ts", "string"), ("parent_ts", "string"), ("reply_count", "long"))))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    made = {"corrections": shards.by_rule(stream, keyed._Corrections(), "stream string, msg_ts string, id long, content string", shards=4), "in_order": ordered.in_order(stream, shards=4)}
+    updated = {}
+    for name, state in made.items():
+        with ordered.with_rocks(spark):
+            q = apply.keep_changes(state, str(tmp_path / name), str(tmp_path / f"{name}-progress"))
+            q.awaitTermination()
+        updated[name] = sum(s["numRowsUpdated"] for p in q.recentProgress for s in p["stateOperators"])
+    assert 0 < updated["corrections"] <= 4 and 0 < updated["in_order"] <= 4 * (1 + 4)  # a value for each shard, and few blocks of messages
+    assert spark.read.parquet(str(tmp_path / "in_order")).filter("what = 'cursor'").count() == 300
+
+
+def test_due_moments_of_a_shard(spark):
+    """Keys of one shard fall silent each at its own moment, with one timer for all, also exactly at the watermark."""
+    from pyspark.sql import functions as F
+
+    from strandlog.plans.streams import kept
+    from strandlog.streaming import keyed, shards
+
+    rows = [("a", 1000, 0), ("b", 1499, 0), ("c", 1500, 0), ("d", 1501, 0), ("z", 2500, 0), ("a", 2600, 1), ("y", 2601, 1)]
+    d = spark.createDataFrame(rows, "key string, ms long, arrival long").withColumn("at", F.timestamp_millis("ms"))
+    of = lambda f: shards.by_rule(f.withWatermark("at", "0 seconds"), keyed._Silence(1000), "key string, ms long, silent boolean", "eventTime", shards=1)
+    got = {(r.key, r.ms, r.silent, r.run) for r in kept(d, of, 2).select("key", "ms", "silent", "run").collect()}
+    assert got == {("a", 2000, True, 0), ("b", 2499, True, 0), ("c", 2500, True, 1), ("d", 2501, True, 1), ("a", 2600, False, 1)}
