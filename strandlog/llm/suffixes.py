@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ LENGTH, Q, STEP = 50, 24, 13  # Q + 2 * STEP = LENGTH
 WIDTH = LENGTH - Q + 1
 #: Anchors that one group of step 1 sorts, about; bytes of text whose anchors are packed together; bytes that are hashed at once; places that are refined at once.
 GROUP, TEXT_AT_ONCE, BLOCK_BYTES, AT_ONCE = 1 << 20, 1 << 24, 1 << 21, 1 << 16
+#: Bytes of text whose contexts are shuffled at a time, until there are so many slices; each reads the texts again.
+SLICE_BYTES, MOST_SLICES = 1 << 30, 8
 _C = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -334,6 +337,11 @@ def _results(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], span)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
+def slices(n_bytes: int) -> int:
+    """In how many slices, one after the other, contexts are named and judged, so that one slice's shuffles are on disk at a time."""
+    return int(min(MOST_SLICES, 1 + n_bytes // SLICE_BYTES))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array<struct<start, end>>, in bytes) for every row."""
     keyed, repeated = numbered(docs, id_col, text_col)
@@ -341,20 +349,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_parts = 1 + 2 * n_bytes // (WIDTH + 1) // GROUP
 
+    n_slices = slices(n_bytes)
+
+    def sliced(rows: DataFrame, keys: list[str], i: int) -> DataFrame:
+        return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(n_slices)) == i) if n_slices > 1 else rows
+
     def of_texts(rows: DataFrame, step, shape: str) -> DataFrame:
         """Rows (k, n, head, place) gathered per document, beside its text, through ``step``."""
-        lists = rows.groupBy("k", "n").agg(F.collect_list(F.struct("head", "place")).alias("found"))
-        return stored(texts.join(lists, ["k", "n"]).select("k", "n", "text", "found").mapInArrow(_over_documents(step), f"k long, n long, {shape}"))
+        found = []
+        for i in range(n_slices):
+            lists = sliced(rows, ["k", "n"], i).groupBy("k", "n").agg(F.collect_list(F.struct("head", "place")).alias("found"))
+            found.append(stored(sliced(texts, ["k", "n"], i).join(lists, ["k", "n"]).select("k", "n", "text", "found").mapInArrow(_over_documents(step), f"k long, n long, {shape}")))
+        return reduce(DataFrame.unionByName, found)
 
-    def judged(rows: DataFrame) -> DataFrame:
-        """Of rows in buckets, those that a smaller document holds as a whole (``whole``), and those whose bucket holds
-        others of another document; and only these."""
+    def judged_slice(rows: DataFrame) -> DataFrame:
         groups = stored(rows.groupBy("bucket", "name", "digest").agg(F.min("k").alias("first"), F.max("k").alias("last")))
         several = groups.groupBy("bucket").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count("*").alias("n_groups")).filter("low < high and n_groups > 1").select("bucket", F.lit(True).alias("open"))
         asked = stored(groups.join(several, "bucket", "left").filter("first < last or open").select("name", "digest", "first", F.coalesce("open", F.lit(False)).alias("open")))
         discard(groups)
         found = stored(rows.join(asked, ["name", "digest"]).withColumn("whole", F.col("k") > F.col("first")).filter("whole or open").drop("name", "digest", "first", "open"))
-        discard(rows, asked)
+        discard(asked)
+        return found
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """Of rows in buckets, those that a smaller document holds as a whole (``whole``), and those whose bucket holds
+        others of another document; and only these. A bucket lies in one slice."""
+        found = reduce(DataFrame.unionByName, [judged_slice(sliced(rows, ["bucket"], i)) for i in range(n_slices)])
+        discard(rows)
         return found
 
     live = stored(texts.mapInArrow(_packed(n_parts), _PACKED).groupBy("part").applyInArrow(_meet, _FOUND))

@@ -265,6 +265,15 @@ def test_suffixes_in_blocks_and_with_ties(spark, monkeypatch):
     assert sorted(covered) == [p for _, _, p in alone]
 
 
+def test_suffixes_in_slices(spark, documents, monkeypatch):
+    """Results do not depend on how many slices are named and judged one after the other; slices grow with the bytes."""
+    assert [suffixes.slices(n) for n in (0, 1 << 29, 1 << 30, 10 << 30)] == [1, 1, 2, suffixes.MOST_SLICES]
+    want = sorted(map(tuple, suffixes.op3(documents).collect()), key=str)
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 1)
+    monkeypatch.setattr(suffixes, "MOST_SLICES", 3)
+    assert sorted(map(tuple, suffixes.op3(documents).collect()), key=str) == want and any(x[2] for x in want)
+
+
 def test_suffixes_of_a_very_long_text(spark):
     r = random.Random(17)
     long = "".join(r.choice("abcdefghijklmnop ") for _ in range(9_000_000))
