@@ -161,8 +161,10 @@ def _markdown(page: str) -> str | None:
     return re.sub(r"\n\n\n+", "\n\n", re.sub("  +", " ", out)).strip()
 
 
-@F.pandas_udf(StringType())
-def canvas_markdown(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Markdown of a shared document's page, from its first heading to the end of its body; null without a heading."""
-    for s in pages:
-        yield s.map(_markdown, na_action="ignore")
+@F.udf(StringType(), useArrow=False)
+def canvas_markdown(page: str | None) -> str | None:
+    """Markdown of a shared document's page, from its first heading to the end of its body; null without a heading.
+
+    Pages go to Python a hundred at a time, and not as many as an Arrow batch holds: they can be large.
+    """
+    return None if page is None else _markdown(page)

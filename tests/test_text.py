@@ -77,6 +77,13 @@ def test_canvas_cases(spark, page, want):
     assert spark.createDataFrame([(page,)], "x string").select(t.canvas_markdown(F.col("x"))).first()[0] == want
 
 
+def test_canvas_takes_few_pages_at_once():
+    """Pages reach Python in small batches of rows, not in Arrow batches of thousands."""
+    from pyspark.util import PythonEvalType
+
+    assert t.canvas_markdown.evalType == PythonEvalType.SQL_BATCHED_UDF
+
+
 def test_canvas_of_all_pages(spark, sf):
     """Against a plain version for the few tags that these pages have."""
     import html
